@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op6_simhash": simhash.op6_simhash,
         "op9_kd_sharding": sharding.op9_kd_sharding,
     }
 
