@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding, simhash
+from . import secrets, sharding, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_secrets": secrets.op5_secrets,
         "op6_simhash": simhash.op6_simhash,
         "op9_kd_sharding": sharding.op9_kd_sharding,
