@@ -69,3 +69,9 @@ def attach_by_key(left: DataFrame, per_key: DataFrame, key: str, count: str, sha
     direct = left.join(F.broadcast(hot), key)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key, key)
     return direct.unionByName(rest)
+
+
+def inline(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small table of numbers and plain words as a literal relation: no Python worker reads it."""
+    values = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else f"{v}" for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")

@@ -51,19 +51,19 @@ def _cuts(units: DataFrame, nodes: dict[int, int]) -> list[tuple[int, int, str,
     widest = {n: max(DIMENSIONS, key=lambda d: r[d]) for n, r in stats.items()}
     target = {n: r["b"] * (nodes[n] // 2) / nodes[n] for n, r in stats.items()}
     # tables of a row for each node, fewer than there are shards
-    axes = spark.createDataFrame([(n, d) for n, d in widest.items()], "shard int, axis string")
+    axes = common.inline(spark, list(widest.items()), "shard, axis")
     placed = live.join(F.broadcast(axes), "shard").select("shard", "bytes", _position(_along("axis")).alias("pos"))
     order = W.partitionBy("shard").orderBy("bin")
 
     def crossing(bins: DataFrame, goal: dict[int, float]) -> dict[int, tuple]:
-        goals = F.broadcast(spark.createDataFrame([(n, float(v)) for n, v in goal.items()], "shard int, goal double"))
+        goals = F.broadcast(common.inline(spark, [(n, float(v)) for n, v in goal.items()], "shard, goal"))
         upto = bins.withColumn("upto", F.sum("bytes").over(order)).join(goals, "shard").filter(F.col("upto") >= F.col("goal"))
         rows = upto.groupBy("shard").agg(F.min(F.struct("bin", "upto", "bytes")).alias("at")).collect()
         return {r["shard"]: (r["at"]["bin"], r["at"]["upto"], r["at"]["bytes"]) for r in rows}
 
     placed = placed.withColumn("high", F.shiftright("pos", 16))
     first = crossing(placed.groupBy("shard", F.col("high").alias("bin")).agg(F.sum("bytes").alias("bytes")), target)
-    chosen = F.broadcast(spark.createDataFrame([(n, at[0]) for n, at in first.items()], "shard int, high long"))
+    chosen = F.broadcast(common.inline(spark, [(n, at[0]) for n, at in first.items()], "shard, high"))
     left_over = {n: target[n] - (upto - own) for n, (_, upto, own) in first.items()}
     low = F.pmod("pos", F.lit(1 << 16)).alias("bin")
     second = crossing(placed.join(chosen, ["shard", "high"]).groupBy("shard", low).agg(F.sum("bytes").alias("bytes")), left_over)
@@ -108,7 +108,7 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
         cuts = _cuts(units, nodes)
         if not cuts:
             break
-        table = F.broadcast(units.sparkSession.createDataFrame(cuts, "shard int, left int, axis string, cut long"))
+        table = F.broadcast(common.inline(units.sparkSession, cuts, "shard, left, axis, cut"))
         beyond = F.coalesce(_position(_along("axis")) > F.col("cut"), F.lit(False))
         moved = F.when(beyond, F.col("shard") + F.col("left")).otherwise(F.col("shard"))
         units, before = units.join(table, "shard", "left").withColumn("shard", moved).drop("left", "axis", "cut"), nodes
