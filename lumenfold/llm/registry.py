@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding, simhash, toxicity
+from . import secrets, sharding, simhash, toxicity, wfst
 
 
 def queries() -> dict:
     return {
+        "op3_sentencepiece": wfst.op3_sentencepiece,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_secrets": secrets.op5_secrets,
         "op6_simhash": simhash.op6_simhash,
