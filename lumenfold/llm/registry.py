@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding, simhash, toxicity, wfst
+from . import lattice, secrets, sharding, simhash, toxicity, wfst
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_secrets": secrets.op5_secrets,
         "op6_simhash": simhash.op6_simhash,
         "op9_kd_sharding": sharding.op9_kd_sharding,
+        "op10_lattice_lm": lattice.op10_lattice_lm,
     }
 
 
