@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lattice, secrets, sharding, simhash, toxicity, wfst
+from . import decontam, lattice, secrets, sharding, simhash, toxicity, wfst
 
 
 def queries() -> dict:
     return {
+        "op2_decontamination": decontam.op2_decontamination,
         "op3_sentencepiece": wfst.op3_sentencepiece,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_secrets": secrets.op5_secrets,
