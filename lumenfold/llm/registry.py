@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, lattice, secrets, sharding, simhash, toxicity, wfst
+from . import decontam, lattice, secrets, sharding, simhash, toxicity, warc, wfst
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
         "op2_decontamination": decontam.op2_decontamination,
         "op3_sentencepiece": wfst.op3_sentencepiece,
         "op4_toxicity": toxicity.op4_toxicity,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_warc": warc.OP1_SQL}
