@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crf, decontam, lattice, secrets, sharding, simhash, toxicity, warc, wfst
+from . import ann, crf, decontam, lattice, secrets, sharding, simhash, toxicity, warc, wfst
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_secrets": secrets.op5_secrets,
         "op6_simhash": simhash.op6_simhash,
+        "op7_learned_ann": ann.op7_learned_ann,
         "op8_language_id": crf.op8_language_id,
         "op9_kd_sharding": sharding.op9_kd_sharding,
         "op10_lattice_lm": lattice.op10_lattice_lm,
