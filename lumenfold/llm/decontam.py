@@ -324,11 +324,50 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
+def _keep_clean_block(docs: DataFrame, windows: Windows) -> DataFrame:
+    columns = docs.columns
+
+    def clean(own: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [(t.as_py() or "").encode("utf-8", "replace") for b in own for t in b.column(columns.index("text"))]
+        bounds, at = [], 0
+        for t in texts:
+            bounds.append((at, at + len(t)))
+            at += len(t) + 1
+        words, found = windows.occurrences(b"\n".join(texts), bounds)
+        hits = [sum(b - a for a, b in _merged([(a, b) for a, b, _ in f])) for f in found]
+        keep = pa.array([not (h and SHARE * h >= len(w)) for h, w in zip(hits, words)], pa.bool_())
+        at = 0
+        for b in own:
+            yield b.filter(keep.slice(at, b.num_rows))
+            at += b.num_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                own.append(b)
+                size += b.column(columns.index("text")).nbytes
+                if size > SHARD_WORDS * 6:
+                    yield from clean(own)
+                    own, size = [], 0
+        if own:
+            yield from clean(own)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; the others stay as they are.
 
-    Rows with a null id and a contaminated text cannot be told apart by id: they are matched by text.
+    With one block of items rows are judged and kept in one pass. With more, the judgements meet the
+    rows by a hash of the text, since ids may be null or repeated.
     """
+    blocks = _blocks(benchmark)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return _keep_clean_block(docs, first)
     keyed = docs.withColumn("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
     bad = find(keyed, benchmark).filter("contaminated").select(F.col("doc_id").alias("text_key")).distinct()
     return docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(bad, "text_key", "left_anti").select(*docs.columns)

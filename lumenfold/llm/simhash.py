@@ -188,11 +188,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that are near-duplicates of a document with a smaller id.
 
-    Of rows with the same id and text one stays; rows with a null id all stay.
+    Of rows with one id and one text one stays; rows with a null id all stay.
     """
     firsts = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    kept = docs.join(firsts, "doc_id", "left_semi").withColumn("text_key", F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
