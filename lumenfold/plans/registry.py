@@ -1,11 +1,288 @@
-"""Named queries of the engine and their SQL equivalents."""
+"""Named queries of the engine and their SQL equivalents.
+
+Results are flat: lists become text joined by |, so that two engines can be compared row by row.
+Queries over résumés read the texts composed in `synth`; `norm_basic`, `email_documents` read the
+table `documents` as it is.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import extract, layout, reconcile, score as rubric, sections, segment
+from ..sources.files import reject_reason
+from . import oracle, pipeline, synth
+
+CATEGORIES = ("technical_skills", "experience", "education", "quality")
+
+
+def composed(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    for t in tables:
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return spark.sql(sql)
+
+
+def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread over the cluster before the heavy work: the table behind it may be one file."""
+    n = spark.sparkContext.defaultParallelism
+    docs = composed(spark, sf_dir, synth.RESUMES, "customer")
+    return docs.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
+
+
+def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.normalise(resumes(spark, sf_dir))
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.parse(resumes(spark, sf_dir))
+
+
+def jobs(spark: SparkSession) -> DataFrame:
+    return spark.sql(synth.JOB_TABLE)
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.score(profiles(spark, sf_dir), jobs(spark))
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = composed(spark, sf_dir, synth.PAGES, "conversations")
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "page"))), lambda p: p["page"])
+    return rows.groupBy("doc_id").agg(pages.alias("pages")).withColumn("raw_text", F.array_join("pages", "\n\n"))
+
+
+def bars(c: Column) -> Column:
+    return F.array_join(c, "|")
+
+
+def numbered(df: DataFrame, column: str | Column, *fields: str) -> DataFrame:
+    """A row for each element of a column, numbered from 1."""
+    rows = df.select("doc_id", F.posexplode(column).alias("i", "e"))
+    return rows.select("doc_id", (F.col("i") + 1).cast("int").alias("seq"), *[F.col(f"e.{f}").alias(f) for f in fields])
+
+
+def _norm(docs: DataFrame, column: str) -> DataFrame:
+    t = T.clean(F.col(column))
+    return docs.select("doc_id", t.alias("clean_text")).select("doc_id", "clean_text", F.size(T.words(F.col("clean_text"))).alias("word_count"), F.length("clean_text").alias("char_count"))
+
+
+def norm_basic(spark, d):
+    return _norm(spark.read.parquet(f"{d}/documents.parquet"), "text")
+
+
+def norm_resumes(spark, d):
+    return _norm(resumes(spark, d), "raw_text")
+
+
+def section_lines(spark, d):
+    heads = F.explode(F.filter(F.transform(F.split(T.clean(F.col("raw_text")), "\n"), lambda l: sections.header(l)), lambda h: h.isNotNull()))
+    rows = resumes(spark, d).select("doc_id", heads.alias("h"))
+    return rows.groupBy("doc_id", F.col("h.section").alias("section")).agg(F.count("*").alias("n_headers"), F.count("h.tail").alias("n_inline"))
+
+
+def section_assemble(spark, d):
+    return normal(spark, d).select("doc_id", F.explode("sections").alias("section", "content"))
+
+
+def contact_query(*fields: str):
+    def run(spark, d):
+        text = resumes(spark, d).select("doc_id", T.clean(F.col("raw_text")).alias("t"))
+        return text.select("doc_id", extract.contact(F.col("t")).alias("c")).select("doc_id", *[f"c.{f}" for f in fields])
+
+    return run
+
+
+def email_documents(spark, d):
+    from ..functions.lexicon import EMAIL
+
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.found(F.col("text"), EMAIL).alias("email"))
+
+
+def _skills(spark, d):
+    return resumes(spark, d).select("doc_id", extract.categorised(T.clean(F.col("raw_text"))).alias("by"))
+
+
+def skills_flat(spark, d):
+    return _skills(spark, d).select("doc_id", bars(extract.all_skills(F.col("by"))).alias("skills"))
+
+
+def skills_by_category(spark, d):
+    return _skills(spark, d).select("doc_id", F.explode("by").alias("category", "s")).select("doc_id", "category", bars(F.col("s")).alias("skills"))
+
+
+def skill_frequency(spark, d):
+    return _skills(spark, d).select(F.explode(extract.all_skills(F.col("by"))).alias("skill")).groupBy("skill").agg(F.count("*").alias("n_docs"))
+
+
+def domain(spark, d):
+    return _skills(spark, d).select("doc_id", extract.domain(extract.all_skills(F.col("by"))).alias("primary_domain"))
+
+
+def exp_rows(spark, d):
+    return numbered(profiles(spark, d), "profile.experience", "role", "company", "start_date", "end_date", "duration")
+
+
+def exp_highlights(spark, d):
+    rows = numbered(profiles(spark, d), "profile.experience", "highlights")
+    return rows.filter(F.size("highlights") > 0).withColumn("highlights", bars(F.col("highlights")))
+
+
+def exp_total(spark, d):
+    return profiles(spark, d).select("doc_id", "profile.total_experience_years")
+
+
+def edu_rows(spark, d):
+    return numbered(profiles(spark, d), "profile.education", "institution", "degree", "graduation_year")
+
+
+def projects_top5(spark, d):
+    return numbered(profiles(spark, d), "profile.projects", "name")
+
+
+def certs_top6(spark, d):
+    return numbered(profiles(spark, d), "profile.certifications", "name")
+
+
+def summary(spark, d):
+    return profiles(spark, d).select("doc_id", "profile.summary")
+
+
+def jd_skills(spark, d):
+    return rubric.with_requirements(jobs(spark)).select("job_id", bars(F.array_sort("asks.skills")).alias("skills"), F.col("asks.years").alias("required_years"))
+
+
+def _with_jobs(spark, d):
+    """Reports on descriptions that are not blank, with whether they ask for skills."""
+    asks = rubric.with_requirements(jobs(spark)).select("job_id", F.size("asks.skills").alias("n_asked"), F.col("asks.blank").alias("blank"))
+    return reports(spark, d).join(F.broadcast(asks), "job_id").filter("not blank")  # one row for each job
+
+
+def skill_match(spark, d):
+    r = _with_jobs(spark, d).filter("n_asked > 0")
+    return r.select("doc_id", "job_id", bars(F.col("report.matched_skills")).alias("matched"), bars(F.col("report.missing_skills")).alias("missing"))
+
+
+def skill_missing(spark, d):
+    return _with_jobs(spark, d).select("job_id", F.explode("report.missing_skills").alias("skill")).groupBy("job_id", "skill").agg(F.count("*").alias("n_docs"))
+
+
+def category_score(category: str):
+    return lambda spark, d: _with_jobs(spark, d).select("doc_id", "job_id", F.col(f"report.categories.{category}.score").alias("score"))
+
+
+def report_field(field: str):
+    return lambda spark, d: reports(spark, d).select("doc_id", "job_id", f"report.{field}")
+
+
+def report_list(field: str):
+    return lambda spark, d: _with_jobs(spark, d).select("doc_id", "job_id", bars(F.col(f"report.{field}")).alias(field))
+
+
+def candidate_job_rank(spark, d):
+    """The ten best candidates of each job (an extension of the one-to-one rubric)."""
+    best = W.partitionBy("job_id").orderBy(F.desc("overall_score"), "doc_id")
+    rows = reports(spark, d).select("job_id", "doc_id", F.col("report.overall_score").alias("overall_score"))
+    return rows.withColumn("rank", F.row_number().over(best)).filter("rank <= 10")
+
+
+def page_classify(spark, d):
+    pages = packets(spark, d).select("doc_id", F.posexplode("pages").alias("i", "page"))
+    return pages.select("doc_id", (F.col("i") + 1).cast("int").alias("page_no"), segment.page_category(F.col("page")).alias("category"))
+
+
+def _split(spark, d):
+    return pipeline.split(packets(spark, d))
+
+
+def packet_merge(spark, d):
+    return numbered(_split(spark, d), "segments", "category", "start_page", "end_page", "confidence").withColumnRenamed("seq", "seg_no")
+
+
+def packet_primary(spark, d):
+    return _split(spark, d).select("doc_id", "is_packet", "primary_category", F.md5("primary_text").alias("primary_md5"))
+
+
+def segment_preview(spark, d):
+    return pipeline.segment_rows(_split(spark, d)).select("doc_id", F.col("seg_no").cast("int").alias("seg_no"), "category", "preview")
+
+
+def block_layout(spark, d):
+    return layout.page_text(composed(spark, d, synth.BLOCKS, "lineitem", "orders"))
+
+
+def scanned_flag(spark, d):
+    cut = F.when(F.col("doc_id") % 3 == 0, F.transform("pages", lambda p: F.substring(p, 1, 20))).otherwise(F.col("pages"))
+    return packets(spark, d).select("doc_id", segment.is_scanned(F.transform(cut, lambda p: F.substring(p, 1, 60))).alias("is_scanned"))
+
+
+def ext_gate(spark, d):
+    return composed(spark, d, synth.FILES, "part").select("doc_id", "filename", reject_reason(F.col("filename"), F.col("size")).alias("reject_reason"))
+
+
+def _external(spark, d):
+    """The composed external profiles in the full shape of a profile."""
+    flat = composed(spark, d, synth.EXTERNAL, "customer")
+    text = F.lit(None).cast("string")
+    none = lambda kind: F.array().cast(kind)
+    contact = F.struct("name", "email", "phone", *[text.alias(f) for f in ("location", "linkedin", "github", "portfolio")])
+    shape = profiles(spark, d).schema["profile"].dataType
+    kinds = {f: shape[f].dataType.simpleString() for f in ("experience", "education", "projects", "certifications")}
+    return flat.select("doc_id", F.struct(
+        contact.alias("contact"), text.alias("summary"), F.col("years").alias("total_experience_years"), text.alias("primary_domain"), F.split("skills", r"\|").alias("skills"),
+        F.create_map().cast("map<string,array<string>>").alias("categorized_skills"), *[none(k).alias(f) for f, k in kinds.items()], text.alias("raw_text_preview"), F.lit("llm").alias("extraction_mode"),
+    ).alias("profile"))
+
+
+def _hybrid(spark, d):
+    return reconcile.reconcile(profiles(spark, d), _external(spark, d))
+
+
+def reconcile_scalar(spark, d):
+    return _hybrid(spark, d).select("doc_id", "profile.contact.name", "profile.contact.email", "profile.contact.phone", "profile.total_experience_years", "profile.extraction_mode")
+
+
+def reconcile_skills(spark, d):
+    return _hybrid(spark, d).select("doc_id", bars(F.col("profile.skills")).alias("skills"))
+
+
+def profile_json(spark, d):
+    """Whole profiles as JSON (no SQL equivalent: nested shape)."""
+    return profiles(spark, d).select("doc_id", F.to_json("profile").alias("profile"))
+
+
+def capabilities(spark, d):
+    return pipeline.capabilities(spark)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.col("report")
+    out = reports(spark, sf_dir).select(
+        "doc_id", "job_id", "title", r["overall_score"].alias("overall_score"), r["match_level"].alias("match_level"),
+        *[r["categories"][c]["score"].alias(f"{c}_score") for c in CATEGORIES], r["recommendation"].alias("recommendation"),
+    )
+    return out
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {
+        f.__name__: f
+        for f in (
+            norm_basic, norm_resumes, section_lines, section_assemble, email_documents, skills_flat, skills_by_category, skill_frequency, domain, exp_rows, exp_highlights,
+            exp_total, edu_rows, projects_top5, certs_top6, summary, jd_skills, skill_match, skill_missing, candidate_job_rank, page_classify, packet_merge, packet_primary,
+            segment_preview, block_layout, scanned_flag, ext_gate, reconcile_scalar, reconcile_skills, profile_json, capabilities,
+        )
+    }
+    found |= {f: contact_query(f) for f in ("name", "email", "phone", "location")} | {"links": contact_query("linkedin", "github")}
+    found |= {"skill_score": category_score("technical_skills"), "exp_score": category_score("experience"), "edu_score": category_score("education"), "quality_score": category_score("quality")}
+    found |= {"overall": report_field("overall_score"), "match_level": report_field("match_level"), "recommendation": report_field("recommendation")}
+    found |= {"strengths": report_list("strengths"), "gaps": report_list("gaps"), "analyze": flagship}
+    return found
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(oracle.SQL)
