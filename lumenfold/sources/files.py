@@ -149,7 +149,7 @@ def read_bytes(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of all files under path, one row each, with doc_id from the path."""
+    """Documents of all files under path, one row each, with doc_id from the path. Spark lists no empty files."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     taken = listed.filter(F.col("length") <= MAX_BYTES)
     return read_bytes(taken.select(F.xxhash64("path").alias("doc_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "content"))
