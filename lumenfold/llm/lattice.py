@@ -19,7 +19,6 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,19 +35,14 @@ from .pieces import NORMAL, SPACE, UNIGRAM, USER_DEFINED, Vocabulary
 HEAVY_WORDS = 100_000
 LONG = 64
 PRIOR = 1_000.0
-END = "\n"
+END = b"\n"
 CELLS = 1_000_000
 
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
-
-
-def words_of(text: str | None) -> list[str]:
-    """The words of a text with A-Z in lower case."""
-    if not text:
+def words_of(data: bytes | str | None) -> list[bytes]:
+    """The words of a text as UTF-8, with A-Z in lower case; bytes.split() parts at exactly the blanks meant."""
+    if not data:
         return []
-    low = text.lower() if text.isascii() else text.translate(_LOWER)
-    return _WORDS.findall(low)
+    return (data.encode("utf-8", "replace") if isinstance(data, str) else data).lower().split()
 
 
 class Lattice:
@@ -183,7 +177,7 @@ def word_table(docs: DataFrame, learns) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["word", "c", "n"])
 
         for b in batches:
-            for text, mine in zip(b.column(0), b.column(1).to_pylist()):
+            for text, mine in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist()):
                 own = counts[bool(mine)]
                 own.update(words_of(text.as_py()))
                 own[END] += 1
@@ -205,7 +199,7 @@ def fitted(table: DataFrame, lattice: Lattice, ends: int) -> Lattice:
         some = np.flatnonzero(expected)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(expected[some])], ["piece", "expected"])
 
-    rows = table.filter((F.col("c") > 0) & (F.col("word") != END)).select("word", "c").mapInArrow(run, "piece long, expected double")
+    rows = table.filter((F.col("c") > 0) & (F.col("word") != END.decode())).select("word", "c").mapInArrow(run, "piece long, expected double")
     expected = np.zeros(size)
     for r in rows.groupBy("piece").agg(F.sum("expected").alias("e")).collect():  # one row for each piece of the vocabulary at most
         expected[r["piece"]] = r["e"]
@@ -218,7 +212,7 @@ def score(docs: DataFrame, modulus: int = 10, model: str | None = None) -> DataF
     spark = docs.sparkSession
     counts = common.stored(word_table(docs, ~common.held_out(modulus, 0)), "lm-counts")
     end, tokens, kinds = counts.agg(
-        F.sum(F.when(F.col("word") == END, F.col("c"))), F.sum("c"), F.sum((F.col("c") > 0).cast("long"))
+        F.sum(F.when(F.col("word") == END.decode(), F.col("c"))), F.sum("c"), F.sum((F.col("c") > 0).cast("long"))
     ).first()
     end, tokens, kinds = end or 0, tokens or 0, kinds or 0
     lattice = fitted(counts, Lattice(Vocabulary.load(model)), end)
@@ -230,7 +224,7 @@ def score(docs: DataFrame, modulus: int = 10, model: str | None = None) -> DataF
             found = lattice.run(b.column(0).to_pylist()) / ln10
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(base_of(b.column(1).to_numpy())), pa.array(found)], ["word", "c", "n", "base", "lm"])
 
-    table = common.stored(counts.filter(F.col("word") != END).mapInArrow(weigh, "word string, c long, n long, base double, lm double"), "lm-words")
+    table = common.stored(counts.filter(F.col("word") != END.decode()).mapInArrow(weigh, "word string, c long, n long, base double, lm double"), "lm-words")
     step = F.floor(F.log2("n") * 8)
     sizes = sorted(table.filter(F.length("word") <= LONG).groupBy(step.alias("step")).count().collect(), reverse=True)
     least, held = None, 0
@@ -241,29 +235,28 @@ def score(docs: DataFrame, modulus: int = 10, model: str | None = None) -> DataF
         least = s
     frequent = table.filter((F.length("word") <= LONG) & (step >= (least if least is not None else 1 << 40)))
     # at most HEAVY_WORDS words of LONG characters
-    heavy = spark.sparkContext.broadcast({r["word"]: (r["base"], r["lm"], int(r["c"] > 0)) for r in frequent.select("word", "base", "lm", "c").toLocalIterator()})
+    sent = frequent.select("word", "base", "lm", (F.col("c") > 0).alias("known")).toLocalIterator()
+    rows = [(r["word"].encode(), r["base"], r["lm"], r["known"]) for r in sent]
+    numbers = {w: i for i, (w, *_) in enumerate(rows)}
+    values = np.array([(x, y, z) for _, x, y, z in rows] + [(0.0, 0.0, 0.0)])  # the last row is for words that were not sent
+    heavy = spark.sparkContext.broadcast((numbers, values))
     end_base, end_lm, end_known = float(base_of(end)), lattice.end / ln10, int(end > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, task, row = heavy.value, TaskContext.get().partitionId() << 40, 0
+        (number, values), task, row = heavy.value, TaskContext.get().partitionId() << 40, 0
         names = ["row", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm"]
+        get = number.get
         for b in batches:
             heads, tails = [], ([], [], [])
-            for doc, text, out in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            for doc, text, out in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
                 words = words_of(text.as_py())
-                base, lm, seen = end_base, end_lm, end_known
-                rare: dict[str, int] = {}
-                for w in words:
-                    f = known.get(w)
-                    if f is None:
-                        rare[w] = rare.get(w, 0) + 1
-                    else:
-                        base += f[0]
-                        lm += f[1]
-                        seen += f[2]
+                at = np.array([get(w, -1) for w in words], np.int64)
+                base, lm, seen = values[at].sum(axis=0).tolist()
+                rare = Counter([words[i] for i in np.flatnonzero(at < 0).tolist()])
+                base, lm, seen = base + end_base, lm + end_lm, int(seen) + end_known
                 key = task + row
                 row += 1
-                heads.append((key, END + str(key), 1, doc, out, len(words) + 1, seen, base, lm))
+                heads.append((key, b"\n%d" % key, 1, doc, out, len(words) + 1, seen, base, lm))
                 tails[0].extend([key] * len(rare))
                 tails[1].extend(rare.keys())
                 tails[2].extend(rare.values())
