@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -171,15 +173,48 @@ def _entries(word: str) -> Iterator[str]:
         yield word[:n] + "*"
 
 
-def learn_lexicon(texts: list[str], labels: list[int]) -> dict[str, float]:
-    """Words and beginnings of words that mark label 1, with weights (smoothed log odds, at most 6)."""
+def copies(texts: list[str], width: int = 5, keys: int = 3) -> list[int]:
+    """A group number for each text; near copies share it.
+
+    Texts with one of a few minimum hashes of their runs of `width` words in common are one group:
+    else the chance words of one much copied text would look like marks of its label.
+    """
+    parent = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    seen: dict[tuple[int, int], int] = {}
+    for i, text in enumerate(texts):
+        words = text.lower().split()
+        runs = {" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+        hashes = np.array([zlib.crc32(r.encode("utf-8", "replace")) for r in runs], np.uint64)
+        for k in range(keys):
+            key = k, int(((hashes * np.uint64(2 * k * 0x9E3779B1 + 0x85EBCA6B) + np.uint64(k)) & np.uint64(0xFFFFFFFF)).min())
+            a, b = root(i), root(seen.setdefault(key, i))
+            parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def learn_lexicon(texts: list[str], labels: list[int], groups: list[int] | None = None) -> dict[str, float]:
+    """Words and beginnings of words that mark label 1, with weights (smoothed log odds, at most 6).
+
+    Groups of near copies (by default found by copies()) count once for each label.
+    """
     pos, neg = Counter(), Counter()
-    for text, y in zip(texts, labels):
+    keys = list(zip(groups or copies(texts), labels))
+    order = sorted(range(len(texts)), key=lambda i: keys[i])
+    for key, own in groupby(order, key=lambda i: keys[i]):
         found: set[str] = set()
-        for w in set(_TOKEN.findall(text.lower())):
-            if len(w) >= 3:
-                found.update(_entries(w))
-        (pos if y else neg).update(found)
+        for i in own:
+            for w in set(_TOKEN.findall(texts[i].lower())):
+                if len(w) >= 3:
+                    found.update(_entries(w))
+        (pos if key[1] else neg).update(found)
+    labels = [y for _, y in set(keys)]
     n1 = sum(labels)
     n0 = len(labels) - n1
     if not n1 or not n0:
@@ -192,10 +227,11 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> dict[str, float]:
         return a * math.log(q / base) + b * math.log(max(1 - q, 1e-9) / (1 - base))
 
     least = max(2, n1 // 400)
+    enough = 3 + math.log(len(pos) + 1)  # so that of all entries seen few pass by chance
     scored = []
     for f, a in pos.items():
         b = neg.get(f, 0)
-        if a >= least and a / (a + b) >= 0.85 and (e := evidence(a, b)) > 10:
+        if a >= least and a / (a + b) >= 0.85 and (e := evidence(a, b)) > enough:
             scored.append((e, len(f), f, a, b))
     scored.sort(key=lambda x: (-x[0], -x[1], x[2]))
     kept: dict[str, tuple[float, int]] = {}
@@ -218,11 +254,12 @@ def fit(texts: list[str | None], labels: list[int]) -> Grammar:
     texts = [t or "" for t in texts]
     if len(set(labels)) < 2:
         return Grammar()
+    groups = copies(texts)
     halves = [[i for i in range(len(texts)) if i % 2 == k] for k in (0, 1)]
     x, y = [], []
     for k in (0, 1):
         learn, use = halves[k], halves[1 - k]
-        g = Grammar(learn_lexicon([texts[i] for i in learn], [labels[i] for i in learn]))
+        g = Grammar(learn_lexicon(*([own[i] for i in learn] for own in (texts, labels, groups))))
         x += [g.features(texts[i]) for i in use]
         y += [labels[i] for i in use]
     x1, yv = np.column_stack([np.ones(len(x)), np.array(x)]), np.array(y, float)
@@ -231,7 +268,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Grammar:
         p = 1 / (1 + np.exp(-np.clip(x1 @ coef, -30, 30)))
         h = (x1 * (p * (1 - p))[:, None]).T @ x1 + 0.5 * np.eye(4)
         coef = coef - np.linalg.solve(h, x1.T @ (p - yv) + 0.5 * coef * [0, 1, 1, 1])
-    full = Grammar(learn_lexicon(texts, labels))
+    full = Grammar(learn_lexicon(texts, labels, groups))
     full.coef = coef
     return full
 
