@@ -28,7 +28,6 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,7 +271,7 @@ FOUND = "row long, doc_id long, n_words long, spans array<struct<start:long,end:
 def _find_block(docs: DataFrame, windows: Windows) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def shard(ids: list, texts: list[bytes], row: int) -> pa.RecordBatch:
+    def shard(rows: list[int], ids: list, texts: list[bytes]) -> pa.RecordBatch:
         bounds, at = [], 0
         for t in texts:
             bounds.append((at, at + len(t)))
@@ -283,25 +282,27 @@ def _find_block(docs: DataFrame, windows: Windows) -> DataFrame:
         bytes_of = [[(int(w[a][0]) - z[0], int(w[b - 1][1]) - z[0]) for a, b in s] for w, s, z in zip(words, spans, bounds)]
         as_structs = lambda rows: pa.array([[{"start": a, "end": b} for a, b in r] for r in rows], span)
         return pa.RecordBatch.from_arrays(
-            [pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int64()), as_structs(spans), pa.array(items, pa.list_(pa.int64())), as_structs(bytes_of)],
+            [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int64()), as_structs(spans), pa.array(items, pa.list_(pa.int64())), as_structs(bytes_of)],
             ["row", "doc_id", "n_words", "spans", "items", "cut"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, ids, texts, size = TaskContext.get().partitionId() << 40, [], [], 0
+        rows, ids, texts, size = [], [], [], 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for row, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 text = (t.as_py() or "").encode("utf-8", "replace")
                 if ids and size + len(text) > SHARD_WORDS * 6:
-                    yield shard(ids, texts, row)
-                    row, ids, texts, size = row + len(ids), [], [], 0
+                    yield shard(rows, ids, texts)
+                    rows, ids, texts, size = [], [], [], 0
+                rows.append(row)
                 ids.append(i)
                 texts.append(text)
                 size += len(text)
         if ids:
-            yield shard(ids, texts, row)
+            yield shard(rows, ids, texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+    # rows are numbered by their place in the files: alike in each pass, and apart even if ids repeat
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, FOUND)
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -309,7 +310,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = [_find_block(docs, w) for w in _blocks(benchmark)]
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     found = parts[0]
-    if len(parts) > 1:  # rows are numbered alike in each pass over the same files
+    if len(parts) > 1:
         for p in parts[1:]:
             found = found.unionByName(p)
         whole = lambda c: F.array_sort(F.flatten(F.collect_list(c)))  # noqa: E731  one entry for each block of items
