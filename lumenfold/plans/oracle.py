@@ -263,5 +263,14 @@ SELECT doc_id, page, string_agg({strip('text')}, {LF} || {LF} ORDER BY part, CAS
   SELECT doc_id, unnest(string_split(skills, '|')) AS s, generate_subscripts(string_split(skills, '|'), 1) AS i FROM ({synth.EXTERNAL})
   UNION ALL SELECT doc_id, unnest(skills) AS s, 1000 + generate_subscripts(skills, 1) AS i FROM own) u ON u.doc_id = n.doc_id AND trim(u.s) <> '' GROUP BY n.doc_id, lower(u.s)) GROUP BY doc_id"""),
 }
+_cat = "CASE cat_no " + " ".join(f"WHEN {i} THEN {q(c)}" for i, c in enumerate(X.SKILLS)) + " END"
+SQL["reconcile_categories"] = with_ctes("sk", select=f"""SELECT coalesce(o.doc_id, e.doc_id) AS doc_id, coalesce(o.category, 'Languages') AS category,
+  array_to_string(CASE WHEN e.s IS NULL THEN o.s WHEN o.s IS NULL THEN e.s ELSE e.s || list_filter(o.s, lambda x: NOT list_contains(list_transform(e.s, lambda y: lower(y)), lower(x))) END, '|') AS skills
+  FROM (SELECT doc_id, {_cat} AS category, list_sort(list(display)) AS s FROM sk GROUP BY doc_id, cat_no) o
+  FULL JOIN (SELECT doc_id, string_split(skills, '|') AS s FROM ({synth.EXTERNAL}) WHERE skills <> '') e ON e.doc_id = o.doc_id AND o.category = 'Languages'""")
+SQL["prompt_budget"] = with_ctes("norm", select="SELECT doc_id, least(length(clean), 14000)::INT AS n_chars FROM norm")
+SQL["page_preview"] = with_ctes("labelled", select=f"SELECT doc_id, CAST(p AS INT) AS page_no, {strip('left(page, 800)')} AS preview FROM labelled")
+SQL["score_band"] = with_ctes("totals", select="""SELECT doc_id, job_id, upper(left(array_to_string(list_transform(list_filter(string_split_regex(coalesce(name, 'Candidate Profile'), '\\s+'), lambda w: w <> ''), lambda w: left(w, 1)), ''), 2)) AS initials,
+  CASE WHEN floor(overall + 0.5) >= 75 THEN 'high' WHEN floor(overall + 0.5) >= 50 THEN 'mid' ELSE 'low' END AS band FROM totals""")
 # CTEs that follow another select's need the comma first
 SQL["summary"] = SQL["summary"].replace("\n,\n", ",\n", 1)

@@ -234,7 +234,7 @@ def _external(spark, d):
     kinds = {f: shape[f].dataType.simpleString() for f in ("experience", "education", "projects", "certifications")}
     return flat.select("doc_id", F.struct(
         contact.alias("contact"), text.alias("summary"), F.col("years").alias("total_experience_years"), text.alias("primary_domain"), F.split("skills", r"\|").alias("skills"),
-        F.create_map().cast("map<string,array<string>>").alias("categorized_skills"), *[none(k).alias(f) for f, k in kinds.items()], text.alias("raw_text_preview"), F.lit("llm").alias("extraction_mode"),
+        F.when(F.col("skills") != "", F.create_map(F.lit("Languages"), F.split("skills", r"\|"))).alias("categorized_skills"), *[none(k).alias(f) for f, k in kinds.items()], text.alias("raw_text_preview"), F.lit("llm").alias("extraction_mode"),
     ).alias("profile"))
 
 
@@ -250,6 +250,30 @@ def reconcile_skills(spark, d):
     return _hybrid(spark, d).select("doc_id", bars(F.col("profile.skills")).alias("skills"))
 
 
+def reconcile_categories(spark, d):
+    rows = _hybrid(spark, d).select("doc_id", F.explode("profile.categorized_skills").alias("category", "s"))
+    return rows.select("doc_id", "category", bars(F.col("s")).alias("skills"))
+
+
+def prompt_budget(spark, d):
+    """How much of each text an external model may read."""
+    return reconcile.inference_input(normal(spark, d)).select("doc_id", F.length("prompt_text").alias("n_chars"))
+
+
+def page_preview(spark, d):
+    rows = packets(spark, d).select("doc_id", F.posexplode(segment.previews(F.col("pages"))).alias("i", "preview"))
+    return rows.select("doc_id", (F.col("i") + 1).cast("int").alias("page_no"), "preview")
+
+
+def score_band(spark, d):
+    """Initials and band of the rounded score of each report, as a result page shows them."""
+    score, name = F.col("report.overall_score"), F.coalesce(F.col("profile.contact.name"), F.lit("Candidate Profile"))
+    whole = F.floor(score + 0.5)
+    band = F.when(whole >= 75, "high").when(whole >= 50, "mid").otherwise("low")
+    initials = F.substring(F.upper(F.array_join(F.transform(T.words(name), lambda w: F.substring(w, 1, 1)), "")), 1, 2)
+    return reports(spark, d).select("doc_id", "job_id", initials.alias("initials"), band.alias("band"))
+
+
 def profile_json(spark, d):
     """Whole profiles as JSON (no SQL equivalent: nested shape)."""
     return profiles(spark, d).select("doc_id", F.to_json("profile").alias("profile"))
@@ -274,7 +298,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             norm_basic, norm_resumes, section_lines, section_assemble, email_documents, skills_flat, skills_by_category, skill_frequency, domain, exp_rows, exp_highlights,
             exp_total, edu_rows, projects_top5, certs_top6, summary, jd_skills, skill_match, skill_missing, candidate_job_rank, page_classify, packet_merge, packet_primary,
-            segment_preview, block_layout, scanned_flag, ext_gate, reconcile_scalar, reconcile_skills, profile_json, capabilities,
+            segment_preview, block_layout, scanned_flag, ext_gate, reconcile_scalar, reconcile_skills, reconcile_categories, prompt_budget, page_preview, score_band, profile_json, capabilities,
         )
     }
     found |= {f: contact_query(f) for f in ("name", "email", "phone", "location")} | {"links": contact_query("linkedin", "github")}
