@@ -3,8 +3,8 @@
 Texts become points in a space of metadata (source, language, length). A node of the tree that is
 to hold k shards is cut along its widest dimension where the bytes stand k//2 to k - k//2, until
 each leaf is one shard; so leaves reach the target bytes. The weighted median of every node of a
-level comes from two histograms (the high and low 16 bits of a 32-bit position), so a level costs
-three small aggregations however large the table is.
+level comes from three histograms (14 bits each of a 40-bit position), so a level costs four small
+aggregations however large the table is.
 
 Defined cases: a null text has size 16 and the CRC of the empty text; null source and language are
 values of their own; equal texts share one point and stay in one shard, except where their group
@@ -25,6 +25,7 @@ ROW_BYTES = 16
 #: A group of equal texts with over 1/PIECES of the bytes or rows is dealt in pieces.
 PIECES = 10_240
 SLOT_RUN = 20_000
+DIGIT = 14
 
 
 def _along(axis: str) -> Column:
@@ -35,9 +36,9 @@ def _along(axis: str) -> Column:
 
 
 def _position(dimension: Column) -> Column:
-    """32 bits: the dimension's 12, then 14 of the text's hash and 6 of the piece's."""
-    tie = F.pmod(F.col("thash"), F.lit(1 << 14)) * 64 + F.pmod(F.hash("thash", "piece"), F.lit(64))
-    return dimension.cast("long") * (1 << 20) + tie
+    """40 bits: the dimension's 12, then 14 of the text's hash and 14 of the piece, of which there are fewer."""
+    tie = F.pmod(F.col("thash"), F.lit(1 << DIGIT)) * (1 << DIGIT) + F.col("piece")
+    return dimension.cast("long") * (1 << 2 * DIGIT) + tie
 
 
 def _cuts(units: DataFrame, nodes: dict[int, int]) -> list[tuple[int, int, str, int]]:
@@ -61,17 +62,20 @@ def _cuts(units: DataFrame, nodes: dict[int, int]) -> list[tuple[int, int, str,
         rows = upto.groupBy("shard").agg(F.min(F.struct("bin", "upto", "bytes")).alias("at")).collect()
         return {r["shard"]: (r["at"]["bin"], r["at"]["upto"], r["at"]["bytes"]) for r in rows}
 
-    placed = placed.withColumn("high", F.shiftright("pos", 16))
-    first = crossing(placed.groupBy("shard", F.col("high").alias("bin")).agg(F.sum("bytes").alias("bytes")), target)
-    chosen = F.broadcast(common.inline(spark, [(n, at[0]) for n, at in first.items()], "shard, high"))
-    left_over = {n: target[n] - (upto - own) for n, (_, upto, own) in first.items()}
-    low = F.pmod("pos", F.lit(1 << 16)).alias("bin")
-    second = crossing(placed.join(chosen, ["shard", "high"]).groupBy("shard", low).agg(F.sum("bytes").alias("bytes")), left_over)
-    out = []
-    for n, (at, upto, own) in second.items():
-        near = upto - left_over[n] <= left_over[n] - (upto - own)  # the bin goes where the error is smaller
-        out.append((n, nodes[n] // 2, widest[n], (first[n][0] << 16) + at - (0 if near else 1)))
-    return out
+    # digit by digit from the left, as in a radix search; `at` holds the digits found so far
+    at, own = {n: 0 for n in target}, {}
+    for shift in (2 * DIGIT, DIGIT, 0):
+        inside = placed
+        if shift < 2 * DIGIT:
+            chosen = F.broadcast(common.inline(spark, list(at.items()), "shard, prefix"))
+            inside = placed.join(chosen, "shard").filter(F.shiftright("pos", shift + DIGIT) == F.col("prefix"))
+        digit = F.pmod(F.shiftright("pos", shift), F.lit(1 << DIGIT)).alias("bin")
+        found = crossing(inside.groupBy("shard", digit).agg(F.sum("bytes").alias("bytes")), target)
+        at = {n: (at[n] << DIGIT) + bin_ for n, (bin_, _, _) in found.items()}
+        own = {n: (upto - target[n], b - (upto - target[n])) for n, (_, upto, b) in found.items()}
+        target = {n: target[n] - (upto - b) for n, (_, upto, b) in found.items()}
+    # the last bin goes where the error is smaller: over the goal with it, or under the goal without
+    return [(n, nodes[n] // 2, widest[n], at[n] - (0 if over <= under else 1)) for n, (over, under) in own.items()]
 
 
 def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -111,7 +115,8 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
         table = F.broadcast(common.inline(units.sparkSession, cuts, "shard, left, axis, cut"))
         beyond = F.coalesce(_position(_along("axis")) > F.col("cut"), F.lit(False))
         moved = F.when(beyond, F.col("shard") + F.col("left")).otherwise(F.col("shard"))
-        units, before = units.join(table, "shard", "left").withColumn("shard", moved).drop("left", "axis", "cut"), nodes
+        # stored level by level: plans stay small, and a lost executor costs one level
+        units, before = common.stored(units.join(table, "shard", "left").withColumn("shard", moved).drop("left", "axis", "cut"), "kd-level"), nodes
         nodes = {}
         for n, left, _, _ in cuts:
             nodes |= {n: left, n + left: before[n] - left}
