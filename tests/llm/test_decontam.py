@@ -51,9 +51,23 @@ def test_word_classes():
     assert same[0] == same[1] == same[2] != same[3] and same[4] == same[5] != same[6]
 
 
-@pytest.mark.parametrize("shard", [400_000, 40])
-def test_contract(spark, tmp_path, monkeypatch, shard):
-    monkeypatch.setattr(decontam, "SHARD_WORDS", shard)  # the tasks get it with the closure on the large path only
+def test_documents_longer_than_a_shard(monkeypatch):
+    r = random.Random(7)
+    items = [(1, " ".join(r.choice("abc") for _ in range(30))), (2, "a b"), (3, "c")]
+    texts = [" ".join(r.choice("abc") for _ in range(n)) + " " + items[0][1] for n in (0, 5, 39, 200)] + ["", "zz"]
+    data, bounds = "\n".join(texts).encode(), []
+    at = 0
+    for t in texts:
+        bounds.append((at, at + len(t)))
+        at += len(t) + 1
+    whole = decontam.Windows(items).occurrences(data, bounds)[1]
+    monkeypatch.setattr(decontam, "SHARD_WORDS", 40)
+    assert [set(x) for x in decontam.Windows(items).occurrences(data, bounds)[1]] == [set(x) for x in whole]
+    for (_, n, hit, *_), found in zip(brute(list(enumerate(texts)), items), whole):
+        assert len({k for a, b, _ in found for k in range(a, b)}) == hit
+
+
+def test_contract(spark, tmp_path):
     r = random.Random(3)
     word = lambda: r.choice(["a", "b", "c", "Déjà", "x9"])
     passage = " ".join(word() for _ in range(40))
@@ -61,10 +75,9 @@ def test_contract(spark, tmp_path, monkeypatch, shard):
     rows = [(100 + i, " ".join(word() for _ in range(r.randint(0, 200)))) for i in range(40)]
     rows += [(200, "x " * 500 + passage.upper() + " y" * 900), (201, passage), (202, "Only, four; SHORT words!"), (203, "a " * 3_000), (204, passage[: len(passage) // 2])]
     docs = awkward(spark, *rows)
-    found = {}
     sf = write(tmp_path, documents=docs, benchmark=spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS))
     ours = sorted((tuple(x) for x in decontam.op2_decontamination(spark, sf).collect()), key=str)
-    assert ours == sorted(brute([(x.doc_id, x.text) for x in docs.collect()], items), key=str), found
+    assert ours == sorted(brute([(x.doc_id, x.text) for x in docs.collect()], items), key=str)
 
 
 def test_blocks_of_items_give_the_same(spark, tmp_path, monkeypatch):
