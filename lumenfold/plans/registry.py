@@ -61,8 +61,11 @@ def bars(c: Column) -> Column:
 
 
 def numbered(df: DataFrame, column: str | Column, *fields: str) -> DataFrame:
-    """A row for each element of a column, numbered from 1."""
-    rows = df.select("doc_id", F.posexplode(column).alias("i", "e"))
+    """A row for each element of a column, numbered from 1.
+
+    The outer form: before a plain explode Spark would test the array's size, and so compute it twice.
+    """
+    rows = df.select("doc_id", F.posexplode_outer(column).alias("i", "e")).filter("i is not null")
     return rows.select("doc_id", (F.col("i") + 1).cast("int").alias("seq"), *[F.col(f"e.{f}").alias(f) for f in fields])
 
 
@@ -80,13 +83,13 @@ def norm_resumes(spark, d):
 
 
 def section_lines(spark, d):
-    heads = F.explode(F.filter(F.transform(F.split(T.clean(F.col("raw_text")), "\n"), lambda l: sections.header(l)), lambda h: h.isNotNull()))
-    rows = resumes(spark, d).select("doc_id", heads.alias("h"))
+    heads = F.explode_outer(F.filter(F.transform(F.split(T.clean(F.col("raw_text")), "\n"), lambda l: sections.header(l)), lambda h: h.isNotNull()))
+    rows = resumes(spark, d).select("doc_id", heads.alias("h")).filter("h is not null")
     return rows.groupBy("doc_id", F.col("h.section").alias("section")).agg(F.count("*").alias("n_headers"), F.count("h.tail").alias("n_inline"))
 
 
 def section_assemble(spark, d):
-    return normal(spark, d).select("doc_id", F.explode("sections").alias("section", "content"))
+    return normal(spark, d).select("doc_id", F.explode_outer("sections").alias("section", "content")).filter("section is not null")
 
 
 def contact_query(*fields: str):
@@ -112,11 +115,12 @@ def skills_flat(spark, d):
 
 
 def skills_by_category(spark, d):
-    return _skills(spark, d).select("doc_id", F.explode("by").alias("category", "s")).select("doc_id", "category", bars(F.col("s")).alias("skills"))
+    rows = _skills(spark, d).select("doc_id", F.explode_outer("by").alias("category", "s")).filter("category is not null")
+    return rows.select("doc_id", "category", bars(F.col("s")).alias("skills"))
 
 
 def skill_frequency(spark, d):
-    return _skills(spark, d).select(F.explode(extract.all_skills(F.col("by"))).alias("skill")).groupBy("skill").agg(F.count("*").alias("n_docs"))
+    return _skills(spark, d).select(F.explode_outer(extract.all_skills(F.col("by"))).alias("skill")).filter("skill is not null").groupBy("skill").agg(F.count("*").alias("n_docs"))
 
 
 def domain(spark, d):
