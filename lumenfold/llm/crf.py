@@ -19,7 +19,6 @@ alike; an empty table gives an empty result; language, source and id are never i
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +41,45 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word: itself, its beginnings and ends, and its n-grams."""
-    w = f"<{word}>"
-    names = ["w" + word, "p" + w[:2], "p" + w[:3], "p" + w[:4], "s" + w[-2:], "s" + w[-3:], "s" + w[-4:]]
-    names += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
-    return [zlib.crc32(n.encode("utf-8", "replace")) % BUCKETS for n in names]
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
+
+
+def _bucket(x: np.ndarray, kind: int) -> np.ndarray:
+    """A bucket for each number, apart for each kind of feature."""
+    x = (x + np.uint64(kind)) * _MIX
+    x ^= x >> np.uint64(29)
+    return ((x * _STEPS[0]) >> np.uint64(64 - 16)).astype(np.int64) % BUCKETS
+
+
+def features(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Hashed features of words: one row for each word (itself, beginnings, ends), and its n-grams as
+    (buckets, where each word's begin). Words stand between marks, so each has n-grams of 2 and 3.
+    """
+    points = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    place = np.arange(len(points)) - np.repeat(starts, lengths)
+    powers = np.cumprod(np.full(int(lengths.max(initial=1)), _STEPS[1], np.uint64))
+    whole = np.add.reduceat(points * powers[place], starts)
+    rows = [_bucket(whole, 1)]
+    for n in (2, 3, 4):
+        first = last = np.zeros(len(words), np.uint64)
+        for i in range(n):  # a shorter word gives what it has
+            inside = lengths > i
+            first = first * _STEPS[2] + np.where(inside, points[np.minimum(starts + i, ends - 1)], 0).astype(np.uint64)
+            last = last * _STEPS[3] + np.where(inside, points[np.maximum(ends - 1 - i, starts)], 0).astype(np.uint64)
+        rows += [_bucket(first, 10 + n), _bucket(last, 20 + n)]
+    grams = []
+    for n in (2, 3):
+        x = points[: len(points) - n + 1]
+        for i in range(1, n):
+            x = x * _STEPS[2] + points[i : len(points) - n + 1 + i]
+        own = place[: len(points) - n + 1] + n <= np.repeat(lengths, lengths)[: len(points) - n + 1]
+        counts = lengths - n + 1
+        grams.append((_bucket(x[own], 30 + n), np.cumsum(counts) - counts))
+    return np.stack(rows, axis=1), grams
 
 
 class Field:
@@ -92,9 +124,12 @@ class Field:
         for words, _ in chains:
             for w in words:
                 index.setdefault(w, len(index))
-        lists = [features(w) for w in index]
-        lengths = np.array([len(x) for x in lists])
-        flat, begin = np.concatenate([np.array(x) for x in lists]), np.concatenate([[0], np.cumsum(lengths)])
+        rows, grams = features(list(index))
+        owner_of = np.concatenate([np.repeat(np.arange(len(index)), rows.shape[1]), *[np.repeat(np.arange(len(index)), np.diff([*at, len(h)])) for h, at in grams]])
+        order = np.argsort(owner_of, kind="stable")
+        flat = np.concatenate([rows.ravel(), *[h for h, _ in grams]])[order]
+        lengths = np.bincount(owner_of, minlength=len(index))
+        begin = np.concatenate([[0], np.cumsum(lengths)])
         k = len(self.labels)
         g_w, g_s, g_0 = np.full((BUCKETS, k), 1e-6), np.full((k, k), 1e-6), np.full(k, 1e-6)
         random, onehot = np.random.default_rng(0), np.eye(k)
@@ -139,14 +174,15 @@ class Field:
         known = self.known
         fresh = [w for w in dict.fromkeys(words) if w not in known]
         if fresh:
-            at, size = len(known), 0
+            at = len(known)
             for i, w in enumerate(fresh):
                 known[w] = at + i
-            for a in range(0, len(fresh), 5_000):
-                lists = [features(w) for w in fresh[a : a + 5_000]]
-                flat = np.concatenate([np.array(x) for x in lists])
-                begin = np.concatenate([[0], np.cumsum([len(x) for x in lists])])[:-1]
-                self.rows.append(np.add.reduceat(self.weights[flat], begin, axis=0))
+            for a in range(0, len(fresh), 20_000):
+                rows, grams = features(fresh[a : a + 20_000])
+                out = self.weights[rows].sum(axis=1)
+                for hashes, begin in grams:
+                    out += np.add.reduceat(self.weights[hashes], begin, axis=0)
+                self.rows.append(out)
             self.rows = [np.concatenate(self.rows)]
         return self.rows[0][np.fromiter((known[w] for w in words), np.int64, len(words))]
 
