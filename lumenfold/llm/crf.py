@@ -235,8 +235,9 @@ def training_chains(rows: list[tuple[str, int]], seed: int = 0) -> list[tuple[li
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     """A field from about sample_docs documents at most whose language is known, outside of the held-out third."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(3, 1)).select("doc_id", "text", "lang")
-    rows = sorted({(r["text"], r["lang"]) for r in common.hashed_sample(usable, sample_docs).collect()})
+    usable = docs.filter(F.col("lang").isNotNull() & ~common.held_out(3, 1)).select("doc_id", "text", "lang")
+    some = common.hashed_sample(usable, sample_docs, total=usable.count())  # counting reads no text
+    rows = sorted({(r["text"], r["lang"]) for r in some.filter("text is not null").collect()})
     labels = sorted({lang for _, lang in rows})
     field = Field(labels)
     chains = training_chains([(t, labels.index(lang)) for t, lang in rows])
