@@ -379,3 +379,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.array_distinct("items")
     joined = F.array_join(F.array_sort(F.transform(items, lambda i: i.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), "contaminated")
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The same result by joining every window of every document with the windows of the items.
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least({WINDOW}, len(w)) AS n, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS k
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+c AS (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS k
+      FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win))),
+o AS (SELECT DISTINCT r, i, c.n, item_id FROM c JOIN win ON win.k = c.k AND win.n = c.n),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM o) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM o) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN t ON t.r = d.r
+"""

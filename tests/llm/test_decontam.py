@@ -1,6 +1,7 @@
 import random
 from hashlib import sha256
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -78,6 +79,10 @@ def test_contract(spark, tmp_path):
     sf = write(tmp_path, documents=docs, benchmark=spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS))
     ours = sorted((tuple(x) for x in decontam.op2_decontamination(spark, sf).collect()), key=str)
     assert ours == sorted(brute([(x.doc_id, x.text) for x in docs.collect()], items), key=str)
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
+    assert ours == sorted(duck.execute(decontam.OP2_SQL).fetchall(), key=str)
 
 
 def test_blocks_of_items_give_the_same(spark, tmp_path, monkeypatch):
