@@ -21,19 +21,26 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once to shared storage and read back: a lineage cut that survives lost executors."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+def stored(df: DataFrame, label: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """df written once to shared storage and read back: a lineage cut that survives lost executors.
 
-def dropped(spark: SparkSession, *paths: str) -> None:
-    """Delete superseded tables of an iteration."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+    instead_of: a stored table that nothing reads any more once this one stands; it is deleted.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if instead_of is not None:
+        dropped(instead_of)
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete a stored table."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_crc(column: str = "doc_id") -> Column:

@@ -139,20 +139,21 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     )
     live = common.stored(both.select(F.greatest("node", "root").alias("hi"), F.least("node", "root").alias("lo")).distinct(), "cc-edges")
     while live.limit(1).count():
-        hooks = common.stored(live.groupBy("hi").agg(F.min("lo").alias("lo")), "cc-hooks")
+        held = common.stored(live.groupBy("hi").agg(F.min("lo").alias("lo")), "cc-hooks")
         while True:  # hooks form chains to smaller nodes; halve them until each points to a root
+            hooks = held.select("hi", "lo")
             nxt = hooks.select(F.col("hi").alias("lo"), F.col("lo").alias("further"))
-            jumped = common.stored(
-                hooks.join(nxt, "lo", "left").select("hi", F.coalesce("further", "lo").alias("lo"), F.col("further").isNotNull().alias("moved")), "cc-hooks"
-            )
-            hooks = jumped.select("hi", "lo")
-            if not jumped.filter("moved").limit(1).count():
+            jumped = hooks.join(nxt, "lo", "left").select("hi", F.coalesce("further", "lo").alias("lo"), F.col("further").isNotNull().alias("moved"))
+            held = common.stored(jumped, "cc-hooks", held)
+            if not held.filter("moved").limit(1).count():
                 break
+        hooks = held.select("hi", "lo")
         up = hooks.select(F.col("hi").alias("parent"), F.col("lo").alias("above"))
-        parents = common.stored(parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")), "cc-parents")
+        parents = common.stored(parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")), "cc-parents", parents)
         a = live.join(hooks.select("hi", F.col("lo").alias("a")), "hi").select("a", "lo")
         b = a.join(hooks.select(F.col("hi").alias("lo"), F.col("lo").alias("b")), "lo", "left").select("a", F.coalesce("b", "lo").alias("b"))
-        live = common.stored(b.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc-edges")
+        live = common.stored(b.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc-edges", live)
+        common.dropped(held)
     return parents.select("node", F.col("parent").alias("root"))
 
 
@@ -170,10 +171,11 @@ def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = common.stored(linked, "simhash-linked")
     ids = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("members"))
-    per_fp = common.stored(
-        common.attach_by_key(linked.select("root", "fp", "copies"), common.stored(ids.withColumnRenamed("members", "rows"), "simhash-ids"), "root", "rows").select("fp", "copies", "component_id"),
-        "simhash-classes",
-    )
+    ids = common.stored(ids.withColumnRenamed("members", "rows"), "simhash-ids")
+    classes = common.attach_by_key(linked.select("root", "fp", "copies"), ids, "root", "rows").select("fp", "copies", "component_id")
+    per_fp = common.stored(classes, "simhash-classes")
+    for table in (nodes, edges, linked, ids):
+        common.dropped(table)
     return common.attach_by_key(prints, per_fp, "fp", "copies").select("doc_id", "fp", "component_id")
 
 
