@@ -7,7 +7,8 @@ that switch languages get their words labelled apart; a text's language is the o
 largest mean share. Chains are `CHAIN` words long and cover the whole text, so texts of any length
 cost memory in proportion to a batch.
 
-The field is fitted on at most about `SAMPLE_DOCS` documents by stochastic gradient steps on the
+The languages are all those of the training documents; each has rows in the fit. The field is fitted
+on about `SAMPLE_DOCS` documents at most, and about `LANG_DOCS` of each rarer language, by stochastic gradient steps on the
 chains' likelihood; a third of the training chains is spliced from two documents, since the
 transitions must see switches.
 
@@ -18,6 +19,7 @@ alike; an empty table gives an empty result; language, source and id are never i
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents, at most, that the field is fitted on.
+#: Documents, about, that the field is fitted on, besides those that rare languages add.
 SAMPLE_DOCS = 1_500
+#: Documents, about, that each language gives to the fit at least, if it has so many.
+LANG_DOCS = 50
 CHAIN = 64
 BUCKETS = 1 << 16
 UNDETERMINED = "und"
@@ -234,10 +238,26 @@ def training_chains(rows: list[tuple[str, int]], seed: int = 0) -> list[tuple[li
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
-    """A field from about sample_docs documents at most whose language is known, outside of the held-out third."""
+    """A field for every language of the documents outside of the held-out third.
+
+    It is fitted on about sample_docs documents at most, and of each language on about LANG_DOCS more
+    where that sample holds fewer (all of them if there are no more).
+    """
     usable = docs.filter(F.col("lang").isNotNull() & ~common.held_out(3, 1)).select("doc_id", "text", "lang")
-    some = common.hashed_sample(usable, sample_docs, total=usable.count())  # counting reads no text
-    rows = sorted({(r["text"], r["lang"]) for r in some.filter("text is not null").collect()})
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # reads no text
+    usable = usable.filter(F.col("text").isNotNull())
+    total, space = sum(counts.values()), 1 << 20
+    if total <= sample_docs:
+        some = usable
+    else:  # by the hash of common.hashed_sample; a language's rate is never under that of the whole
+        place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(space))
+        rates = {lang: min(1.0, max(sample_docs / total, LANG_DOCS / n)) for lang, n in counts.items()}
+        bounds = F.create_map(*[F.lit(x) for lang, rate in rates.items() for x in (lang, math.ceil(space * rate))])
+        some = usable.filter(place < bounds[F.col("lang")])
+    found = {(r["text"], r["lang"]) for r in some.collect()}
+    for lang in sorted(set(counts) - {lang for _, lang in found}):  # the hash left out all of its texts
+        found |= {(r["text"], r["lang"]) for r in usable.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", F.lit(7)), "text").limit(LANG_DOCS).collect()}
+    rows = sorted(found)
     labels = sorted({lang for _, lang in rows})
     field = Field(labels)
     chains = training_chains([(t, labels.index(lang)) for t, lang in rows])

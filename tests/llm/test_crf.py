@@ -63,6 +63,15 @@ def test_held_out_accuracy(spark, tmp_path):
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (1, 2, 3, 5_000)) and by[5_001].lang_pred == "aa"
 
 
+def test_rare_languages_are_learned(spark):
+    r = random.Random(4)
+    rows = [(i, text("aa", r, 12), "aa") for i in range(3_000)] + [(9_000 + i, text(lang, r, 12), lang) for i in range(6) for lang in ("bb", "cc")]
+    docs = documents(spark, rows)
+    field = crf.train(docs, 60)
+    assert field.labels == ["aa", "bb", "cc"]
+    assert [crf.label_words(field, text(lang, r, 40))[5][1] for lang in PARTS] == list(PARTS)
+
+
 def test_nothing_to_learn(spark, tmp_path):
     found = crf.op8_language_id(spark, write(tmp_path, documents=documents(spark, [(1, "some words")]))).collect()
     assert [(x.lang_pred, x.score) for x in found] == [("und", 0.0)]
