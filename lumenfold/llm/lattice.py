@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import NORMAL, SPACE, UNIGRAM, USER_DEFINED, Vocabulary
+from .pieces import NORMAL, SPACE, UNIGRAM, USER_DEFINED, PieceMachine, Vocabulary, blocks
 
 #: Frequent words sent to every task, at most; words of over LONG characters are never sent.
 HEAVY_WORDS = 100_000
@@ -46,25 +46,10 @@ def words_of(data: bytes | str | None) -> list[bytes]:
 
 
 class Lattice:
-    """Piece lattices of words over a trie kept as sorted arrays."""
+    """Piece lattices of words, by composition with the token transducer."""
 
     def __init__(self, v: Vocabulary):
-        chars = sorted({ch for p, k in zip(v.pieces, v.kinds) if k in (NORMAL, USER_DEFINED) for ch in p})
-        self.code = {ch: i + 1 for i, ch in enumerate(chars)}
-        self.base = len(chars) + 1
-        edges, final, todo = {}, [-1], [(v.trie(), 0)]
-        while todo:
-            node, at = todo.pop()
-            for ch, child in node.items():
-                if ch == "":
-                    final[at] = child
-                    continue
-                final.append(-1)
-                edges[at * self.base + self.code[ch]] = len(final) - 1
-                todo.append((child, len(final) - 1))
-        self.keys = np.array(sorted(edges), np.int64)
-        self.to = np.array([edges[k] for k in self.keys.tolist()], np.int64)
-        self.final = np.array(final, np.int64)
+        self.machine = PieceMachine(v)
         self.bytes_of = np.array(v.byte_ids() or [0] * 256)
         usable = np.array([k in (NORMAL, USER_DEFINED) for k in v.kinds])
         scores = np.array(v.scores)
@@ -81,33 +66,6 @@ class Lattice:
         norm = total.sum() + ends + 1
         self.logp, self.end = np.log(np.maximum(total / norm, 1e-300)), float(np.log((ends + 1) / norm))
 
-    def _arcs(self, words: list[str], width: int):
-        """Arcs of padded words as arrays: word, start, end, piece (-1: a character by its bytes) and that cost's code point."""
-        n = len(words)
-        points = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "replace"), "<u4").reshape(n, width).astype(np.int64)
-        lengths = np.array([len(w) for w in words])
-        known, where = np.unique(points, return_inverse=True)
-        codes = np.array([self.code.get(chr(c), 0) for c in known.tolist()])[where].reshape(n, width)
-        w, s = np.nonzero(np.arange(width)[None] < lengths[:, None])
-        state, end = np.zeros(len(w), np.int64), s.copy()
-        found, single = [], np.zeros(len(w), bool)
-        alive = np.arange(len(w))
-        while len(alive):
-            key = state[alive] * self.base + codes[w[alive], end[alive]]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            alive, at = alive[hit := self.keys[at] == key], at[hit]
-            state[alive] = self.to[at]
-            piece = self.final[state[alive]]
-            good = piece >= 0
-            first = end[alive] == s[alive]
-            single[alive[good & first]] = True
-            end[alive] += 1
-            found.append((w[alive[good]], s[alive[good]], end[alive[good]], piece[good]))
-            alive = alive[end[alive] < lengths[w[alive]]]
-        lone = np.flatnonzero(~single)
-        found.append((w[lone], s[lone], s[lone] + 1, np.full(len(lone), -1)))
-        return [np.concatenate(x) for x in zip(*found)], points, lengths
-
     def _spelled(self, points: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
         """Log weight, and ids, of the bytes of characters."""
         uniq, back = np.unique(points, return_inverse=True)
@@ -117,19 +75,12 @@ class Lattice:
     def run(self, words: list[str], weights: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
         """Log likelihood of each word (with its space in front); adds weights' expected piece counts to expected."""
         out = np.zeros(len(words))
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        at = 0
-        while at < len(order):
-            width = len(words[order[at]]) + 3
-            take = order[at : at + max(1, CELLS // width)]
-            while len(take) > 1 and len(words[take[-1]]) + 1 > width:
-                take = take[: max(1, np.searchsorted([len(words[i]) + 1 for i in take], width, side="right"))]
-            at += len(take)
+        for take, width in blocks([SPACE + x for x in words], CELLS):
             out[take] = self._block([SPACE + words[i] for i in take], width, None if weights is None else weights[take], expected)
         return out
 
     def _block(self, words: list[str], width: int, weights: np.ndarray | None, expected: np.ndarray | None) -> np.ndarray:
-        (w, s, e, piece), points, lengths = self._arcs(words, width)
+        (w, s, e, piece), points, lengths = self.machine.compose(words, width)
         logp = self.logp[piece]
         spelled = np.flatnonzero(piece < 0)
         cost, ids = self._spelled(points[w[spelled], s[spelled]])

@@ -6,6 +6,8 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -132,3 +134,74 @@ class Vocabulary:
                         rules[(key + bytes([byte])).decode("utf-8", "replace")] = strings[value : strings.index(b"\0", value)].decode("utf-8")
                     todo.append((key + bytes([byte]), here))
         return rules
+
+
+class PieceMachine:
+    """The token transducer over characters: a trie whose final states emit a piece, and for a character
+    that is no piece an arc of its own that emits its bytes. Arcs are kept as sorted arrays, so that the
+    composition with many words is stepped at once.
+    """
+
+    #: The label of an arc that emits the bytes of its character.
+    BYTES = -1
+
+    def __init__(self, v: Vocabulary):
+        chars = sorted({ch for p, k in zip(v.pieces, v.kinds) if k in (NORMAL, USER_DEFINED) for ch in p})
+        self.code = {ch: i + 1 for i, ch in enumerate(chars)}
+        self.base = len(chars) + 1
+        edges, final, todo = {}, [-1], [(v.trie(), 0)]
+        while todo:
+            node, at = todo.pop()
+            for ch, child in node.items():
+                if ch == "":
+                    final[at] = child
+                    continue
+                final.append(-1)
+                edges[at * self.base + self.code[ch]] = len(final) - 1
+                todo.append((child, len(final) - 1))
+        self.keys = np.array(sorted(edges), np.int64)
+        self.to = np.array([edges[k] for k in self.keys.tolist()], np.int64)
+        self.final = np.array(final, np.int64)
+
+    def compose(self, words: list[str], width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The composition of words (of at most width characters) with the machine, as a lattice each.
+
+        Gives its arcs (word, start, end, piece or BYTES), the words' code points in rows, their lengths.
+        """
+        n = len(words)
+        points = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "replace"), "<u4").reshape(n, width).astype(np.int64)
+        lengths = np.array([len(w) for w in words])
+        known, where = np.unique(points, return_inverse=True)
+        codes = np.array([self.code.get(chr(c), 0) for c in known.tolist()])[where].reshape(n, width)
+        w, s = np.nonzero(np.arange(width)[None] < lengths[:, None])
+        state, end = np.zeros(len(w), np.int64), s.copy()
+        found, single = [], np.zeros(len(w), bool)
+        alive = np.arange(len(w))
+        while len(alive):
+            key = state[alive] * self.base + codes[w[alive], end[alive]]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            alive, at = alive[hit := self.keys[at] == key], at[hit]
+            state[alive] = self.to[at]
+            piece = self.final[state[alive]]
+            good = piece >= 0
+            first = end[alive] == s[alive]
+            single[alive[good & first]] = True
+            end[alive] += 1
+            found.append((w[alive[good]], s[alive[good]], end[alive[good]], piece[good]))
+            alive = alive[end[alive] < lengths[w[alive]]]
+        lone = np.flatnonzero(~single)
+        found.append((w[lone], s[lone], s[lone] + 1, np.full(len(lone), self.BYTES)))
+        return [np.concatenate(x) for x in zip(*found)], points, lengths
+
+
+def blocks(words: list[str], cells: int = 1_000_000) -> Iterator[tuple[list[int], int]]:
+    """(places of words, width) of blocks of words of like length, of about `cells` characters at most or one word."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    at = 0
+    while at < len(order):
+        width = len(words[order[at]]) + 2
+        end = at
+        while end < len(order) and len(words[order[end]]) <= width and (end == at or (end - at + 1) * width <= cells):
+            end += 1
+        yield order[at:end], width
+        at = end

@@ -1,19 +1,20 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three transducers are compiled from a model file: the normaliser (character rewrites, spaces to
-U+2581, the leading space), the pieces (a character trie whose final arcs emit an id at the cost of
-minus the piece's score) and the byte fallback (a character that is no piece emits its UTF-8 bytes
-at the cost of an unknown one). Each input is composed with them, and the encoding is the path of
-least cost in the tropical semiring (min, +); of equal paths the one with the longer last piece
-wins. Where no piece goes on after an inner space, the composition falls apart at the spaces, so
-words are encoded once per task and remembered in a bounded table.
+Compiled from a model file are the normaliser (character rewrites, then spaces to U+2581 and the
+leading one), the token machine (a character trie whose final states emit a piece at the cost of
+minus its score, and for a character that is no piece an arc that emits its UTF-8 bytes at the cost
+of an unknown one), and for files of the BPE kind the pair machine. Each input is composed with them
+and its encoding is the path of least cost in the tropical semiring (min, +); of equal paths the one
+with the longer last piece wins. The composition is never built as a whole: the lattices of many
+words are stepped and relaxed at once, in blocks of bounded size. Where no piece goes on after an
+inner space, it falls apart at the spaces, so words are encoded once per task and remembered in a
+bounded table.
 
 In files of the BPE kind the scores are merge ranks, and not every path is one that merging could
 leave. A path is what merging gives exactly if each piece, and each two neighbouring pieces, are
-what merging makes of their own text. So for such files a fourth transducer, whose state is the
-last piece and whose arcs are the pairs that stand, is composed as well (its arcs are found when
-first needed and remembered). It leaves one path, which so is the shortest, and which a depth-first
-walk over the composition finds without visiting the rest; it is the encoding of the library.
+what merging makes of their own text. The pair machine, whose state is the last piece and whose arcs
+are the pairs that stand, leaves just these paths (its arcs are found when first needed); the
+cheapest that remains is the encoding of the library.
 
 Defined cases: null gives null ids and null text; an empty text has no ids; characters outside the
 vocabulary come back from bytes; a text of any length is encoded whole; repeated rows are encoded
@@ -23,7 +24,6 @@ alike; an empty table gives an empty result; further columns stay where the call
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,198 +31,245 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .pieces import BPE, BYTE, CONTROL, NORMAL, SPACE, USER_DEFINED, Vocabulary
+from .pieces import BPE, BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, USER_DEFINED, PieceMachine, Vocabulary, blocks
 
 UNKNOWN_COST = 10.0
-#: Ends a key of the word table; no word of a normalised text holds a space after another character.
-AFTER_BREAK = "\n" + SPACE
+
+
+class Rewriter:
+    """A transducer from characters to strings: the longest rule that matches is applied, others pass as they are.
+
+    Rules of one character that begin no longer rule are loops of the start state; the others are paths
+    of a trie, left by the longest final state passed.
+    """
+
+    def __init__(self, rules: dict[str, str]):
+        heads = {k[0] for k in rules if len(k) > 1}
+        self.loops = str.maketrans({k: v for k, v in rules.items() if len(k) == 1 and k not in heads})
+        self.arcs: dict[tuple[int, str], int] = {}
+        self.final: dict[int, str] = {}
+        states = 1
+        for key, value in rules.items():
+            if key[0] in heads:
+                state = 0
+                for ch in key:
+                    state = self.arcs.setdefault((state, ch), states)
+                    states = max(states, state + 1)
+                self.final[state] = value
+        self.heads = heads
+
+    def __call__(self, text: str) -> str:
+        if not self.heads or self.heads.isdisjoint(text):
+            return text.translate(self.loops) if self.loops else text
+        out, at = [], 0
+        while at < len(text):
+            state, end, best = 0, at, None
+            while end < len(text) and (to := self.arcs.get((state, text[end]))) is not None:
+                state, end = to, end + 1
+                if state in self.final:
+                    best = end, self.final[state]
+            if best:
+                at = best[0]
+                out.append(best[1])
+            else:
+                out.append(text[at].translate(self.loops))
+                at += 1
+        return "".join(out)
 
 
 class Normaliser:
-    """Rewrites the longest matching rules from the left, then writes spaces as U+2581."""
+    """The rewriting rules of a model, then its treatment of spaces, as transducers one after the other."""
 
     def __init__(self, v: Vocabulary):
-        self.rules = v.rewrites()
-        self.pattern = re.compile("|".join(re.escape(k) for k in sorted(self.rules, key=lambda k: -len(k)))) if self.rules else None
+        self.rules = Rewriter(v.rewrites())
         self.prefix, self.squeeze = v.dummy_prefix, v.squeeze
 
     def __call__(self, text: str) -> str:
-        if self.pattern:
-            text = self.pattern.sub(lambda m: self.rules[m[0]], text)
+        text = self.rules(text)
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
             return ""
-        return (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        return (SPACE if self.prefix else "") + text.replace(" ", SPACE)  # a transducer of one state
+
+
+class PairMachine:
+    """The transducer over pieces whose state is the last piece and whose arcs are the pairs that merging leaves.
+
+    An arc is worked out when it is first asked for and kept in a table of fixed size, in which a later
+    pair may take its place.
+    """
+
+    SLOTS = 1 << 20
+
+    def __init__(self, v: Vocabulary):
+        self.pieces = v.pieces
+        self.rank = {p: s for p, s, k in zip(v.pieces, v.scores, v.kinds) if k in (NORMAL, USER_DEFINED)}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.stand = np.full(self.SLOTS, -1, np.int64), np.zeros(self.SLOTS, bool)
+
+    def __getstate__(self) -> dict:
+        return {"pieces": self.pieces, "rank": self.rank}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._clear()
+
+    def merged(self, text: str) -> list[str]:
+        """What merging makes of a short text: the best-scored pair of neighbours first, the leftmost of equals."""
+        parts = list(text)
+        rank = self.rank.get
+        scores = [rank(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
+            best, at = None, -1
+            for i, r in enumerate(scores):
+                if r is not None and (best is None or r > best):
+                    best, at = r, i
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at < len(scores):
+                scores[at] = rank(parts[at] + parts[at + 1])
+            if at:
+                scores[at - 1] = rank(parts[at - 1] + parts[at])
+
+    def arcs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether there is an arc from each left to each right piece; left is -1 at the start and after bytes."""
+        key = (left + 1).astype(np.int64) * len(self.pieces) + right
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64) % self.SLOTS
+        out = self.stand[slot]
+        missing = np.flatnonzero(self.keys[slot] != key)
+        if len(missing):
+            fresh, first, back = np.unique(key[missing], return_index=True, return_inverse=True)
+            at, pieces = missing[first], self.pieces
+            pairs = [([pieces[a]] if a >= 0 else []) + [pieces[b]] for a, b in zip(left[at].tolist(), right[at].tolist())]
+            found = np.array([self.merged("".join(p)) == p for p in pairs])
+            self.keys[slot[at]], self.stand[slot[at]] = fresh, found
+            out[missing] = found[back]
+        return out
 
 
 class Codec:
+    """Normaliser, token machine and, for vocabularies of merges, pair machine; and their shortest paths."""
+
     CACHE = 200_000
-    PAIRS = 400_000
+    LONG = 64
+    CELLS = 200_000
 
     def __init__(self, v: Vocabulary):
-        self.normalise = Normaliser(v)
-        self.trie, self.bytes_of = v.trie(), v.byte_ids()
+        self.normalise, self.tokens = Normaliser(v), PieceMachine(v)
+        self.pairs = PairMachine(v) if v.model_type == BPE else None
         usual = [s for s, k in zip(v.scores, v.kinds) if k == NORMAL]
         low, high = min(usual, default=0.0), max(usual, default=0.0)
-        self.cost = [
-            -(len(p.encode()) * high - 0.1) if k == USER_DEFINED else -s for p, s, k in zip(v.pieces, v.scores, v.kinds)
-        ]
-        self.unknown, self.unknown_id = -low + UNKNOWN_COST, next((i for i, k in enumerate(v.kinds) if k == 2), 0)
+        cost = [-(len(p.encode()) * high - 0.1) if k == USER_DEFINED else -s for p, s, k in zip(v.pieces, v.scores, v.kinds)]
+        self.cost = np.array([*cost, UNKNOWN_COST - low])  # PieceMachine.BYTES is the last one
+        self.bytes_of, self.unknown_id = v.byte_ids(), next((i for i, k in enumerate(v.kinds) if k == UNKNOWN), 0)
         self.split = v.words_split() and v.dummy_prefix
         self.surface = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode() for p, k in zip(v.pieces, v.kinds)]
         self.prefix = v.dummy_prefix
         self.breaks = not any("\n" in p for p in v.pieces)
-        self.merging = v.model_type == BPE
-        self.pieces = v.pieces
-        self.rank = {p: s for p, s, k in zip(v.pieces, v.scores, v.kinds) if k in (NORMAL, USER_DEFINED)} if self.merging else {}
         self.seen: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"seen": {}, "old": {}, "pairs": {}}
-
-    def _merged(self, text: str) -> list[str]:
-        """What merging makes of a short text: the best-scored pair of neighbours first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = self.rank.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank > best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _stands(self, left: int, right: int) -> bool:
-        """Whether merging leaves the two pieces as they are; left is -1 at the start and after an unknown character."""
-        key = left * len(self.pieces) + right
-        found = self.pairs.get(key)
-        if found is None:
-            parts = [self.pieces[right]] if left < 0 else [self.pieces[left], self.pieces[right]]
-            if len(self.pairs) >= self.PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self._merged("".join(parts)) == parts
-        return found
-
-    def _matches(self, text: str, at: int) -> list[int]:
-        """The pieces that stand at a place, the longest last; -1 comes first if none is the character itself."""
-        node, out, root = self.trie, [], True
-        for ch in text[at:]:
-            node = node.get(ch)
-            if node is None:
-                break
-            piece = node.get("")
-            if piece is not None:
-                out.append(piece)
-            elif root:
-                out.append(-1)
-            root = False
-        return out or [-1]
-
-    def only(self, text: str) -> list[int]:
-        """shortest() where the fourth transducer leaves one path: depth first, long pieces first."""
-        n, i, last, stack, dead = len(text), 0, -1, [], set()
-        options, pieces, stands = self._matches(text, 0), self.pieces, self._stands
-        while i < n:
-            while options:
-                piece = options.pop()
-                j = i + (len(pieces[piece]) if piece >= 0 else 1)
-                if (piece < 0 or stands(last, piece)) and (j, piece) not in dead:
-                    stack.append((i, last, options, piece))
-                    i, last = j, piece
-                    options = self._matches(text, i) if i < n else []
-                    break
-            else:
-                dead.add((i, last))
-                i, last, options, _ = stack.pop()
-        ids: list[int] = []
-        for start, _, _, piece in stack:
-            if piece >= 0:
-                ids.append(piece)
-            else:
-                ids += [self.bytes_of[b] for b in text[start].encode("utf-8", "replace")] if self.bytes_of else [self.unknown_id]
-        return ids
+        return self.__dict__ | {"seen": {}, "old": {}}
+
+    def shortest(self, words: list[str]) -> list[bytes]:
+        """The ids (little-endian, 32 bits) on the cheapest path of each normalised word."""
+        out = [b""] * len(words)
+        for take, width in blocks(words, self.CELLS):
+            for i, ids in zip(take, self._block([words[i] for i in take], width)):
+                out[i] = ids
+        return out
 
-    def shortest(self, text: str) -> list[int]:
-        """The ids of the cheapest path through text, which is normalised.
+    def _block(self, words: list[str], width: int) -> list[bytes]:
+        """shortest() of a block: paths are extended from place to place, all words at once (min, +).
 
-        states[i]: last piece -> (cost, start, piece before), for the paths that end at i. Without
-        the fourth transducer all of these are one state.
+        With the pair machine a state is a place and the piece that ends there. Merging leaves one
+        sequence of pieces for each beginning of a word, so each place has one live state.
         """
-        n, root, cost, merging = len(text), self.trie, self.cost, self.merging
-        states: list[dict[int, tuple[float, int, int, int]]] = [{} for _ in range(n + 1)]
-        states[0][-1] = (0.0, 0, -1, -1)
-        for i in range(n):
-            live = states[i]
-            if not live:
-                continue
-            node, single = root, False
-            for j in range(i, n):
-                node = node.get(text[j])
-                if node is None:
-                    break
-                piece = node.get("")
-                if piece is not None:
-                    single = single or j == i
-                    for last, (here, *_) in live.items():
-                        if not merging or self._stands(last, piece):
-                            total, key = here + cost[piece], piece if merging else -1
-                            if (old := states[j + 1].get(key)) is None or total < old[0]:
-                                states[j + 1][key] = (total, i, last, piece)
-            if not single:
-                for last, (here, *_) in live.items():
-                    if (old := states[i + 1].get(-1)) is None or here + self.unknown < old[0]:
-                        states[i + 1][-1] = (here + self.unknown, i, last, -1)
-        ids: list[int] = []
-        at = n
-        last = min(states[n], key=lambda k: states[n][k][0]) if n else -1
-        while at:
-            _, start, before, piece = states[at][last]
-            if piece < 0:
-                ids += [self.bytes_of[b] for b in reversed(text[start:at].encode("utf-8", "replace"))] if self.bytes_of else [self.unknown_id]
+        (w, s, e, piece), points, lengths = self.tokens.compose(words, width)
+        order = np.argsort(s, kind="stable")
+        w, s, e, piece = w[order], s[order], e[order], piece[order]
+        best = np.full((len(words), width + 1), np.inf)
+        best[:, 0] = 0
+        last, came = np.full(best.shape, -1), np.zeros(best.shape, np.int64)
+        bounds = np.searchsorted(s, np.arange(width + 1))
+        for place in range(width):
+            a, b = bounds[place], bounds[place + 1]
+            i, to, label = w[a:b], e[a:b], piece[a:b]
+            total = best[i, place] + self.cost[label]
+            live = np.flatnonzero(total < best[i, to])
+            if self.pairs and len(live):
+                plain = live[label[live] >= 0]
+                stand = np.ones(len(i), bool)
+                stand[plain] = self.pairs.arcs(last[i[plain], place], label[plain])
+                live = live[stand[live]]
+            i, to = i[live], to[live]  # from one place a word has one arc to each other place
+            best[i, to], last[i, to], came[i, to] = total[live], label[live], place
+        at, live, steps = lengths.copy(), np.flatnonzero(lengths > 0), []
+        while len(live):
+            here = at[live]
+            at[live] = came[live, here]
+            steps.append((live, at[live], last[live, here]))
+            live = live[at[live] > 0]
+        if not steps:
+            return [b""] * len(words)
+        w, s, ids = (np.concatenate(x) for x in zip(*steps))
+        order = np.lexsort((s, w))
+        w, s, ids = w[order], s[order], ids[order]
+        lone = np.flatnonzero(ids < 0)
+        if len(lone):
+            spelled = [self._spelled(int(c)) for c in points[w[lone], s[lone]]]
+            times = np.ones(len(ids), np.int64)
+            times[lone] = [len(x) for x in spelled]
+            w, ids = np.repeat(w, times), np.repeat(ids, times)
+            ids[ids < 0] = np.concatenate(spelled)
+        packed, ends = ids.astype("<i4").tobytes(), np.cumsum(np.bincount(w, minlength=len(words))) * 4
+        return [packed[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def _spelled(self, point: int) -> list[int]:
+        return [self.bytes_of[b] for b in chr(point).encode("utf-8", "replace")] if self.bytes_of else [self.unknown_id]
+
+    def _learn(self, words: list[str]) -> None:
+        """Put words (each without the space before it) into the table of this task."""
+        fresh = []
+        for w in words:
+            if (known := self.old.get(w)) is not None:
+                self.seen[w] = known
             else:
-                ids.append(piece)
-            at, last = start, before
-        return ids[::-1]
-
-    def _packed(self, word: str) -> bytes:
-        """The ids of a space and word. A word that ends in AFTER_BREAK stands after a line break instead."""
-        inner = word.endswith(AFTER_BREAK)
-        if self.breaks and not inner and "\n" in word:  # no piece holds a line break, so paths can be cut there
-            first, *rest = word.split("\n")
-            return b"".join([self.seen.get(w) or self._packed(w) for w in (first, *(r + AFTER_BREAK for r in rest))])
-        out = self.old.get(word)
-        if out is None:
-            ids = self.path("\n" + word[: -len(AFTER_BREAK)] if inner else SPACE + word)
-            out = struct.pack(f"<{len(ids)}i", *ids)
-        if len(self.seen) >= self.CACHE:  # two generations: words in use survive
-            self.old = dict(self.seen)
-            self.seen.clear()
-        if len(word) <= 64:
-            self.seen[word] = out
-        return out
-
-    def path(self, text: str) -> list[int]:
-        return self.only(text) if self.merging else self.shortest(text)
-
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
-        line = self.normalise(text)
+                fresh.append(w)
+        if not fresh:
+            return
+        # no piece holds a line break, so paths can be cut there
+        units = [[SPACE + p if k == 0 else "\n" + p for k, p in enumerate(w.split("\n"))] if self.breaks and "\n" in w else [SPACE + w] for w in fresh]
+        distinct = list(dict.fromkeys(u for own in units for u in own))
+        ids = dict(zip(distinct, self.shortest(distinct)))
+        for w, own in zip(fresh, units):
+            self.seen[w] = ids[own[0]] if len(own) == 1 else b"".join([ids[u] for u in own])
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        lines = [self.normalise(t) for t in texts]
         if not self.split:
-            ids = self.path(line)
-            return struct.pack(f"<{len(ids)}i", *ids)
-        if not line:
-            return b""
-        words = line[1:].split(SPACE) if SPACE * 2 not in line else [w[1:] for w in re.findall(f"{SPACE}+[^{SPACE}]*", line)]
-        seen, packed = self.seen, self._packed
-        return b"".join([seen.get(w) or packed(w) for w in words])
+            return self.shortest(lines)
+        rows = [[] if not x else x[1:].split(SPACE) if SPACE * 2 not in x else [w[1:] for w in re.findall(f"{SPACE}+[^{SPACE}]*", x)] for x in lines]
+        used = {w for words in rows for w in words}
+        self._learn(sorted(used - self.seen.keys()))
+        seen = self.seen
+        out = [b"".join([seen[w] for w in words]) for words in rows]
+        for w in used:
+            if len(w) > self.LONG:
+                del seen[w]
+        if len(seen) >= self.CACHE:  # two generations: words in use survive
+            self.old, self.seen = seen, {}
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
+        return np.frombuffer(self.encode_many([text])[0], "<i4").tolist()
 
     def decode(self, ids) -> str:
         surface = self.surface
@@ -248,8 +295,7 @@ def encode(docs: DataFrame, codec: Codec, keep: list[str] | None = None) -> Data
             for at in range(0, whole.num_rows, 1_000):
                 b = whole.slice(at, 1_000)
                 texts = b.column(b.num_columns - 1).to_pylist()
-                packed = [None if t is None else codec.encode_bytes(t) for t in texts]
-                arrays = [np.frombuffer(p or b"", "<i4") for p in packed]
+                arrays = [np.frombuffer(p, "<i4") for p in codec.encode_many([t or "" for t in texts])]
                 offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
                 missing = pa.array([t is None for t in texts])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)])), mask=missing)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -8,7 +9,8 @@ from lumenfold.llm import pieces, wfst
 from .helpers import awkward, documents, write
 
 MODEL = pieces.default_model()
-CODEC = wfst.Codec(pieces.Vocabulary.load())
+VOCABULARY = pieces.Vocabulary.load()
+CODEC = wfst.Codec(VOCABULARY)
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
 TEXTS = ["", " ", "  Hello   wörld\n\tx 日本 😀 ", "a  b", "▁x", " " * 17 + "x", "a" + " " * 40 + "b", "\n\n x\n\ny", "The the THE", "x" * 300, "\u0000", "token = \"ab12\"\nnext"]
 
@@ -26,9 +28,35 @@ def test_round_trip(text):
     assert CODEC.decode(ids) == (text if "▁" not in text else text.replace("▁", " "))
 
 
-def test_both_searches_agree():
-    for text in ("▁international", "▁thththe", "▁日本語x", "▁aaaaaaa"):
-        assert CODEC.only(text) == CODEC.shortest(text)
+def every_path(codec, word):
+    """All (cost, ids) of a word's composition with the token machine and the pairs, one by one."""
+    text, out = word, []
+
+    def go(at, last, cost, ids):
+        if at == len(text):
+            out.append((cost, ids))
+            return
+        found = [(i, p) for i, p in enumerate(VOCABULARY.pieces) if VOCABULARY.kinds[i] == pieces.NORMAL and text.startswith(p, at)]
+        for i, p in found:
+            if codec.pairs.arcs(np.array([last]), np.array([i]))[0]:
+                go(at + len(p), i, cost + codec.cost[i], [*ids, i])
+        if not any(len(p) == 1 for _, p in found):
+            go(at + 1, -1, cost + codec.cost[-1], [*ids, *codec._spelled(ord(text[at]))])
+
+    go(0, -1, 0.0, [])
+    return out
+
+
+@pytest.mark.parametrize("word", ["▁internat", "▁thththe", "▁日x", "▁aaaaa", "▁Anblewh"])
+def test_shortest_of_all_paths(word):
+    paths = every_path(CODEC, word)
+    assert min(paths)[1] == np.frombuffer(CODEC.shortest([word])[0], "<i4").tolist()
+    assert len(paths) == 1  # merging leaves one sequence
+
+
+def test_rewriter():
+    r = wfst.Rewriter({"a": "1", "ab": "2", "abcd": "3", "x": "yy", "é": "é"})
+    assert [r(t) for t in ("", "aab", "abc", "abcd", "xa", "zz", "é")] == ["", "12", "2c", "3", "yy1", "zz", "é"]
 
 
 def unigram():
@@ -42,13 +70,13 @@ def unigram():
 @given(st.text(alphabet="ab ", max_size=9))
 def test_unigram_paths_are_cheapest(text):
     codec = wfst.Codec(unigram())
-    cost = {p: -s for p, s, k in zip(codec.pieces, unigram().scores, unigram().kinds) if k == 1}
+    cost = {p: -s for p, s, k in zip(unigram().pieces, unigram().scores, unigram().kinds) if k == 1}
 
     def best(rest):
         return 0.0 if not rest else min((cost[p] + best(rest[len(p) :]) for p in cost if rest.startswith(p)), default=float("inf"))
 
     ids = codec.encode(text)
-    assert sum(cost[codec.pieces[i]] for i in ids) == pytest.approx(best(codec.normalise(text)))
+    assert sum(cost[unigram().pieces[i]] for i in ids) == pytest.approx(best(codec.normalise(text)))
     assert codec.decode(ids) == text
 
 
