@@ -6,9 +6,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where a session on one machine names no shared folder, as in tests.
 LOCAL_SHARED = "file:///tmp/checkpoints/lumenfold"
+#: Bytes, at most, that a sample for a fit brings to the driver.
+SAMPLE_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that the driver and every executor share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SHARED
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, *labels: str) -> list[str]:
+    """Column names that df doesn't have."""
+    return [f"{label}_{uuid.uuid4().hex[:12]}" for label in labels]
+
+
 def stored(df: DataFrame, label: str, instead_of: DataFrame | None = None) -> DataFrame:
     """df written once to shared storage and read back: a lineage cut that survives lost executors.
 
@@ -52,16 +64,21 @@ def held_out(modulus: int, remainder: int, column: str = "doc_id") -> Column:
     return id_crc(column) % modulus == remainder
 
 
-def hashed_sample(df: DataFrame, bound: int, column: str = "doc_id", total: int | None = None) -> DataFrame:
-    """About `bound` rows at most, picked by a hash of the id; all of them if there are fewer.
+def bounded_sample(df: DataFrame, rows: int, size: Column, max_bytes: int = SAMPLE_BYTES, total: int | None = None) -> DataFrame:
+    """At most `rows` distinct rows of df, and at most max_bytes of them by `size`; only fits of models use it.
 
-    Only fits of classifiers use it. The rate is 1 below the bound, so small inputs are not thinned.
+    Rows are picked by a hash of all their columns, so a repeated row counts once however often it
+    stands. If there are no more than `rows`, all distinct ones come, up to max_bytes.
     """
     total = df.count() if total is None else total
-    if total <= bound:
-        return df
-    space = 1 << 20
-    return df.filter(F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(space)) < int(space * bound / total))
+    space, (key, upto) = 1 << 40, fresh(df, "key", "upto")
+    keyed = df.withColumn(key, F.pmod(F.xxhash64(*df.columns), F.lit(space)))
+    if total > rows:
+        keyed = keyed.filter(F.col(key) < max(1, int(space * rows / total)))
+    few = keyed.distinct().orderBy(key, *df.columns).limit(rows)
+    # few has at most `rows` rows, so one task may sum them up
+    running = W.partitionBy(F.lit(0)).orderBy(key, *df.columns).rowsBetween(W.unboundedPreceding, 0)
+    return few.withColumn(upto, F.sum(size).over(running)).filter(F.coalesce(F.col(upto), F.lit(0)) <= max_bytes).select(*df.columns)
 
 
 def attach_by_key(left: DataFrame, per_key: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
@@ -78,6 +95,20 @@ def attach_by_key(left: DataFrame, per_key: DataFrame, key: str, count: str, sha
     return direct.unionByName(rest)
 
 
+def lookup(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """left outer join of a stored table with right, which has one row for each key, whatever the skew of left.
+
+    Keys with over 1/share of left's rows, of which there are fewer than `share`, meet right by a broadcast.
+    """
+    least = max(left.count() // share, 1000)
+    counts = left.groupBy(key).count().filter(F.col("count") > least).select(key)
+    if not counts.limit(1).count():
+        return left.join(right, key, "left")
+    hot = F.broadcast(right.join(F.broadcast(counts), key, "left_semi"))  # fewer than `share` rows
+    keys = F.broadcast(counts)
+    return left.join(keys, key, "left_semi").join(hot, key, "left").unionByName(left.join(keys, key, "left_anti").join(right, key, "left"))
+
+
 def inline(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     """A small table of numbers and plain words as a literal relation: no Python worker reads it."""
     values = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else f"{v}" for v in row) + ")" for row in rows)

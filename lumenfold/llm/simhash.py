@@ -1,20 +1,31 @@
 """Near-duplicate detection by SimHash, with covering locality-sensitive hashing.
 
-Fingerprints of 64 bits link at `RADIUS` or fewer differing bits. Each bit position i gets a vector
-m(i) in F2^(RADIUS+1); for each of the 2^(RADIUS+1)-1 non-zero vectors v there is a table whose mask
-keeps the bits with <m(i), v> = 1. Any set of RADIUS bits spans less than the whole space, so some
+Fingerprints of 64 bits link at `radius` or fewer differing bits. Each bit position i gets a vector
+m(i) in F2^(radius+1); for each of the 2^(radius+1)-1 non-zero vectors v there is a table whose mask
+keeps the bits with <m(i), v> = 1. Any set of radius bits spans less than the whole space, so some
 v is orthogonal to all of them and its mask drops them: pairs within the radius agree in some table.
 A table compares about half of the bits, so chance collisions are rare.
 
 Equal fingerprints are collapsed before anything is compared, so a group of exact copies is one
 node. A bucket of near copies is linked by a frontier search in numpy: each node leaves the
-unvisited set once, and a bucket gives a star (node, smallest node linked inside it), never its
-pairs. The stars of all tables are joined into components by hooking each root to its smallest
-neighbour and shortening paths, all as DataFrames.
+unvisited set once, and a bucket gives a star (node, root inside it), never its pairs. A bucket of
+over `SPLIT` nodes is dealt again by covering masks of the bits that its own mask drops, which keeps
+the guarantee; a bucket of these holds nodes that differ in about 16 bits, so its size is bounded.
+The stars of all tables are joined into components by hooking each root to its smallest neighbour
+and shortening paths, all as DataFrames; keys with many rows are joined apart.
+
+Deduplication (`keep_one`) has a rule of its own, as word shingles of similarity 0.8 or more differ in
+about 9 of 64 bits, beyond the reach of any practical number of tables: candidates are pairs whose
+fingerprints of two-word runs differ in `NEAR_RADIUS` or fewer bits (127 tables), and they link if their
+fingerprints of five-word shingles differ in `FIVE_BITS` or fewer (64 times the angle of a similarity of
+0.8, and one bit more).
 
 Defined cases: a null text has no words; texts without words have fingerprint zero and link like
-others; fewer than three words are one shingle; repeated rows stay, each with its own result; an
-empty table gives an empty result; further columns are ignored by the query.
+others; fewer words than a shingle's are one shingle; texts of any length are hashed whole, in
+blocks; repeated rows stay in near_duplicates(), each with its own result; component_id is null
+where no row of a class has an id; an empty table gives an empty result; further columns are ignored,
+whatever their names. keep_one() keeps all columns, and of each class the row with the smallest id
+(rows without an id last), of several such rows the one whose text's hash is smallest, once.
 """
 
 from __future__ import annotations
@@ -24,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,11 +44,23 @@ RADIUS = 3
 BITS = 64
 SEED = 42
 SHINGLE = 3
+#: Nodes of a bucket that one task compares; larger buckets are dealt again.
+SPLIT = 20_000
+#: The rule of keep_one.
+NEAR_WIDTH, NEAR_RADIUS, FIVE, FIVE_BITS = 2, 6, 5, 10
+TABLE_BITS = 8
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()  # of bytes, lower() changes A-Z alone and split() parts at 9-13 and 32
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a text: a bit is set if over half of its shingles' hashes set it."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes, lower() changes A-Z alone and split() parts at 9-13 and 32
+    return of_words(words_of(text), width)
+
+
+def of_words(words: list[bytes], width: int) -> int:
+    """Unsigned 64-bit SimHash of words: a bit is set if over half of their shingles' hashes set it."""
     if not words:
         return 0
     if len(words) <= width:
@@ -56,82 +79,129 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of each row."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, check: int | None = None) -> DataFrame:
+    """doc_id, row_key (a hash of id and text), fp and chk of each row: fingerprints of shingles of width
+    and check words as signed longs; chk is 0 without check.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.zeros((2, b.num_rows), np.uint64)
+            for i, t in enumerate(b.column(2)):
+                words = words_of(t.as_py())
+                fps[0, i] = of_words(words, width)
+                if check:
+                    fps[1, i] = of_words(words, check)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, fps.view(np.int64))], ["doc_id", "row_key", "fp", "chk"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key long, fp long, chk long")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
-def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
-    """The tables' masks. Vectors m(i) go round the non-zero ones, so masks are of nearly equal size."""
+
+def covering_masks(bits: list[int] | int = BITS, radius: int = RADIUS) -> list[int]:
+    """The tables' masks over the given bit positions. Vectors m(i) go round the non-zero ones, so masks are of nearly equal size."""
+    bits = list(range(bits)) if isinstance(bits, int) else bits
     space = 1 << (radius + 1)
-    vectors = [i % (space - 1) + 1 for i in range(bits)]
-    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, space)]
+    vectors = [i % (space - 1) + 1 for i in range(len(bits))]
+    return [sum(1 << i for i, m in zip(bits, vectors) if (m & v).bit_count() % 2) for v in range(1, space)]
+
+
+def _distance(a: np.ndarray, x: np.int64) -> np.ndarray:
+    return np.bitwise_count((a ^ x).view(np.uint64))  # of signed numbers it would count the absolute value's
 
 
-def bucket_stars(fps: np.ndarray, radius: int = RADIUS, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) for the nodes of a bucket that link to a smaller one in it."""
-    left = np.unique(fps)
-    nodes, roots = [], []
+def bucket_stars(nodes: np.ndarray, radius: int = RADIUS, check_bits: int | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots) for the nodes of a bucket that link to another one, chosen as root. Rows are (fp, chk)."""
+    left = np.unique(nodes, axis=0)
+    found, roots = [nodes[:0]], [nodes[:0]]
     while len(left) > 1:
         root, frontier, left = left[0], left[:1], left[1:]
         while len(frontier) and len(left):
             head, frontier = frontier[:block], frontier[block:]
-            near = np.zeros(len(left), bool)
-            for x in head:
-                near |= np.bitwise_count((left ^ x).view(np.uint64)) <= radius  # of signed numbers it would count the absolute value's
-            found = left[near]
-            if len(found):
-                nodes.append(found)
-                roots.append(np.full(len(found), root))
-                frontier, left = np.concatenate([frontier, found]), left[~near]
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(nodes), np.concatenate(roots)) if nodes else (empty, empty)
+            near, (fps, chks) = np.zeros(len(left), bool), np.ascontiguousarray(left.T)
+            for x, y in head:
+                close = _distance(fps, x) <= radius
+                near |= close if check_bits is None else close & (_distance(chks, y) <= check_bits)
+            if near.any():
+                new = left[near]
+                found.append(new)
+                roots.append(np.broadcast_to(root, new.shape))
+                frontier, left = np.concatenate([frontier, new]), left[~near]
+    return np.concatenate(found), np.concatenate(roots)
+
+
+def _mix(bucket: int, masked: np.ndarray, table: int) -> np.ndarray:
+    x = (masked.view(np.uint64) ^ np.uint64((bucket * 0x9E3779B97F4A7C15 + table + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return (x * np.uint64(0xA0761D6478BD642F)).view(np.int64)
+
 
+STAR = ["fp", "chk", "root_fp", "root_chk", "bucket"]
 
-def _stars(keyed: DataFrame, radius: int) -> DataFrame:
-    """keyed: bucket, fp, ordered by bucket inside partitions. Gives (node, root) of each bucket."""
+
+def _stars(keyed: DataFrame, radius: int, check_bits: int | None, split: int | None) -> DataFrame:
+    """keyed: bucket, fp, chk, ordered by bucket inside partitions. Gives the stars of each bucket.
+
+    Of a bucket with over `split` nodes it gives their further buckets instead, with null roots. The
+    last TABLE_BITS bits of a bucket tell its table.
+    """
+    masks = covering_masks(BITS, radius)
+    inner = [covering_masks([i for i in range(BITS) if not m >> i & 1], radius) for m in masks]
+
+    def stars(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        a, b = bucket_stars(np.concatenate(own, axis=0), radius, check_bits)
+        if len(a):
+            arrays = [pa.array(np.ascontiguousarray(x)) for x in (*a.T, *b.T)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(a), pa.int64())], STAR)
+
+    def deal(bucket: int, own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(own, axis=0)
+        fp, chk = (pa.array(np.ascontiguousarray(x)) for x in rows.T)
+        none = pa.nulls(len(rows), pa.int64())
+        for t, m in enumerate(inner[bucket & ((1 << TABLE_BITS) - 1)]):
+            yield pa.RecordBatch.from_arrays([fp, chk, none, none, pa.array(_mix(bucket, rows[:, 0] & np.int64(m - (1 << BITS) if m >> (BITS - 1) else m), t))], STAR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, []
+        key, held, size, large = None, [], 0, False
 
-        def flush() -> pa.RecordBatch | None:
-            if sum(map(len, held)) < 2:
-                return None
-            a, b = bucket_stars(np.concatenate(held), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["node", "root"]) if len(a) else None
+        def end() -> Iterator[pa.RecordBatch]:
+            if large:
+                yield from deal(key, held) if held else ()
+            elif size > 1:
+                yield from stars(held)
 
         for batch in batches:
-            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(keys):
-                continue
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            bounds = [0, *cuts.tolist(), len(keys)]
-            out = []
+            keys = batch.column(0).to_numpy()
+            rows = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
+            bounds = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else [0]
             sizes = np.diff(bounds)
-            for i in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
+            edge = (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)
+            for i in np.flatnonzero((sizes > 1) | edge).tolist():
                 a, b = bounds[i], bounds[i + 1]
-                if keys[a] != held_key:
-                    out.append(flush())
-                    held_key, held = keys[a], []
-                held.append(fps[a:b])
-            yield from (x for x in out if x is not None)
-        if (last := flush()) is not None:
-            yield last
+                if keys[a] != key:
+                    yield from end()
+                    key, held, size, large = int(keys[a]), [], 0, False
+                held.append(rows[a:b])
+                size += b - a
+                if split and size > split:  # from here on the bucket passes through
+                    large = True
+                    yield from deal(key, held)
+                    held = []
+        yield from end()
 
-    return keyed.mapInArrow(run, "node long, root long")
+    return keyed.mapInArrow(run, ", ".join(f"{c} long" for c in STAR))
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """node, root for each node of edges (node, root); root is the smallest node of its component.
 
     Each round hooks every root to its smallest neighbouring root and shortens paths, so paths
-    collapse in about log(length) rounds. Nothing but a count reaches the driver.
+    collapse in about log(length) rounds. Nothing but counts reaches the driver, and nodes or roots
+    with many rows are joined by common.lookup.
     """
     both = edges.select("node", "root").filter("node <> root")
     parents = common.stored(
@@ -141,57 +211,83 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     while live.limit(1).count():
         held = common.stored(live.groupBy("hi").agg(F.min("lo").alias("lo")), "cc-hooks")
         while True:  # hooks form chains to smaller nodes; halve them until each points to a root
-            hooks = held.select("hi", "lo")
-            nxt = hooks.select(F.col("hi").alias("lo"), F.col("lo").alias("further"))
-            jumped = hooks.join(nxt, "lo", "left").select("hi", F.coalesce("further", "lo").alias("lo"), F.col("further").isNotNull().alias("moved"))
-            held = common.stored(jumped, "cc-hooks", held)
-            if not held.filter("moved").limit(1).count():
+            nxt = held.select(F.col("hi").alias("lo"), F.col("lo").alias("further"))
+            jumped = common.lookup(held, nxt, "lo").select("hi", F.coalesce("further", "lo").alias("lo"), F.col("further").isNotNull().alias("moved"))
+            moved = common.stored(jumped, "cc-jumped")
+            common.dropped(held)
+            going = moved.filter("moved").limit(1).count()
+            held = common.stored(moved.select("hi", "lo"), "cc-hooks", moved)
+            if not going:
                 break
-        hooks = held.select("hi", "lo")
-        up = hooks.select(F.col("hi").alias("parent"), F.col("lo").alias("above"))
-        parents = common.stored(parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")), "cc-parents", parents)
-        a = live.join(hooks.select("hi", F.col("lo").alias("a")), "hi").select("a", "lo")
-        b = a.join(hooks.select(F.col("hi").alias("lo"), F.col("lo").alias("b")), "lo", "left").select("a", F.coalesce("b", "lo").alias("b"))
-        live = common.stored(b.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc-edges", live)
+        up = held.select(F.col("hi").alias("parent"), F.col("lo").alias("above"))
+        parents = common.stored(common.lookup(parents, up, "parent").select("node", F.coalesce("above", "parent").alias("parent")), "cc-parents", parents)
+        left = common.stored(common.lookup(live, held.select("hi", F.col("lo").alias("a")), "hi").select(F.coalesce("a", "hi").alias("a"), "lo"), "cc-left", live)
+        right = common.lookup(left, held.select(F.col("hi").alias("lo"), F.col("lo").alias("b")), "lo").select("a", F.coalesce("b", "lo").alias("b"))
+        live = common.stored(right.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc-edges", left)
         common.dropped(held)
-    return parents.select("node", F.col("parent").alias("root"))
+    common.dropped(live)
+    out = parents.select("node", F.col("parent").alias("root"))
+    out.stored_at = parents.stored_at
+    return out
 
 
-def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """prints: doc_id, fp, stored. Adds component_id, the smallest doc_id reachable by links."""
+def classes(prints: DataFrame, radius: int = RADIUS, check_bits: int | None = None, split: int = SPLIT) -> DataFrame:
+    """prints: stored, with fp and chk. A stored table of each distinct (fp, chk) with its class, its number of rows and its class's."""
     spark = prints.sparkSession
-    nodes = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "simhash-nodes")
+    nodes = common.stored(prints.groupBy("fp", "chk").agg(F.count("*").alias("copies")), "simhash-nodes")
     masks = covering_masks(BITS, radius)
-    signed = [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in masks]
-    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])
-    keyed = nodes.select("fp", F.explode(tables).alias("bucket")).select("bucket", "fp")
+    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+    tables = F.array(*[F.shiftleft(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))), TABLE_BITS).bitwiseOR(F.lit(t)) for t, m in enumerate(signed)])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = common.stored(_stars(keyed.repartition(n, "bucket").sortWithinPartitions("bucket"), radius).distinct(), "simhash-edges")
+    dealt = lambda rows: rows.select("bucket", "fp", "chk").repartition(n, "bucket").sortWithinPartitions("bucket")
+    keyed = nodes.select("fp", "chk", F.explode(tables).alias("bucket"))
+    found = common.stored(_stars(dealt(keyed), radius, check_bits, split), "simhash-stars")
+    again = found.filter(F.col("root_fp").isNull()).distinct()
+    stars = found.filter(F.col("root_fp").isNotNull())
+    if again.limit(1).count():
+        stars = stars.unionByName(_stars(dealt(again), radius, check_bits, None))
+    node = lambda *c: F.col(c[0]) if check_bits is None else F.xxhash64(*c)
+    edges = common.stored(stars.select(node("fp", "chk").alias("node"), node("root_fp", "root_chk").alias("root")).distinct(), "simhash-edges", None)
+    common.dropped(found)
     roots = components(spark, edges)
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = common.stored(linked, "simhash-linked")
-    ids = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("members"))
-    ids = common.stored(ids.withColumnRenamed("members", "rows"), "simhash-ids")
-    classes = common.attach_by_key(linked.select("root", "fp", "copies"), ids, "root", "rows").select("fp", "copies", "component_id")
-    per_fp = common.stored(classes, "simhash-classes")
-    for table in (nodes, edges, linked, ids):
+    linked = nodes.withColumn("node", node("fp", "chk")).join(roots, "node", "left").select("fp", "chk", "copies", F.coalesce("root", "node").alias("root"))
+    out = common.stored(linked, "simhash-linked")
+    for table in (nodes, edges, roots):
         common.dropped(table)
-    return common.attach_by_key(prints, per_fp, "fp", "copies").select("doc_id", "fp", "component_id")
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id of each row of docs."""
-    return link(common.stored(fingerprints(docs), "simhash-prints"), radius)
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are near-duplicates of a document with a smaller id.
-
-    Of rows with one id and one text one stays; rows with a null id all stay.
-    """
-    firsts = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").withColumn("text_key", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return out
+
+
+def _with_class(prints: DataFrame, linked: DataFrame) -> DataFrame:
+    """prints with root, the class of their (fp, chk); one with many rows is joined apart."""
+    node = F.struct("fp", "chk")
+    per = linked.select(node.alias("node"), "copies", "root")
+    return common.attach_by_key(prints.withColumn("node", node), per, "node", "copies").drop("node", "copies")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable by links) of each row of docs."""
+    prints = common.stored(fingerprints(docs, width), "simhash-prints")
+    linked = classes(prints, radius)
+    rows = common.stored(_with_class(prints, linked), "simhash-rows", prints)
+    common.dropped(linked)
+    ids = common.stored(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")), "simhash-ids")
+    return common.attach_by_key(rows, ids, "root", "rows").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = NEAR_RADIUS, check_bits: int = FIVE_BITS) -> DataFrame:
+    """One row of each class of near-duplicates, with all its columns; see the head of the module."""
+    prints = common.stored(fingerprints(docs, NEAR_WIDTH, FIVE), "simhash-prints")
+    linked = classes(prints, radius, check_bits)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("own_key"))
+    # of each class the first row's key, and how many rows have that key
+    rows = common.stored(_with_class(prints, linked).groupBy("root", order.alias("at")).agg(F.count("*").alias("times")), "simhash-rows", prints)
+    common.dropped(linked)
+    best = rows.groupBy("root").agg(F.min(F.struct("at", "times")).alias("first"))
+    key, times = common.fresh(docs, "key", "times")
+    firsts = common.stored(best.select(F.col("first.at.own_key").alias(key), F.col("first.times").alias(times)).groupBy(key).agg(F.sum(times).alias(times)), "simhash-firsts", rows)
+    kept = common.attach_by_key(docs.withColumn(key, row_key()), firsts, key, times)
+    once = kept.filter(F.col(times) == 1).unionByName(kept.filter(F.col(times) > 1).dropDuplicates([key, "doc_id"]))
+    return once.select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,8 +51,8 @@ def test_bucket_stars_link_whole_components(seed):
     r = np.random.default_rng(seed)
     base = r.integers(-(2**62), 2**62, 4)
     fps = np.concatenate([np.bitwise_xor.reduce(np.stack([np.full(60, b), *[np.int64(1) << r.integers(0, 64, 60) for _ in range(3)]]), axis=0) for b in base])
-    nodes, roots = simhash.bucket_stars(fps)
-    parent = dict(zip(nodes.tolist(), roots.tolist()))
+    nodes, roots = simhash.bucket_stars(np.stack([fps, np.zeros_like(fps)], axis=1))
+    parent = dict(zip(nodes[:, 0].tolist(), roots[:, 0].tolist()))
     want = classes([f & (2**64 - 1) for f in fps.tolist()])
     groups = {}
     for f in set(fps.tolist()):
@@ -86,6 +86,30 @@ def test_query_against_all_pairs(spark, tmp_path):
     assert len({x.component_id for x in found if (x.doc_id or 0) >= 1_000 and x.doc_id < 2_000}) < 40  # near copies link
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_large_buckets_are_dealt_again(spark, seed):
+    """Every bucket of over five nodes is split; the classes are those of all pairs."""
+    r = random.Random(seed)
+    fps = set()
+    for base in (r.getrandbits(64), r.getrandbits(64)):
+        for _ in range(150):
+            fps.add(base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 3))))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    prints = common.stored(spark.createDataFrame([(f, 0) for f in signed], "fp long, chk long"), "test")
+    found = {x.fp & (2**64 - 1): x.root for x in simhash.classes(prints, split=5).collect()}
+    want = classes(list(fps))
+    assert found.keys() == want.keys()
+    assert len({(found[f], want[f]) for f in fps}) == len(set(found.values())) == len(set(want.values()))
+
+
+def test_hot_roots_are_looked_up_apart(spark):
+    left = common.stored(spark.range(9_000).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k")), "test")
+    right = spark.range(0, 9_000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).unionByName(spark.createDataFrame([(7, 70)], "k long, v long"))
+    out = common.lookup(left, right, "k")
+    assert out.count() == 9_000 and out.filter("k = 7").select("v").distinct().collect()[0].v == 70
+    assert out.filter("k <> 7 and k % 2 = 1 and v is not null").count() == 0 == out.filter("k % 2 = 0 and v <> 2 * k").count()
+
+
 def test_one_of_each_group_stays(spark):
     docs = awkward(spark, *[(50 + i, "five copies of this text") for i in range(5)])
     kept = simhash.keep_one(docs)
@@ -94,6 +118,33 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(documents(spark, [])).count() == 0
 
 
+def test_keep_one_keeps_columns_and_one_row_of_repeated_ids(spark):
+    names = ["text_key", "fp", "root", "row", "copies", "row_key", "chk", "node", "key", "times"]
+    rows = [(3, "T t tt", 1), (5, "U u uu", 2), (5, "T t tt", 3), (None, "T t tt", 4), (None, "V v vv", 5), (None, "V v vv", 5), (9, "W w ww", 6), (9, "W w ww", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark long")
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("mark").cast("string")))
+    kept = simhash.keep_one(docs)
+    assert kept.schema == docs.schema
+    out = sorted(kept.collect(), key=str)
+    assert sorted(str((r.doc_id, r.text)) for r in out) == sorted(str(x) for x in [(3, "T t tt"), (5, "U u uu"), (None, "V v vv"), (9, "W w ww")])
+    assert all(r[n] == f"{n}{r.mark}" for r in out for n in names)
+
+
+def test_keep_one_finds_near_copies_of_similarity_above_nine_tenths(spark):
+    r = random.Random(2)
+    fresh = lambda n: [f"w{r.randint(0, 5_000)}" for _ in range(n)]
+    rows = []
+    for i in range(150):
+        words = fresh(300)
+        rows.append((i, " ".join(words)))
+        for at in r.sample(range(300), 2):
+            words[at] = f"x{i}"
+        rows.append((1_000 + i, " ".join(words)))
+    kept = {x.doc_id for x in simhash.keep_one(documents(spark, rows)).collect()}
+    assert set(range(150)) <= kept and len(kept) < 150 + 15
+
+
 def test_attach_by_key_with_a_hot_key(spark):
     left = spark.range(3_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     per = common.stored(left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m")), "test")
