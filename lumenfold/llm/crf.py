@@ -19,8 +19,8 @@ alike; an empty table gives an empty result; language, source and id are never i
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +42,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """The runs of letters of a text in small letters; numerals such as ½ or Ⅷ, which the pattern takes as well, part them."""
+    found = _LETTERS.findall(text.lower()) if text else []
+    if all(w.isascii() or w.isalpha() for w in found):
+        return found
+    return [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -243,20 +247,15 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     It is fitted on about sample_docs documents at most, and of each language on about LANG_DOCS more
     where that sample holds fewer (all of them if there are no more).
     """
-    usable = docs.filter(F.col("lang").isNotNull() & ~common.held_out(3, 1)).select("doc_id", "text", "lang")
+    usable = docs.filter(F.col("lang").isNotNull() & ~common.held_out(3, 1)).select("text", "lang")
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # reads no text
     usable = usable.filter(F.col("text").isNotNull())
-    total, space = sum(counts.values()), 1 << 20
-    if total <= sample_docs:
-        some = usable
-    else:  # by the hash of common.hashed_sample; a language's rate is never under that of the whole
-        place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(space))
-        rates = {lang: min(1.0, max(sample_docs / total, LANG_DOCS / n)) for lang, n in counts.items()}
-        bounds = F.create_map(*[F.lit(x) for lang, rate in rates.items() for x in (lang, math.ceil(space * rate))])
-        some = usable.filter(place < bounds[F.col("lang")])
-    found = {(r["text"], r["lang"]) for r in some.collect()}
-    for lang in sorted(set(counts) - {lang for _, lang in found}):  # the hash left out all of its texts
-        found |= {(r["text"], r["lang"]) for r in usable.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", F.lit(7)), "text").limit(LANG_DOCS).collect()}
+    size, total = F.octet_length("text"), sum(counts.values())
+    found = {(r["text"], r["lang"]) for r in common.bounded_sample(usable, sample_docs, size, total=total).collect()}
+    held = Counter(lang for _, lang in found)
+    for lang in sorted(lang for lang, n in counts.items() if held[lang] < min(n, LANG_DOCS)):  # the rare ones
+        own = usable.filter(F.col("lang") == lang)
+        found |= {(r["text"], r["lang"]) for r in common.bounded_sample(own, LANG_DOCS, size, common.SAMPLE_BYTES // 16, counts[lang]).collect()}
     rows = sorted(found)
     labels = sorted({lang for _, lang in rows})
     field = Field(labels)
