@@ -1,20 +1,26 @@
 """Toxicity scores by a weighted finite-state pattern grammar over clauses.
 
-Words become class symbols by the lexicon transducer: a trie of whole words and word beginnings
-("pref*") with weights, for insults, threats, targets, negations and reported speech. Small
-transducers over these symbols (insult and threat emit their weight, a target nearby strengthens,
-a negation or a reporting verb before weakens) are composed into one machine, compiled to a table,
-and run over each clause; a clause scores what its match gives, never its words one by one. The
-document's score is a logistic function of its best clause, the sum over clauses, and the number
-of clauses that matched.
+Words become symbols by the lexicon transducer, a trie of whole words and word beginnings ("pref*"):
+insults in grades, threats, targets (second persons), objects (third persons that follow a verb),
+negations and reporting verbs. Four transducers over symbols are composed with it and compiled into
+one table: negation and report mark the insults and threats in their scope as weakened; insult gives
+a marked insult's weight, more of it if a target stands shortly before; threat gives its weight only
+where the threat has its object, a target on either side or an object after it, so "kill the
+process" matches nothing. Path weights are summed. The table is run over each clause, and a clause scores
+what its path gives, never its words one by one. The document's score is a logistic function of its
+best clause, the sum over clauses, and the number of clauses that matched.
 
 Insults are a fixed list and what labelled rows teach: beginnings of words and whole words that
-stand in toxic texts far more often than chance allows. At most `SAMPLE_ROWS` labelled rows are
-used, equal texts once. No score sees labels, language, source or id.
-
-Defined cases: null and empty texts have no clause and get the score of that; without labels of
-both kinds the fixed lists and default weights hold; a row labelled twice counts twice; repeated
-rows score alike; an empty table gives an empty result.
+stand in toxic texts far more often than chance allows, all that pass that test. At most
+`SAMPLE_ROWS` labelled rows and common.SAMPLE_BYTES of text are used, equal texts once and near copies
+as one; they are counted by tasks, and the driver sees hashes, counts of entries and features, no texts.
+No score sees labels, language, source or id.
+
+Defined cases: null and empty texts have no clause and get the score of that; texts of any length are
+read whole; without labels of both kinds the fixed lists and default weights hold; a row labelled
+twice alike counts once, with both labels once for each; the longest learned beginning wins, of equal
+evidence the longer and then the smaller entry is kept; repeated rows score alike; an empty table
+gives an empty result; drop_toxic() keeps further columns, score() ignores them, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +29,9 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -35,127 +42,199 @@ from . import common
 
 #: Labelled rows, at most, from which the grammar learns.
 SAMPLE_ROWS = 12_000
-MAX_LEARNED = 500
 
 # Seed lexicon (fixed values): common words of each class in four languages.
-INSULT = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool imbecile dumm idiotisch trottel abschaum connard imbécile stupide ordure tonto estúpido basura imbécil".split()
-THREAT = "kill hurt destroy burn beat stab shoot töten umbringen vernichten tuer frapper détruire matar golpear destruir".split()
-TARGET = "you your yours he him she her they them du dich dir sie ihr tu te toi vous il elle tú usted ellos él ella".split()
-NEGATION = "not never no cannot isn't aren't wasn't don't doesn't nicht nie kein keine pas jamais aucun nunca jamás ningún".split()
-REPORT = "said says say called calls claimed claims wrote quoted reported sagte sagt schrieb dit écrit dijo escribió".split()
-
-CLASSES = ("other", "insult", "threat", "target", "negation", "report")
+INSULT = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown dumb fool imbecile dumm idiotisch trottel abschaum connard imbécile stupide ordure tonto estúpido basura imbécil".split()
+THREAT = (
+    "kill kills killed killing hurt hurts hurting destroy destroyed destroying burn burned burning beat beaten beating stab stabbed stabbing shoot shot shooting murder murdered strangle strangled "
+    "töten tötet getötet umbringen umgebracht vernichten vernichtet erschießen verprügeln tuer tue tué frapper frappé détruire détruit égorger matar mataré mata matado golpear golpeado destruir destruido"
+).split()
+TARGET = "you your yours yourself u ya du dich dir dein deine ihr euch tu te toi ton vous votre tú ti usted ustedes vosotros".split()
+OBJECT = "him her them those sie ihn ihnen lui eux leur los las ellos ellas".split()
+NEGATION = "not never no cannot can't isn't aren't wasn't don't doesn't won't nicht nie kein keine pas jamais aucun nunca jamás ningún".split()
+REPORT = "said says say called calls claimed claims wrote quoted reported alleged sagte sagt schrieb dit écrit dijo escribió".split()
+
+#: Symbols: the classes, then insults of weight GRADE, 2 * GRADE and so on.
+CLASSES = ("other", "threat", "target", "object", "negation", "report")
+OTHER, THREATS, TARGETS, OBJECTS, NEGATED, REPORTED = range(6)
+GRADE, GRADES = 0.5, 12
+INSULTS = len(CLASSES)
+SYMBOLS = INSULTS + GRADES
+INSULT_WEIGHT, THREAT_WEIGHT, MAX_WEIGHT = 3.0, 3.0, GRADE * GRADES
+#: What is left of a weight for each mark: none, negated, reported, both.
+LEFT = (1.0, 0.25, 0.4, 0.1)
+#: Words that negations and reports reach, that a target reaches towards an insult and a threat, and a threat towards its object.
+NEGATION_REACH, REPORT_REACH, INSULT_REACH, TARGET_REACH, OBJECT_REACH = 3, 6, 4, 8, 4
+TARGETED = 1.5
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:\n]")
 _ENDS = frozenset(".!?;:\n")
 
 
 class Transducer:
-    """A deterministic weighted transducer over class numbers: (state, class) -> (state, weight).
+    """A deterministic weighted transducer: (state, symbol) -> (state, symbol out, weight).
+
+    Symbols are numbers; a mark in 0..3 times SYMBOLS is added to those of weakened insults and threats.
+    """
+
+    def __init__(self, start, step: Callable[[Any, int], tuple[Any, int, float]]):
+        self.start, self.step = start, step
+
+
+def weakening(symbol: int, reach: int, mark: int) -> Transducer:
+    """Marks insults and threats for `reach` words after `symbol`; the state is how many words are left."""
+
+    def step(left: int, s: int) -> tuple[int, int, float]:
+        kind = s % SYMBOLS
+        if kind == symbol:
+            return reach, s, 0.0
+        hit = left and (kind == THREATS or kind >= INSULTS)
+        return max(left - 1, 0), s + mark * SYMBOLS if hit else s, 0.0
+
+    return Transducer(0, step)
+
+
+def insult() -> Transducer:
+    """Gives an insult's weight, TARGETED times if a target stands in the INSULT_REACH words before it."""
+
+    def step(left: int, s: int) -> tuple[int, int, float]:
+        kind, mark = s % SYMBOLS, s // SYMBOLS
+        gain = GRADE * (kind - INSULTS + 1) * LEFT[mark] * (TARGETED if left else 1.0) if kind >= INSULTS else 0.0
+        return INSULT_REACH if kind == TARGETS else max(left - 1, 0), s, gain
+
+    return Transducer(0, step)
 
-    Weights multiply what an insult or threat emits; `default` loops on every class not named.
+
+def threat() -> Transducer:
+    """Gives THREAT_WEIGHT where a threat has its object; the state: words a target still reaches, words the
+    threat still reaches, and its mark.
     """
 
-    def __init__(self, start: str, arcs: dict[tuple[str, int], tuple[str, float]]):
-        self.start, self.arcs = start, arcs
+    def step(state: tuple[int, int, int], s: int) -> tuple[tuple[int, int, int], int, float]:
+        target, waits, held = state
+        kind, mark = s % SYMBOLS, s // SYMBOLS
+        after = max(target - 1, 0), max(waits - 1, 0), held if waits > 1 else 0
+        if kind == THREATS:
+            return (after, s, THREAT_WEIGHT * LEFT[mark]) if target else ((after[0], OBJECT_REACH, mark), s, 0.0)
+        if kind in (TARGETS, OBJECTS):
+            reach = TARGET_REACH if kind == TARGETS else after[0]
+            return (reach, 0, 0), s, THREAT_WEIGHT * LEFT[held] if waits else 0.0
+        return after, s, 0.0
+
+    return Transducer((0, 0, 0), step)
 
-    def step(self, state: str, symbol: int) -> tuple[str, float]:
-        return self.arcs.get((state, symbol), (state, 1.0))
 
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """second reads what first writes; weights add."""
 
-def scope(symbol: int, reach: int, factor: float) -> Transducer:
-    """For `reach` words after `symbol`, insults and threats are multiplied by factor."""
-    arcs = {}
-    for k in range(reach + 1):
-        for s in range(len(CLASSES)):
-            arcs[str(k), s] = (str(max(k - 1, 0)), factor if k and s in (1, 2) else 1.0)
-        arcs[str(k), symbol] = (str(reach), 1.0)
-    return Transducer("0", arcs)
+    def step(state: tuple, s: int) -> tuple[tuple, int, float]:
+        a, mid, x = first.step(state[0], s)
+        b, out, y = second.step(state[1], mid)
+        return (a, b), out, x + y
 
+    return Transducer((first.start, second.start), step)
 
-def compose(machines: list[Transducer]) -> tuple[np.ndarray, np.ndarray]:
-    """The product of the machines as tables next[state, class] and weight[state, class]; state 0 starts."""
-    start = tuple(m.start for m in machines)
-    ids, todo, nxt, weight = {start: 0}, [start], [], []
+
+def compiled(machine: Transducer) -> tuple[list[list[int]], list[list[float]]]:
+    """next[state][symbol] and weight[state][symbol] of the reachable states; state 0 starts."""
+    ids, todo, nxt, weight = {machine.start: 0}, [machine.start], [], []
     for state in todo:
-        row, gain = [], []
-        for symbol in range(len(CLASSES)):
-            moves = [m.step(s, symbol) for m, s in zip(machines, state)]
-            to = tuple(s for s, _ in moves)
+        moves = [machine.step(state, s) for s in range(SYMBOLS)]
+        for to, _, _ in moves:
             if to not in ids:
                 ids[to] = len(ids)
                 todo.append(to)
-            row.append(ids[to])
-            gain.append(math.prod(w for _, w in moves))
-        nxt.append(row)
-        weight.append(gain)
-    return np.array(nxt), np.array(weight)
+        nxt.append([ids[to] for to, _, _ in moves])
+        weight.append([w for _, _, w in moves])
+    return nxt, weight
 
 
-GRAMMAR = (scope(4, 3, 0.25), scope(5, 6, 0.4), scope(3, 4, 1.5))
+GRAMMAR = reduce(compose, (weakening(NEGATED, NEGATION_REACH, 1), weakening(REPORTED, REPORT_REACH, 2), insult(), threat()))
 
 
-class Grammar:
-    """The lexicon and the composed machine, with the weights of the final logistic function."""
+def grade(weight: float) -> int:
+    """The symbol of an insult of about that weight."""
+    return INSULTS + min(GRADES, max(1, round(weight / GRADE))) - 1
+
+
+class Lexicon:
+    """The transducer from the letters of a word to its symbol: a trie, in which `whole` holds the symbols of
+    words that end there and `begins` those of beginnings. Its paths are remembered for each word.
+    """
 
     CACHE = 200_000
 
-    def __init__(self, learned: dict[str, float] | None = None):
-        self.words: dict[str, tuple[int, float]] = {}
-        for symbol, words in ((3, TARGET), (4, NEGATION), (5, REPORT)):
-            self.words |= {w: (symbol, 0.0) for w in words}
-        self.words |= {w: (2, 1.0) for w in THREAT} | {w: (1, 3.0) for w in INSULT}
-        self.prefixes: dict[str, float] = {}
-        for entry, weight in (learned or {}).items():
-            if entry.endswith("*"):
-                self.prefixes[entry[:-1]] = weight
-            else:
-                self.words[entry] = (1, weight)
-        self.lengths = sorted({len(p) for p in self.prefixes})
-        nxt, gain = compose(list(GRAMMAR))
-        self.next, self.gain = nxt.tolist(), gain.tolist()
-        self.coef = np.array([-4.0, 1.2, 0.4, 0.2])
-        self.seen: dict[str, tuple[int, float] | None] = {}
+    def __init__(self, learned: dict[str, float]):
+        self.arcs: dict[tuple[int, str], int] = {}
+        self.whole: dict[int, int] = {}
+        self.begins: dict[int, int] = {}
+        self.states = 1
+        for symbol, words in ((TARGETS, TARGET), (OBJECTS, OBJECT), (NEGATED, NEGATION), (REPORTED, REPORT), (THREATS, THREAT), (grade(INSULT_WEIGHT), INSULT)):
+            for w in words:
+                self.whole[self._path(w)] = symbol
+        for entry, weight in learned.items():
+            (self.begins if entry.endswith("*") else self.whole)[self._path(entry.rstrip("*"))] = grade(weight)
+        self.seen: dict[str, int] = {}
+
+    def _path(self, word: str) -> int:
+        state = 0
+        for ch in word:
+            state = self.arcs.setdefault((state, ch), self.states)
+            self.states = max(self.states, state + 1)
+        return state
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"seen": {}}
 
-    def lookup(self, word: str) -> tuple[int, float] | None:
-        """The class and weight of a word; the longest learned beginning wins; None for others."""
-        try:
-            return self.seen[word]
-        except KeyError:
-            pass
-        found = self.words.get(word)
-        if found is None or found[0] > 2:
-            for n in self.lengths:
-                if n <= len(word) and (w := self.prefixes.get(word[:n])) is not None:
-                    found = (1, w)
-        if len(self.seen) >= self.CACHE:
-            self.seen.clear()
-        self.seen[word] = found
+    def __call__(self, word: str) -> int:
+        found = self.seen.get(word)
+        if found is None:
+            found = self._symbol(word)
+            if len(self.seen) >= self.CACHE:
+                self.seen.clear()
+            self.seen[word] = found
         return found
 
+    def _symbol(self, word: str) -> int:
+        """Listed or learned insults and threats, then the longest learned beginning, then the other classes."""
+        state, begin = 0, None
+        for ch in word:
+            state = self.arcs.get((state, ch))
+            if state is None:
+                return OTHER if begin is None else begin
+            begin = self.begins.get(state, begin)
+        own = self.whole.get(state, OTHER)
+        return own if begin is None or own == THREATS or own >= INSULTS else begin
+
+
+class Grammar:
+    """The lexicon and the composed machine, with the weights of the final logistic function."""
+
+    def __init__(self, learned: dict[str, float] | None = None):
+        self.lexicon = Lexicon(learned or {})
+        self.next, self.gain = compiled(GRAMMAR)
+        self.coef = np.array([-4.0, 1.2, 0.4, 0.2])
+
     def clauses(self, text: str | None) -> list[float]:
         """The weight of each clause that the grammar matches."""
         out: list[float] = []
         tokens = _TOKEN.findall((text or "").lower())
-        lookup = self.lookup
-        hits = [i for i, t in enumerate(tokens) if (f := lookup(t)) is not None and f[0] in (1, 2)]
+        symbol = self.lexicon
+        symbols = [symbol(t) for t in tokens]
         last = -1
-        for i in hits:
+        for i in [i for i, s in enumerate(symbols) if s >= INSULTS or s == THREATS]:
             if i <= last:
                 continue
             a = i
-            while a > 0 and i - a < 64 and tokens[a - 1] not in _ENDS:
+            while a > 0 and tokens[a - 1] not in _ENDS and a > last + 1:
                 a -= 1
             state, total, j = 0, 0.0, a
             while j < len(tokens) and tokens[j] not in _ENDS:
-                symbol, weight = lookup(tokens[j]) or (0, 0.0)
-                total += weight * self.gain[state][symbol]
-                state = self.next[state][symbol]
+                total += self.gain[state][symbols[j]]
+                state = self.next[state][symbols[j]]
                 j += 1
             last = j
-            out.append(total)
+            if total:
+                out.append(total)
         return out
 
     def features(self, text: str | None) -> tuple[float, float, float]:
@@ -173,13 +252,20 @@ def _entries(word: str) -> Iterator[str]:
         yield word[:n] + "*"
 
 
-def copies(texts: list[str], width: int = 5, keys: int = 3) -> list[int]:
-    """A group number for each text; near copies share it.
+def copy_keys(text: str, width: int = 5, keys: int = 3) -> list[int]:
+    """A few minimum hashes of a text's runs of `width` words."""
+    words = text.lower().split()
+    runs = {" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+    hashes = np.array([zlib.crc32(r.encode("utf-8", "replace")) for r in runs], np.uint64)
+    return [int(((hashes * np.uint64(2 * k * 0x9E3779B1 + 0x85EBCA6B) + np.uint64(k)) & np.uint64(0xFFFFFFFF)).min()) for k in range(keys)]
+
+
+def copies(keys: list[list[int]]) -> list[int]:
+    """A group number for each text; texts that share one of their keys are one group.
 
-    Texts with one of a few minimum hashes of their runs of `width` words in common are one group:
-    else the chance words of one much copied text would look like marks of its label.
+    Else the chance words of one much copied text would look like marks of its label.
     """
-    parent = list(range(len(texts)))
+    parent = list(range(len(keys)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -188,100 +274,138 @@ def copies(texts: list[str], width: int = 5, keys: int = 3) -> list[int]:
         return i
 
     seen: dict[tuple[int, int], int] = {}
-    for i, text in enumerate(texts):
-        words = text.lower().split()
-        runs = {" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
-        hashes = np.array([zlib.crc32(r.encode("utf-8", "replace")) for r in runs], np.uint64)
-        for k in range(keys):
-            key = k, int(((hashes * np.uint64(2 * k * 0x9E3779B1 + 0x85EBCA6B) + np.uint64(k)) & np.uint64(0xFFFFFFFF)).min())
+    for i, own in enumerate(keys):
+        for key in enumerate(own):
             a, b = root(i), root(seen.setdefault(key, i))
             parent[max(a, b)] = min(a, b)
-    return [root(i) for i in range(len(texts))]
+    return [root(i) for i in range(len(keys))]
 
 
-def learn_lexicon(texts: list[str], labels: list[int], groups: list[int] | None = None) -> dict[str, float]:
-    """Words and beginnings of words that mark label 1, with weights (smoothed log odds, at most 6).
+def entries(text: str) -> set[str]:
+    return {e for w in set(_TOKEN.findall(text.lower())) if len(w) >= 3 for e in _entries(w)}
 
-    Groups of near copies (by default found by copies()) count once for each label.
-    """
-    pos, neg = Counter(), Counter()
-    keys = list(zip(groups or copies(texts), labels))
-    order = sorted(range(len(texts)), key=lambda i: keys[i])
-    for key, own in groupby(order, key=lambda i: keys[i]):
-        found: set[str] = set()
-        for i in own:
-            for w in set(_TOKEN.findall(texts[i].lower())):
-                if len(w) >= 3:
-                    found.update(_entries(w))
-        (pos if key[1] else neg).update(found)
-    labels = [y for _, y in set(keys)]
-    n1 = sum(labels)
-    n0 = len(labels) - n1
-    if not n1 or not n0:
-        return {}
-    base = n1 / (n0 + n1)
-
-    def evidence(a: int, b: int) -> float:
-        """Log likelihood ratio of a of a+b being toxic against the base rate."""
+
+class Evidence:
+    """The test that an entry of `a` toxic and `b` other groups must pass, of n1 and n0, with `seen` entries in toxic ones."""
+
+    SHARE = 0.85
+
+    def __init__(self, n1: int, n0: int, seen: int):
+        self.n1, self.n0 = n1, n0
+        self.base = n1 / (n0 + n1)
+        self.least = max(2, n1 // 400)
+        self.enough = 3 + math.log(seen + 1)  # so that of all entries seen few pass by chance
+
+    def of(self, a, b, log=np.log, greatest=max):
+        """Log likelihood ratio against the base rate."""
         q = (a + 0.01) / (a + b + 0.02)
-        return a * math.log(q / base) + b * math.log(max(1 - q, 1e-9) / (1 - base))
-
-    least = max(2, n1 // 400)
-    enough = 3 + math.log(len(pos) + 1)  # so that of all entries seen few pass by chance
-    scored = []
-    for f, a in pos.items():
-        b = neg.get(f, 0)
-        if a >= least and a / (a + b) >= 0.85 and (e := evidence(a, b)) > enough:
-            scored.append((e, len(f), f, a, b))
-    scored.sort(key=lambda x: (-x[0], -x[1], x[2]))
-    kept: dict[str, tuple[float, int]] = {}
-    roots: dict[str, int] = {}
+        return a * log(q / self.base) + b * log(greatest(1 - q, 1e-9) / (1 - self.base))
+
+    def weight(self, a: int, b: int) -> float:
+        return min(MAX_WEIGHT, math.log((a + 0.5) / (self.n1 + 1)) - math.log((b + 0.5) / (self.n0 + 1)))
+
+
+def chosen(rows: list[tuple[str, int, int]], test: Evidence) -> dict[str, float]:
+    """Weights of the entries (entry, a, b) that pass, but for those that another one kept makes needless."""
+    scored = [(test.of(a, b), len(f), f, a, b) for f, a, b in rows]
+    scored = sorted((x for x in scored if x[0] > test.enough), key=lambda x: (-x[0], -x[1], x[2]))
+    kept: dict[str, float] = {}
+    most: dict[str, int] = {}  # of each beginning of a kept entry, the most groups of one
     for _, _, f, a, b in scored:
         stem = f.rstrip("*")
-        if any(stem[:n] in roots for n in range(3, len(stem) + 1) if stem[:n] + "*" in kept):
+        if any(stem[:n] + "*" in kept for n in range(3, len(stem) + 1)):
             continue  # a kept beginning covers it
-        if f.endswith("*") and any(g.startswith(stem) and n >= 0.9 * a for g, (_, n) in kept.items()):
+        if f.endswith("*") and most.get(stem, 0) >= 0.9 * a:
             continue  # it adds nothing to a longer kept one
-        kept[f] = (min(6.0, math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))), a)
-        roots[stem] = a
-        if len(kept) >= MAX_LEARNED:
-            break
-    return {f: w for f, (w, _) in kept.items() if w > 0}
+        kept[f] = test.weight(a, b)
+        for n in range(3, len(stem) + 1):
+            most[stem[:n]] = max(most.get(stem[:n], 0), a)
+    return {f: w for f, w in kept.items() if w > 0}
+
+
+def learn(sample: DataFrame) -> Grammar:
+    """A grammar from a stored, bounded sample with row, text and y (0 or 1).
 
+    Groups of near copies fall into two halves; each half's lexicon gives the features of the other
+    half's rows, to which the logistic weights are fitted; the final lexicon is of all rows.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([copy_keys(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["row", "y", "keys"])
 
-def fit(texts: list[str | None], labels: list[int]) -> Grammar:
-    """Lexicon from half of the rows, weights of the logistic function from the other half; then the lexicon from all."""
-    texts = [t or "" for t in texts]
-    if len(set(labels)) < 2:
+    rows = sorted(tuple(r) for r in sample.mapInArrow(keys, "row long, y int, keys array<long>").collect())  # a few numbers for each row of the sample
+    if len({y for _, y, _ in rows}) < 2:
         return Grammar()
-    groups = copies(texts)
-    halves = [[i for i in range(len(texts)) if i % 2 == k] for k in (0, 1)]
-    x, y = [], []
-    for k in (0, 1):
-        learn, use = halves[k], halves[1 - k]
-        g = Grammar(learn_lexicon(*([own[i] for i in learn] for own in (texts, labels, groups))))
-        x += [g.features(texts[i]) for i in use]
-        y += [labels[i] for i in use]
-    x1, yv = np.column_stack([np.ones(len(x)), np.array(x)]), np.array(y, float)
+    group = dict(zip([r for r, _, _ in rows], copies([k for _, _, k in rows])))
+    half = {g: zlib.crc32(b"%d" % g) % 2 for g in group.values()}
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([group[r] for r in b.column(0).to_pylist()], pa.int64())], [*b.schema.names, "grp"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, key, own = Counter(), None, set()
+        for b in batches:
+            for t, y, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if (g, y) != key:
+                    if key:
+                        counts.update((e, half[key[0]], key[1]) for e in own)
+                    key, own = (g, y), set()
+                own |= entries(t)
+        if key:
+            counts.update((e, half[key[0]], key[1]) for e in own)
+        columns = [list(c) for c in zip(*[(*k, n) for k, n in counts.items()])] or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["entry", "half", "y", "n"])
+
+    dealt = sample.mapInArrow(grouped, "row long, text string, y int, grp long").repartition("grp").sortWithinPartitions("grp", "y")
+    counted = dealt.mapInArrow(count, "entry string, half int, y int, n long")
+    of = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0))
+    table = common.stored(counted.groupBy("entry").agg(*[of(h, y).alias(f"c{h}{y}") for h in (0, 1) for y in (0, 1)]), "tox-entries")
+    n = Counter((half[g], y) for g, y in {(group[r], y) for r, y, _ in rows})
+    seen = table.agg(*[F.sum((F.col(f"c{h}1") > 0).cast("long")) for h in (0, 1)], F.count("*")).first()
+    lexica = []
+    for parts, entries_seen in (((0,), seen[0]), ((1,), seen[1]), ((0, 1), seen[2])):
+        n1, n0 = (sum(n[h, y] for h in parts) for y in (1, 0))
+        if not n1 or not n0:
+            lexica.append({})
+            continue
+        test = Evidence(n1, n0, entries_seen or 0)
+        a, b = (sum((F.col(f"c{h}{y}") for h in parts), F.lit(0)) for y in (1, 0))
+        passing = table.select("entry", a.alias("a"), b.alias("b")).filter((F.col("a") >= test.least) & (F.col("a") / (F.col("a") + F.col("b")) >= test.SHARE))
+        passing = passing.filter(test.of(F.col("a"), F.col("b"), F.log, lambda x, y: F.greatest(x, F.lit(y))) > test.enough - 1e-6)
+        lexica.append(chosen([tuple(r) for r in passing.collect()], test))  # each stands in test.least sampled rows or more
+    common.dropped(table)
+    graders = [Grammar(x) for x in lexica[:2]]
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [graders[1 - half[group[r]]].features(t) for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, pa.float64()) for c in zip(*own)]] if own else [b.column(0), b.column(2), *[pa.array([], pa.float64())] * 3], ["row", "y", "best", "sum", "n"])
+
+    found = np.array(sorted(tuple(r) for r in sample.mapInArrow(features, "row long, y int, best double, sum double, n double").collect()))
+    x, y = np.column_stack([np.ones(len(found)), found[:, 2:]]), found[:, 1]
     coef = np.array([-3.0, 0.5, 0.3, 0.1])
     for _ in range(60):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x1 @ coef, -30, 30)))
-        h = (x1 * (p * (1 - p))[:, None]).T @ x1 + 0.5 * np.eye(4)
-        coef = coef - np.linalg.solve(h, x1.T @ (p - yv) + 0.5 * coef * [0, 1, 1, 1])
-    full = Grammar(learn_lexicon(texts, labels, groups))
+        p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(4)
+        coef = coef - np.linalg.solve(h, x.T @ (p - y) + 0.5 * coef * [0, 1, 1, 1])
+    full = Grammar(lexica[2])
     full.coef = coef
     return full
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Grammar:
-    """A grammar from labelled documents outside of the held-out fifth; about `rows` of them at most."""
-    marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(5, 0)).select("doc_id", "toxic")
-    few = F.broadcast(common.hashed_sample(marked, rows))  # bounded by `rows`
-    found = docs.select("doc_id", "text").join(few, "doc_id").select("text", "toxic").collect()
-    distinct = {(r["text"] or "", int(r["toxic"] > 0)) for r in found}
-    ordered = sorted(distinct)
-    order = np.random.default_rng(0).permutation(len(ordered))
-    return fit([ordered[i][0] for i in order], [ordered[i][1] for i in order])
+    """A grammar from labelled documents outside of the held-out fifth, `rows` of them at most."""
+    marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(5, 0)).select("doc_id", (F.col("toxic") > 0).cast("int").alias("y"))
+    few = common.stored(common.bounded_sample(marked, rows, F.lit(16)), "tox-labels")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").select("text", "y")  # `rows` rows at most
+    some = common.bounded_sample(texts, rows, F.octet_length("text"))
+    sample = common.stored(some.select(F.monotonically_increasing_id().alias("row"), "text", "y"), "tox-sample")
+    grammar = learn(sample.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row"))
+    common.dropped(sample)
+    common.dropped(few)
+    return grammar
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
@@ -292,7 +416,8 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
             p = grammar.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.llm import toxicity
 
@@ -15,20 +17,77 @@ def test_grammar_scores_clauses():
     assert one("you are an idiot") > one("what an idiot") > one("he is not an idiot") > 0 == one("you are kind")
     assert one("they said idiot once") < one("what an idiot")
     assert g.clauses("an idiot. and a moron") == [3.0, 3.0] and g.clauses(None) == [] == g.clauses("")
+    assert g.score(["I will kill you"])[0] >= 0.5 > g.score(["kill the process"])[0]
+    assert one("kill the process") == 0 == one("the server was killed") and one("you will be killed") == one("I will kill you") == one("ich werde dich töten")
+    assert 0 < one("they said you will be killed") < one("you will be killed")
+    assert one("I would never hurt them") == one("hurt them") / 4 and one("they hurt") == 0
+    assert one("kill the process. you see") == 0
 
 
-def test_composition_is_the_product():
-    nxt, gain = toxicity.compose(list(toxicity.GRAMMAR))
-    r = np.random.default_rng(0)
-    for _ in range(50):
-        state, states = 0, [m.start for m in toxicity.GRAMMAR]
-        for symbol in r.integers(0, len(toxicity.CLASSES), 30):
-            want = 1.0
-            for i, m in enumerate(toxicity.GRAMMAR):
-                states[i], w = m.step(states[i], int(symbol))
-                want *= w
-            assert abs(gain[state][symbol] - want) < 1e-12
-            state = nxt[state][symbol]
+def plain(words, symbol):
+    """The weight of a clause straight from the rules, without machines."""
+    kinds = [symbol(w) for w in words]
+    at = lambda kind: [i for i, k in enumerate(kinds) if k == kind]
+
+    def left(i):
+        out = 1.0
+        for kind, reach, factor in ((toxicity.NEGATED, 3, 0.25), (toxicity.REPORTED, 6, 0.4)):
+            out *= factor if any(0 < i - j <= reach for j in at(kind)) else 1
+        return out
+
+    total, waits = 0.0, []
+    for i, k in enumerate(kinds):
+        if k >= toxicity.INSULTS:
+            near = any(0 < i - j <= 4 for j in at(toxicity.TARGETS))
+            total += 0.5 * (k - toxicity.INSULTS + 1) * left(i) * (1.5 if near else 1)
+        elif k == toxicity.THREATS:
+            if any(0 < i - j <= 8 for j in at(toxicity.TARGETS)):
+                total += 3 * left(i)
+            else:
+                waits = [i]
+        elif k in (toxicity.TARGETS, toxicity.OBJECTS):
+            total += sum(3 * left(j) for j in waits if i - j <= 4)
+            waits = []
+    return total
+
+
+def test_machine_agrees_with_the_plain_rules():
+    g = toxicity.Grammar({"grum*": 4.2, "zork": 1.0})
+    words = ["you", "them", "not", "said", "kill", "killed", "idiot", "grumble", "zork", "zorks", "a", "b", "the"]
+    r = random.Random(3)
+    for _ in range(3_000):
+        clause = [r.choice(words) for _ in range(r.randint(1, 14))]
+        want = plain(clause, g.lexicon)
+        assert sum(g.clauses(" ".join(clause))) == pytest.approx(want), clause
+
+
+def test_composition():
+    a, b = toxicity.weakening(toxicity.NEGATED, 2, 1), toxicity.insult()
+    both, r = toxicity.compose(a, b), np.random.default_rng(0)
+    x, y, z = a.start, b.start, both.start
+    for s in r.integers(0, toxicity.SYMBOLS, 500).tolist():
+        x, mid, _ = a.step(x, s)
+        y, out, w = b.step(y, mid)
+        z, other, v = both.step(z, s)
+        assert z == (x, y) and other == out and v == w
+
+
+def test_lexicon_precedence():
+    lex = toxicity.Lexicon({"ab*": 1.0, "abc*": 2.0, "abcd": 3.0, "yo*": 6.0})
+    g = toxicity.grade
+    assert [lex(w) for w in ("ab", "abx", "abcz", "abcd", "abcde", "you", "kill", "zz", "a")] == [g(1), g(1), g(2), g(3), g(2), g(6), toxicity.THREATS, 0, 0]
+
+
+def test_sample_is_bounded_under_one_id(spark):
+    docs = spark.range(4_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("some text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(7, 1, 1, 0.0), (7, 1, 0, 0.0)], LABELS)
+    seen = []
+    plain_learn, toxicity.learn = toxicity.learn, lambda sample: seen.append(sample.count()) or plain_learn(sample)
+    try:
+        toxicity.train(docs, labels, 150)
+    finally:
+        toxicity.learn = plain_learn
+    assert seen[0] <= 150
 
 
 def corpus(n=600, seed=1):
@@ -64,3 +123,4 @@ def test_without_labels(spark, tmp_path):
     g = toxicity.train(docs, spark.createDataFrame([], LABELS))
     assert [r.doc_id for r in toxicity.drop_toxic(docs, g).collect()] == [2]
     assert toxicity.drop_toxic(documents(spark, []), g).count() == 0
+    assert toxicity.op4_toxicity(spark, write(tmp_path / "e", documents=documents(spark, []), labels=spark.createDataFrame([], LABELS))).count() == 0
