@@ -11,11 +11,12 @@ Test windows: WINDOW consecutive words of an item; an item of fewer, but not non
 document word inside any occurrence is hit, and a document is contaminated if it has hits and they
 are a twentieth of its words or more.
 
-The test windows are searched in blocks of `BLOCK_WORDS` words at most, so what goes to the tasks
-stays bounded however many items there are. Nothing is shuffled for a single block.
+The test windows are searched in blocks of `BLOCK_WORDS` words at most, about 30 bytes a word, one
+after the other: the driver and the tasks hold one block at a time, however many items there are.
+Nothing is shuffled for a single block.
 
 Defined cases: null and empty texts have no words and are clean; an item without words has no
-window; a document longer than a shard is indexed in pieces that overlap by WINDOW - 1 words;
+window, nor has one without an id; a document longer than a shard is indexed in pieces that overlap by WINDOW - 1 words;
 repeated rows each get their result; an item that stands twice is one item per row id; empty tables
 give no hits or an empty result; further columns stay where they are.
 """
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -184,21 +186,20 @@ class FMIndex:
 
 
 class Windows:
-    """The distinct windows of a block of items: rows of word hashes, and which items each belongs to."""
+    """The windows of a block of items: places in the items' joined word hashes, and whose they are."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        rows: dict[tuple[int, ...], list[int]] = {}
+        hashes, starts, lengths, owners, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
         for item, text in items:
-            h = word_hashes(text.encode("utf-8", "replace"))[0].tolist()
-            for i in range(max(1, len(h) - WINDOW + 1) if h else 0):
-                owners = rows.setdefault(tuple(h[i : i + WINDOW]), [])
-                if not owners or owners[-1] != item:
-                    owners.append(item)
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.hashes = np.zeros((len(rows), WINDOW), np.uint64)
-        for i, r in enumerate(rows):
-            self.hashes[i, : len(r)] = r
-        self.owners = list(rows.values())
+            h = word_hashes(text.encode("utf-8", "replace"))[0]
+            n = max(1, len(h) - WINDOW + 1) if len(h) else 0
+            hashes.append(h)
+            starts.append(np.arange(at, at + n))
+            lengths.append(np.full(n, min(WINDOW, len(h))))
+            owners += [item] * n
+            at += len(h)
+        self.hashes = np.concatenate([*hashes, np.zeros(WINDOW, np.uint64)])  # so that every window has WINDOW places
+        self.starts, self.lengths, self.owners = np.concatenate(starts), np.concatenate(lengths), np.array(owners, np.int64)
 
     def occurrences(self, data: bytes, bounds: list[tuple[int, int]]) -> tuple[list[np.ndarray], list[list[tuple[int, int, int]]]]:
         """For each document (byte bounds in data): its word bounds as bytes, and (first word, end word, window) of occurrences."""
@@ -222,12 +223,12 @@ class Windows:
         seq = np.insert(numbers.astype(np.int64) + offset, cuts, np.arange(1, offset))
         seq = np.append(seq, 0)
         at = np.minimum(np.searchsorted(vocabulary, self.hashes), len(vocabulary) - 1)
-        used = np.arange(WINDOW)[None] < self.lengths[:, None]
-        live = np.flatnonzero(((vocabulary[at] == self.hashes) | ~used).all(axis=1))
+        known = np.concatenate([[0], np.cumsum(vocabulary[at] == self.hashes)])
+        live = np.flatnonzero(known[self.starts + self.lengths] - known[self.starts] == self.lengths)
         if not len(live):
             return  # some word of every window is in no document here
         index = FMIndex(seq)
-        low, high = index.ranges(at[live] + offset, self.lengths[live])
+        low, high = index.ranges(at[self.starts[live][:, None] + np.arange(WINDOW)] + offset, self.lengths[live])
         size = high - low
         hit = np.flatnonzero(size > 0)
         if not len(hit):
@@ -243,16 +244,13 @@ class Windows:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Windows]:
-    """The benchmark in blocks of at most BLOCK_WORDS words, or one item."""
-    block, words = [], 0
-    for r in benchmark.select("item_id", "text").filter("text is not null").orderBy("item_id").toLocalIterator():
-        n = len(r["text"]) // 2 + 1
-        if block and words + n > BLOCK_WORDS:
-            yield Windows(block)
-            block, words = [], 0
-        block.append((r["item_id"], r["text"]))
-        words += n
-    yield Windows(block)
+    """The benchmark in blocks of about BLOCK_WORDS words at most, or one item; the driver holds one at a time."""
+    items = benchmark.select("item_id", "text").filter("text is not null").distinct()
+    words = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
+    n = int(-(-words // BLOCK_WORDS)) or 1
+    for k in range(n):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
+        yield Windows(sorted((r["item_id"], r["text"]) for r in own.collect() if r["item_id"] is not None))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -265,30 +263,35 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-FOUND = "row long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>, cut array<struct<start:long,end:long>>"
+FOUND = "row long, doc_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<long>, cut array<struct<start:long,end:long>>"
 
 
 def _find_block(docs: DataFrame, windows: Windows) -> DataFrame:
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    """docs: row, doc_id, text."""
+    held, kind = docs.sparkSession.sparkContext.broadcast(windows), docs.schema["doc_id"].dataType.simpleString()
+    span, id_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), None
 
     def shard(rows: list[int], ids: list, texts: list[bytes]) -> pa.RecordBatch:
         bounds, at = [], 0
         for t in texts:
             bounds.append((at, at + len(t)))
             at += len(t) + 1
+        windows = held.value
         words, found = windows.occurrences(b"\n".join(texts), bounds)
         spans = [_merged([(a, b) for a, b, _ in f]) for f in found]
-        items = [sorted({i for *_, w in f for i in windows.owners[w]}) for f in found]
+        items = [sorted({int(windows.owners[w]) for *_, w in f}) for f in found]
         bytes_of = [[(int(w[a][0]) - z[0], int(w[b - 1][1]) - z[0]) for a, b in s] for w, s, z in zip(words, spans, bounds)]
         as_structs = lambda rows: pa.array([[{"start": a, "end": b} for a, b in r] for r in rows], span)
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int64()), as_structs(spans), pa.array(items, pa.list_(pa.int64())), as_structs(bytes_of)],
+            [pa.array(rows, pa.int64()), pa.array(ids, id_type), pa.array([len(w) for w in words], pa.int64()), as_structs(spans), pa.array(items, pa.list_(pa.int64())), as_structs(bytes_of)],
             ["row", "doc_id", "n_words", "spans", "items", "cut"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal id_type
         rows, ids, texts, size = [], [], [], 0
         for b in batches:
+            id_type = b.schema.field(1).type
             for row, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 text = (t.as_py() or "").encode("utf-8", "replace")
                 if ids and size + len(text) > SHARD_WORDS * 6:
@@ -301,18 +304,26 @@ def _find_block(docs: DataFrame, windows: Windows) -> DataFrame:
         if ids:
             yield shard(rows, ids, texts)
 
-    # rows are numbered by their place in the files: alike in each pass, and apart even if ids repeat
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, FOUND)
+    return docs.mapInArrow(run, FOUND.format(kind=kind))
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (merged, in words), items (ids with occurrences), cut (spans in UTF-8 bytes), contaminated."""
-    parts = [_find_block(docs, w) for w in _blocks(benchmark)]
+    """row, doc_id, n_words, n_hit, spans (merged, in words), items (ids with occurrences), cut (spans in UTF-8 bytes), contaminated.
+
+    With one block of items this is one pass. With more, the rows are numbered in a stored copy, so that
+    they stay apart even if ids repeat, each block's findings are stored, and they meet by that number.
+    """
+    blocks = _blocks(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if second is not None:
+        rows = common.stored(rows, "clean-rows")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    found = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            found = found.unionByName(p)
+    found = _find_block(rows, first)
+    if second is not None:
+        found = common.stored(found, "clean-found")
+        for block in chain([second], blocks):
+            found = found.unionByName(common.stored(_find_block(rows, block).filter(F.size("spans") > 0), "clean-found"))
         whole = lambda c: F.array_sort(F.flatten(F.collect_list(c)))  # noqa: E731  one entry for each block of items
         union = lambda c: F.aggregate(
             whole(c), F.expr("cast(array() as array<struct<start:long,end:long>>)"),
@@ -326,7 +337,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _keep_clean_block(docs: DataFrame, windows: Windows) -> DataFrame:
-    columns = docs.columns
+    columns, held = docs.columns, docs.sparkSession.sparkContext.broadcast(windows)
 
     def clean(own: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [(t.as_py() or "").encode("utf-8", "replace") for b in own for t in b.column(columns.index("text"))]
@@ -334,7 +345,7 @@ def _keep_clean_block(docs: DataFrame, windows: Windows) -> DataFrame:
         for t in texts:
             bounds.append((at, at + len(t)))
             at += len(t) + 1
-        words, found = windows.occurrences(b"\n".join(texts), bounds)
+        words, found = held.value.occurrences(b"\n".join(texts), bounds)
         hits = [sum(b - a for a, b in _merged([(a, b) for a, b, _ in f])) for f in found]
         keep = pa.array([not (h and SHARE * h >= len(w)) for h, w in zip(hits, words)], pa.bool_())
         at = 0
@@ -361,17 +372,17 @@ def _keep_clean_block(docs: DataFrame, windows: Windows) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; the others stay as they are.
 
-    With one block of items rows are judged and kept in one pass. With more, the judgements meet the
-    rows by a hash of the text, since ids may be null or repeated.
+    With one block of items rows are judged and kept in one pass. With more, rows are numbered in a
+    stored copy and the judgements meet them by that number.
     """
     blocks = _blocks(benchmark)
-    first = next(blocks)
-    second = next(blocks, None)
+    first, second = next(blocks), next(blocks, None)
     if second is None:
         return _keep_clean_block(docs, first)
-    keyed = docs.withColumn("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    bad = find(keyed, benchmark).filter("contaminated").select(F.col("doc_id").alias("text_key")).distinct()
-    return docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(bad, "text_key", "left_anti").select(*docs.columns)
+    (row,) = common.fresh(docs, "row")
+    numbered = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "clean-docs")
+    bad = find(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias(row))
+    return numbered.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
