@@ -9,11 +9,11 @@ is that of its words, each after a space, and of one end.
 
 The recursion runs over blocks of words of like length in numpy. Each distinct word of the corpus
 is scored once, in the word table (word, count in training, score). Documents meet that table in
-two ways, which give the same sums: at most `HEAVY_WORDS` frequent words are sent to the tasks, the
-others are joined by a shuffle. What is gathered are the counts of all words of all documents.
+two ways, which give the same sums: at most `HEAVY_WORDS` frequent words are sent to the tasks (of those
+of over `LONG` bytes a digest), so the others, which are joined by a shuffle, are each a small share. What is gathered are the counts of all words of all documents.
 
 Defined cases: null and empty texts have only the end; with no training document all counts are 0;
-words of any length are whole; repeated rows each get their score; an empty table gives an empty
+words and texts of any length are whole; of equally frequent words all or none are sent, to the same result; repeated rows each get their score; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 from .pieces import NORMAL, SPACE, UNIGRAM, USER_DEFINED, PieceMachine, Vocabulary, blocks
 
-#: Frequent words sent to every task, at most; words of over LONG characters are never sent.
+#: Frequent words sent to every task, at most; of words of over LONG bytes a digest is sent.
 HEAVY_WORDS = 100_000
 LONG = 64
 PRIOR = 1_000.0
@@ -177,17 +178,18 @@ def score(docs: DataFrame, modulus: int = 10, model: str | None = None) -> DataF
 
     table = common.stored(counts.filter(F.col("word") != END.decode()).mapInArrow(weigh, "word string, c long, n long, base double, lm double"), "lm-words")
     step = F.floor(F.log2("n") * 8)
-    sizes = sorted(table.filter(F.length("word") <= LONG).groupBy(step.alias("step")).count().collect(), reverse=True)
+    sizes = sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True)  # a row for each eighth of a power of two
     least, held = None, 0
     for s, k in sizes:
         held += k
         if held > HEAVY_WORDS:
             break
         least = s
-    frequent = table.filter((F.length("word") <= LONG) & (step >= (least if least is not None else 1 << 40)))
-    # at most HEAVY_WORDS words of LONG characters
-    sent = frequent.select("word", "base", "lm", (F.col("c") > 0).alias("known")).toLocalIterator()
-    rows = [(r["word"].encode(), r["base"], r["lm"], r["known"]) for r in sent]
+    frequent = table.filter(step >= (least if least is not None else 1 << 40))
+    # at most HEAVY_WORDS keys of LONG bytes
+    key = F.when(F.octet_length("word") > LONG, F.concat(F.lit(b" "), F.unhex(F.md5("word")))).otherwise(F.col("word").cast("binary"))
+    sent = frequent.select(key.alias("key"), "base", "lm", (F.col("c") > 0).alias("known")).toLocalIterator()
+    rows = [(bytes(r["key"]), r["base"], r["lm"], r["known"]) for r in sent]
     numbers = {w: i for i, (w, *_) in enumerate(rows)}
     values = np.array([(x, y, z) for _, x, y, z in rows] + [(0.0, 0.0, 0.0)])  # the last row is for words that were not sent
     heavy = spark.sparkContext.broadcast((numbers, values))
@@ -202,6 +204,9 @@ def score(docs: DataFrame, modulus: int = 10, model: str | None = None) -> DataF
             for doc, text, out in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist()):
                 words = words_of(text.as_py())
                 at = np.array([get(w, -1) for w in words], np.int64)
+                for i in np.flatnonzero(at < 0).tolist():
+                    if len(words[i]) > LONG:
+                        at[i] = get(b" " + md5(words[i]).digest(), -1)
                 base, lm, seen = values[at].sum(axis=0).tolist()
                 rare = Counter([words[i] for i in np.flatnonzero(at < 0).tolist()])
                 base, lm, seen = base + end_base, lm + end_lm, int(seen) + end_known
@@ -211,12 +216,13 @@ def score(docs: DataFrame, modulus: int = 10, model: str | None = None) -> DataF
                 tails[0].extend([key] * len(rare))
                 tails[1].extend(rare.keys())
                 tails[2].extend(rare.values())
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            types = [pa.int64(), pa.string(), pa.int64(), b.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*heads), types)], names) if heads else pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names)
             n = len(tails[0])
             yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(tails, types)], *[pa.nulls(n, t) for t in types[3:]]], names)
 
-    schema = "row long, word string, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double"
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, word string, times long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, lm double"
     parts = docs.select("doc_id", "text", common.held_out(modulus, 0).alias("h")).mapInArrow(run, schema)
     # rows of documents carry a word of their own, so they are spread and meet nothing
     words = table.select("word", F.col("c").alias("w_c"), F.col("base").alias("w_base"), F.col("lm").alias("w_lm"))

@@ -92,11 +92,15 @@ def test_query(spark, tmp_path):
 
 
 def test_rare_and_frequent_words_agree(spark, tmp_path, monkeypatch):
-    docs = documents(spark, [(i, f"common words here and rare{i}") for i in range(50)])
+    ruler = "=-" * 400
+    docs = documents(spark, [(i, f"common words here and rare{i} {ruler}{'x' * (i % 2)}") for i in range(50)])
     read = lambda: sorted((x.doc_id, x.n_known, round(x.base_score, 9), round(x.score, 9)) for x in lattice.score(docs).collect())
     one = read()
     monkeypatch.setattr(lattice, "HEAVY_WORDS", 2)
     assert read() == one
+    monkeypatch.setattr(lattice, "LONG", 4)  # nearly all words are sent as digests
+    monkeypatch.setattr(lattice, "HEAVY_WORDS", 100)
+    assert read() == one
 
 
 def test_empty(spark, tmp_path):
