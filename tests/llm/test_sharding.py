@@ -49,6 +49,45 @@ def test_small_groups_stay_together(spark):
     assert sum(len(s) > 1 for s in shards.values()) <= 7
 
 
+def plain_tree(points, shards):
+    """Shard of each (key, bytes, coordinates): a k-d tree cut node by node, positions and all in plain Python."""
+    out, todo = {}, [(points, 0, shards)]
+    while todo:
+        own, first, k = todo.pop()
+        if k == 1 or not own:
+            out |= {p[0]: first for p in own}
+            continue
+        spans = [max(p[2][d] for p in own) - min(p[2][d] for p in own) for d in range(3)]
+        axis = spans.index(max(spans))
+        order = sorted(own, key=lambda p: (p[2][axis], p[3]))
+        goal, run, best = sum(p[1] for p in own) * (k // 2) / k, 0, (None, 0)
+        for i, p in enumerate(order):
+            over = run + p[1] - goal
+            if over >= 0:
+                best = i + (1 if over <= goal - run else 0)
+                break
+            run += p[1]
+        todo += [(order[:best], first, k // 2), (order[best:], first + k // 2, k - k // 2)]
+    return out
+
+
+@pytest.mark.parametrize("shards", [2, 5, 40])
+def test_same_as_a_plain_tree(spark, shards):
+    docs = documents(spark, [(i, f"text number {i} " + "pad " * (i * 7 % 90), f"l{i % 4}", f"s{i % 9}") for i in range(900)])
+    point = docs.selectExpr(
+        "doc_id", "octet_length(text) + 16L AS b", "pmod(xxhash64(source), 4096) AS x", "pmod(xxhash64(lang), 4096) AS y",
+        "least(4095, floor(log2(octet_length(text) + 16L) * 128)) AS z", "pmod(xxhash64(text), 16384) AS t",
+    ).collect()
+    want = plain_tree([(r.doc_id, r.b, (r.x, r.y, r.z), r.t) for r in point], shards)
+    assert {r.doc_id: r.shard for r in sharding.assign(docs, shards).collect()} == want
+
+
+def test_repeated_rows_spread_over_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_RUN", 10)
+    docs = documents(spark, [(1, "the same row")] * 1_500 + [(i, f"row {i}") for i in range(500)])
+    check(sharding.assign(docs, 4).collect(), docs.collect(), 4)
+
+
 def test_no_python_in_the_plan(spark):
     plan = sharding.assign(documents(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
