@@ -5,34 +5,39 @@ Writing: a page becomes a response record, or a revisit record if an equal paylo
 that the format asks for, so archives are written to any file system, gzipped.
 
 Reading: each archive is parsed by its Content-Length headers as a stream and gives one run of index
-entries, sorted by URL key (host parts reversed), capture time and page_id. Runs are stored, cut at
-shared key bounds into ranges, and each range is merged by a loser tree over its runs, so the ranges
-in order are one globally ordered capture history. Keys include page_id, so one URL or host with most
-captures is cut like any other, and a range holds about `RANGE_ROWS` entries whatever the input.
+entries, sorted by URL key (host parts reversed), capture time and page_id. Runs are stored and cut at
+sampled quantiles of their keys into ranges of about `RANGE_ROWS` entries; each range is a task, which
+merges its parts of the runs by a loser tree, so the ranges in order are one globally ordered capture
+history. The place of a record is the end of its key, so one URL, host or missing id is cut like any
+other.
 
 Defined cases: null html is an empty payload; a null URL has an empty key and no target header;
 rows with a null page_id are responses and nothing refers to them; repeated rows with the smallest
 page_id of a payload are all responses; line breaks in URLs are percent-encoded; empty tables give
-an empty result; further columns are ignored.
+an empty result; payloads of any length are whole, large ones stand in archives of few records; records of
+one key are ordered by archive and place; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
-from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import islice
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 MIN_REVISIT = 100
-FILE_RECORDS = 10_000
+#: Records of an archive, at most, and about the bytes of its payloads.
+FILE_RECORDS, FILE_BYTES = 8_192, 256 << 20
 RANGE_ROWS = 100_000
 BREAK = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -56,15 +61,21 @@ def url_key(url: str | None) -> str:
     return f"{where}){u.path or '/'}" + (f"?{u.query}" if u.query else "")
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest and refers_to (null for responses) of each page."""
+def with_revisits(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """page_id, url, payload, payload_bytes, payload_digest and refers_to (null for responses) of each page;
+    and a stored table of the digests and sizes.
+    """
     payload = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
-    small = common.stored(keyed.filter((F.col("payload_bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "payload_digest"), "warc-digests")
+    every = common.stored(keyed.select("page_id", "payload_digest", "payload_bytes"), "warc-digests")
+    small = every.filter((F.col("payload_bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
     shared = small.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1")
     shared = common.stored(shared, "warc-shared")
     revisits = common.attach_by_key(small, shared, "payload_digest", "copies").filter("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
-    return keyed.join(common.stored(revisits, "warc-revisits"), ["page_id", "payload_digest"], "left")
+    revisits = common.stored(revisits, "warc-revisits", shared)
+    # rows without an id never are revisits, and stay out of the join
+    named = keyed.filter("page_id is not null").join(revisits, ["page_id", "payload_digest"], "left")
+    return named.unionByName(keyed.filter("page_id is null").withColumn("refers_to", F.lit(None).cast(revisits.schema["refers_to"].dataType))), every
 
 
 def record(captured: Column) -> Column:
@@ -85,11 +96,20 @@ def record(captured: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, captured: Column | None = None) -> None:
-    """Archives of at most FILE_RECORDS records under path. captured: the capture time; by default it follows from page_id."""
+    """Archives under path. captured: the capture time; by default it follows from page_id.
+
+    A row of over FILE_BYTES / FILE_RECORDS bytes goes to archives of fewer records, in proportion to its
+    size class, so that no archive holds much over FILE_BYTES, or one record.
+    """
     if captured is None:
         captured = F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(300_000_000)))
-    rows = with_revisits(pages).select(record(captured).alias("value"))
-    rows.write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows, sizes = with_revisits(pages)
+    rows = rows.select("payload_bytes", record(captured).alias("value"))
+    step = F.when(F.col("payload_bytes") * FILE_RECORDS <= FILE_BYTES, 0).otherwise(F.ceil(F.log2(F.col("payload_bytes") * FILE_RECORDS / FILE_BYTES) / 3)).cast("int")
+    for (k,) in sorted(sizes.select(step).distinct().collect()) or [(0,)]:  # steps of eight times the size: a few
+        own = rows.filter(step == k).select("value")
+        own.write.mode("append").option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_RECORDS >> 3 * k)).text(path)
+    common.dropped(sizes)
 
 
 def parse(stream, archive: str) -> Iterator[tuple]:
@@ -170,38 +190,32 @@ class LoserTree:
 
 
 def merged_index(runs: DataFrame) -> DataFrame:
-    """The entries of stored runs with range_no and position: ordered by these, they are ordered by merge_key."""
-    spark = runs.sparkSession
-    total = runs.count()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
-    rate = min(1.0, 60 * ranges / max(total, 1))
-    picked = runs.filter(F.pmod(F.xxhash64("url_key", "page_id", "record_at"), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    keys = sorted(merge_key((r[0], r[1], r[2])) for r in picked.select("url_key", "captured", "page_id").toLocalIterator())  # about 60 for each range
-    bounds = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = zip(*(b.column(i).to_pylist() for i in range(3)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([bisect_right(bounds, merge_key(r)) for r in rows], pa.int32())], [*b.schema.names, "range_no"])
+    """The entries of stored runs with range_no and position: ordered by these, they are ordered by merge_key.
+
+    Spark cuts the keys at sampled quantiles. The place of the record is part of a key, so that no
+    URL, host or null id holds a range together.
+    """
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, dict[str, list[tuple]]] = {}
-        for b in batches:  # a range's part of every run; about RANGE_ROWS entries
-            columns = [c.to_pylist() for c in b.columns]
-            for row in zip(*columns):
-                groups.setdefault(row[-1], {}).setdefault(row[-3], []).append(row)
-        for number in sorted(groups):
-            own = groups.pop(number).values()
-            for rows in own:
-                if any(a[-2] > z[-2] for a, z in zip(rows, rows[1:])):  # blocks of a run may arrive out of turn
-                    rows.sort(key=lambda r: r[-2])
-            out = list(LoserTree([iter(rows) for rows in own]))
-            for at in range(0, len(out), 10_000):
-                part = out[at : at + 10_000]
-                arrays = [pa.array(c, t) for c, t in zip(zip(*part), TYPES)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([number] * len(part), pa.int32()), pa.array(range(at, at + len(part)), pa.int64())], [*NAMES, "range_no", "position"])
-
-    dealt = runs.mapInArrow(deal, f"{ENTRY}, run string, seq long, range_no int").repartition(ranges, "range_no")
+        own = list(batches)  # the entries of one range, about RANGE_ROWS, by run and place
+        if not own:
+            return
+        table = pa.Table.from_batches(own).combine_chunks()
+        names, number = table.column("run").combine_chunks().dictionary_encode(), TaskContext.get().partitionId()
+        cuts = [0, *(np.flatnonzero(np.diff(names.indices.to_numpy())) + 1).tolist(), table.num_rows]
+
+        def entries(at: int, end: int) -> Iterator[tuple]:
+            for i in range(at, end, 500):
+                yield from zip(*(c.to_pylist() for c in table.slice(i, min(500, end - i)).select(NAMES).columns))
+
+        merged, position = iter(LoserTree([entries(a, b) for a, b in zip(cuts, cuts[1:])])), 0
+        while part := list(islice(merged, 10_000)):
+            arrays = [pa.array(c, t) for c, t in zip(zip(*part), TYPES)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([number] * len(part), pa.int32()), pa.array(range(position, position + len(part)), pa.int64())], [*NAMES, "range_no", "position"])
+            position += len(part)
+
+    dealt = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "run", "seq").sortWithinPartitions("run", "seq")
     return dealt.mapInArrow(merge, f"{ENTRY}, range_no int, position long")
 
 

@@ -49,6 +49,31 @@ def test_history_is_globally_ordered(spark, tmp_path):
     assert [(x.url_key, x.captured, x.page_id) for x in found] == sorted((x.url_key, x.captured, x.page_id) for x in found) and len(found) == 500
 
 
+def test_one_url_without_ids_is_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    rows = [(None, "http://one.org/", f"page {i}") for i in range(600)] + [(7, "http://one.org/", "x")] * 300
+    found = warc.capture_history(pages(spark, rows)).orderBy("range_no", "position").collect()
+    sizes = {}
+    for x in found:
+        sizes[x.range_no] = sizes.get(x.range_no, 0) + 1
+    assert len(found) == 900 and max(sizes.values()) < 300
+    keys = [warc.merge_key((x.url_key, x.captured, x.page_id)) for x in found]
+    assert keys == sorted(keys)
+
+
+def test_large_pages_stand_in_archives_of_few_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 80_000)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 80)
+    rows = [(i, "http://a.org/", f"{i} " + "y" * (50 if i % 4 else 30_000 * (1 + i % 8))) for i in range(200)]
+    path = str(tmp_path / "arc")
+    warc.write_archives(pages(spark, rows), path)
+    found = warc.read_runs(spark, path).collect()
+    held = {}
+    for x in found:
+        held.setdefault(x.run, []).append(x.payload_bytes)
+    assert len(found) == 200 and all(len(v) == 1 or sum(v) <= 8 * 80_000 for v in held.values())
+
+
 def test_damage_is_found():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: d\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: 41\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nabc!\r\n\r\n"
     with pytest.raises(ValueError, match="damaged"):
