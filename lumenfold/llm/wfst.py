@@ -18,7 +18,8 @@ cheapest that remains is the encoding of the library.
 
 Defined cases: null gives null ids and null text; an empty text has no ids; characters outside the
 vocabulary come back from bytes; a text of any length is encoded whole; repeated rows are encoded
-alike; an empty table gives an empty result; further columns stay where the caller keeps them.
+alike; an empty table gives an empty result; further columns stay where the caller keeps them, but for
+those with the names of results.
 """
 
 from __future__ import annotations
@@ -277,12 +278,17 @@ class Codec:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+RESULTS = ("ids", "n_tokens", "n_fallback", "round_trip")
+
+
 def encode(docs: DataFrame, codec: Codec, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (default doc_id), and ids, n_tokens, n_fallback (ids of bytes) and round_trip.
 
-    round_trip: decoding the ids gives the text back (with spaces as the normaliser leaves them).
+    round_trip: decoding the ids gives the text back (with spaces as the normaliser leaves them). A column
+    of docs with the name of a result gives way to it.
     """
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in RESULTS]
+    text_at = keep.index("text") if "text" in keep else len(keep)
     byte_ids = np.zeros(len(codec.surface), bool)
     byte_ids[codec.bytes_of] = True
 
@@ -294,7 +300,7 @@ def encode(docs: DataFrame, codec: Codec, keep: list[str] | None = None) -> Data
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 b = whole.slice(at, 1_000)
-                texts = b.column(b.num_columns - 1).to_pylist()
+                texts = b.column(text_at).to_pylist()
                 arrays = [np.frombuffer(p, "<i4") for p in codec.encode_many([t or "" for t in texts])]
                 offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
                 missing = pa.array([t is None for t in texts])
@@ -302,11 +308,10 @@ def encode(docs: DataFrame, codec: Codec, keep: list[str] | None = None) -> Data
                 count = pa.array([len(a) for a in arrays], pa.int64())
                 spare = pa.array([int(byte_ids[a].sum()) for a in arrays], pa.int64())
                 trip = pa.array([None if t is None else same(t, a) for t, a in zip(texts, arrays)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], ids, count, spare, trip], [*keep, "ids", "n_tokens", "n_fallback", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], ids, count, spare, trip], [*keep, *RESULTS])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    source = docs.select(*keep, docs["text"].alias("text_to_encode"))
-    return source.mapInArrow(run, f"{fields}, ids array<int>, n_tokens long, n_fallback long, round_trip boolean")
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, f"{fields}, ids array<int>, n_tokens long, n_fallback long, round_trip boolean")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
