@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -78,26 +78,53 @@ def blank_to_null(c: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+    return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
+
+
+@cache
+def composable() -> str:
+    """A class of the characters that the composed form changes, alone or after others.
+
+    Those are: characters that are not composed themselves, marks that move, and what stands second in
+    a canonical decomposition (Hangul vowels and finals by their range).
+    """
+    found = set(range(0x1161, 0x11C3))
+    for point in range(0x80, 0x110000):
+        ch = chr(point)
+        if 0xD800 <= point < 0xE000 or not (parts := unicodedata.decomposition(ch)) and not unicodedata.combining(ch):
+            continue
+        if unicodedata.combining(ch) or unicodedata.normalize("NFC", ch) != ch:
+            found.add(point)
+        if parts and "<" not in parts:
+            found.update(int(x, 16) for x in parts.split()[1:])
+    ranges, points = [], sorted(found)
+    for point in points:
+        if ranges and ranges[-1][1] == point - 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
 def nfc(c: Column) -> Column:
-    """Composed form; texts of ASCII only don't go through Python as more than nulls."""
-    return F.coalesce(_nfc(F.when(F.regexp_like(c, F.lit(r"[^\x00-\x7F]")), c)), c)
+    """Composed form; only texts with a character that composing could change go through Python."""
+    return F.coalesce(_nfc(F.when(F.regexp_like(c, F.lit(composable())), c)), c)
 
 
 def unify(c: Column) -> Column:
     """Ligatures, composed form, spaces, line ends and bullets made uniform."""
+    plain = c
     for a, b in LIGATURES:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    c = nfc(c)
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    c = nfc(F.when(F.regexp_like(c, F.lit("[" + "".join(a for a, _ in LIGATURES) + "]")), plain).otherwise(c))
     for a, b in ((" ", " "), ("\r\n", "\n"), ("\r", "\n")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.regexp_replace(c, f"[{BULLETS}]", "\n- ")
 
 
-def clean(c: Column, max_chars: int = MAX_CHARS) -> Column:
-    """The normalised text: tidy lines, at most two blank ones in a row, at most max_chars characters."""
+def clean(c: Column, max_chars: int | None = MAX_CHARS) -> Column:
+    """The normalised text: tidy lines, at most two blank ones in a row, at most max_chars characters if it is given."""
     c = F.regexp_replace(unify(F.coalesce(c, F.lit(""))), "[ \t]+", " ")
     c = F.regexp_replace(c, r"(?Umd)^[^\S\n]+|[^\S\n]+$", "")
-    return F.substring(strip(F.regexp_replace(c, "\n{4,}", "\n\n\n")), 1, max_chars)
+    c = strip(F.regexp_replace(c, "\n{4,}", "\n\n\n"))
+    return c if max_chars is None else F.substring(c, 1, max_chars)

@@ -123,16 +123,19 @@ def _job_fields(dates: Column, head: Column, years: Column, reference_year: int)
 
 def jobs(target: Column, reference_year: int = X.REFERENCE_YEAR) -> Column:
     """Jobs in the text: each line with a year range begins one, bullet lines after it are its highlights."""
-    kept = "array<struct<line:string,highlights:array<string>>>"
-    fresh = lambda l: F.array(F.struct(l.alias("line"), F.array().cast("array<string>").alias("highlights")))
+    bullet = lambda l: T.starts_with_any(l, ("-", "*", "•", "–"))
 
-    def step(found: Column, l: Column) -> Column:
-        last, point = F.get(found, F.size(found) - 1), F.regexp_replace(l, r"^[-*•– \t]+", "")
-        longer = F.struct(last["line"].alias("line"), F.concat(last["highlights"], F.array(point)).alias("highlights"))
-        bullet = (F.size(found) > 0) & T.starts_with_any(l, ("-", "*", "•", "–")) & (point != "")
-        return F.when(T.matches(l, X.DATES), F.concat(found, fresh(l))).when(bullet, F.concat(F.slice(found, 1, F.size(found) - 1), F.array(longer))).otherwise(found)
+    def points(own: Column) -> Column:
+        return F.filter(F.transform(F.filter(own, bullet), lambda l: F.regexp_replace(l, r"^[-*•– \t]+", "")), lambda p: p != "")
 
-    folded = F.aggregate(T.lines(target), F.array().cast(kept), step)
+    def cut(lines: Column, at: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(at, k + 1), F.size(lines))
+        return F.transform(at, lambda i, k: F.struct(F.get(lines, i).alias("line"), points(F.slice(lines, i + 2, end(k) - i - 1)).alias("highlights")))
+
+    def dated(lines: Column) -> Column:
+        return T.let(F.filter(F.transform(lines, lambda l, i: F.when(T.matches(l, X.DATES), i)), lambda i: i.isNotNull()), lambda at: cut(lines, at))
+
+    folded = T.let(T.lines(target), dated)
     return F.transform(folded, lambda f: F.struct(_job(f["line"], reference_year).alias("job"), f["highlights"].alias("highlights")))
 
 

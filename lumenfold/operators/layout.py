@@ -13,25 +13,36 @@ def band(x0: Column, x1: Column, width: Column) -> Column:
     return F.when((x0 < 0.25 * width) & (x1 > 0.65 * width), "span").when(x1 <= 0.48 * width, "left").when(x0 >= 0.35 * width, "right").otherwise("span")
 
 
-def page_text(blocks: DataFrame) -> DataFrame:
-    """doc_id, page, text from blocks (doc_id, page, page_width, block_no, x0, y0, x1, y1, text, block_type).
+def page_order(blocks: Column) -> Column:
+    """The text of a page in reading order, from its array of blocks (block_no, page_width, x0, y0, x1, y1, text).
 
-    Pages with at least two blocks in each column are read top, middle, left, right, bottom; others
-    in the order of their blocks. A page's blocks are one bounded group.
+    With at least two blocks in each column it is read top, middle, left, right, bottom; else in the
+    order of the blocks. Blank blocks count nowhere.
     """
-    text = blocks.filter((F.col("block_type") == 0) & (T.strip("text") != ""))
-    text = text.withColumn("band", band(F.col("x0"), F.col("x1"), F.col("page_width")))
-    rows = F.array_sort(F.collect_list(F.struct("block_no", "x0", "y0", "y1", "band", F.struct("text").alias("t"))))
-    pages = text.groupBy("doc_id", "page").agg(rows.alias("b"))
-    own = lambda name: F.filter("b", lambda r: r["band"] == name)
+    field = lambda r: F.struct(r["block_no"].alias("block_no"), r["x0"].alias("x0"), r["y0"].alias("y0"), r["y1"].alias("y1"), band(r["x0"], r["x1"], r["page_width"]).alias("band"), F.struct(T.strip(r["text"]).alias("text")).alias("t"))
+    rows = F.array_sort(F.filter(F.transform(blocks, field), lambda r: r["t"]["text"] != ""))
     by_height = lambda rows: F.array_sort(F.transform(rows, lambda r: F.struct(r["y0"].alias("y0"), r["x0"].alias("x0"), r["block_no"].alias("n"), r["t"].alias("t"))))
-    pages = pages.withColumns({"l": own("left"), "r": own("right"), "s": own("span")})
-    both = F.concat("l", "r")
-    top, bottom = F.array_min(F.transform(both, lambda r: r["y0"])), F.array_max(F.transform(both, lambda r: r["y1"]))
-    above = F.filter("s", lambda r: r["y1"] <= top + 20)
-    below = F.filter("s", lambda r: ~(r["y1"] <= top + 20) & (r["y0"] >= bottom - 20))
-    middle = F.filter("s", lambda r: ~(r["y1"] <= top + 20) & ~(r["y0"] >= bottom - 20))
     texts = lambda rows: F.transform(rows, lambda r: r["t"])
-    columns = F.concat(texts(by_height(above)), texts(middle), texts(by_height(F.col("l"))), texts(by_height(F.col("r"))), texts(by_height(below)))
-    order = F.when((F.size("l") >= 2) & (F.size("r") >= 2), columns).otherwise(texts(F.col("b")))
-    return pages.select("doc_id", "page", F.array_join(F.transform(order, lambda t: T.strip(t["text"])), "\n\n").alias("text"))
+
+    def ordered(b: Column, l: Column, r: Column, s: Column) -> Column:
+        both = F.concat(l, r)
+        top, bottom = F.array_min(F.transform(both, lambda x: x["y0"])), F.array_max(F.transform(both, lambda x: x["y1"]))
+        above = F.filter(s, lambda x: x["y1"] <= top + 20)
+        below = F.filter(s, lambda x: ~(x["y1"] <= top + 20) & (x["y0"] >= bottom - 20))
+        middle = F.filter(s, lambda x: ~(x["y1"] <= top + 20) & ~(x["y0"] >= bottom - 20))
+        columns = F.concat(texts(by_height(above)), texts(middle), texts(by_height(l)), texts(by_height(r)), texts(by_height(below)))
+        return F.when((F.size(l) >= 2) & (F.size(r) >= 2), columns).otherwise(texts(b))
+
+    def banded(b: Column) -> Column:
+        own = lambda name: F.filter(b, lambda r: r["band"] == name)
+        return T.let(F.struct(own("left").alias("l"), own("right").alias("r"), own("span").alias("s")), lambda x: ordered(b, x["l"], x["r"], x["s"]))
+
+    return F.array_join(F.transform(T.let(rows, banded), lambda t: t["text"]), "\n\n")
+
+
+def page_text(blocks: DataFrame) -> DataFrame:
+    """doc_id, page, text from blocks as rows (doc_id, page, block_type and the fields of page_order). A page's blocks are one bounded group."""
+    text = blocks.filter("block_type = 0")
+    own = F.collect_list(F.struct("block_no", "page_width", "x0", "y0", "x1", "y1", "text"))
+    pages = text.filter(T.strip("text") != "").groupBy("doc_id", "page").agg(own.alias("b"))
+    return pages.select("doc_id", "page", page_order(F.col("b")).alias("text"))

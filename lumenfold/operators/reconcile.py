@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: The shape of a profile, as external models give it.
+PROFILE = (
+    "struct<contact:struct<name:string,email:string,phone:string,location:string,linkedin:string,github:string,portfolio:string>,summary:string,"
+    "total_experience_years:double,primary_domain:string,skills:array<string>,categorized_skills:map<string,array<string>>,"
+    "experience:array<struct<company:string,role:string,location:string,duration:string,start_date:string,end_date:string,highlights:array<string>,technologies:array<string>>>,"
+    "education:array<struct<institution:string,degree:string,field_of_study:string,graduation_year:string,grade:string>>,"
+    "projects:array<struct<name:string,description:string,url:string,technologies:array<string>>>,certifications:array<struct<name:string,issuer:string,year:string>>,"
+    "raw_text_preview:string,extraction_mode:string>"
+)
 PLACEHOLDERS = ("full name", "candidate", "name")
 BUDGET = 14_000
 

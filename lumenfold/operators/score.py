@@ -102,7 +102,7 @@ def quality_category(p: Column) -> Column:
         )
     )
     text = F.when(F.size(reasons) > 0, F.array_join(reasons, ", ")).otherwise("Standard resume structure.")
-    return _category("quality", F.least(F.lit(100.0), 70.0 + 10.0 * F.size(reasons)), text, reasons, None or F.array())
+    return _category("quality", F.least(F.lit(100.0), 70.0 + 10.0 * F.size(reasons)), text, reasons, F.array())
 
 
 def level(overall: Column) -> Column:

@@ -40,15 +40,20 @@ def header(line: Column) -> Column:
 def section_map(clean: Column) -> Column:
     """map of section to its content; the contents of repeated headers are joined by a blank line.
 
-    One fold over the lines: a header begins a part, other lines go on with the last one.
+    The headers' places part the lines; each part is sliced and joined once.
     """
-    rows = F.transform(F.split(clean, "\n"), lambda l: T.let(T.strip(l), lambda x: F.struct(x.alias("line"), F.when(x != "", header(x)).alias("head"))))
 
-    def step(parts: Column, r: Column) -> Column:
-        last = F.get(parts, F.size(parts) - 1)
-        longer = F.struct(last["section"].alias("section"), F.coalesce(F.concat(last["content"], F.lit("\n"), r["line"]), r["line"]).alias("content"))
-        fresh = F.concat(parts, F.array(F.struct(r["head"]["section"].alias("section"), r["head"]["tail"].alias("content"))))
-        return F.when(r["head"].isNotNull(), fresh).when(F.size(parts) > 0, F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(longer))).otherwise(parts)
+    def parts_of(lines: Column) -> Column:
+        heads = F.transform(lines, lambda x: F.when(x != "", header(x)))
+        return T.let(heads, lambda h: T.let(F.filter(F.transform(h, lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull()), lambda at: cut(lines, h, at)))
+
+    def cut(lines: Column, heads: Column, at: Column) -> Column:
+        def part(start: Column, k: Column) -> Column:
+            head, end = F.get(heads, start), F.coalesce(F.get(at, k + 1), F.size(lines))
+            own = F.concat(F.array_compact(F.array(head["tail"])), F.slice(lines, start + 2, end - start - 1))
+            return F.struct(head["section"].alias("section"), F.array_join(own, "\n").alias("content"))
+
+        return F.transform(at, part)
 
     def joined(parts: Column) -> Column:
         full = F.filter(F.transform(parts, lambda p: F.struct(p["section"].alias("section"), T.strip(F.coalesce(p["content"], F.lit(""))).alias("content"))), lambda p: p["content"] != "")
@@ -59,8 +64,7 @@ def section_map(clean: Column) -> Column:
 
         return T.let(full, lambda f: F.map_from_entries(F.filter(F.array(*[entry(f, s) for s in SECTIONS]), lambda e: e["value"] != "")))
 
-    none = F.array().cast("array<struct<section:string,content:string>>")
-    return F.aggregate(rows, none, step, joined)
+    return joined(T.let(F.transform(F.split(clean, "\n"), T.strip), parts_of))
 
 
 def normalise(docs: DataFrame, column: str = "raw_text", max_chars: int = MAX_CHARS) -> DataFrame:

@@ -33,16 +33,17 @@ def _segment(category: Column, start: Column, end: Column, text: Column, confide
 
 
 def runs(pages: Column) -> Column:
-    """Segments of neighbouring pages of one category; pages count from 1."""
-    rows = F.transform(pages, lambda p, i: F.struct((i + 1).alias("no"), page_category(p).alias("category"), p.alias("page")))
-    one = lambda r: _segment(r["category"], r["no"], r["no"], r["page"], F.lit(0.88), F.lit(None).cast("string"))
+    """Segments of neighbouring pages of one category; pages count from 1. Each text is joined once."""
 
-    def step(found: Column, r: Column) -> Column:
-        last = F.get(found, F.size(found) - 1)
-        longer = _segment(last["category"], last["start_page"], r["no"], F.concat_ws("\n\n", last["text"], r["page"]), last["confidence"], last["title"])
-        return F.when(last["category"] == r["category"], F.concat(F.slice(found, 1, F.size(found) - 1), F.array(longer))).otherwise(F.concat(found, F.array(one(r))))
+    def cut(labels: Column) -> Column:
+        firsts = F.filter(F.transform(labels, lambda c, i: F.when((i == 0) | (c != F.get(labels, i - 1)), i + 1)), lambda i: i.isNotNull())
+        return T.let(firsts, lambda starts: F.transform(starts, lambda s, k: segment(labels, s, F.coalesce(F.get(starts, k + 1) - 1, F.size(labels)))))
 
-    return F.aggregate(rows, F.array().cast(SEGMENT), step)
+    def segment(labels: Column, start: Column, end: Column) -> Column:
+        text = F.array_join(F.slice(pages, start, end - start + 1), "\n\n")
+        return _segment(F.get(labels, start - 1), start, end, text, F.lit(0.88), F.lit(None).cast("string"))
+
+    return T.let(F.transform(pages, page_category), cut)
 
 
 def external(pages: Column, cuts: Column) -> Column:

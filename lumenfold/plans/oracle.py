@@ -41,7 +41,7 @@ def in_list(parts) -> str:
     return "(" + ", ".join(q(p) for p in parts) + ")"
 
 
-def cleaned(raw: str) -> str:
+def cleaned(raw: str, max_chars: int | None = X.MAX_CHARS) -> str:
     x = raw
     for a, b in X.LIGATURES:
         x = f"replace({x}, {q(a)}, {q(b)})"
@@ -50,7 +50,7 @@ def cleaned(raw: str) -> str:
     line = strip(r"regexp_replace(l, '[ \t]+', ' ', 'g')")
     x = f"array_to_string(list_transform(string_split({x}, {LF}), lambda l: {line}), {LF})"
     x = f"regexp_replace({x}, '\\n{{4,}}', {LF} || {LF} || {LF}, 'g')"
-    return f"left({strip(x)}, {X.MAX_CHARS})"
+    return strip(x) if max_chars is None else f"left({strip(x)}, {max_chars})"
 
 
 def _inline() -> str:
@@ -196,8 +196,14 @@ def with_ctes(*names: str, select: str) -> str:
 _J = lambda x: f"array_to_string({x}, '|')"
 _pct = "'(' || format('{:.1f}', overall) || '%)'"
 
+_recommended = f"""SELECT doc_id, job_id, CASE WHEN blank THEN 'No job description provided for comparison. Displaying candidate profile only.'
+  WHEN overall >= 75 THEN w || ' is a high-confidence match ' || {_pct} || ' for this role. Possesses strong alignment with core requirements (' || array_to_string(m[1:3], ', ') || '). Recommended to advance immediately to technical interview.'
+  WHEN overall >= 50 THEN w || ' is a potential candidate ' || {_pct} || CASE WHEN len(missing) > 0 THEN ', though lacks explicit mention of ' || array_to_string(missing[1:2], ', ') ELSE '' END || '. Recommended for an initial recruiter screening call to clarify experience depth.'
+  ELSE w || ' has significant skill or experience gaps for this specific position ' || {_pct} || '. Recommend reviewing alternative roles or junior positions.' END AS recommendation
+  FROM (SELECT *, coalesce(name, 'The candidate') AS w, CASE WHEN len(need) = 0 THEN skills[1:5] ELSE matched END AS m FROM totals)"""
+
 SQL: dict[str, str] = {
-    "norm_basic": f"SELECT doc_id, clean AS clean_text, len(list_filter(string_split_regex(clean, '\\s+'), lambda w: w <> ''))::INT AS word_count, length(clean)::INT AS char_count FROM (SELECT doc_id, {cleaned('text')} AS clean FROM documents)",
+    "norm_basic": f"SELECT doc_id, clean AS clean_text, len(list_filter(string_split_regex(clean, '\\s+'), lambda w: w <> ''))::INT AS word_count, length(clean)::INT AS char_count FROM (SELECT doc_id, {cleaned('text', None)} AS clean FROM documents)",
     "norm_resumes": with_ctes("norm", select="SELECT doc_id, clean AS clean_text, len(list_filter(string_split_regex(clean, '\\s+'), lambda w: w <> ''))::INT AS word_count, length(clean)::INT AS char_count FROM norm"),
     "section_lines": with_ctes("heads", select="SELECT doc_id, section, count(*) AS n_headers, count(tail) AS n_inline FROM heads WHERE section IS NOT NULL GROUP BY doc_id, section"),
     "section_assemble": with_ctes("secs", select="SELECT doc_id, section, content FROM secs"),
@@ -237,11 +243,7 @@ SQL: dict[str, str] = {
   SELECT doc_id, job_id, list_filter([CASE WHEN len(missing) > 0 THEN 'Missing mentions of key technologies: ' || array_to_string(missing[1:4], ', ') || '.' END,
     CASE WHEN s_exp < 70 THEN 'Years of experience may be below target requirements.' END,
     CASE WHEN NOT links THEN 'No LinkedIn or GitHub profile links provided for verification.' END], lambda x: x IS NOT NULL) AS s FROM totals WHERE NOT blank)"""),
-    "recommendation": with_ctes("totals", select=f"""SELECT doc_id, job_id, CASE WHEN blank THEN 'No job description provided for comparison. Displaying candidate profile only.'
-  WHEN overall >= 75 THEN w || ' is a high-confidence match ' || {_pct} || ' for this role. Possesses strong alignment with core requirements (' || array_to_string(m[1:3], ', ') || '). Recommended to advance immediately to technical interview.'
-  WHEN overall >= 50 THEN w || ' is a potential candidate ' || {_pct} || CASE WHEN len(missing) > 0 THEN ', though lacks explicit mention of ' || array_to_string(missing[1:2], ', ') ELSE '' END || '. Recommended for an initial recruiter screening call to clarify experience depth.'
-  ELSE w || ' has significant skill or experience gaps for this specific position ' || {_pct} || '. Recommend reviewing alternative roles or junior positions.' END AS recommendation
-  FROM (SELECT *, coalesce(name, 'The candidate') AS w, CASE WHEN len(need) = 0 THEN skills[1:5] ELSE matched END AS m FROM totals)"""),
+    "recommendation": with_ctes("totals", select=_recommended),
     "candidate_job_rank": with_ctes("totals", select="SELECT job_id, doc_id, overall_score, rank FROM (SELECT job_id, doc_id, overall AS overall_score, CAST(row_number() OVER (PARTITION BY job_id ORDER BY overall DESC, doc_id) AS INT) AS rank FROM totals) WHERE rank <= 10"),
     "page_classify": with_ctes("labelled", select="SELECT doc_id, CAST(p AS INT) AS page_no, category FROM labelled"),
     "packet_merge": with_ctes("segs", select="SELECT doc_id, CAST(seg AS INT) AS seg_no, category, CAST(start_page AS INT) AS start_page, CAST(end_page AS INT) AS end_page, CASE WHEN n_pages = 1 THEN 0.95::DOUBLE ELSE 0.88::DOUBLE END AS confidence FROM segs"),
@@ -253,7 +255,7 @@ SQL: dict[str, str] = {
 w AS (SELECT *, count(*) FILTER (WHERE band = 'l') OVER p AS nl, count(*) FILTER (WHERE band = 'r') OVER p AS nr, min(y0) FILTER (WHERE band <> 's') OVER p AS top, max(y1) FILTER (WHERE band <> 's') OVER p AS bottom FROM b WINDOW p AS (PARTITION BY doc_id, page)),
 o AS (SELECT *, CASE WHEN nl < 2 OR nr < 2 THEN 0 WHEN band = 's' AND y1 <= top + 20 THEN 1 WHEN band = 's' AND y0 >= bottom - 20 THEN 5 WHEN band = 's' THEN 2 WHEN band = 'l' THEN 3 ELSE 4 END AS part FROM w)
 SELECT doc_id, page, string_agg({strip('text')}, {LF} || {LF} ORDER BY part, CASE WHEN part IN (0, 2) THEN 0 ELSE y0 END, CASE WHEN part IN (0, 2) THEN 0 ELSE x0 END, block_no) AS text FROM o GROUP BY doc_id, page""",
-    "scanned_flag": f"SELECT doc_id, coalesce(sum(length({strip('left(page, 60)')})) < {X.SCANNED_BELOW}, false) AS is_scanned FROM (SELECT doc_id, page_no, CASE WHEN doc_id % 3 = 0 THEN left(page, 20) ELSE page END AS page FROM ({synth.PAGES})) GROUP BY doc_id",
+    "scanned_flag": f"SELECT doc_id, coalesce(sum(length({strip('page')})) < {X.SCANNED_BELOW}, false) AS is_scanned FROM ({synth.SCANS}) GROUP BY doc_id",
     "ext_gate": f"""SELECT doc_id, filename, CASE WHEN trim(filename) = '' THEN '400 missing filename' WHEN NOT regexp_matches(lower(filename), '\\.(pdf|docx|txt)$') THEN '415 unsupported file type' WHEN size > {X.MAX_BYTES} THEN '413 file too large' END AS reject_reason FROM ({synth.FILES})""",
     "reconcile_scalar": with_ctes("contacts", select=f"""SELECT n.doc_id, CASE WHEN e.name IS NULL OR lower(e.name) IN ('full name', 'candidate', 'name', '') THEN c.name ELSE e.name END AS name,
   CASE WHEN e.email <> '' AND contains(lower(n.clean), lower(e.email)) THEN e.email ELSE c.email END AS email, coalesce(nullif(e.phone, ''), c.phone) AS phone,
@@ -272,5 +274,52 @@ SQL["prompt_budget"] = with_ctes("norm", select="SELECT doc_id, least(length(cle
 SQL["page_preview"] = with_ctes("labelled", select=f"SELECT doc_id, CAST(p AS INT) AS page_no, {strip('left(page, 800)')} AS preview FROM labelled")
 SQL["score_band"] = with_ctes("totals", select="""SELECT doc_id, job_id, upper(left(array_to_string(list_transform(list_filter(string_split_regex(coalesce(name, 'Candidate Profile'), '\\s+'), lambda w: w <> ''), lambda w: left(w, 1)), ''), 2)) AS initials,
   CASE WHEN floor(overall + 0.5) >= 75 THEN 'high' WHEN floor(overall + 0.5) >= 50 THEN 'mid' ELSE 'low' END AS band FROM totals""")
+SQL["analyze"] = with_ctes("totals", select=f"""SELECT t.doc_id, t.job_id, j.title, overall AS overall_score,
+  CASE WHEN blank THEN 'Neutral' WHEN overall >= 75 THEN 'Strong Match' WHEN overall >= 50 THEN 'Potential Match' ELSE 'Weak Match' END AS match_level,
+  CASE WHEN blank THEN 50.0 ELSE s_skill END::DOUBLE AS technical_skills_score, CASE WHEN blank THEN 50.0 ELSE s_exp END::DOUBLE AS experience_score,
+  CASE WHEN blank THEN 50.0 ELSE s_edu END::DOUBLE AS education_score, CASE WHEN blank THEN 50.0 ELSE s_quality END::DOUBLE AS quality_score, r.recommendation
+  FROM totals t JOIN jobs j ON j.job_id = t.job_id JOIN ({_recommended}) r ON r.doc_id = t.doc_id AND r.job_id = t.job_id""")
+SQL["capabilities"] = f"SELECT 'healthy' AS status, 'heuristic' AS mode, '{'|'.join(X.SUFFIXES)}' AS formats, {X.REFERENCE_YEAR}::INT AS reference_year, 'ingestion|segmentation|normalisation|extraction|scoring' AS layers"
+SQL["reconcile_lists"] = with_ctes("edu", select=f"""SELECT n.doc_id, CASE WHEN e.doc_id IS NOT NULL THEN e.role ELSE coalesce(j.roles, '') END AS roles, CASE WHEN e.school <> '' THEN e.school ELSE coalesce(d.places, '') END AS schools
+  FROM norm n LEFT JOIN ({synth.LISTS}) e ON e.doc_id = n.doc_id LEFT JOIN (SELECT doc_id, string_agg(role, '|' ORDER BY job_no) AS roles FROM jobrows GROUP BY doc_id) j ON j.doc_id = n.doc_id
+  LEFT JOIN (SELECT doc_id, string_agg(institution, '|' ORDER BY n) AS places FROM edu GROUP BY doc_id) d ON d.doc_id = n.doc_id""")
+SQL["packet_external"] = with_ctes("segs", select=f"""SELECT * FROM (
+  SELECT s.doc_id, CASE WHEN n_pages = 1 THEN 'direct_single_page' ELSE 'heuristic_boundary' END AS engine, count(*) OVER (PARTITION BY s.doc_id) > 1 AS is_packet, CAST(seg AS INT) AS seg_no, category,
+    CAST(start_page AS INT) AS start_page, CAST(end_page AS INT) AS end_page, CASE WHEN n_pages = 1 THEN 0.95::DOUBLE ELSE 0.88::DOUBLE END AS confidence, md5(text) AS text_md5
+  FROM segs s LEFT JOIN ({synth.CUTS}) c ON c.doc_id = s.doc_id WHERE n_pages = 1 OR coalesce(n_cuts, 0) = 0
+  UNION ALL
+  SELECT r.doc_id, 'external', n_cuts > 1, k, CASE k WHEN 1 THEN 'resume' ELSE 'other' END, a, b, 0.95::DOUBLE, md5(coalesce(string_agg(page, {LF} || {LF} ORDER BY p), ''))
+  FROM (SELECT doc_id, n_cuts, k::INT AS k, CASE k WHEN 1 THEN 1 ELSE first_end + 1 END::INT AS a, CASE k WHEN 1 THEN first_end ELSE first_end + 1 END::INT AS b FROM ({synth.CUTS}), range(1, 3) t(k) WHERE k <= n_cuts) r
+  LEFT JOIN labelled l ON l.doc_id = r.doc_id AND l.p BETWEEN a AND b
+  WHERE (SELECT max(n_pages) FROM labelled x WHERE x.doc_id = r.doc_id) > 1 GROUP BY r.doc_id, n_cuts, k, a, b)""")
+SQL["text_decode"] = f"SELECT doc_id, name AS text FROM ({synth.BYTES})"
+SQL["json_roundtrip"] = with_ctes("contacts", select=f"""SELECT n.doc_id, c.name, c.email, y.total AS total_experience_years, {_J('o.skills')} AS skills, CAST(NULL AS VARCHAR) AS error
+  FROM norm n JOIN contacts c ON c.doc_id = n.doc_id JOIN own o ON o.doc_id = n.doc_id LEFT JOIN years y ON y.doc_id = n.doc_id""")
+_dom = "CASE " + " ".join(f"WHEN len(list_intersect(list_transform(o.skills, lambda s: lower(s)), {list(names)})) > 0 THEN {q(label)}" for label, names in X.DOMAINS) + f" ELSE {q(X.OTHER_DOMAIN)} END"
+SQL["profile_core"] = with_ctes("contacts", select=f"""SELECT n.doc_id, c.name, c.email, y.total AS total_experience_years, {_dom} AS primary_domain, {_J('o.skills')} AS skills,
+  (SELECT count(*) FROM jobrows j WHERE j.doc_id = n.doc_id)::INT AS n_experience, (SELECT count(*) FROM edu e WHERE e.doc_id = n.doc_id)::INT AS n_education,
+  left(clean, 300) || CASE WHEN length(clean) > 300 THEN '...' ELSE '' END AS preview, 'heuristic' AS extraction_mode
+  FROM norm n JOIN contacts c ON c.doc_id = n.doc_id JOIN own o ON o.doc_id = n.doc_id LEFT JOIN years y ON y.doc_id = n.doc_id""")
+_whole = lambda x: f"format('{{:.0f}}', {x})"
+_ratio = "len(matched)::DOUBLE / greatest(len(need), 1) * 100"
+_neutral = lambda x: f"CASE WHEN blank THEN 'Job description not provided.' ELSE {x} END"
+_unless = lambda x: f"CASE WHEN blank THEN '' ELSE {x} END"
+SQL["category_texts"] = with_ctes("totals", select=f"""SELECT t.doc_id, t.job_id,
+  {_neutral(f"CASE WHEN len(need) = 0 THEN 'Few specific technical keywords identified in job description.' ELSE 'Candidate matches ' || len(matched) || ' of ' || len(need) || ' required technical skills (' || {_whole(_ratio)} || '%).' END")} AS technical_skills_text,
+  {_neutral(f"CASE WHEN own_years >= need_years THEN 'Candidate has ' || format('{{:.1f}}', own_years) || ' years of experience, exceeding the required ' || {_whole('need_years')} || ' years.' WHEN own_years > 0 THEN 'Candidate has ' || format('{{:.1f}}', own_years) || ' years vs. ' || {_whole('need_years')} || ' required years (' || {_whole('own_years / need_years * 100')} || '% match).' ELSE 'Experience duration could not be accurately calculated from resume dates.' END")} AS experience_text,
+  {_neutral('''CASE WHEN ask_phd AND phd THEN 'Candidate holds required doctoral degree.' WHEN ask_phd AND master THEN 'Candidate holds Master''s degree (Ph.D. preferred).' WHEN ask_phd THEN 'Candidate lacks required doctoral degree.'
+    WHEN ask_master AND (phd OR master) THEN 'Candidate holds required advanced degree.' WHEN ask_master AND bachelor THEN 'Candidate holds Bachelor''s degree (Master''s preferred).' WHEN ask_master THEN 'Advanced degree not explicitly stated.'
+    WHEN phd OR master OR bachelor THEN 'Candidate possesses relevant higher education credentials.' WHEN n_edu > 0 THEN 'Candidate possesses educational background.' ELSE 'No formal degree detected in resume.' END''')} AS education_text,
+  {_neutral("CASE WHEN reach OR links OR pts THEN array_to_string(list_filter([CASE WHEN reach THEN 'Complete contact info' END, CASE WHEN links THEN 'Professional profile links provided' END, CASE WHEN pts THEN 'Structured accomplishment highlights present' END], lambda x: x IS NOT NULL), ', ') ELSE 'Standard resume structure.' END")} AS quality_text,
+  {_unless(_J('CASE WHEN len(need) = 0 THEN skills[1:5] ELSE matched END'))} AS technical_skills_matches,
+  {_unless("coalesce(CASE WHEN a.title = '' THEN first_roles ELSE titled END, '')")} AS experience_matches, {_unless("coalesce(held_list, '')")} AS education_matches,
+  {_unless("array_to_string(list_filter([CASE WHEN reach THEN 'Complete contact info' END, CASE WHEN links THEN 'Professional profile links provided' END, CASE WHEN pts THEN 'Structured accomplishment highlights present' END], lambda x: x IS NOT NULL), '|')")} AS quality_matches,
+  {_unless(_J('missing'))} AS technical_skills_missing, {_unless("CASE WHEN own_years < need_years THEN format('{:.1f}', need_years - own_years) || ' more years required' ELSE '' END")} AS experience_missing,
+  {_unless("CASE WHEN s_edu < 80 THEN 'Higher degree preferred' ELSE '' END")} AS education_missing, '' AS quality_missing
+  FROM totals t JOIN (SELECT job_id, coalesce({strip(got('jd', X.TITLE, 1))}, '') AS title FROM jobs) a ON a.job_id = t.job_id
+  LEFT JOIN (SELECT doc_id, string_agg(role, '|' ORDER BY job_no) FILTER (WHERE k <= 2) AS first_roles FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY job_no) AS k FROM jobrows) GROUP BY doc_id) f ON f.doc_id = t.doc_id
+  LEFT JOIN (SELECT doc_id, job_id, string_agg(role, '|' ORDER BY job_no) AS titled FROM jobrows, (SELECT job_id, list_filter(string_split_regex(lower(coalesce({strip(got('jd', X.TITLE, 1))}, '')), '\\s+'), lambda w: w <> '') AS ws FROM jobs) w
+    WHERE len(list_filter(ws, lambda x: contains(lower(role), x))) > 0 GROUP BY doc_id, job_id) m ON m.doc_id = t.doc_id AND m.job_id = t.job_id
+  LEFT JOIN (SELECT doc_id, string_agg(degree || ' from ' || institution, '|' ORDER BY n) AS held_list FROM edu GROUP BY doc_id) e ON e.doc_id = t.doc_id""")
 # CTEs that follow another select's need the comma first
 SQL["summary"] = SQL["summary"].replace("\n,\n", ",\n", 1)

@@ -12,10 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from ..functions.lexicon import MAX_CHARS
 from ..operators import extract, layout, reconcile, score as rubric, sections, segment
-from ..sources.files import reject_reason
+from ..sources.files import decode_text, profiles_from_json, reject_reason
 from . import oracle, pipeline, synth
 
 CATEGORIES = ("technical_skills", "experience", "education", "quality")
@@ -34,6 +36,12 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores is dealt out before heavy work on its rows; others are read in parallel as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.normalise(resumes(spark, sf_dir))
 
@@ -50,12 +58,17 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.score(profiles(spark, sf_dir), jobs(spark))
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = composed(spark, sf_dir, synth.PAGES, "conversations")
+def packets(spark: SparkSession, sf_dir: str, sql: str = synth.PAGES) -> DataFrame:
+    """A packet is one row by definition, so its pages come together in one task."""
+    rows = composed(spark, sf_dir, sql, "conversations")
     pages = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "page"))), lambda p: p["page"])
     return rows.groupBy("doc_id").agg(pages.alias("pages")).withColumn("raw_text", F.array_join("pages", "\n\n"))
 
 
+def shape_of(kind: str) -> StructType:
+    return StructType.fromDDL("x " + kind)["x"].dataType
+
+
 def bars(c: Column) -> Column:
     return F.array_join(c, "|")
 
@@ -69,13 +82,14 @@ def numbered(df: DataFrame, column: str | Column, *fields: str) -> DataFrame:
     return rows.select("doc_id", (F.col("i") + 1).cast("int").alias("seq"), *[F.col(f"e.{f}").alias(f) for f in fields])
 
 
-def _norm(docs: DataFrame, column: str) -> DataFrame:
-    t = T.clean(F.col(column))
+def _norm(docs: DataFrame, column: str, max_chars: int | None = MAX_CHARS) -> DataFrame:
+    t = T.clean(F.col(column), max_chars)
     return docs.select("doc_id", t.alias("clean_text")).select("doc_id", "clean_text", F.size(T.words(F.col("clean_text"))).alias("word_count"), F.length("clean_text").alias("char_count"))
 
 
 def norm_basic(spark, d):
-    return _norm(spark.read.parquet(f"{d}/documents.parquet"), "text")
+    """Whole documents: the cut at MAX_CHARS is a rule for résumés."""
+    return _norm(spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")), "text", None)
 
 
 def norm_resumes(spark, d):
@@ -220,8 +234,7 @@ def block_layout(spark, d):
 
 
 def scanned_flag(spark, d):
-    cut = F.when(F.col("doc_id") % 3 == 0, F.transform("pages", lambda p: F.substring(p, 1, 20))).otherwise(F.col("pages"))
-    return packets(spark, d).select("doc_id", segment.is_scanned(F.transform(cut, lambda p: F.substring(p, 1, 60))).alias("is_scanned"))
+    return packets(spark, d, synth.SCANS).select("doc_id", segment.is_scanned(F.col("pages")).alias("is_scanned"))
 
 
 def ext_gate(spark, d):
@@ -234,12 +247,12 @@ def _external(spark, d):
     text = F.lit(None).cast("string")
     none = lambda kind: F.array().cast(kind)
     contact = F.struct("name", "email", "phone", *[text.alias(f) for f in ("location", "linkedin", "github", "portfolio")])
-    shape = profiles(spark, d).schema["profile"].dataType
-    kinds = {f: shape[f].dataType.simpleString() for f in ("experience", "education", "projects", "certifications")}
-    return flat.select("doc_id", F.struct(
+    shape = shape_of(reconcile.PROFILE)
+    profile = F.struct(
         contact.alias("contact"), text.alias("summary"), F.col("years").alias("total_experience_years"), text.alias("primary_domain"), F.split("skills", r"\|").alias("skills"),
-        F.when(F.col("skills") != "", F.create_map(F.lit("Languages"), F.split("skills", r"\|"))).alias("categorized_skills"), *[none(k).alias(f) for f, k in kinds.items()], text.alias("raw_text_preview"), F.lit("llm").alias("extraction_mode"),
-    ).alias("profile"))
+        F.when(F.col("skills") != "", F.create_map(F.lit("Languages"), F.split("skills", r"\|"))).alias("categorized_skills"), *[none(shape[f].dataType).alias(f) for f in ("experience", "education", "projects", "certifications")], text.alias("raw_text_preview"), F.lit("llm").alias("extraction_mode"),
+    )
+    return flat.select("doc_id", profile.alias("profile"))
 
 
 def _hybrid(spark, d):
@@ -278,13 +291,84 @@ def score_band(spark, d):
     return reports(spark, d).select("doc_id", "job_id", initials.alias("initials"), band.alias("band"))
 
 
+def widened(kind: StructType, key: str) -> Callable[[Column], Column]:
+    """A struct with one field as a struct of that kind, whose other fields are null."""
+    return lambda x: F.struct(*[(x[key] if n == key else F.lit(None).cast(kind[n].dataType)).alias(n) for n in kind.names])
+
+
+def reconcile_lists(spark, d):
+    """Lists of an external model stand in for those of the rules where they hold anything."""
+    flat = composed(spark, d, synth.LISTS, "customer")
+    shape = F.lit(None).cast(reconcile.PROFILE)
+    one = lambda **fields: F.array(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    job = one(role=F.col("role"))
+    school = F.when(F.col("school") != "", one(institution=F.col("school")))
+    lists = {"experience": ("role", job), "education": ("institution", school)}
+    kind = shape_of(reconcile.PROFILE)
+    filled = []
+    for f in kind.names:
+        if f not in lists:
+            filled.append(shape.getField(f).alias(f))
+            continue
+        key, value = lists[f]
+        inner = kind[f].dataType.elementType
+        filled.append(F.transform(value, widened(inner, key)).alias(f))
+    ext = flat.select("doc_id", F.struct(*filled).alias("profile"))
+    p = F.col("profile")
+    got = lambda f, key: F.array_join(F.transform(p[f], lambda x: x[key]), "|")
+    return reconcile.reconcile(profiles(spark, d), ext).select("doc_id", got("experience", "role").alias("roles"), got("education", "institution").alias("schools"))
+
+
+def packet_external(spark, d):
+    """Segments and engine where an external model gave page ranges for some packets."""
+    flat = composed(spark, d, synth.CUTS, "conversations")
+    cut = lambda category, start, end: F.struct(F.lit(category).alias("category"), start.alias("start_page"), end.alias("end_page"), F.lit(None).cast("double").alias("confidence"), F.lit("t").alias("title"))
+    one, two = cut("Resume", F.lit(1), F.col("first_end")), cut(None, F.col("first_end") + 1, F.lit(None).cast("int"))
+    cuts = F.when(F.col("n_cuts") == 1, F.array(one)).when(F.col("n_cuts") == 2, F.array(one, two)).otherwise(F.slice(F.array(one), 1, 0))
+    found = pipeline.split(packets(spark, d), flat.select("doc_id", cuts.alias("cuts")))
+    rows = found.select("doc_id", "engine", "is_packet", F.posexplode("segments").alias("i", "s"))
+    return rows.select("doc_id", "engine", "is_packet", (F.col("i") + 1).alias("seg_no"), "s.category", "s.start_page", "s.end_page", "s.confidence", F.md5("s.text").alias("text_md5"))
+
+
+def text_decode(spark, d):
+    """Bytes of text files, valid UTF-8 or not."""
+    rows = composed(spark, d, synth.BYTES, "customer")
+    data = F.when(F.col("doc_id") % 2 == 0, F.encode("name", "ISO-8859-1")).otherwise(F.encode("name", "UTF-8"))
+    return rows.select("doc_id", decode_text(data).alias("text"))
+
+
+def json_roundtrip(spark, d):
+    """Profiles to JSON and back by their schema."""
+    rows = profile_json(spark, d)
+    back = profiles_from_json(rows.withColumnRenamed("profile", "json"), "json", reconcile.PROFILE)
+    return back.select("doc_id", "profile.contact.name", "profile.contact.email", "profile.total_experience_years", bars(F.col("profile.skills")).alias("skills"), "error")
+
+
+def profile_core(spark, d):
+    """What an assembled profile holds, as one flat row."""
+    p = F.col("profile")
+    return profiles(spark, d).select(
+        "doc_id", "profile.contact.name", "profile.contact.email", "profile.total_experience_years", "profile.primary_domain", bars(p["skills"]).alias("skills"),
+        *[F.size(p[f]).alias(f"n_{f}") for f in ("experience", "education")], F.col("profile.raw_text_preview").alias("preview"), "profile.extraction_mode",
+    )
+
+
+def category_texts(spark, d):
+    """Reasoning, matches and missing of each category of each report."""
+    c = F.col("report.categories")
+    return reports(spark, d).select(
+        "doc_id", "job_id", *[c[k]["reasoning"].alias(f"{k}_text") for k in CATEGORIES],
+        *[bars(c[k]["matches"]).alias(f"{k}_matches") for k in CATEGORIES], *[bars(c[k]["missing"]).alias(f"{k}_missing") for k in CATEGORIES],
+    )
+
+
 def profile_json(spark, d):
     """Whole profiles as JSON (no SQL equivalent: nested shape)."""
     return profiles(spark, d).select("doc_id", F.to_json("profile").alias("profile"))
 
 
 def capabilities(spark, d):
-    return pipeline.capabilities(spark)
+    return pipeline.capabilities(spark).select("status", "mode", bars(F.col("formats")).alias("formats"), "reference_year", bars(F.col("layers")).alias("layers"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,6 +387,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             norm_basic, norm_resumes, section_lines, section_assemble, email_documents, skills_flat, skills_by_category, skill_frequency, domain, exp_rows, exp_highlights,
             exp_total, edu_rows, projects_top5, certs_top6, summary, jd_skills, skill_match, skill_missing, candidate_job_rank, page_classify, packet_merge, packet_primary,
             segment_preview, block_layout, scanned_flag, ext_gate, reconcile_scalar, reconcile_skills, reconcile_categories, prompt_budget, page_preview, score_band, profile_json, capabilities,
+            reconcile_lists, packet_external, text_decode, json_roundtrip, profile_core, category_texts,
         )
     }
     found |= {f: contact_query(f) for f in ("name", "email", "phone", "location")} | {"links": contact_query("linkedin", "github")}

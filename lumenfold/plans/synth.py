@@ -97,6 +97,24 @@ SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CAST(l_suppkey % 2 AS INT) AS page,
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
 
+#: Packets of which every third holds little more than its page numbers, as scans do.
+SCANS = f"SELECT doc_id, page_no, CASE doc_id % 3 WHEN 0 THEN {pick('doc_id + page_no', [' 1 ', 'Page 2 of 3', '', 'scan'])} ELSE page END AS page FROM ({PAGES})"
+
+#: What an external model might have said about the pages of every second packet: one range, two, or none.
+CUTS = """
+SELECT DISTINCT CAST(conv_id AS BIGINT) AS doc_id, CAST(1 + conv_id % 2 AS INT) AS first_end, CAST(conv_id % 3 AS INT) AS n_cuts
+FROM conversations WHERE conv_id % 2 = 0
+"""
+
+#: Lists that an external model might give for every second candidate.
+LISTS = """
+SELECT k AS doc_id, 'Role ' || CAST(k AS STRING) AS role, CASE k % 4 WHEN 0 THEN 'Outside School' ELSE '' END AS school
+FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer) AS c WHERE k % 2 = 0
+"""
+
+#: Names as bytes, of which every second is written in Latin-1.
+BYTES = f"SELECT k AS doc_id, replace({pick('k', [n for n in NAMES if n.encode('latin-1', 'ignore').decode('latin-1') == n])}, '~', chr(39)) AS name FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer) AS c"
+
 FILES = """
 SELECT CAST(p_partkey AS BIGINT) AS doc_id,
        CASE p_partkey % 6 WHEN 0 THEN 'cv' || CAST(p_partkey AS STRING) || '.PDF' WHEN 1 THEN 'cv.docx' WHEN 2 THEN 'note.txt' WHEN 3 THEN 'run.exe' WHEN 4 THEN '' ELSE 'old.doc' END AS filename,

@@ -13,14 +13,18 @@ import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import MAX_BYTES, SUFFIXES
+from ..operators.layout import page_order
 from ..operators.segment import is_scanned
 
-SCHEMA = "filename string, file_type string, raw_text string, pages array<string>, page_count int, metadata map<string,string>, error string"
+SCHEMA = "filename string, file_type string, raw_text string, blocks array<array<struct<block_no:int,page_width:double,x0:double,y0:double,x1:double,y1:double,text:string>>>, page_count int, metadata map<string,string>, error string"
+_BLOCK = [("block_no", pa.int32()), *[(f, pa.float64()) for f in ("page_width", "x0", "y0", "x1", "y1")], ("text", pa.string())]
+PAGE_BLOCKS = pa.list_(pa.list_(pa.struct(_BLOCK)))
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -57,14 +61,18 @@ def docx_text(data: bytes) -> tuple[str, dict[str, str]]:
     return (text + "\n\n" + "\n".join(rows) if rows else text), {"paragraphs": str(len(paragraphs)), "tables": str(len(tables))}
 
 
-def _pdf_library(data: bytes) -> list[str] | None:
-    """Pages by an installed PDF library, or None if there is none."""
+def _pdf_library(data: bytes) -> list[list[dict]] | None:
+    """The text blocks of each page by an installed PDF library, or None if there is none."""
     try:
         import fitz
     except ImportError:
         return None
     with fitz.open(stream=data, filetype="pdf") as doc:
-        return [page.get_text("text") for page in doc]
+        return [[_block(n, *b[:5], page.rect.width) for n, b in enumerate(page.get_text("blocks")) if b[6] == 0] for page in doc]
+
+
+def _block(number: int, x0: float, y0: float, x1: float, y1: float, text: str, width: float) -> dict:
+    return {"block_no": number, "page_width": width, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "text": text}
 
 
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj(.*?)endobj", re.S)
@@ -100,17 +108,17 @@ def _pdf_plain(data: bytes) -> list[str]:
     return pages
 
 
-def pdf_pages(data: bytes) -> tuple[list[str], str]:
-    """The pages and which reader gave them: a library first, the plain one if there is none or it fails."""
+def pdf_pages(data: bytes) -> tuple[list[list[dict]], str]:
+    """The blocks of the pages and which reader gave them: a library first, the plain one if there is none or it fails."""
     try:
         if (pages := _pdf_library(data)) is not None:
             return pages, "library"
     except Exception as first:  # noqa: BLE001  the other reader may still manage
         try:
-            return _pdf_plain(data), "plain"
+            return [[_block(0, 0, 0, 0, 0, t, 0)] for t in _pdf_plain(data)], "plain"
         except Exception as second:
             raise RuntimeError(f"both PDF readers failed: {first}; {second}") from second
-    return _pdf_plain(data), "plain"
+    return [[_block(0, 0, 0, 0, 0, t, 0)] for t in _pdf_plain(data)], "plain"
 
 
 def read_bytes(files: DataFrame) -> DataFrame:
@@ -123,29 +131,38 @@ def read_bytes(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                pages, meta, count = None, {}, 1
+            n, column = b.num_rows, {c: b.column(c) for c in b.schema.names}
+            text, blocks, errors = column["raw_text"], [None] * n, column["error"]
+            binary = np.flatnonzero(column["content"].is_valid().to_numpy(zero_copy_only=False)).tolist()
+            texts, found, meta, counts = {}, {}, [[] for _ in range(n)], {}
+            for i in binary:  # text files stay as they are
                 try:
-                    if r["content"] is not None and r["file_type"] == "docx":
-                        r["raw_text"], meta = docx_text(r["content"])
-                    elif r["content"] is not None:
-                        pages, meta["engine"] = pdf_pages(r["content"])
-                        r["raw_text"], count = "\n\n".join(pages), len(pages)
+                    if column["file_type"][i].as_py() == "docx":
+                        texts[i], own = docx_text(column["content"][i].as_py())
+                        meta[i] = list(own.items())
+                    else:
+                        pages, engine = pdf_pages(column["content"][i].as_py())
+                        meta[i], counts[i] = [("engine", engine)], len(pages)
+                        blocks[i] = pages
                 except Exception as e:  # noqa: BLE001  a bad file is a row with its error
-                    r["error"] = f"422 {type(e).__name__}: {e}"[:500]
-                if pages is None and r["raw_text"] is not None:
-                    pages = [r["raw_text"]]
-                rows.append({c: r[c] for c in others} | {"filename": r["filename"], "file_type": r["file_type"], "raw_text": r["raw_text"], "pages": pages, "page_count": count if pages else None, "metadata": list(meta.items()), "error": r["error"]})
-            fields = [pa.field(c, b.schema.field(c).type) for c in others]
-            fields += [pa.field(c, pa.string()) for c in ("filename", "file_type", "raw_text")]
-            fields += [pa.field("pages", pa.list_(pa.string())), pa.field("page_count", pa.int32()), pa.field("metadata", pa.map_(pa.string(), pa.string())), pa.field("error", pa.string())]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
+                    found[i] = f"422 {type(e).__name__}: {e}"[:500]
+            if binary:
+                text = pa.array([texts.get(i, t) for i, t in enumerate(text.to_pylist())], pa.string())
+                errors = pa.array([found.get(i, e) for i, e in enumerate(errors.to_pylist())], pa.string())
+            arrays = [column[c] for c in others] + [column["filename"], column["file_type"], text, pa.array(blocks, PAGE_BLOCKS), pa.array([counts.get(i) for i in range(n)], pa.int32()), pa.array(meta, pa.map_(pa.string(), pa.string())), errors]
+            yield pa.RecordBatch.from_arrays(arrays, [*others, "filename", "file_type", "raw_text", "blocks", "page_count", "metadata", "error"])
 
     kept = "".join(f"`{c}` {files.schema[c].dataType.simpleString()}, " for c in others)
     docs = ready.mapInArrow(run, kept + SCHEMA)
-    scanned = F.coalesce((F.col("file_type") == "pdf") & is_scanned(F.col("pages")), F.lit(False))
-    return docs.withColumn("is_scanned", scanned)
+    # pages are put into reading order here; a text is one page
+    pages = F.when(F.col("blocks").isNotNull(), F.transform("blocks", page_order)).when(F.col("raw_text").isNotNull(), F.array("raw_text"))
+    docs = docs.withColumn("pages", pages)
+    docs = docs.withColumns({
+        "raw_text": F.coalesce("raw_text", F.array_join("pages", "\n\n")),
+        "page_count": F.when(F.col("pages").isNotNull(), F.coalesce("page_count", F.lit(1))),
+        "is_scanned": F.coalesce((F.col("file_type") == "pdf") & is_scanned(F.col("pages")), F.lit(False)),
+    })
+    return docs.select(*others, "filename", "file_type", "raw_text", "pages", "page_count", "metadata", "error", "is_scanned")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,8 @@ import io
 import zipfile
 import zlib
 
+from pyspark.sql import functions as F
+
 from lumenfold.operators import layout, segment
 from lumenfold.plans import pipeline
 from lumenfold.sources import files
@@ -110,3 +112,12 @@ def test_json_round_trip(spark, tmp_path):
     assert back[1].profile.contact.name == "Kim Lee" and back[1].error is None
     files.write_json(rows, str(tmp_path / "json"))
     assert spark.read.schema(f"doc_id long, profile {shape}").json(str(tmp_path / "json")).first().profile.contact.name == "Kim Lee"
+
+
+def test_blocks_are_put_into_reading_order(spark):
+    """As the columns of a page come from a PDF library."""
+    rows = [(20, 30, 250, 42, "left two"), (320, 10, 580, 22, "right one"), (30, 0, 570, 8, "title"), (20, 10, 250, 22, "left one"), (320, 30, 580, 42, "right two"), (0, 0, 9, 9, " ")]
+    page = [{"block_no": i, "page_width": 600.0, "x0": float(a), "y0": float(b), "x1": float(c), "y1": float(d), "text": t} for i, (a, b, c, d, t) in enumerate(rows)]
+    kind = "doc_id long, blocks array<array<struct<block_no:int,page_width:double,x0:double,y0:double,x1:double,y1:double,text:string>>>"
+    found = spark.createDataFrame([(1, [page, []])], kind).select(F.transform("blocks", layout.page_order).alias("p")).first().p
+    assert found == ["title\n\nleft one\n\nleft two\n\nright one\n\nright two", ""]
