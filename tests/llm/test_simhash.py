@@ -41,6 +41,16 @@ def test_masks_cover_every_triple():
     assert all(28 <= m.bit_count() <= 36 for m in masks)
 
 
+@pytest.mark.parametrize(("bits", "radius", "least"), [(64, 3, 28), (64, 6, 28), (33, 6, 6), (32, 3, 13)])
+def test_masks_are_of_like_size_and_cover(bits, radius, least):
+    masks, r = simhash.covering_masks(list(range(10, 10 + bits)) if bits < 64 else bits, radius), random.Random(1)
+    places = range(10, 10 + bits) if bits < 64 else range(64)
+    assert len(masks) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in masks) >= least
+    for _ in range(3_000):
+        differ = sum(1 << i for i in r.sample(places, radius))
+        assert any(not m & differ for m in masks)
+
+
 @pytest.mark.parametrize("text", [None, "", "one", "One TWO", "a b c", "A\tb\nc  d", "Ünï Ä É ÄÉ", "x " * 500, "the quick brown fox " * 40])
 def test_fingerprint(text):
     assert simhash.fingerprint(text) == plain_fingerprint(text)
