@@ -8,13 +8,14 @@ largest mean share. Chains are `CHAIN` words long and cover the whole text, so t
 cost memory in proportion to a batch.
 
 The languages are all those of the training documents; each has rows in the fit. The field is fitted
-on about `SAMPLE_DOCS` documents at most, and about `LANG_DOCS` of each rarer language, by stochastic gradient steps on the
+on `SAMPLE_DOCS` distinct documents at most, and `LANG_DOCS` more of each rarer language, by stochastic gradient steps on the
 chains' likelihood; a third of the training chains is spliced from two documents, since the
 transitions must see switches.
 
 Defined cases: null texts and texts without a letter are "und" with score 0; without any training
 row every text is; of equal shares the language that sorts first wins; repeated rows are predicted
-alike; an empty table gives an empty result; language, source and id are never inputs.
+alike; texts of any length are read whole, numerals such as ½ are no letters; an empty table gives an
+empty result; language, source and id are never inputs; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -3,7 +3,9 @@ import random
 
 import numpy as np
 
-from lumenfold.llm import crf
+from pyspark.sql import functions as F
+
+from lumenfold.llm import common, crf
 
 from .helpers import awkward, documents, write
 
@@ -72,6 +74,21 @@ def test_rare_languages_are_learned(spark):
     assert [crf.label_words(field, text(lang, r, 40))[5][1] for lang in PARTS] == list(PARTS)
 
 
+def test_numerals_are_no_letters():
+    assert [crf.words_of(t) for t in ("½ ²", "Ⅷ", "①②", "x² y½z 3rd", "été")] == [[], [], [], ["x", "y", "z", "rd"], ["été"]]
+
+
+def test_sample_is_bounded(spark):
+    """One id, or none, in every row: the fit still takes so many rows and bytes at most."""
+    for one in ("CAST(7 AS LONG)", "CAST(NULL AS LONG)"):
+        docs = spark.range(20_000).selectExpr(f"{one} AS doc_id", "concat('text ', id) AS text")
+        size = F.octet_length("text")
+        assert common.bounded_sample(docs, 150, size).count() <= 150
+        assert common.bounded_sample(docs, 150, size, 100).agg(F.sum(size)).first()[0] <= 100
+    rows = docs.selectExpr("doc_id", "'one row' AS text")
+    assert common.bounded_sample(rows, 150, F.octet_length("text")).count() <= 1
+
+
 def test_nothing_to_learn(spark, tmp_path):
     found = crf.op8_language_id(spark, write(tmp_path, documents=documents(spark, [(1, "some words")]))).collect()
     assert [(x.lang_pred, x.score) for x in found] == [("und", 0.0)]
