@@ -177,6 +177,7 @@ def score(docs: DataFrame, modulus: int = 10, model: str | None = None) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(base_of(b.column(1).to_numpy())), pa.array(found)], ["word", "c", "n", "base", "lm"])
 
     table = common.stored(counts.filter(F.col("word") != END.decode()).mapInArrow(weigh, "word string, c long, n long, base double, lm double"), "lm-words")
+    common.dropped(counts)
     step = F.floor(F.log2("n") * 8)
     sizes = sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True)  # a row for each eighth of a power of two
     least, held = None, 0

@@ -101,7 +101,7 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     heavy = groups.filter((share > 1) & (F.col("n") > 1)).select("thash", F.ceil(share).alias("pieces"))
     pieces = F.coalesce("pieces", F.lit(1))
     rows = rows.join(F.broadcast(heavy), "thash", "left").withColumn("piece", F.pmod(F.xxhash64("doc_id"), pieces)).drop("pieces")
-    units = common.stored(
+    units = held = common.stored(
         rows.groupBy("thash", "piece").agg(F.sum("size").alias("bytes"), *[F.min(d).alias(d) for d in DIMENSIONS]), "kd-units"
     )
     if heavy.limit(1).count():  # pieces of one text share its point
@@ -118,7 +118,8 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
         beyond = F.coalesce(_position(_along("axis")) > F.col("cut"), F.lit(False))
         moved = F.when(beyond, F.col("shard") + F.col("left")).otherwise(F.col("shard"))
         # stored level by level: plans stay small, and a lost executor costs one level
-        units, before = common.stored(units.join(table, "shard", "left").withColumn("shard", moved).drop("left", "axis", "cut"), "kd-level"), nodes
+        units = held = common.stored(units.join(table, "shard", "left").withColumn("shard", moved).drop("left", "axis", "cut"), "kd-level", held)
+        before = nodes
         nodes = {}
         for n, left, _, _ in cuts:
             nodes |= {n: left, n + left: before[n] - left}
