@@ -279,6 +279,7 @@ def search(vectors: DataFrame, query: Column, k: int = K, sample: int = SAMPLE,
     kind = rows.schema["vec_id"].dataType.simpleString()
     filed = rows.withColumn("asks", F.coalesce(query, F.lit(False))).mapInArrow(file, f"row long, vec_id {kind}, v array<double>, asks boolean, parts array<int>")
     filed = common.stored(filed.withColumn("part", F.col("parts")[0]), "ann-filed")  # the part of its own, then those to ask
+    common.dropped(rows)
     copies = W.partitionBy("part", F.xxhash64("v"), F.hash("v")).orderBy("vec_id", "row")
     kept = filed.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1)
     kept = common.stored(kept.select("row", "vec_id", "v", "part"), "ann-kept")
