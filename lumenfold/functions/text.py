@@ -108,7 +108,8 @@ def composable() -> str:
 
 def nfc(c: Column) -> Column:
     """Composed form; only texts with a character that composing could change go through Python."""
-    return F.coalesce(_nfc(F.when(F.regexp_like(c, F.lit(composable())), c)), c)
+    # none stands before U+0300, which is cheap to see; the class has hundreds of ranges
+    return F.coalesce(_nfc(F.when(F.regexp_like(c, F.lit(r"(?=[^\x00-\x{2ff}])" + composable())), c)), c)
 
 
 def unify(c: Column) -> Column:
