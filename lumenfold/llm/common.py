@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import Window as W
 LOCAL_SHARED = "file:///tmp/checkpoints/lumenfold"
 #: Bytes, at most, that a sample for a fit brings to the driver.
 SAMPLE_BYTES = 64 << 20
+#: Rows of an Arrow batch of texts, at most: at Spark's own 10,000, a few tasks' batches fill an executor's spare memory.
+BATCH_ROWS, BATCH_CONF = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +58,14 @@ def dropped(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of BATCH_ROWS at most; the session keeps that setting, or a smaller one of its own."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def id_crc(column: str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

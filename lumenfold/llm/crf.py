@@ -275,7 +275,7 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
             best = [(UNDETERMINED, 0.0) if s is None else (field.labels[int(s.argmax())], float(min(1.0, s.max()))) for s in shares]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in best], pa.string()), pa.array([y for _, y in best], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return common.map_texts(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def label_words(field: Field, text: str) -> list[tuple[str, str]]:

@@ -304,7 +304,7 @@ def _find_block(docs: DataFrame, windows: Windows) -> DataFrame:
         if ids:
             yield shard(rows, ids, texts)
 
-    return docs.mapInArrow(run, FOUND.format(kind=kind))
+    return common.map_texts(docs, run, FOUND.format(kind=kind))
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -366,7 +366,7 @@ def _keep_clean_block(docs: DataFrame, windows: Windows) -> DataFrame:
         if own:
             yield from clean(own)
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_texts(docs, run, docs.schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, check: int | None = None
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, fps.view(np.int64))], ["doc_id", "row_key", "fp", "chk"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key long, fp long, chk long")
+    return common.map_texts(docs.select("doc_id", row_key().alias("row_key"), "text"), run, f"doc_id {kind}, row_key long, fp long, chk long")
 
 
 def row_key() -> Column:

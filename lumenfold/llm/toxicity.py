@@ -42,6 +42,8 @@ from . import common
 
 #: Labelled rows, at most, from which the grammar learns.
 SAMPLE_ROWS = 12_000
+#: Counts that a task holds before it hands them on to be summed.
+HELD_COUNTS = 50_000
 
 # Seed lexicon (fixed values): common words of each class in four languages.
 INSULT = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown dumb fool imbecile dumm idiotisch trottel abschaum connard imbécile stupide ordure tonto estúpido basura imbécil".split()
@@ -334,7 +336,7 @@ def learn(sample: DataFrame) -> Grammar:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([copy_keys(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["row", "y", "keys"])
 
-    rows = sorted(tuple(r) for r in sample.mapInArrow(keys, "row long, y int, keys array<long>").collect())  # a few numbers for each row of the sample
+    rows = sorted(tuple(r) for r in common.map_texts(sample, keys, "row long, y int, keys array<long>").collect())  # a few numbers for each row of the sample
     if len({y for _, y, _ in rows}) < 2:
         return Grammar()
     group = dict(zip([r for r, _, _ in rows], copies([k for _, _, k in rows])))
@@ -346,20 +348,29 @@ def learn(sample: DataFrame) -> Grammar:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, key, own = Counter(), None, set()
+
+        def handed_on() -> pa.RecordBatch:
+            names, halves, labels = zip(*counts) if counts else ((), (), ())
+            columns = (names, pa.string()), (halves, pa.int32()), (labels, pa.int32()), (list(counts.values()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["entry", "half", "y", "n"])
+
         for b in batches:
-            for t, y, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for t, y, g in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if (g, y) != key:
                     if key:
                         counts.update((e, half[key[0]], key[1]) for e in own)
                     key, own = (g, y), set()
-                own |= entries(t)
+                    if len(counts) > HELD_COUNTS:
+                        yield handed_on()
+                        counts.clear()
+                own |= entries(t.as_py())
         if key:
             counts.update((e, half[key[0]], key[1]) for e in own)
-        columns = [list(c) for c in zip(*[(*k, n) for k, n in counts.items()])] or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["entry", "half", "y", "n"])
+        yield handed_on()
 
-    dealt = sample.mapInArrow(grouped, "row long, text string, y int, grp long").repartition("grp").sortWithinPartitions("grp", "y")
-    counted = dealt.mapInArrow(count, "entry string, half int, y int, n long")
+    tasks = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = common.map_texts(sample, grouped, "row long, text string, y int, grp long").repartition(tasks, "grp").sortWithinPartitions("grp", "y")
+    counted = common.map_texts(dealt, count, "entry string, half int, y int, n long")
     of = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0))
     table = common.stored(counted.groupBy("entry").agg(*[of(h, y).alias(f"c{h}{y}") for h in (0, 1) for y in (0, 1)]), "tox-entries")
     n = Counter((half[g], y) for g, y in {(group[r], y) for r, y, _ in rows})
@@ -383,7 +394,7 @@ def learn(sample: DataFrame) -> Grammar:
             own = [graders[1 - half[group[r]]].features(t) for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, pa.float64()) for c in zip(*own)]] if own else [b.column(0), b.column(2), *[pa.array([], pa.float64())] * 3], ["row", "y", "best", "sum", "n"])
 
-    found = np.array(sorted(tuple(r) for r in sample.mapInArrow(features, "row long, y int, best double, sum double, n double").collect()))
+    found = np.array(sorted(tuple(r) for r in common.map_texts(sample, features, "row long, y int, best double, sum double, n double").collect()))
     x, y = np.column_stack([np.ones(len(found)), found[:, 2:]]), found[:, 1]
     coef = np.array([-3.0, 0.5, 0.3, 0.1])
     for _ in range(60):  # Newton steps with a small ridge
@@ -417,7 +428,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return common.map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:
@@ -429,7 +440,7 @@ def drop_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:
             clean = grammar.score(b.column(columns.index("text")).to_pylist()) < 0.5
             yield b.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_texts(docs, run, docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,7 +311,7 @@ def encode(docs: DataFrame, codec: Codec, keep: list[str] | None = None) -> Data
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], ids, count, spare, trip], [*keep, *RESULTS])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, f"{fields}, ids array<int>, n_tokens long, n_fallback long, round_trip boolean")
+    return common.map_texts(docs.select(*keep, *([] if "text" in keep else ["text"])), run, f"{fields}, ids array<int>, n_tokens long, n_fallback long, round_trip boolean")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
