@@ -124,3 +124,13 @@ def test_without_labels(spark, tmp_path):
     assert [r.doc_id for r in toxicity.drop_toxic(docs, g).collect()] == [2]
     assert toxicity.drop_toxic(documents(spark, []), g).count() == 0
     assert toxicity.op4_toxicity(spark, write(tmp_path / "e", documents=documents(spark, []), labels=spark.createDataFrame([], LABELS))).count() == 0
+
+
+def test_counts_handed_on_early_are_summed(spark, monkeypatch):
+    rows = [(i, f"{'you are a ' + ('grobbler' if i % 3 else 'snarfelo') if i % 2 else 'have a nice day'} {chr(97 + i % 26)}word{i}", i % 2) for i in range(120)]
+    sample = spark.createDataFrame(rows, "row long, text string, y int")
+    whole = toxicity.learn(sample)
+    monkeypatch.setattr(toxicity, "HELD_COUNTS", 5)
+    early = toxicity.learn(sample)
+    assert whole.lexicon.begins and (early.lexicon.whole, early.lexicon.begins) == (whole.lexicon.whole, whole.lexicon.begins)
+    assert np.allclose(early.coef, whole.coef)
