@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, crf, decontam, hosts, lattice, lexical, secrets, sharding, simhash, toxicity, warc, wfst
+from . import ann, crf, decontam, hosts, lattice, lexical, negatives, secrets, sharding, simhash, toxicity, warc, wfst
 
 
 def queries() -> dict:
@@ -18,9 +18,16 @@ def queries() -> dict:
         "op9_kd_sharding": sharding.op9_kd_sharding,
         "op10_lattice_lm": lattice.op10_lattice_lm,
         "op11_lexical_search": lexical.op11_lexical_search,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
         "op13_host_rules": hosts.op13_host_rules,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc": warc.OP1_SQL, "op2_decontamination": decontam.OP2_SQL, "op11_lexical_search": lexical.OP11_SQL, "op13_host_rules": hosts.OP13_SQL}
+    return {
+        "op1_warc": warc.OP1_SQL,
+        "op2_decontamination": decontam.OP2_SQL,
+        "op11_lexical_search": lexical.OP11_SQL,
+        "op12_hard_negatives": negatives.OP12_SQL,
+        "op13_host_rules": hosts.OP13_SQL,
+    }
