@@ -229,7 +229,7 @@ def build(rows: DataFrame, total: int, k: int = K, sample: int = SAMPLE, part_ro
     """The index of stored rows; what reaches the driver is a sample and at most BRANCH small routers."""
     wanted = min(BRANCH * BRANCH, max(1, -(-total // part_rows)))
     dims = F.size("v") * 8
-    picked = common.bounded_sample(rows.select("row", "v"), sample, dims, total=total).orderBy("row").collect()
+    picked = common.bounded_sample(rows.select("row", "v"), sample, dims, distinct=total).orderBy("row").collect()
     if len(picked) < 2:
         return Index(None, {})
     x = np.array([r["v"] for r in picked], np.float64)

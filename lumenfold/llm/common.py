@@ -75,23 +75,53 @@ def held_out(modulus: int, remainder: int, column: str = "doc_id") -> Column:
     return id_crc(column) % modulus == remainder
 
 
-def bounded_sample(df: DataFrame, rows: int, size: Column, max_bytes: int = SAMPLE_BYTES, total: int | None = None) -> DataFrame:
+def enough(rows: float) -> float:
+    """How many rows a threshold on their hashes should let through on average, so that hardly ever fewer than `rows` come."""
+    return 1.1 * (rows + 6 * rows**0.5)
+
+
+def bounded_sample(df: DataFrame, rows: int, size: Column, max_bytes: int = SAMPLE_BYTES, distinct: int | None = None) -> DataFrame:
     """At most `rows` distinct rows of df, and at most max_bytes of them by `size`; only fits of models use it.
 
     Rows are picked by a hash of all their columns, so a repeated row counts once however often it
-    stands. If there are no more than `rows`, all distinct ones come, up to max_bytes.
+    stands, and repeats take no room: the threshold on the hash comes from the number of distinct rows
+    (estimated, unless it is given). If there are no more than `rows`, all distinct ones come, up to max_bytes.
     """
-    total = df.count() if total is None else total
     space, (key, upto) = 1 << 40, fresh(df, "key", "upto")
+    if distinct is None:
+        distinct = df.agg(F.approx_count_distinct(F.xxhash64(*df.columns), 0.02)).first()[0]
     keyed = df.withColumn(key, F.pmod(F.xxhash64(*df.columns), F.lit(space)))
-    if total > rows:
-        keyed = keyed.filter(F.col(key) < max(1, int(space * rows / total)))
+    if distinct > enough(rows):
+        keyed = keyed.filter(F.col(key) < max(1, int(space * enough(rows) / distinct)))
     few = keyed.distinct().orderBy(key, *df.columns).limit(rows)
-    # few has at most `rows` rows, so one task may sum them up
-    running = W.partitionBy(F.lit(0)).orderBy(key, *df.columns).rowsBetween(W.unboundedPreceding, 0)
+    # few has at most `rows` rows, so one task may sum them up; a row of many times the mean doesn't keep others out
+    long = F.coalesce(size, F.lit(0)) > 16 * max_bytes / rows
+    running = W.partitionBy(F.lit(0)).orderBy(long, key, *df.columns).rowsBetween(W.unboundedPreceding, 0)
     return few.withColumn(upto, F.sum(size).over(running)).filter(F.coalesce(F.col(upto), F.lit(0)) <= max_bytes).select(*df.columns)
 
 
+def sample_of_each(df: DataFrame, group: str, rows: int, least: int, size: Column, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """Distinct rows of df, about `rows` in all, dealt to the groups by their distinct rows; of each group `least` at least, if it has so many.
+
+    Each group has its share of max_bytes by `size`, but one row whatever its size. Rows whose group is null take no
+    part. Groups are few: a row for each reaches the driver.
+    """
+    space, (key, quota, upto, place) = 1 << 40, fresh(df, "key", "quota", "upto", "place")
+    of_group = df.filter(F.col(group).isNotNull())
+    counts = of_group.groupBy(group).agg(F.approx_count_distinct(F.xxhash64(*df.columns), 0.02).alias("n")).collect()
+    total = sum(r["n"] for r in counts)
+    quotas = [(r[group], max(least, -(-rows * r["n"] // total)), r["n"]) for r in counts]
+    shares = sum(q for _, q, _ in quotas)
+    table = [(g, q, max_bytes * q // shares, space if n <= enough(q) else int(space * enough(q) / n)) for g, q, n in quotas]
+    kind = df.schema[group].dataType.simpleString()
+    limits = F.broadcast(df.sparkSession.createDataFrame(table, f"`{group}` {kind}, `{quota}` long, bytes long, below long"))  # a row for each group
+    keyed = of_group.withColumn(key, F.pmod(F.xxhash64(*df.columns), F.lit(space))).join(limits, group).filter(F.col(key) < F.col("below")).distinct()
+    long = size > 16 * F.col("bytes") / F.col(quota)
+    order = W.partitionBy(group).orderBy(long, key, *df.columns)  # enough(quota) rows at most, about
+    keyed = keyed.withColumn(place, F.row_number().over(order)).withColumn(upto, F.sum(size).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return keyed.filter((F.col(place) <= F.col(quota)) & ((F.col(upto) <= F.col("bytes")) | (F.col(place) == 1))).select(*df.columns)
+
+
 def attach_by_key(left: DataFrame, per_key: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
     """left inner-joined with per_key (one row per key, `count` holds its rows in left), whatever the skew.
 

@@ -7,8 +7,9 @@ that switch languages get their words labelled apart; a text's language is the o
 largest mean share. Chains are `CHAIN` words long and cover the whole text, so texts of any length
 cost memory in proportion to a batch.
 
-The languages are all those of the training documents; each has rows in the fit. The field is fitted
-on `SAMPLE_DOCS` distinct documents at most, and `LANG_DOCS` more of each rarer language, by stochastic gradient steps on the
+The languages are all those that a text of the training documents has; each has rows in the fit, however few its distinct
+texts and however many rows repeat. The field is fitted on about `SAMPLE_DOCS` distinct documents, and on `LANG_DOCS` of each
+language at least, if it has so many, by stochastic gradient steps on the
 chains' likelihood; a third of the training chains is spliced from two documents, since the
 transitions must see switches.
 
@@ -21,7 +22,6 @@ empty result; language, source and id are never inputs; further columns are igno
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,7 @@ from . import common
 
 #: Documents, about, that the field is fitted on, besides those that rare languages add.
 SAMPLE_DOCS = 1_500
-#: Documents, about, that each language gives to the fit at least, if it has so many.
+#: Documents that each language gives to the fit at least, if it has so many.
 LANG_DOCS = 50
 CHAIN = 64
 BUCKETS = 1 << 16
@@ -243,21 +243,13 @@ def training_chains(rows: list[tuple[str, int]], seed: int = 0) -> list[tuple[li
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
-    """A field for every language of the documents outside of the held-out third.
+    """A field for every language that a text outside of the held-out third has.
 
-    It is fitted on about sample_docs documents at most, and of each language on about LANG_DOCS more
-    where that sample holds fewer (all of them if there are no more).
+    It is fitted on about sample_docs distinct documents, dealt to the languages by their distinct texts, and on
+    LANG_DOCS of each at least (all of them if there are no more); one document, however often it is repeated, is enough.
     """
-    usable = docs.filter(F.col("lang").isNotNull() & ~common.held_out(3, 1)).select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # reads no text
-    usable = usable.filter(F.col("text").isNotNull())
-    size, total = F.octet_length("text"), sum(counts.values())
-    found = {(r["text"], r["lang"]) for r in common.bounded_sample(usable, sample_docs, size, total=total).collect()}
-    held = Counter(lang for _, lang in found)
-    for lang in sorted(lang for lang, n in counts.items() if held[lang] < min(n, LANG_DOCS)):  # the rare ones
-        own = usable.filter(F.col("lang") == lang)
-        found |= {(r["text"], r["lang"]) for r in common.bounded_sample(own, LANG_DOCS, size, common.SAMPLE_BYTES // 16, counts[lang]).collect()}
-    rows = sorted(found)
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(3, 1)).select("text", "lang")
+    rows = sorted((r["text"], r["lang"]) for r in common.sample_of_each(usable, "lang", sample_docs, LANG_DOCS, F.octet_length("text")).collect())
     labels = sorted({lang for _, lang in rows})
     field = Field(labels)
     chains = training_chains([(t, labels.index(lang)) for t, lang in rows])

@@ -89,6 +89,40 @@ def test_sample_is_bounded(spark):
     assert common.bounded_sample(rows, 150, F.octet_length("text")).count() <= 1
 
 
+def test_repeats_take_no_room_in_samples(spark):
+    size = F.octet_length("text")
+    for doc_id in ("id", "CAST(NULL AS LONG)"):
+        rows = spark.range(200_000).selectExpr(f"{doc_id} AS doc_id", "concat('text ', id % 300) AS text").select("text")
+        assert common.bounded_sample(rows, 1_500, size).count() == 300
+    few = spark.range(927).selectExpr("concat('text ', id) AS text")
+    rows = few.union(spark.range(60_000).selectExpr("'one text' AS text"))
+    assert common.bounded_sample(rows, 4_000, size).count() == 928
+    assert common.bounded_sample(rows, 500, size).count() == 500
+    # one very long row doesn't fill the bytes
+    long = few.union(spark.range(1).selectExpr("repeat('long ', 20000) AS text"))
+    assert common.bounded_sample(long, 2_000, size, 30_000).count() == 927
+
+
+def test_samples_of_groups(spark):
+    rows = spark.range(30_000).selectExpr("concat('a ', id) AS text", "'a' AS lang").union(spark.range(30_000).selectExpr("'one text' AS text", "'b' AS lang"))
+    rows = rows.union(spark.range(70).selectExpr("concat('c ', id) AS text", "'c' AS lang")).union(spark.range(9).selectExpr("'x' AS text", "CAST(NULL AS STRING) AS lang"))
+    counts = lambda *a: {r["lang"]: r["count"] for r in common.sample_of_each(rows, "lang", *a).groupBy("lang").count().collect()}
+    found = counts(1_000, 50, F.octet_length("text"))
+    assert set(found) == {"a", "b", "c"} and found["b"] == 1 and found["c"] == 50 and 990 <= found["a"] <= 1_000
+    assert counts(1_000, 50, F.octet_length("text"), 1) == {"a": 1, "b": 1, "c": 1}
+    assert counts(40_000, 50, F.octet_length("text"))["a"] == 30_000
+    assert common.sample_of_each(rows.limit(0), "lang", 10, 5, F.octet_length("text")).count() == 0
+
+
+def test_language_of_one_repeated_text(spark):
+    r = random.Random(5)
+    rows = documents(spark, [(i, text(lang, r, 12), lang) for i in range(300) for lang in ("aa", "bb")], extra=False)
+    again = text("cc", r, 30)
+    copies = spark.range(30_000).selectExpr("id + 1000 AS doc_id", f"'{again}' AS text", "'cc' AS lang", "'s' AS source", "0L AS n_chars")
+    found = crf.predict(rows.union(copies), crf.train(rows.union(copies))).groupBy("lang_pred").count().collect()
+    assert {x["lang_pred"]: x["count"] for x in found}["cc"] >= 30_000
+
+
 def test_nothing_to_learn(spark, tmp_path):
     found = crf.op8_language_id(spark, write(tmp_path, documents=documents(spark, [(1, "some words")]))).collect()
     assert [(x.lang_pred, x.score) for x in found] == [("und", 0.0)]
