@@ -8,7 +8,7 @@ aggregations however large the table is. One task sums the bins of a node, 16,38
 
 Defined cases: a null text has size 16 and the CRC of the empty text; null source and language are
 values of their own; equal texts share one point and stay in one shard, except where their group
-holds over 1/10,240 of the bytes or rows and a cut goes through it; repeated rows each get a slot;
+holds over 1/10,240 of the bytes or rows and a cut goes through it, also where its ids are equal or null; repeated rows each get a slot;
 texts of any length count whole and the largest document bounds how equal sizes can be; of equal ids
 slots go by the text's CRC, of equal rows any order is one; an empty table gives an empty result;
 further columns of the input are ignored, whatever their names.
@@ -87,7 +87,7 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     size = F.octet_length(text).cast("long") + ROW_BYTES
     rows = common.stored(
         docs.select(
-            "doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("thash"),
+            F.monotonically_increasing_id().alias("row"), "doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("thash"),
             ordinal("source").alias("d_source"), ordinal("lang").alias("d_lang"),
             F.least(F.lit(4095), F.floor(F.log2(size) * 128)).cast("int").alias("d_length"),
         ),
@@ -97,10 +97,10 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     all_bytes, n_rows = rows.agg(F.sum("size"), F.count("*")).first()
     piece_bytes, piece_rows = max((all_bytes or 0) / PIECES, 1), max(n_rows / PIECES, 1)
     share = F.greatest(F.col("b") / piece_bytes, F.col("n") / piece_rows)
-    # at most 2 * PIECES groups can exceed a share, so this side is bounded
+    # at most 2 * PIECES groups can exceed a share, so this side is bounded; their pieces are dealt by the row's number, as ids can repeat
     heavy = groups.filter((share > 1) & (F.col("n") > 1)).select("thash", F.ceil(share).alias("pieces"))
     pieces = F.coalesce("pieces", F.lit(1))
-    rows = rows.join(F.broadcast(heavy), "thash", "left").withColumn("piece", F.pmod(F.xxhash64("doc_id"), pieces)).drop("pieces")
+    rows = rows.join(F.broadcast(heavy), "thash", "left").withColumn("piece", F.pmod(F.xxhash64("row"), pieces)).drop("pieces")
     units = held = common.stored(
         rows.groupBy("thash", "piece").agg(F.sum("size").alias("bytes"), *[F.min(d).alias(d) for d in DIMENSIONS]), "kd-units"
     )
@@ -126,9 +126,7 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     runs = max(8, n_rows // (shards * SLOT_RUN))
     placed = common.stored(
         rows.join(units.select("thash", "piece", "shard"), ["thash", "piece"])
-        .select("doc_id", "size", "text_crc32", "shard")
-        # the place among the rows is in the hash, so that repeated rows spread; storing it keeps it
-        .withColumn("run", F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(runs)).cast("int")),
+        .select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(runs)).cast("int").alias("run")),
         "kd-placed",
     )
     # one row for each shard and run of SLOT_RUN rows; as their number grows with the table, Spark picks the join by its size

@@ -34,6 +34,15 @@ def test_sizes_are_near_equal_with_a_hot_text(spark):
     assert max(sizes) < 1.05 * mean and min(sizes) > 0.95 * mean
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_sizes_are_near_equal_with_equal_rows(spark, doc_id):
+    rows = [(i, "word " * (i % 37 + 5) + str(i), ["en", "de", "fr"][i % 3], f"s{i % 7}") for i in range(2_000)]
+    docs = documents(spark, rows + [(doc_id, "one row " * 12, "en", "s0")] * 2_000)
+    sizes = check(sharding.assign(docs).collect(), docs.collect()).values()
+    mean = sum(sizes) / 40
+    assert max(sizes) < 1.05 * mean + 213 and min(sizes) > 0.95 * mean - 213  # 213: the largest row
+
+
 @pytest.mark.parametrize("shards", [1, 2, 3, 7])
 def test_other_counts_of_shards(spark, shards):
     docs = documents(spark, [(i, "t" * (i % 11 * 9 + 30)) for i in range(500)])
