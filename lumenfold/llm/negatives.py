@@ -40,7 +40,7 @@ LOW, HIGH = 80, 100
 SAMPLE = 2_000
 #: Pivots at least and at most; anchors that a group holds about; anchors of a block and rows of a chunk.
 PIVOTS, MOST_PIVOTS = 32, 256
-ANCHORS, GROUP, CHUNK = 128, 2_048, 2_048
+ANCHORS, GROUP, CHUNK = 512, 2_048, 2_048
 
 
 def valid(vectors: DataFrame, anchor: Column, label: Column) -> DataFrame:
