@@ -1,7 +1,9 @@
-"""Reading order of text blocks on a page, for one and two columns."""
+"""From glyph runs to lines and blocks, and the reading order of blocks on a page, for one and two columns."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,60 @@ def page_order(blocks: Column) -> Column:
     return F.array_join(F.transform(T.let(rows, banded), lambda t: t["text"]), "\n\n")
 
 
+def _cut(rows: Column, starts: Callable[[Column, Column], Column]) -> Column:
+    """An array cut before each element (but the first) for which starts(element before, element) holds."""
+    places = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | starts(rows[F.greatest(i - 1, F.lit(0))], rows[i]))
+    parts = lambda at: F.transform(at, lambda p, j: F.slice(rows, p + 1, F.when(j + 1 < F.size(at), at[F.least(j + 1, F.size(at) - 1)]).otherwise(F.size(rows)) - p))
+    return F.when(F.size(rows) > 0, T.let(places, parts)).otherwise(F.array(rows))
+
+
+def _hull(rows: Column, text: Column) -> Column:
+    edge = lambda f, of: of(F.transform(rows, lambda r: r[f])).alias(f)
+    return F.struct(edge("y0", F.array_min), edge("x0", F.array_min), edge("x1", F.array_max), edge("y1", F.array_max), edge("size", F.array_max), text.alias("text"))
+
+
+def text_lines(runs: Column) -> Column:
+    """Pieces of lines from an array of glyph runs (x0, y0, x1, y1, size, text), top down, then left to right.
+
+    Runs whose feet are within a third of their size stand on one line; a gap of over 1.2 sizes parts a
+    line (so columns stay apart), one of over 0.15 sizes is a space.
+    """
+    by_foot = F.array_sort(F.transform(runs, lambda r: F.struct(*[r[f].alias(f) for f in ("y1", "x0", "x1", "y0", "size", "text")])))
+    by_left = lambda rows: F.array_sort(F.transform(rows, lambda r: F.struct(*[r[f].alias(f) for f in ("x0", "y1", "x1", "y0", "size", "text")])))
+    size = lambda a, b: F.greatest(a["size"], b["size"])
+    lines = T.let(by_foot, lambda rows: _cut(rows, lambda a, b: b["y1"] - a["y1"] > 0.34 * size(a, b)))
+
+    def joined(rows: Column) -> Column:
+        start = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("x1"))
+        apart = lambda a, r: (r["x0"] - a["x1"] > 0.15 * r["size"]) & ~a["text"].endswith(" ") & ~r["text"].startswith(" ")
+        step = lambda a, r: F.struct(F.concat(a["text"], F.when(F.coalesce(apart(a, r), F.lit(False)), " ").otherwise(""), r["text"]).alias("text"), r["x1"].alias("x1"))
+        return F.aggregate(rows, start, step, lambda a: a["text"])
+
+    pieces = lambda line: T.let(by_left(line), lambda rows: _cut(rows, lambda a, b: b["x0"] - a["x1"] > 1.2 * size(a, b)))
+    found = F.transform(F.flatten(F.transform(lines, pieces)), lambda rows: _hull(rows, joined(rows)))
+    return F.when(F.size(runs) > 0, F.array_sort(found)).otherwise(F.filter(found, lambda _: F.lit(False)))
+
+
+def text_blocks(runs: Column, width: Column) -> Column:
+    """Blocks, as page_order takes them, from a page's glyph runs: a piece of a line goes to the last block above it that
+    it overlaps, if their sizes differ by a quarter at most and the gap is under 0.6 sizes. A page's runs are one bounded group.
+    """
+    kind = "array<struct<y0:double,x0:double,x1:double,y1:double,size:double,text:string>>"
+
+    def fits(b: Column, l: Column) -> Column:
+        size, gap = F.greatest(b["size"], l["size"]), l["y0"] - b["y1"]
+        return (l["x0"] < b["x1"]) & (l["x1"] > b["x0"]) & (gap < 0.6 * size) & (gap > -0.5 * size) & (F.least(b["size"], l["size"]) >= 0.75 * size)
+
+    def step(blocks: Column, l: Column) -> Column:
+        at = F.array_max(F.filter(F.sequence(F.lit(0), F.size(blocks)), lambda i: F.coalesce(fits(F.get(blocks, i), l), F.lit(False))))
+        merged = lambda b: _hull(F.array(b, l), F.concat(b["text"], F.lit("\n"), l["text"]))
+        return T.let(at, lambda n: F.when(n.isNull(), F.concat(blocks, F.array(l))).otherwise(F.transform(blocks, lambda b, i: F.when(i == n, merged(b)).otherwise(b))))
+
+    blocks = F.aggregate(text_lines(runs), F.array().cast(kind), step)
+    full = lambda b, i: F.struct(i.alias("block_no"), width.cast("double").alias("page_width"), b["x0"].alias("x0"), b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1"), b["text"].alias("text"))
+    return F.transform(F.array_sort(blocks), full)
+
+
 def page_text(blocks: DataFrame) -> DataFrame:
     """doc_id, page, text from blocks as rows (doc_id, page, block_type and the fields of page_order). A page's blocks are one bounded group."""
     text = blocks.filter("block_type = 0")

@@ -292,6 +292,8 @@ SQL["packet_external"] = with_ctes("segs", select=f"""SELECT * FROM (
   FROM (SELECT doc_id, n_cuts, k::INT AS k, CASE k WHEN 1 THEN 1 ELSE first_end + 1 END::INT AS a, CASE k WHEN 1 THEN first_end ELSE first_end + 1 END::INT AS b FROM ({synth.CUTS}), range(1, 3) t(k) WHERE k <= n_cuts) r
   LEFT JOIN labelled l ON l.doc_id = r.doc_id AND l.p BETWEEN a AND b
   WHERE (SELECT max(n_pages) FROM labelled x WHERE x.doc_id = r.doc_id) > 1 GROUP BY r.doc_id, n_cuts, k, a, b)""")
+SQL["pdf_text"] = r"""SELECT doc_id, 1::INT AS page_count, length(t)::INT AS n_shown, md5(t) AS shown_md5, CAST(NULL AS VARCHAR) AS error
+  FROM (SELECT doc_id, regexp_replace(text, '[^\x21-\x7E\x{A1}-\x{FFFF}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL)"""
 SQL["text_decode"] = f"SELECT doc_id, name AS text FROM ({synth.BYTES})"
 SQL["json_roundtrip"] = with_ctes("contacts", select=f"""SELECT n.doc_id, c.name, c.email, y.total AS total_experience_years, {_J('o.skills')} AS skills, CAST(NULL AS VARCHAR) AS error
   FROM norm n JOIN contacts c ON c.doc_id = n.doc_id JOIN own o ON o.doc_id = n.doc_id LEFT JOIN years y ON y.doc_id = n.doc_id""")

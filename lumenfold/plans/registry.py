@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 from ..functions import text as T
 from ..functions.lexicon import MAX_CHARS
 from ..operators import extract, layout, reconcile, score as rubric, sections, segment
-from ..sources.files import decode_text, profiles_from_json, reject_reason
+from ..sources.files import decode_text, profiles_from_json, read_bytes, reject_reason
 from . import oracle, pipeline, synth
 
 CATEGORIES = ("technical_skills", "experience", "education", "quality")
@@ -37,9 +37,9 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than there are cores is dealt out before heavy work on its rows; others are read in parallel as they are."""
+    """A table that is read by fewer tasks than there are cores is dealt out before heavy work on its rows; others are read in parallel as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,6 +330,15 @@ def packet_external(spark, d):
     return rows.select("doc_id", "engine", "is_packet", (F.col("i") + 1).alias("seg_no"), "s.category", "s.start_page", "s.end_page", "s.confidence", F.md5("s.text").alias("text_md5"))
 
 
+def pdf_text(spark, d):
+    """Documents as PDF files, in one column or two, whose pages and fonts stand plainly or in object streams, read back."""
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).filter("text is not null")
+    content = synth.pdf_file(F.col("text"), F.col("doc_id") % 2 + 1, F.col("doc_id") % 4 >= 2)
+    back = read_bytes(docs.select("doc_id", F.concat("doc_id", F.lit(".pdf")).alias("filename"), content.alias("content")))
+    shown = F.regexp_replace("raw_text", r"[^\x21-\x7E\u00A1-\uFFFF]", "")
+    return back.select("doc_id", "page_count", F.length(shown).alias("n_shown"), F.md5(shown).alias("shown_md5"), "error")
+
+
 def text_decode(spark, d):
     """Bytes of text files, valid UTF-8 or not."""
     rows = composed(spark, d, synth.BYTES, "customer")
@@ -387,7 +396,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             norm_basic, norm_resumes, section_lines, section_assemble, email_documents, skills_flat, skills_by_category, skill_frequency, domain, exp_rows, exp_highlights,
             exp_total, edu_rows, projects_top5, certs_top6, summary, jd_skills, skill_match, skill_missing, candidate_job_rank, page_classify, packet_merge, packet_primary,
             segment_preview, block_layout, scanned_flag, ext_gate, reconcile_scalar, reconcile_skills, reconcile_categories, prompt_budget, page_preview, score_band, profile_json, capabilities,
-            reconcile_lists, packet_external, text_decode, json_roundtrip, profile_core, category_texts,
+            reconcile_lists, packet_external, pdf_text, text_decode, json_roundtrip, profile_core, category_texts,
         )
     }
     found |= {f: contact_query(f) for f in ("name", "email", "phone", "location")} | {"links": contact_query("linkedin", "github")}

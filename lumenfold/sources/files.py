@@ -7,9 +7,7 @@ size are tested on the listing, before contents are read (the size filter is pus
 from __future__ import annotations
 
 import io
-import re
 import zipfile
-import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -19,12 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import MAX_BYTES, SUFFIXES
-from ..operators.layout import page_order
+from ..operators.layout import page_order, text_blocks
 from ..operators.segment import is_scanned
+from . import pdf
 
-SCHEMA = "filename string, file_type string, raw_text string, blocks array<array<struct<block_no:int,page_width:double,x0:double,y0:double,x1:double,y1:double,text:string>>>, page_count int, metadata map<string,string>, error string"
+SCHEMA = "filename string, file_type string, raw_text string, blocks array<array<struct<block_no:int,page_width:double,x0:double,y0:double,x1:double,y1:double,text:string>>>, runs array<struct<width:double,runs:array<struct<x0:double,y0:double,x1:double,y1:double,size:double,text:string>>>>, page_count int, metadata map<string,string>, error string"
 _BLOCK = [("block_no", pa.int32()), *[(f, pa.float64()) for f in ("page_width", "x0", "y0", "x1", "y1")], ("text", pa.string())]
 PAGE_BLOCKS = pa.list_(pa.list_(pa.struct(_BLOCK)))
+_RUN = [*[(f, pa.float64()) for f in ("x0", "y0", "x1", "y1", "size")], ("text", pa.string())]
+PAGE_RUNS = pa.list_(pa.struct([("width", pa.float64()), ("runs", pa.list_(pa.struct(_RUN)))]))
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -68,57 +69,34 @@ def _pdf_library(data: bytes) -> list[list[dict]] | None:
     except ImportError:
         return None
     with fitz.open(stream=data, filetype="pdf") as doc:
-        return [[_block(n, *b[:5], page.rect.width) for n, b in enumerate(page.get_text("blocks")) if b[6] == 0] for page in doc]
+        return [_library_page(page) for page in doc]
+
+
+def _library_page(page) -> list[dict]:
+    """Text blocks sorted by place; a page without any gives its plain text as one block."""
+    found = [_block(n, *b[:5], page.rect.width) for n, b in enumerate(page.get_text("blocks", sort=True)) if b[4].strip() and (len(b) < 7 or b[6] == 0)]
+    return found or [_block(0, 0.0, 0.0, 0.0, 0.0, page.get_text("text") or "", page.rect.width)]
 
 
 def _block(number: int, x0: float, y0: float, x1: float, y1: float, text: str, width: float) -> dict:
     return {"block_no": number, "page_width": width, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "text": text}
 
 
-_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj(.*?)endobj", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_SHOW = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|T\*|TD|Td|'|BT|ET", re.S)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _pdf_plain(data: bytes) -> list[str]:
-    """Pages of simple PDFs: literal strings shown by their content streams, plain or deflated."""
-    objects = {int(n): body for n, body in _OBJECT.findall(data)}
-    pages = []
-    for body in objects.values():
-        if not re.search(rb"/Type\s*/Page\b", body):
-            continue
-        parts = []
-        for ref in re.findall(rb"(\d+)\s+\d+\s+R", (re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body) or [b"", b""])[1]):
-            own = objects.get(int(ref), b"")
-            if stream := _STREAM.search(own):
-                parts.append(zlib.decompress(stream[1]) if b"/FlateDecode" in own else stream[1])
-        out: list[str] = []
-        for token in _SHOW.findall(b"\n".join(parts)):
-            if token[:1] == b"(":
-                raw = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
-                out.append(raw.decode("latin-1"))
-            elif token[:1] == b"<":
-                out.append(bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode() or "").decode("latin-1"))
-            elif out and not out[-1].endswith("\n") and token != b"BT":
-                out.append("\n")
-        pages.append("".join(out).strip())
-    if not pages:
-        raise ValueError("no page found")
-    return pages
-
-
-def pdf_pages(data: bytes) -> tuple[list[list[dict]], str]:
-    """The blocks of the pages and which reader gave them: a library first, the plain one if there is none or it fails."""
+def pdf_pages(data: bytes) -> tuple[list[list[dict]] | None, list[dict] | None, str]:
+    """The blocks of the pages by a library, or else their glyph runs; and which reader gave them."""
     try:
-        if (pages := _pdf_library(data)) is not None:
-            return pages, "library"
+        if (found := _pdf_library(data)) is not None:
+            return found, None, "library"
     except Exception as first:  # noqa: BLE001  the other reader may still manage
         try:
-            return [[_block(0, 0, 0, 0, 0, t, 0)] for t in _pdf_plain(data)], "plain"
+            return None, _pdf_runs(data), "runs"
         except Exception as second:
             raise RuntimeError(f"both PDF readers failed: {first}; {second}") from second
-    return [[_block(0, 0, 0, 0, 0, t, 0)] for t in _pdf_plain(data)], "plain"
+    return None, _pdf_runs(data), "runs"
+
+
+def _pdf_runs(data: bytes) -> list[dict]:
+    return [{"width": width, "runs": [dict(zip(("x0", "y0", "x1", "y1", "size", "text"), r)) for r in runs]} for width, runs in pdf.pages(data)]
 
 
 def read_bytes(files: DataFrame) -> DataFrame:
@@ -132,7 +110,7 @@ def read_bytes(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, column = b.num_rows, {c: b.column(c) for c in b.schema.names}
-            text, blocks, errors = column["raw_text"], [None] * n, column["error"]
+            text, blocks, runs, errors = column["raw_text"], [None] * n, [None] * n, column["error"]
             binary = np.flatnonzero(column["content"].is_valid().to_numpy(zero_copy_only=False)).tolist()
             texts, found, meta, counts = {}, {}, [[] for _ in range(n)], {}
             for i in binary:  # text files stay as they are
@@ -141,21 +119,21 @@ def read_bytes(files: DataFrame) -> DataFrame:
                         texts[i], own = docx_text(column["content"][i].as_py())
                         meta[i] = list(own.items())
                     else:
-                        pages, engine = pdf_pages(column["content"][i].as_py())
-                        meta[i], counts[i] = [("engine", engine)], len(pages)
-                        blocks[i] = pages
+                        blocks[i], runs[i], engine = pdf_pages(column["content"][i].as_py())
+                        meta[i], counts[i] = [("engine", engine)], len(blocks[i] if runs[i] is None else runs[i])
                 except Exception as e:  # noqa: BLE001  a bad file is a row with its error
                     found[i] = f"422 {type(e).__name__}: {e}"[:500]
             if binary:
                 text = pa.array([texts.get(i, t) for i, t in enumerate(text.to_pylist())], pa.string())
                 errors = pa.array([found.get(i, e) for i, e in enumerate(errors.to_pylist())], pa.string())
-            arrays = [column[c] for c in others] + [column["filename"], column["file_type"], text, pa.array(blocks, PAGE_BLOCKS), pa.array([counts.get(i) for i in range(n)], pa.int32()), pa.array(meta, pa.map_(pa.string(), pa.string())), errors]
-            yield pa.RecordBatch.from_arrays(arrays, [*others, "filename", "file_type", "raw_text", "blocks", "page_count", "metadata", "error"])
+            arrays = [column[c] for c in others] + [column["filename"], column["file_type"], text, pa.array(blocks, PAGE_BLOCKS), pa.array(runs, PAGE_RUNS), pa.array([counts.get(i) for i in range(n)], pa.int32()), pa.array(meta, pa.map_(pa.string(), pa.string())), errors]
+            yield pa.RecordBatch.from_arrays(arrays, [*others, "filename", "file_type", "raw_text", "blocks", "runs", "page_count", "metadata", "error"])
 
     kept = "".join(f"`{c}` {files.schema[c].dataType.simpleString()}, " for c in others)
     docs = ready.mapInArrow(run, kept + SCHEMA)
-    # pages are put into reading order here; a text is one page
-    pages = F.when(F.col("blocks").isNotNull(), F.transform("blocks", page_order)).when(F.col("raw_text").isNotNull(), F.array("raw_text"))
+    # lines, blocks and reading order of pages are found here; a text is one page
+    by_runs = F.transform("runs", lambda p: page_order(text_blocks(p["runs"], p["width"])))
+    pages = F.when(F.col("blocks").isNotNull(), F.transform("blocks", page_order)).when(F.col("runs").isNotNull(), by_runs).when(F.col("raw_text").isNotNull(), F.array("raw_text"))
     docs = docs.withColumn("pages", pages)
     docs = docs.withColumns({
         "raw_text": F.coalesce("raw_text", F.array_join("pages", "\n\n")),
