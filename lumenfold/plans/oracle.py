@@ -294,6 +294,13 @@ SQL["packet_external"] = with_ctes("segs", select=f"""SELECT * FROM (
   WHERE (SELECT max(n_pages) FROM labelled x WHERE x.doc_id = r.doc_id) > 1 GROUP BY r.doc_id, n_cuts, k, a, b)""")
 SQL["pdf_text"] = r"""SELECT doc_id, 1::INT AS page_count, length(t)::INT AS n_shown, md5(t) AS shown_md5, CAST(NULL AS VARCHAR) AS error
   FROM (SELECT doc_id, regexp_replace(text, '[^\x21-\x7E\x{A1}-\x{FFFF}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL)"""
+SQL["files_by_path"] = r"""WITH d AS (SELECT doc_id, doc_id % 16 AS k, text, lang, source FROM documents WHERE text IS NOT NULL),
+kinds AS (SELECT *, CASE WHEN k % 4 = 2 AND NOT regexp_matches(text, '[\x00-\x08\x0b-\x1f\x{FFFE}\x{FFFF}]') AND lang IS NOT NULL AND source IS NOT NULL THEN 'docx' WHEN k = 3 THEN 'broken' WHEN k = 7 THEN 'exe' WHEN k % 4 = 3 THEN 'pdf' ELSE 'txt' END AS kind FROM d),
+t AS (SELECT doc_id, kind, CASE WHEN kind IN ('broken', 'exe') THEN NULL WHEN kind = 'docx' THEN text || lang || '|' || source ELSE text END AS t FROM kinds)
+SELECT doc_id, CASE kind WHEN 'broken' THEN 'docx' ELSE kind END AS file_type, CASE WHEN t IS NOT NULL THEN 1 END::INT AS page_count,
+  length(regexp_replace(t, '[^\x21-\x7E\x{A1}-\x{FFFF}]', '', 'g'))::INT AS n_shown, md5(regexp_replace(t, '[^\x21-\x7E\x{A1}-\x{FFFF}]', '', 'g')) AS shown_md5,
+  CASE kind WHEN 'broken' THEN '422' WHEN 'exe' THEN '415' END AS error FROM t"""
+SQL["json_commits"] = "SELECT doc_id, lang, CASE WHEN lang = 'en' THEN NULL ELSE source END AS source, md5(CASE WHEN lang = 'en' THEN upper(source) ELSE text END) AS text_md5 FROM documents"
 SQL["text_decode"] = f"SELECT doc_id, name AS text FROM ({synth.BYTES})"
 SQL["json_roundtrip"] = with_ctes("contacts", select=f"""SELECT n.doc_id, c.name, c.email, y.total AS total_experience_years, {_J('o.skills')} AS skills, CAST(NULL AS VARCHAR) AS error
   FROM norm n JOIN contacts c ON c.doc_id = n.doc_id JOIN own o ON o.doc_id = n.doc_id LEFT JOIN years y ON y.doc_id = n.doc_id""")

@@ -17,7 +17,9 @@ from pyspark.sql.types import StructType
 from ..functions import text as T
 from ..functions.lexicon import MAX_CHARS
 from ..operators import extract, layout, reconcile, score as rubric, sections, segment
+from ..sources import commits, documents
 from ..sources.files import decode_text, profiles_from_json, read_bytes, reject_reason
+from ..sources.shared import shared_folder
 from . import oracle, pipeline, synth
 
 CATEGORIES = ("technical_skills", "experience", "education", "quality")
@@ -335,10 +337,32 @@ def pdf_text(spark, d):
     docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).filter("text is not null")
     content = synth.pdf_file(F.col("text"), F.col("doc_id") % 2 + 1, F.col("doc_id") % 4 >= 2)
     back = read_bytes(docs.select("doc_id", F.concat("doc_id", F.lit(".pdf")).alias("filename"), content.alias("content")))
-    shown = F.regexp_replace("raw_text", r"[^\x21-\x7E\u00A1-\uFFFF]", "")
+    shown = F.regexp_replace("raw_text", SHOWN, "")
     return back.select("doc_id", "page_count", F.length(shown).alias("n_shown"), F.md5(shown).alias("shown_md5"), "error")
 
 
+SHOWN = r"[^\x21-\x7E\u00A1-\uFFFF]"
+
+
+def files_by_path(spark, d):
+    """Documents written as files of several kinds, some of them broken, by the data source; listed and read back by path."""
+    path = shared_folder(spark, "files")
+    documents.write(synth.document_files(spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source"))), path)
+    back = documents.read(spark, path)
+    shown = F.regexp_replace("raw_text", SHOWN, "")
+    return back.select(F.regexp_extract("filename", r"^(-?\d+)", 1).cast("long").alias("doc_id"), "file_type", "page_count", F.length(shown).alias("n_shown"), F.md5(shown).alias("shown_md5"), F.left("error", F.lit(3)).alias("error"))
+
+
+def json_commits(spark, d):
+    """Documents written as JSON by language; a second run replaces one language; read back through the last version."""
+    path = shared_folder(spark, "commits")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source"))
+    commits.write(docs, path, "lang")
+    commits.write(docs.filter("lang = 'en'").withColumns({"text": F.upper("source"), "source": F.lit(None).cast("string")}), path, "lang")
+    back = commits.read(spark, path, "doc_id long, text string, source string, lang string")
+    return back.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
+
+
 def text_decode(spark, d):
     """Bytes of text files, valid UTF-8 or not."""
     rows = composed(spark, d, synth.BYTES, "customer")
@@ -396,7 +420,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             norm_basic, norm_resumes, section_lines, section_assemble, email_documents, skills_flat, skills_by_category, skill_frequency, domain, exp_rows, exp_highlights,
             exp_total, edu_rows, projects_top5, certs_top6, summary, jd_skills, skill_match, skill_missing, candidate_job_rank, page_classify, packet_merge, packet_primary,
             segment_preview, block_layout, scanned_flag, ext_gate, reconcile_scalar, reconcile_skills, reconcile_categories, prompt_budget, page_preview, score_band, profile_json, capabilities,
-            reconcile_lists, packet_external, pdf_text, text_decode, json_roundtrip, profile_core, category_texts,
+            reconcile_lists, packet_external, pdf_text, files_by_path, json_commits, text_decode, json_roundtrip, profile_core, category_texts,
         )
     }
     found |= {f: contact_query(f) for f in ("name", "email", "phone", "location")} | {"links": contact_query("linkedin", "github")}

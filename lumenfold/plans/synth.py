@@ -8,7 +8,13 @@ open-ended dates, headers with text on their line, names to reject.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import JOBS
@@ -171,3 +177,45 @@ def pdf_file(text: Column, columns: Column, packed: Column) -> Column:
     head = F.concat(*offsets)
     inside = F.concat(F.lit("8 0 obj << /Type /ObjStm /N 5 /First "), F.length(head).cast("string"), F.lit(" /Length "), (F.length(head) + F.length(bodies)).cast("string"), F.lit(" >>\nstream\n"), head, bodies, F.lit("\nendstream\nendobj\n"))
     return F.concat(F.lit("%PDF-1.5\n"), F.when(packed, inside).otherwise(plain), stream(4, "", F.transform(F.array(pieces), drawn)[0]), stream(7, "", F.lit(cmap)), F.lit("trailer << /Root 1 0 R >>\n%%EOF")).cast("binary")
+
+
+#: Texts that XML can't hold, or would change.
+NO_XML = r"[\x00-\x08\x0b-\x1f\ufffe\uffff]"
+
+
+def docx_files(rows: DataFrame) -> DataFrame:
+    """rows with `content`: Word files with a paragraph for each line of `text` and a table of one row, `cells`."""
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+    def paragraph(text: str) -> str:
+        return f"<w:p><w:r><w:t>{escape(text)}</w:t></w:r></w:p>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = []
+            for text, cells in zip(b.column("text").to_pylist(), b.column("cells").to_pylist()):
+                row = "".join(f"<w:tc>{paragraph(c)}</w:tc>" for c in cells)
+                body = "".join(map(paragraph, text.split("\n"))) + f"<w:tbl><w:tr>{row}</w:tr></w:tbl>"
+                with zipfile.ZipFile(file := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+                files.append(file.getvalue())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(files, pa.binary())], [*b.schema.names, "content"])
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", content binary")
+
+
+def document_files(docs: DataFrame) -> DataFrame:
+    """A file (filename, content) for each of documents with a text: TXT in UTF-8 or Latin-1, DOCX, broken DOCX, PDF, or a kind that isn't taken."""
+    k, text = F.col("doc_id") % 16, F.col("text")
+    rows = docs.filter("text is not null").select("doc_id", "text", F.array("lang", "source").alias("cells"), (~F.regexp_like(text, F.lit(NO_XML)) & ~F.exists(F.array("lang", "source"), lambda c: c.isNull())).alias("xml"))
+    kind = F.when((k % 4 == 2) & F.col("xml"), "docx").when(k == 3, "broken").when(k == 7, "exe").when(k % 4 == 3, "pdf").when((k % 4 == 1) & ~F.regexp_like(text, F.lit(r"[^\x00-\xff]")), "latin").otherwise("txt")
+    rows = rows.withColumn("kind", kind)
+    name = lambda suffix: F.concat("doc_id", F.lit(f".{suffix}")).alias("filename")
+    of = lambda kind, suffix, content: rows.filter(F.col("kind") == kind).select(name(suffix), content.alias("content"))
+    out = docx_files(rows.filter("kind = 'docx'").select("doc_id", "text", "cells")).select(name("docx"), "content")
+    for part in (
+        of("txt", "txt", text.cast("binary")), of("latin", "TXT", F.encode(text, "ISO-8859-1")), of("broken", "docx", F.lit(b"no archive")), of("exe", "exe", F.lit(b"MZ")),
+        of("pdf", "pdf", pdf_file(text, F.lit(2), F.col("doc_id") % 8 == 3)),
+    ):
+        out = out.unionByName(part)
+    return out
