@@ -27,7 +27,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: similarity of five-word shingles of 0.8 or more, by fingerprints.
+    """One row of each group of near-duplicates: similarity of five-word shingles of 0.8 or more, among candidates by fingerprints.
 
     The row with the smallest id stays, rows without an id come last; of several rows with that id the one
     whose text has the smallest hash, once. Null and empty texts are one group, as they have no words.

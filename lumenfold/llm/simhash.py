@@ -14,11 +14,13 @@ the guarantee; nodes of such a bucket agree in about three quarters of all bits.
 The stars of all tables are joined into components by hooking each root to its smallest neighbour
 and shortening paths, all as DataFrames; keys with many rows are joined apart.
 
-Deduplication (`keep_one`) has a rule of its own, as word shingles of similarity 0.8 or more differ in
-about 9 of 64 bits, beyond the reach of any practical number of tables: candidates are pairs whose
-fingerprints of two-word runs differ in `NEAR_RADIUS` or fewer bits (127 tables), and they link if their
-fingerprints of five-word shingles differ in `FIVE_BITS` or fewer (64 times the angle of a similarity of
-0.8, and one bit more).
+Deduplication (`keep_one`) has a rule of its own: texts link if their sets of five-word shingles have a similarity of
+0.8 or more. Its candidates are pairs of which one of `SEEDS` independent fingerprints (of a text's words, each weighted by
+the square root of its count) differs in `RADIUS` or fewer bits, so 8 times 15 tables; linked buckets give coarse groups,
+in which the candidates are compared by their shingles exactly. A coarse group of over `BLOCK` texts or
+`BLOCK_BYTES` is compared block by block, so a task's memory is bounded whatever the group. What is not a candidate is
+not found: of pairs of similarity 0.8 to 0.85 the fingerprints find over 0.95 where single words are changed, and about a
+half to four fifths where one passage of a tenth of the text is (README).
 
 Defined cases: a null text has no words; texts without words have fingerprint zero and link like
 others; fewer words than a shingle's are one shingle; texts of any length are hashed whole, in
@@ -30,6 +32,7 @@ whatever their names. keep_one() keeps all columns, and of each class the row wi
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +49,13 @@ SEED = 42
 SHINGLE = 3
 #: Nodes of a bucket that one task compares; larger buckets are dealt again.
 SPLIT = 20_000
-#: The rule of keep_one.
-NEAR_WIDTH, NEAR_RADIUS, FIVE, FIVE_BITS = 2, 6, 5, 10
+#: The rule of keep_one: words of a shingle, and the similarity as a fraction.
+FIVE, SIMILAR = 5, (4, 5)
+#: Its fingerprints; odd factors that make independent hashes of one.
+SEEDS = 8
+FACTORS = np.random.default_rng(SEED).integers(1 << 62, (1 << 63) - 1, SEEDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts of a block, and bytes of their shingles, about.
+BLOCK, BLOCK_BYTES = 4_000, 64 << 20
 TABLE_BITS = 8
 
 
@@ -79,23 +87,41 @@ def of_words(words: list[bytes], width: int) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, check: int | None = None) -> DataFrame:
-    """doc_id, row_key (a hash of id and text), fp and chk of each row: fingerprints of shingles of width
-    and check words as signed longs; chk is 0 without check.
-    """
+def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, row_key (a hash of id and text) and fp of each row: the fingerprint of shingles of width words as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.zeros((2, b.num_rows), np.uint64)
-            for i, t in enumerate(b.column(2)):
-                words = words_of(t.as_py())
-                fps[0, i] = of_words(words, width)
-                if check:
-                    fps[1, i] = of_words(words, check)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, fps.view(np.int64))], ["doc_id", "row_key", "fp", "chk"])
+            fps = np.array([fingerprint(t.as_py(), width) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["doc_id", "row_key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return common.map_texts(docs.select("doc_id", row_key().alias("row_key"), "text"), run, f"doc_id {kind}, row_key long, fp long, chk long")
+    return common.map_texts(docs.select("doc_id", row_key().alias("row_key"), "text"), run, f"doc_id {kind}, row_key long, fp long")
+
+
+def word_prints(words: list[bytes]) -> np.ndarray:
+    """SEEDS fingerprints, as signed longs, of a text's words, each word weighted by the square root of its count."""
+    if not words:
+        return np.zeros(SEEDS, np.int64)
+    counts = Counter(words)
+    weights = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
+    sums = np.zeros(SEEDS * BITS, np.float32)
+    for a in range(0, len(hashes), 1 << 14):
+        x = hashes[a : a + (1 << 14), None] * FACTORS
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        sums += weights[a : a + (1 << 14)] @ np.unpackbits(x.astype(">u8").view(np.uint8), axis=1).astype(np.float32)
+    return np.packbits(sums * 2 > weights.sum()).view(">u8").astype(np.uint64).view(np.int64)
+
+
+def shingle_set(words: list[bytes], width: int = FIVE) -> np.ndarray:
+    """The distinct shingles' hashes, rising; of fewer words the whole sequence is one."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - width + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n))
 
 
 def row_key() -> Column:
@@ -122,24 +148,28 @@ def _distance(a: np.ndarray, x: np.int64) -> np.ndarray:
     return np.bitwise_count((a ^ x).view(np.uint64))  # of signed numbers it would count the absolute value's
 
 
-def bucket_stars(nodes: np.ndarray, radius: int = RADIUS, check_bits: int | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, roots) for the nodes of a bucket that link to another one, chosen as root. Rows are (fp, chk)."""
-    left = np.unique(nodes, axis=0)
-    found, roots = [nodes[:0]], [nodes[:0]]
+def bucket_stars(nodes: np.ndarray, radius: int = RADIUS, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots) for the nodes of a bucket that link to another one, chosen as root. Rows are (fp, node).
+
+    Only distinct fingerprints are compared; all nodes of a linked set get its root's smallest node.
+    """
+    fps, of = np.unique(nodes[:, 0], return_inverse=True)
+    first = np.full(len(fps), np.iinfo(np.int64).max)
+    np.minimum.at(first, of, nodes[:, 1])
+    root_of, left = np.arange(len(fps)), np.arange(len(fps))
     while len(left) > 1:
         root, frontier, left = left[0], left[:1], left[1:]
         while len(frontier) and len(left):
             head, frontier = frontier[:block], frontier[block:]
-            near, (fps, chks) = np.zeros(len(left), bool), np.ascontiguousarray(left.T)
-            for x, y in head:
-                close = _distance(fps, x) <= radius
-                near |= close if check_bits is None else close & (_distance(chks, y) <= check_bits)
+            near = np.zeros(len(left), bool)
+            for x in fps[head]:
+                near |= _distance(fps[left], x) <= radius
             if near.any():
-                new = left[near]
-                found.append(new)
-                roots.append(np.broadcast_to(root, new.shape))
-                frontier, left = np.concatenate([frontier, new]), left[~near]
-    return np.concatenate(found), np.concatenate(roots)
+                root_of[left[near]] = root
+                frontier, left = np.concatenate([frontier, left[near]]), left[~near]
+    roots = first[root_of[of]]
+    linked = nodes[:, 1] != roots
+    return nodes[linked, 1], roots[linked]
 
 
 def _mix(bucket: int, masked: np.ndarray, table: int) -> np.ndarray:
@@ -148,30 +178,30 @@ def _mix(bucket: int, masked: np.ndarray, table: int) -> np.ndarray:
     return (x * np.uint64(0xA0761D6478BD642F)).view(np.int64)
 
 
-STAR = ["fp", "chk", "root_fp", "root_chk", "bucket"]
+STAR = ["fp", "node", "root", "bucket"]
 
 
-def _stars(keyed: DataFrame, radius: int, check_bits: int | None, split: int | None) -> DataFrame:
-    """keyed: bucket, fp, chk, ordered by bucket inside partitions. Gives the stars of each bucket.
+def _stars(keyed: DataFrame, radius: int, split: int | None) -> DataFrame:
+    """keyed: bucket, fp, node, ordered by bucket inside partitions. Gives the stars of each bucket.
 
     Of a bucket with over `split` nodes it gives their further buckets instead, with null roots. The
-    last TABLE_BITS bits of a bucket tell its table.
+    last TABLE_BITS bits of a bucket tell its table; tables of several fingerprints follow one another.
     """
     masks = covering_masks(BITS, radius)
     inner = [covering_masks([i for i in range(BITS) if not m >> i & 1], radius) for m in masks]
 
     def stars(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a, b = bucket_stars(np.concatenate(own, axis=0), radius, check_bits)
+        a, b = bucket_stars(np.concatenate(own, axis=0), radius)
         if len(a):
-            arrays = [pa.array(np.ascontiguousarray(x)) for x in (*a.T, *b.T)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(a), pa.int64())], STAR)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b), none], STAR)
 
     def deal(bucket: int, own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate(own, axis=0)
-        fp, chk = (pa.array(np.ascontiguousarray(x)) for x in rows.T)
+        fp, node = (pa.array(np.ascontiguousarray(x)) for x in rows.T)
         none = pa.nulls(len(rows), pa.int64())
-        for t, m in enumerate(inner[bucket & ((1 << TABLE_BITS) - 1)]):
-            yield pa.RecordBatch.from_arrays([fp, chk, none, none, pa.array(_mix(bucket, rows[:, 0] & np.int64(m - (1 << BITS) if m >> (BITS - 1) else m), t))], STAR)
+        for t, m in enumerate(inner[(bucket & ((1 << TABLE_BITS) - 1)) % len(inner)]):
+            yield pa.RecordBatch.from_arrays([fp, node, none, pa.array(_mix(bucket, rows[:, 0] & np.int64(m - (1 << BITS) if m >> (BITS - 1) else m), t))], STAR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, size, large = None, [], 0, False
@@ -239,60 +269,131 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return out
 
 
-def classes(prints: DataFrame, radius: int = RADIUS, check_bits: int | None = None, split: int = SPLIT) -> DataFrame:
-    """prints: stored, with fp and chk. A stored table of each distinct (fp, chk) with its class, its number of rows and its class's."""
-    spark = prints.sparkSession
-    nodes = common.stored(prints.groupBy("fp", "chk").agg(F.count("*").alias("copies")), "simhash-nodes")
-    masks = covering_masks(BITS, radius)
-    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-    tables = F.array(*[F.shiftleft(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))), TABLE_BITS).bitwiseOR(F.lit(t)) for t, m in enumerate(signed)])
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda rows: rows.select("bucket", "fp", "chk").repartition(n, "bucket").sortWithinPartitions("bucket")
-    keyed = nodes.select("fp", "chk", F.explode(tables).alias("bucket"))
-    found = common.stored(_stars(dealt(keyed), radius, check_bits, split), "simhash-stars")
-    again = found.filter(F.col("root_fp").isNull()).distinct()
-    stars = found.filter(F.col("root_fp").isNotNull())
+def star_edges(nodes: DataFrame, prints: list[Column], radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+    """A stored table of edges (node, root) that join the nodes of which some fingerprint differs in radius or fewer bits."""
+    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in covering_masks(BITS, radius)]
+    key = lambda fp, m, t: F.shiftleft(F.xxhash64(F.lit(t), fp.bitwiseAND(F.lit(m))), TABLE_BITS).bitwiseOR(F.lit(t))
+    tables = [F.struct(key(fp, m, i * len(signed) + t).alias("bucket"), fp.alias("fp")) for i, fp in enumerate(prints) for t, m in enumerate(signed)]
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda rows: rows.select("bucket", "fp", "node").repartition(n, "bucket").sortWithinPartitions("bucket")
+    keyed = nodes.select("node", F.explode(F.array(*tables)).alias("t")).select("t.bucket", "t.fp", "node")
+    found = common.stored(_stars(dealt(keyed), radius, split), "simhash-stars")
+    again = found.filter(F.col("root").isNull()).distinct()
+    stars = found.filter(F.col("root").isNotNull())
     if again.limit(1).count():
-        stars = stars.unionByName(_stars(dealt(again), radius, check_bits, None))
-    node = lambda *c: F.col(c[0]) if check_bits is None else F.xxhash64(*c)
-    edges = common.stored(stars.select(node("fp", "chk").alias("node"), node("root_fp", "root_chk").alias("root")).distinct(), "simhash-edges", None)
-    common.dropped(found)
-    roots = components(spark, edges)
-    linked = nodes.withColumn("node", node("fp", "chk")).join(roots, "node", "left").select("fp", "chk", "copies", F.coalesce("root", "node").alias("root"))
+        stars = stars.unionByName(_stars(dealt(again), radius, None))  # a bucket of these has at most about 2^15 fingerprints
+    return common.stored(stars.select("node", "root").distinct(), "simhash-edges", found)
+
+
+def classes(prints: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+    """prints: stored, with fp. A stored table of each distinct fp with its class, its number of rows and its class's."""
+    nodes = common.stored(prints.groupBy("fp").agg(F.count("*").alias("copies")), "simhash-nodes")
+    edges = star_edges(nodes.withColumn("node", F.col("fp")), [F.col("fp")], radius, split)
+    roots = components(prints.sparkSession, edges)
+    linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "copies", F.coalesce("root", "fp").alias("root"))
     out = common.stored(linked, "simhash-linked")
     for table in (nodes, edges, roots):
         common.dropped(table)
     return out
 
 
-def _with_class(prints: DataFrame, linked: DataFrame) -> DataFrame:
-    """prints with root, the class of their (fp, chk); one with many rows is joined apart."""
-    node = F.struct("fp", "chk")
-    per = linked.select(node.alias("node"), "copies", "root")
-    return common.attach_by_key(prints.withColumn("node", node), per, "node", "copies").drop("node", "copies")
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable by links) of each row of docs."""
     prints = common.stored(fingerprints(docs, width), "simhash-prints")
     linked = classes(prints, radius)
-    rows = common.stored(_with_class(prints, linked), "simhash-rows", prints)
+    rows = common.stored(common.attach_by_key(prints, linked, "fp", "copies").drop("copies"), "simhash-rows", prints)
     common.dropped(linked)
     ids = common.stored(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")), "simhash-ids")
     return common.attach_by_key(rows, ids, "root", "rows").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = NEAR_RADIUS, check_bits: int = FIVE_BITS) -> DataFrame:
+def exact_links(nodes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], radius: int = RADIUS) -> tuple[list[int], list[int]]:
+    """(nodes, roots): a spanning set of the links of a group, among candidates by any fingerprint, by the similarity of shingle sets."""
+    sizes, (part, whole) = np.array([len(s) for s in sets]), SIMILAR
+    left, found, roots = np.arange(len(nodes)), [], []
+    while len(left) > 1:
+        root, frontier, left = left[0], [left[0]], left[1:]
+        while frontier and len(left):
+            x = frontier.pop()
+            near = (np.bitwise_count((prints[left] ^ prints[x]).view(np.uint64)) <= radius).any(axis=1)
+            near &= (whole * np.minimum(sizes[left], sizes[x]) >= part * np.maximum(sizes[left], sizes[x]))
+            own = np.zeros(len(left), bool)
+            for i in np.flatnonzero(near).tolist():
+                common_ = len(np.intersect1d(sets[x], sets[left[i]], assume_unique=True))
+                own[i] = whole * common_ >= part * (sizes[x] + sizes[left[i]] - common_)
+            if own.any():
+                new = left[own].tolist()
+                found += nodes[new].tolist()
+                roots += [int(nodes[root])] * len(new)
+                frontier += new
+                left = left[~own]
+    return found, roots
+
+
+def _similar(docs: DataFrame, nodes: DataFrame, groups: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """A stored table of edges (node, root) by the rule of keep_one inside coarse groups.
+
+    nodes: node, key (the row_key of one of its rows), times (rows of that key), words and prints; groups: node, root.
+    """
+    of = nodes.join(groups, "node")
+    sizes = of.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.col("words") * 8) / block_bytes)).cast("int").alias("blocks"))
+    of = common.lookup(common.stored(of, "simhash-grouped"), common.stored(sizes, "simhash-sizes"), "root")
+    of = common.stored(of.select(F.col("key").alias("row_key"), "times", "node", "root", "prints", "blocks"), "simhash-members")
+    texts = common.attach_by_key(docs.select(row_key().alias("row_key"), "text"), of, "row_key", "times")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            keep = [i for i, n in enumerate(b.column("node").to_pylist()) if not (n in seen or seen.add(n))]  # a repeated row once a task
+            sets = [shingle_set(words_of(b.column("text")[i].as_py())).tobytes() for i in keep]
+            own = b.select(["root", "blocks", "node", "prints"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(sets, pa.binary())], [*own.schema.names, "shingles"])
+
+    kind = "root long, blocks int, node long, prints array<long>, shingles binary"
+    sets = common.map_texts(texts.select("root", "blocks", "node", "prints", "text"), shingles, kind)
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = sets.withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("root", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "node", "prints", "shingles")
+
+    def compare(group: pa.Table) -> pa.Table:
+        first = dict(zip(group.column("node").to_pylist(), range(group.num_rows)))
+        at = sorted(first.values())
+        own = group.take(pa.array(at, pa.int64()))
+        found, roots = exact_links(own.column("node").to_numpy(), np.array(own.column("prints").to_pylist(), np.int64), [np.frombuffer(x, np.uint64) for x in own.column("shingles").to_pylist()])
+        return pa.table({"node": pa.array(found, pa.int64()), "root": pa.array(roots, pa.int64())})
+
+    edges = pairs.groupBy("root", "a", "b").applyInArrow(compare, "node long, root long")
+    return common.stored(edges.distinct(), "simhash-links", of)
+
+
+def keep_one(docs: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row of each class of near-duplicates, with all its columns; see the head of the module."""
-    prints = common.stored(fingerprints(docs, NEAR_WIDTH, FIVE), "simhash-prints")
-    linked = classes(prints, radius, check_bits)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("own_key"))
-    # of each class the first row's key, and how many rows have that key
-    rows = common.stored(_with_class(prints, linked).groupBy("root", order.alias("at")).agg(F.count("*").alias("times")), "simhash-rows", prints)
-    common.dropped(linked)
-    best = rows.groupBy("root").agg(F.min(F.struct("at", "times")).alias("first"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [words_of(t.as_py()) for t in b.column(2)]
+            node = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in words], np.uint64).view(np.int64)
+            arrays = [b.column(0), b.column(1), pa.array(node), pa.array([len(w) for w in words], pa.int64()), pa.array([word_prints(w) for w in words], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row_key", "node", "words", "prints"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = common.map_texts(docs.select("doc_id", row_key().alias("row_key"), "text"), prints, f"doc_id {kind}, row_key long, node long, words long, prints array<long>")
+    # rows of one id and text, then texts
+    rows = common.stored(found.groupBy("row_key").agg(*[F.any_value(c).alias(c) for c in ("doc_id", "node", "words", "prints")], F.count("*").alias("times")), "simhash-rows")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("row_key", "times")).alias("key"), *[F.any_value(c).alias(c) for c in ("words", "prints")])
+    nodes = common.stored(nodes.select("node", F.col("key.row_key").alias("key"), F.col("key.times").alias("times"), "words", "prints"), "simhash-nodes")
+    coarse = star_edges(nodes, [F.col("prints")[i] for i in range(SEEDS)])
+    groups = components(docs.sparkSession, coarse)
+    links = _similar(docs, nodes, groups, block, block_bytes)
+    roots = components(docs.sparkSession, links)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_key").alias("own_key"), "times")
+    classed = common.lookup(rows.select("doc_id", "row_key", "node", "times"), roots, "node")
+    best = classed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("first"))
     key, times = common.fresh(docs, "key", "times")
-    firsts = common.stored(best.select(F.col("first.at.own_key").alias(key), F.col("first.times").alias(times)).groupBy(key).agg(F.sum(times).alias(times)), "simhash-firsts", rows)
+    firsts = best.select(F.col("first.own_key").alias(key), F.col("first.times").alias(times))
+    firsts = common.stored(firsts.groupBy(key).agg(F.max(times).alias(times)), "simhash-firsts")
+    for table in (rows, nodes, coarse, groups, links, roots):
+        common.dropped(table)
     kept = common.attach_by_key(docs.withColumn(key, row_key()), firsts, key, times)
     once = kept.filter(F.col(times) == 1).unionByName(kept.filter(F.col(times) > 1).dropDuplicates([key, "doc_id"]))
     return once.select(*docs.columns)

@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from lumenfold.llm import decontam, pieces, secrets, simhash, toxicity, wfst
+from lumenfold.llm import decontam, pieces, secrets, toxicity, wfst
 
 from .helpers import documents, write
 
@@ -18,9 +18,9 @@ def widened(docs):
 
 
 def near(a, b):
-    """The rule of the dedup stage for two texts."""
-    f = lambda t, w: simhash.fingerprint(t, w)
-    return (f(a, 2) ^ f(b, 2)).bit_count() <= simhash.NEAR_RADIUS and (f(a, 5) ^ f(b, 5)).bit_count() <= simhash.FIVE_BITS
+    """The rule of the dedup stage for two texts: similarity of five-word shingles."""
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in (a, b)))
+    return 5 * len(x & y) >= 4 * len(x | y)
 
 
 def tables(spark, tmp_path, rows, passage):

@@ -61,8 +61,8 @@ def test_bucket_stars_link_whole_components(seed):
     r = np.random.default_rng(seed)
     base = r.integers(-(2**62), 2**62, 4)
     fps = np.concatenate([np.bitwise_xor.reduce(np.stack([np.full(60, b), *[np.int64(1) << r.integers(0, 64, 60) for _ in range(3)]]), axis=0) for b in base])
-    nodes, roots = simhash.bucket_stars(np.stack([fps, np.zeros_like(fps)], axis=1))
-    parent = dict(zip(nodes[:, 0].tolist(), roots[:, 0].tolist()))
+    nodes, roots = simhash.bucket_stars(np.stack([fps, fps], axis=1))
+    parent = dict(zip(nodes.tolist(), roots.tolist()))
     want = classes([f & (2**64 - 1) for f in fps.tolist()])
     groups = {}
     for f in set(fps.tolist()):
@@ -105,7 +105,7 @@ def test_large_buckets_are_dealt_again(spark, seed):
         for _ in range(150):
             fps.add(base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 3))))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    prints = common.stored(spark.createDataFrame([(f, 0) for f in signed], "fp long, chk long"), "test")
+    prints = common.stored(spark.createDataFrame([(f,) for f in signed], "fp long"), "test")
     found = {x.fp & (2**64 - 1): x.root for x in simhash.classes(prints, split=5).collect()}
     want = classes(list(fps))
     assert found.keys() == want.keys()
@@ -141,18 +141,81 @@ def test_keep_one_keeps_columns_and_one_row_of_repeated_ids(spark):
     assert all(r[n] == f"{n}{r.mark}" for r in out for n in names)
 
 
-def test_keep_one_finds_near_copies_of_similarity_above_nine_tenths(spark):
-    r = random.Random(2)
-    fresh = lambda n: [f"w{r.randint(0, 5_000)}" for _ in range(n)]
-    rows = []
-    for i in range(150):
-        words = fresh(300)
-        rows.append((i, " ".join(words)))
-        for at in r.sample(range(300), 2):
-            words[at] = f"x{i}"
-        rows.append((1_000 + i, " ".join(words)))
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def edited(r, words, kind, n):
+    words = list(words)
+    for _ in range(n):
+        at = r.randrange(len(words))
+        if kind == "drop":
+            del words[at]
+        elif kind == "insert":
+            words.insert(at, f"x{r.random()}")
+        else:
+            words[at] = words[r.randrange(len(words))] if kind == "other" else f"x{r.random()}"
+    return words
+
+
+def planted(seed=2, pairs=240):
+    """Pairs of a text and an edited one: (text, text, similarity)."""
+    r, out = random.Random(seed), []
+    while len(out) < pairs:
+        words = [f"w{int(r.paretovariate(0.6)) % 5_000}" for _ in range(r.randint(60, 500))]
+        other = edited(r, words, r.choice(("drop", "insert", "other", "new")), r.randint(1, max(2, len(words) // 20)))
+        a, b = " ".join(words), " ".join(other)
+        out.append((a, b, jaccard(a, b)))
+    return out
+
+
+def test_keep_one_keeps_its_rule(spark):
+    """Recall by similarity, and no pair below 0.8 links."""
+    pairs = planted()
+    rows = [(i, a) for i, (a, _, _) in enumerate(pairs)] + [(10_000 + i, b) for i, (_, b, _) in enumerate(pairs)]
     kept = {x.doc_id for x in simhash.keep_one(documents(spark, rows)).collect()}
-    assert set(range(150)) <= kept and len(kept) < 150 + 15
+    assert set(range(len(pairs))) <= kept
+    gone = [10_000 + i not in kept for i in range(len(pairs))]
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        own = [g for g, (_, _, s) in zip(gone, pairs) if low <= s < high]
+        assert len(own) >= 10 and sum(own) / len(own) >= 0.9
+    assert not any(g for g, (_, _, s) in zip(gone, pairs) if s < 0.8)
+
+
+@pytest.mark.parametrize("block", [4_000, 7])
+def test_groups_against_all_pairs_of_shingles(spark, block):
+    """Chains and groups of near copies, also compared block by block."""
+    r, rows = random.Random(9), []
+    for g in range(4):
+        words = [f"g{g}w{r.randrange(900)}" for _ in range(300)]
+        for i in range(25):
+            rows.append((g * 1_000 + i, " ".join(words)))
+            words = edited(r, words, "new", 3)  # each is like the one before
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if i // 1_000 == j // 1_000 and jaccard(a, b) >= 0.8:
+            x, y = sorted((root(i), root(j)))
+            parent[y] = x
+    kept = {x.doc_id for x in simhash.keep_one(documents(spark, rows), block=block).collect()}
+    assert kept == {i for i, _ in rows if root(i) == i}
+
+
+def test_exact_links_of_a_group():
+    base = np.arange(100, dtype=np.uint64)
+    sets = [base, base[:90], base[:80], base[:79], np.arange(500, 600, dtype=np.uint64)]
+    near = np.zeros((5, simhash.SEEDS), np.int64)
+    found, roots = simhash.exact_links(np.array([11, 12, 13, 14, 15]), near, sets)
+    assert dict(zip(found, roots)) == {12: 11, 13: 11, 14: 11}  # 14 through 12 and 13
+    far = near.copy()
+    far[1:] = np.int64(0b1111)
+    assert simhash.exact_links(np.array([11, 12]), far[:2], sets[:2]) == ([], [])
 
 
 def test_attach_by_key_with_a_hot_key(spark):
