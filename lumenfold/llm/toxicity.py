@@ -1,14 +1,19 @@
 """Toxicity scores by a weighted finite-state pattern grammar over clauses.
 
 Words become symbols by the lexicon transducer, a trie of whole words and word beginnings ("pref*"):
-insults in grades, threats, targets (second persons), objects (third persons that follow a verb),
-negations and reporting verbs. Four transducers over symbols are composed with it and compiled into
-one table: negation and report mark the insults and threats in their scope as weakened; insult gives
-a marked insult's weight, more of it if a target stands shortly before; threat gives its weight only
-where the threat has its object, a target on either side or an object after it, so "kill the
-process" matches nothing. Path weights are summed. The table is run over each clause, and a clause scores
-what its path gives, never its words one by one. The document's score is a logistic function of its
-best clause, the sum over clauses, and the number of clauses that matched.
+insults in grades, threats, second persons (as subject or in an object's form), third persons, first persons, forms
+of "be", words that join (articles, intensifiers), negations and reporting verbs. Five transducers over symbols are
+composed with it, state by state as texts need them. Negation and report mark the insults and threats in their scope as
+weakened. Target marks how an insult or threat is aimed: an insult at the addressee ("you are such an idiot", "you
+idiot": only joining words between) or at a third person ("he is an idiot"), a threat at an object before it ("ich werde
+dich töten") or by the passive ("you will be killed"). Insult gives the weight of an aimed insult, and one for a second
+person right after an insult; threat gives its weight where it is aimed or its object follows at once, so "kill the
+process" and "shoot me an email, you" match nothing. Path weights are summed over a clause. A listed insult that stands
+alone ("the idiot box") is in no construction: one counts nothing, but different ones in one text add up. Words that
+only the labels teach (slurs that stand in toxic texts and hardly elsewhere) count where they stand.
+
+The document's score is a logistic function of its best clause, the sum over clauses, the listed lone insults beyond the
+strongest one, and the learned ones.
 
 Insults are a fixed list and what labelled rows teach: beginnings of words and whole words that
 stand in toxic texts far more often than chance allows, all that pass that test. At most
@@ -51,23 +56,28 @@ THREAT = (
     "kill kills killed killing hurt hurts hurting destroy destroyed destroying burn burned burning beat beaten beating stab stabbed stabbing shoot shot shooting murder murdered strangle strangled "
     "töten tötet getötet umbringen umgebracht vernichten vernichtet erschießen verprügeln tuer tue tué frapper frappé détruire détruit égorger matar mataré mata matado golpear golpeado destruir destruido"
 ).split()
-TARGET = "you your yours yourself u ya du dich dir dein deine ihr euch tu te toi ton vous votre tú ti usted ustedes vosotros".split()
+TARGET = "you your yours yourself u ya you're ur du dein deine ihr tu ton vous votre tú usted ustedes vosotros".split()
+AIM = "dich dir euch te toi ti os".split()
 OBJECT = "him her them those sie ihn ihnen lui eux leur los las ellos ellas".split()
+PERSON = "he she they he's she's they're er il elle él ella".split()
+ME = "me us it mich mir uns moi nous mí nosotros".split()
+BE = "be been being wirst werdet werden être seras serez ser serás".split()
+JOIN = (
+    "is are am was were isn't aren't wasn't a an such so really very just too all total complete utter absolute little big damn bloody bist ist sind seid war ein eine einen sehr "
+    "es est êtes un une si très eres una muy tan"
+).split()
 NEGATION = "not never no cannot can't isn't aren't wasn't don't doesn't won't nicht nie kein keine pas jamais aucun nunca jamás ningún".split()
 REPORT = "said says say called calls claimed claims wrote quoted reported alleged sagte sagt schrieb dit écrit dijo escribió".split()
 
 #: Symbols: the classes, then insults of weight GRADE, 2 * GRADE and so on.
-CLASSES = ("other", "threat", "target", "object", "negation", "report")
-OTHER, THREATS, TARGETS, OBJECTS, NEGATED, REPORTED = range(6)
+OTHER, THREATS, TARGETS, AIMS, OBJECTS, PERSONS, FIRST, BEING, JOINING, NEGATED, REPORTED, INSULTS = range(12)
 GRADE, GRADES = 0.5, 12
-INSULTS = len(CLASSES)
 SYMBOLS = INSULTS + GRADES
-INSULT_WEIGHT, THREAT_WEIGHT, MAX_WEIGHT = 3.0, 3.0, GRADE * GRADES
-#: What is left of a weight for each mark: none, negated, reported, both.
-LEFT = (1.0, 0.25, 0.4, 0.1)
-#: Words that negations and reports reach, that a target reaches towards an insult and a threat, and a threat towards its object.
-NEGATION_REACH, REPORT_REACH, INSULT_REACH, TARGET_REACH, OBJECT_REACH = 3, 6, 4, 8, 4
-TARGETED = 1.5
+INSULT_WEIGHT, THREAT_WEIGHT, OTHERS_THREAT, VOCATIVE, MAX_WEIGHT = 3.0, 3.0, 2.0, 3.0, GRADE * GRADES
+#: What is left of a weight for each weakening: none, negated, reported, both; and its share for each aim: none, a third person, the addressee.
+LEFT, AIMED = (1.0, 0.25, 0.4, 0.1), (0.0, 1.0, 1.5)
+#: Words that negations and reports reach, an object before and after its threat, and between the parts of a passive.
+NEGATION_REACH, REPORT_REACH, BEFORE_REACH, OBJECT_REACH, PASSIVE_REACH = 3, 6, 4, 2, 3
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:\n]")
 _ENDS = frozenset(".!?;:\n")
 
@@ -75,7 +85,8 @@ _ENDS = frozenset(".!?;:\n")
 class Transducer:
     """A deterministic weighted transducer: (state, symbol) -> (state, symbol out, weight).
 
-    Symbols are numbers; a mark in 0..3 times SYMBOLS is added to those of weakened insults and threats.
+    Symbols are numbers; a mark times SYMBOLS is added to those of insults and threats: 0..3 for how they are
+    weakened, and 4 times how they are aimed.
     """
 
     def __init__(self, start, step: Callable[[Any, int], tuple[Any, int, float]]):
@@ -95,34 +106,62 @@ def weakening(symbol: int, reach: int, mark: int) -> Transducer:
     return Transducer(0, step)
 
 
+def target() -> Transducer:
+    """Marks insults and threats by how they are aimed.
+
+    The state: whether the addressee was named and only joining words came since, the same for a third person (1:
+    named, 2: joined), words that an object's form still reaches, and the passive: words to wait for "be" after the
+    addressee, or beyond PASSIVE_REACH, for the threat after "be".
+    """
+
+    def step(state: tuple[int, int, int, int], s: int) -> tuple[tuple[int, int, int, int], int, float]:
+        you, they, before, passive = state
+        kind, aim = s % SYMBOLS, 0
+        insult = kind >= INSULTS
+        if insult:
+            aim = 2 if you else 1 if they == 2 else 0
+        elif kind == THREATS:
+            aim = 2 if before or passive > PASSIVE_REACH else 0
+        joining = kind in (JOINING, BEING, NEGATED, REPORTED) or insult
+        after = (
+            int(kind in (TARGETS, AIMS) or you and joining),
+            1 if kind == PERSONS else 2 if they and joining else 0,
+            BEFORE_REACH if kind == AIMS else max(before - 1, 0),
+            PASSIVE_REACH if kind == TARGETS else PASSIVE_REACH + 2 if 0 < passive <= PASSIVE_REACH and kind == BEING else max(passive - 1, 0) if passive != PASSIVE_REACH + 1 else 0,
+        )
+        return after, s + 4 * aim * SYMBOLS, 0.0
+
+    return Transducer((0, 0, 0, 0), step)
+
+
 def insult() -> Transducer:
-    """Gives an insult's weight, TARGETED times if a target stands in the INSULT_REACH words before it."""
+    """Gives the weight of an aimed insult, and VOCATIVE where a second person follows an insult at once; the state is that insult's mark."""
 
-    def step(left: int, s: int) -> tuple[int, int, float]:
+    def step(last: int | None, s: int) -> tuple[int | None, int, float]:
         kind, mark = s % SYMBOLS, s // SYMBOLS
-        gain = GRADE * (kind - INSULTS + 1) * LEFT[mark] * (TARGETED if left else 1.0) if kind >= INSULTS else 0.0
-        return INSULT_REACH if kind == TARGETS else max(left - 1, 0), s, gain
+        if kind >= INSULTS:
+            gain = GRADE * (kind - INSULTS + 1) * LEFT[mark % 4] * AIMED[mark // 4]
+            return (None if gain else mark), s, gain
+        return None, s, VOCATIVE * LEFT[last % 4] if last is not None and kind in (TARGETS, AIMS) else 0.0
 
-    return Transducer(0, step)
+    return Transducer(None, step)
 
 
 def threat() -> Transducer:
-    """Gives THREAT_WEIGHT where a threat has its object; the state: words a target still reaches, words the
-    threat still reaches, and its mark.
+    """Gives a threat's weight where it is aimed or a person follows within OBJECT_REACH words, less for a third person; a
+    first person or a thing ("me", "it") as object ends the wait. The state: words left to wait, and the threat's mark.
     """
 
-    def step(state: tuple[int, int, int], s: int) -> tuple[tuple[int, int, int], int, float]:
-        target, waits, held = state
+    def step(state: tuple[int, int], s: int) -> tuple[tuple[int, int], int, float]:
+        waits, held = state
         kind, mark = s % SYMBOLS, s // SYMBOLS
-        after = max(target - 1, 0), max(waits - 1, 0), held if waits > 1 else 0
         if kind == THREATS:
-            return (after, s, THREAT_WEIGHT * LEFT[mark]) if target else ((after[0], OBJECT_REACH, mark), s, 0.0)
-        if kind in (TARGETS, OBJECTS):
-            reach = TARGET_REACH if kind == TARGETS else after[0]
-            return (reach, 0, 0), s, THREAT_WEIGHT * LEFT[held] if waits else 0.0
-        return after, s, 0.0
+            return ((0, 0), s, THREAT_WEIGHT * LEFT[mark % 4]) if mark // 4 else ((OBJECT_REACH, mark), s, 0.0)
+        if waits and kind in (TARGETS, AIMS, OBJECTS):
+            return (0, 0), s, (OTHERS_THREAT if kind == OBJECTS else THREAT_WEIGHT) * LEFT[held % 4]
+        return ((waits - 1, held) if waits > 1 and kind != FIRST else (0, 0)), s, 0.0
 
-    return Transducer((0, 0, 0), step)
+    return Transducer((0, 0), step)
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
@@ -136,21 +175,25 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return Transducer((first.start, second.start), step)
 
 
-def compiled(machine: Transducer) -> tuple[list[list[int]], list[list[float]]]:
-    """next[state][symbol] and weight[state][symbol] of the reachable states; state 0 starts."""
-    ids, todo, nxt, weight = {machine.start: 0}, [machine.start], [], []
-    for state in todo:
-        moves = [machine.step(state, s) for s in range(SYMBOLS)]
-        for to, _, _ in moves:
-            if to not in ids:
-                ids[to] = len(ids)
-                todo.append(to)
-        nxt.append([ids[to] for to, _, _ in moves])
-        weight.append([w for _, _, w in moves])
-    return nxt, weight
+class Composed:
+    """A machine as tables of the states that texts have reached so far: moves[state * SYMBOLS + symbol] is (state, weight, symbol out)."""
+
+    def __init__(self, machine: Transducer):
+        self.machine = machine
+        self.ids, self.states, self.moves = {machine.start: 0}, [machine.start], {}
+
+    def move(self, state: int, s: int) -> tuple[int, float, int]:
+        found = self.moves.get(state * SYMBOLS + s)
+        if found is None:
+            to, out, weight = self.machine.step(self.states[state], s)
+            if to not in self.ids:
+                self.ids[to] = len(self.states)
+                self.states.append(to)
+            found = self.moves[state * SYMBOLS + s] = self.ids[to], weight, out
+        return found
 
 
-GRAMMAR = reduce(compose, (weakening(NEGATED, NEGATION_REACH, 1), weakening(REPORTED, REPORT_REACH, 2), insult(), threat()))
+GRAMMAR = reduce(compose, (weakening(NEGATED, NEGATION_REACH, 1), weakening(REPORTED, REPORT_REACH, 2), target(), insult(), threat()))
 
 
 def grade(weight: float) -> int:
@@ -170,7 +213,8 @@ class Lexicon:
         self.whole: dict[int, int] = {}
         self.begins: dict[int, int] = {}
         self.states = 1
-        for symbol, words in ((TARGETS, TARGET), (OBJECTS, OBJECT), (NEGATED, NEGATION), (REPORTED, REPORT), (THREATS, THREAT), (grade(INSULT_WEIGHT), INSULT)):
+        classes = (TARGETS, TARGET), (AIMS, AIM), (OBJECTS, OBJECT), (PERSONS, PERSON), (FIRST, ME), (BEING, BE), (JOINING, JOIN), (NEGATED, NEGATION), (REPORTED, REPORT), (THREATS, THREAT)
+        for symbol, words in (*classes, (grade(INSULT_WEIGHT), INSULT)):
             for w in words:
                 self.whole[self._path(w)] = symbol
         for entry, weight in learned.items():
@@ -208,19 +252,32 @@ class Lexicon:
         return own if begin is None or own == THREATS or own >= INSULTS else begin
 
 
+RIDGE = np.array([0.01, 5.0, 5.0, 0.5, 0.5])
+#: Weights of the logistic function without labels: constant, best clause, sum of clauses, lone insults, learned ones.
+DEFAULT = np.array([-4.0, 1.2, 0.4, 1.5, 0.8])
+LISTED = frozenset(INSULT)
+
+
 class Grammar:
     """The lexicon and the composed machine, with the weights of the final logistic function."""
 
     def __init__(self, learned: dict[str, float] | None = None):
         self.lexicon = Lexicon(learned or {})
-        self.next, self.gain = compiled(GRAMMAR)
-        self.coef = np.array([-4.0, 1.2, 0.4, 0.2])
+        self.machine = Composed(GRAMMAR)
+        self.coef = DEFAULT
 
-    def clauses(self, text: str | None) -> list[float]:
-        """The weight of each clause that the grammar matches."""
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"machine": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"machine": Composed(GRAMMAR)}
+
+    def matched(self, text: str | None) -> tuple[list[float], dict[str, float]]:
+        """The weight of each clause that the grammar matches, and the lone insults with their weights."""
         out: list[float] = []
+        lone: dict[str, float] = {}
         tokens = _TOKEN.findall((text or "").lower())
-        symbol = self.lexicon
+        symbol, move = self.lexicon, self.machine.move
         symbols = [symbol(t) for t in tokens]
         last = -1
         for i in [i for i, s in enumerate(symbols) if s >= INSULTS or s == THREATS]:
@@ -231,20 +288,29 @@ class Grammar:
                 a -= 1
             state, total, j = 0, 0.0, a
             while j < len(tokens) and tokens[j] not in _ENDS:
-                total += self.gain[state][symbols[j]]
-                state = self.next[state][symbols[j]]
+                state, gain, shown = move(state, symbols[j])
+                total += gain
+                if symbols[j] >= INSULTS and shown // SYMBOLS < 4:
+                    weight = GRADE * (symbols[j] - INSULTS + 1) * LEFT[shown // SYMBOLS]
+                    lone[tokens[j]] = max(lone.get(tokens[j], 0.0), weight)
                 j += 1
             last = j
             if total:
                 out.append(total)
-        return out
+        return out, lone
+
+    def clauses(self, text: str | None) -> list[float]:
+        return self.matched(text)[0]
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        c = self.clauses(text)
-        return (min(max(c), 12.0), math.log1p(sum(c)), math.log1p(len(c))) if c else (0.0, 0.0, 0.0)
+    def features(self, text: str | None) -> tuple[float, float, float, float]:
+        """The best clause, the sum of clauses, the lone listed insults but the strongest, and the lone learned ones (each word once)."""
+        c, lone = self.matched(text)
+        listed = [w for t, w in lone.items() if t in LISTED]
+        learned = sum(w for t, w in lone.items() if t not in LISTED)
+        return min(max(c, default=0.0), 12.0), math.log1p(sum(c)), math.log1p(sum(listed) - max(listed, default=0.0)), math.log1p(learned)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts], float).reshape(-1, 3)
+        x = np.array([self.features(t) for t in texts], float).reshape(-1, 4)
         return 1 / (1 + np.exp(-np.clip(self.coef[0] + x @ self.coef[1:], -30, 30)))
 
 
@@ -392,15 +458,17 @@ def learn(sample: DataFrame) -> Grammar:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [graders[1 - half[group[r]]].features(t) for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, pa.float64()) for c in zip(*own)]] if own else [b.column(0), b.column(2), *[pa.array([], pa.float64())] * 3], ["row", "y", "best", "sum", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, pa.float64()) for c in zip(*own)]] if own else [b.column(0), b.column(2), *[pa.array([], pa.float64())] * 4], ["row", "y", "best", "sum", "lone", "learned"])
 
-    found = np.array(sorted(tuple(r) for r in common.map_texts(sample, features, "row long, y int, best double, sum double, n double").collect()))
+    found = np.array(sorted(tuple(r) for r in common.map_texts(sample, features, "row long, y int, best double, sum double, lone double, learned double").collect()))
     x, y = np.column_stack([np.ones(len(found)), found[:, 2:]]), found[:, 1]
-    coef = np.array([-3.0, 0.5, 0.3, 0.1])
-    for _ in range(60):  # Newton steps with a small ridge
+    coef = DEFAULT
+    for _ in range(60):  # Newton steps; a small ridge holds what the labels don't tell at the default weights
         p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(4)
-        coef = coef - np.linalg.solve(h, x.T @ (p - y) + 0.5 * coef * [0, 1, 1, 1])
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(RIDGE)
+        coef = coef - np.linalg.solve(h, x.T @ (p - y) + RIDGE * (coef - DEFAULT))
+    # a clause never speaks against toxicity, and without any the score is under one half
+    coef = np.concatenate([np.minimum(coef[:1], -1.0), np.maximum(coef[1:], [DEFAULT[1] / 2, 0.0, 0.0, 0.0])])
     full = Grammar(lexica[2])
     full.coef = coef
     return full
