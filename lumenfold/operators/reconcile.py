@@ -74,3 +74,29 @@ def reconcile(profiles: DataFrame, external: DataFrame) -> DataFrame:
 def inference_input(docs: DataFrame) -> DataFrame:
     """doc_id and the start of its text that an external model may read."""
     return docs.select("doc_id", F.substring("clean_text", 1, BUDGET).alias("prompt_text"))
+
+
+def parse_replies(replies: DataFrame) -> DataFrame:
+    """replies (doc_id, provider, reply) with `profile`, and `error` where the reply is no profile: not JSON, or without any known field."""
+    parsed = replies.withColumn("profile", F.from_json("reply", PROFILE))
+    # JSON that isn't a profile parses to a struct of nulls
+    empty = F.col("profile").isNull() | (F.to_json("profile") == "{}")
+    return parsed.withColumns({"error": F.when(empty, "422 not a profile"), "profile": F.when(~empty, F.col("profile"))})
+
+
+def merge_providers(profiles: DataFrame, replies: DataFrame, order: list[str]) -> DataFrame:
+    """profiles with the replies of several providers merged in, field by field: the first provider in `order` that has a value wins.
+
+    One aggregation brings the replies of a document together, one for each provider (of several the one that sorts first as
+    JSON), and a fold merges them from the last provider to the first. Providers not in `order` and malformed
+    replies take no part; `providers` lists those that did, in order.
+    """
+    rank = F.array_position(F.lit(order), F.col("provider"))
+    good = parse_replies(replies).filter("error is null").withColumn("rank", rank).filter("rank > 0")
+    one = good.groupBy("doc_id", "rank").agg(F.min_by("profile", "reply").alias("profile"))
+    own = one.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.to_json("profile").alias("json"))), asc=False).alias("_replies"))  # as many as providers
+    both = profiles.join(own, "doc_id", "left")
+    found = F.transform(F.coalesce("_replies", F.array().cast("array<struct<rank:bigint,json:string>>")), lambda r: F.from_json(r["json"], PROFILE))
+    merged = F.aggregate(found, F.col("profile").cast(PROFILE), lambda p, e: reconciled(p, e, F.col("clean_text")).cast(PROFILE))
+    used = F.transform(F.reverse("_replies"), lambda r: F.lit(order)[(r["rank"] - 1).cast("int")])
+    return both.withColumns({"profile": merged, "providers": F.coalesce(used, F.array().cast("array<string>"))}).drop("_replies")

@@ -224,7 +224,6 @@ SQL: dict[str, str] = {
     "projects_top5": "WITH " + ",\n".join([*[CTES[n] for n in _NEEDS[: _NEEDS.index("wide") + 1]], _lines("pl", "wide", "projects")]) + f"\nSELECT doc_id, CAST(k AS INT) AS seq, left(line, 50) AS name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM pl WHERE length(line) > 5 AND NOT {begins('line', ('-', '*', '•'))}) WHERE k <= 5",
     "certs_top6": "WITH " + ",\n".join([*[CTES[n] for n in _NEEDS[: _NEEDS.index("wide") + 1]], _lines("cl", "wide", "certifications")]) + "\nSELECT doc_id, CAST(k AS INT) AS seq, name FROM (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM (SELECT doc_id, n, ltrim(line, '-*• ' || chr(9)) AS name FROM cl) WHERE length(name) BETWEEN 4 AND 80) WHERE k <= 6",
     "summary": with_ctes("wide", select="") + ",\n" + _lines("sl", "wide", "clean") + f"\nSELECT w.doc_id, coalesce(summary, f) AS summary FROM wide w LEFT JOIN (SELECT doc_id, arg_min(line, n) AS f FROM sl WHERE n BETWEEN 2 AND 6 AND len(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '')) >= 15 AND NOT {begins('line', ('-', '*', '•'))} GROUP BY doc_id) s ON s.doc_id = w.doc_id",
-    "jd_skills": with_ctes("asks", select=f"SELECT a.job_id, {_J('list_sort(need)')} AS skills, years AS required_years FROM asks a"),
     "skill_match": with_ctes("totals", select=f"SELECT doc_id, job_id, {_J('matched')} AS matched, {_J('missing')} AS missing FROM totals WHERE len(need) > 0"),
     "skill_missing": with_ctes("totals", select="SELECT job_id, skill, count(*) AS n_docs FROM (SELECT job_id, unnest(missing) AS skill FROM totals) GROUP BY job_id, skill"),
     "skill_score": with_ctes("totals", select="SELECT doc_id, job_id, s_skill AS score FROM totals WHERE NOT blank"),
@@ -279,7 +278,6 @@ SQL["analyze"] = with_ctes("totals", select=f"""SELECT t.doc_id, t.job_id, j.tit
   CASE WHEN blank THEN 50.0 ELSE s_skill END::DOUBLE AS technical_skills_score, CASE WHEN blank THEN 50.0 ELSE s_exp END::DOUBLE AS experience_score,
   CASE WHEN blank THEN 50.0 ELSE s_edu END::DOUBLE AS education_score, CASE WHEN blank THEN 50.0 ELSE s_quality END::DOUBLE AS quality_score, r.recommendation
   FROM totals t JOIN jobs j ON j.job_id = t.job_id JOIN ({_recommended}) r ON r.doc_id = t.doc_id AND r.job_id = t.job_id""")
-SQL["capabilities"] = f"SELECT 'healthy' AS status, 'heuristic' AS mode, '{'|'.join(X.SUFFIXES)}' AS formats, {X.REFERENCE_YEAR}::INT AS reference_year, 'ingestion|segmentation|normalisation|extraction|scoring' AS layers"
 SQL["reconcile_lists"] = with_ctes("edu", select=f"""SELECT n.doc_id, CASE WHEN e.doc_id IS NOT NULL THEN e.role ELSE coalesce(j.roles, '') END AS roles, CASE WHEN e.school <> '' THEN e.school ELSE coalesce(d.places, '') END AS schools
   FROM norm n LEFT JOIN ({synth.LISTS}) e ON e.doc_id = n.doc_id LEFT JOIN (SELECT doc_id, string_agg(role, '|' ORDER BY job_no) AS roles FROM jobrows GROUP BY doc_id) j ON j.doc_id = n.doc_id
   LEFT JOIN (SELECT doc_id, string_agg(institution, '|' ORDER BY n) AS places FROM edu GROUP BY doc_id) d ON d.doc_id = n.doc_id""")
@@ -301,6 +299,30 @@ SELECT doc_id, CASE kind WHEN 'broken' THEN 'docx' ELSE kind END AS file_type, C
   length(regexp_replace(t, '[^\x21-\x7E\x{A1}-\x{FFFF}]', '', 'g'))::INT AS n_shown, md5(regexp_replace(t, '[^\x21-\x7E\x{A1}-\x{FFFF}]', '', 'g')) AS shown_md5,
   CASE kind WHEN 'broken' THEN '422' WHEN 'exe' THEN '415' END AS error FROM t"""
 SQL["json_commits"] = "SELECT doc_id, lang, CASE WHEN lang = 'en' THEN NULL ELSE source END AS source, md5(CASE WHEN lang = 'en' THEN upper(source) ELSE text END) AS text_md5 FROM documents"
+SQL["skills_table"] = SQL["skills_flat"]
+SQL["dictionary_hits"] = r"""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+ \p{L}+')) AS name FROM benchmark),
+d AS (SELECT doc_id, lower(text) AS low, regexp_extract_all(lower(text), '[\p{L}\p{N}_#+]+[^\p{L}\p{N}_#+]*') AS ps FROM documents),
+p AS (SELECT doc_id, low, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM d),
+g AS (SELECT doc_id, piece || regexp_extract(lead(piece) OVER w, '^[\p{L}\p{N}_#+]+') AS name, coalesce(lag(piece) OVER w, regexp_extract(low, '^[^\p{L}\p{N}_#+]*')) AS gap FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, count(*) AS n_names, md5(string_agg(name, '|' ORDER BY name)) AS names_md5 FROM (SELECT DISTINCT doc_id, name FROM g JOIN n USING (name) WHERE NOT ends_with(gap, '.')) GROUP BY doc_id"""
+_reply = lambda p, f: f"nullif(CASE WHEN json_valid({p}.reply) THEN json_extract_string({p}.reply, '{f}') END, '')"
+_known = lambda p: f"coalesce(CASE WHEN json_valid({p}.reply) THEN json_exists({p}.reply, '$.contact') END, false)"
+SQL["provider_priority"] = with_ctes("contacts", select=f"""SELECT n.doc_id, coalesce(CASE WHEN lower({_reply('a', '$.contact.name')}) <> 'candidate' THEN {_reply('a', '$.contact.name')} END, CASE WHEN lower({_reply('b', '$.contact.name')}) <> 'candidate' THEN {_reply('b', '$.contact.name')} END, c.name) AS name,
+  coalesce({_reply('a', '$.contact.phone')}, {_reply('b', '$.contact.phone')}, c.phone) AS phone, coalesce({_reply('b', '$.contact.location')}, c.location) AS location,
+  coalesce({_reply('a', '$.total_experience_years')}::DOUBLE, {_reply('b', '$.total_experience_years')}::DOUBLE, y.total) AS total_experience_years,
+  array_to_string(list_filter([CASE WHEN {_known('a')} THEN 'alpha' END, CASE WHEN {_known('b')} THEN 'beta' END], lambda x: x IS NOT NULL), '|') AS providers, CASE WHEN {_known('a')} OR {_known('b')} THEN 'hybrid' ELSE 'heuristic' END AS extraction_mode
+  FROM norm n JOIN contacts c ON c.doc_id = n.doc_id LEFT JOIN years y ON y.doc_id = n.doc_id
+  LEFT JOIN (SELECT * FROM ({synth.REPLIES}) WHERE provider = 'alpha') a ON a.doc_id = n.doc_id LEFT JOIN (SELECT * FROM ({synth.REPLIES}) WHERE provider = 'beta') b ON b.doc_id = n.doc_id""")
+SQL["provider_errors"] = f"SELECT provider, '422 not a profile' AS error, count(*) AS n_replies, min(doc_id) AS first_doc FROM ({synth.REPLIES}) r WHERE NOT {_known('r')} GROUP BY provider"
+SQL["layer_metrics"] = with_ctes("norm", select=f"""SELECT i::INT AS layer_no, layer, n_rows::BIGINT AS n_rows, 0::BIGINT AS n_errors, 0::BIGINT AS n_scanned, n_chars::BIGINT AS n_chars FROM (
+  SELECT 0 AS i, 'ingestion' AS layer, count(*) AS n_rows, sum(length(raw_text)) AS n_chars FROM raw UNION ALL SELECT 1, 'normalisation', count(*), sum(length(clean)) FROM norm
+  UNION ALL SELECT 2, 'extraction', count(*), sum(length(clean)) FROM norm UNION ALL SELECT 3, 'scoring', count(*) * {len(synth.JOB_ROWS)}, sum(length(clean)) * {len(synth.JOB_ROWS)} FROM norm)""")
+SQL["jd_skills"] = f"""WITH posts AS (SELECT job_id, {strip('jd_text')} AS jd FROM ({synth.POSTS})), {_skills('jd', 'job_id', 'posts', '', 'psk')}
+SELECT p.job_id, coalesce(string_agg(DISTINCT skill, '|' ORDER BY skill), '') AS skills, coalesce(max(CAST({got('jd', X.REQUIRED_YEARS, 1)} AS DOUBLE)), 3.0::DOUBLE) AS required_years,
+  array_to_string(list_filter(string_split_regex(coalesce(max({strip(got('jd', X.TITLE, 1))}), ''), '\\s+'), lambda w: w <> ''), '|') AS title_words,
+  bool_or({any_part('lower(jd)', ('ph.d', 'doctorate'))}) AS phd, bool_or({any_part('lower(jd)', ('master', 'm.s.', 'mba'))}) AS master FROM posts p LEFT JOIN psk ON psk.job_id = p.job_id GROUP BY p.job_id"""
+SQL["capabilities"] = f"""SELECT format, count(*) AS n_files, count(*) FILTER (WHERE format IN {in_list(X.SUFFIXES)} AND trim(filename) <> '' AND size <= {X.MAX_BYTES}) AS n_taken, 'healthy' AS status, 'heuristic' AS mode, {X.REFERENCE_YEAR}::INT AS reference_year,
+  'ingestion|segmentation|normalisation|extraction|scoring' AS layers, format IN {in_list(X.SUFFIXES)} AS supported FROM (SELECT *, lower(regexp_extract(filename, '\\.([A-Za-z0-9]+)$', 1)) AS format FROM ({synth.FILES})) GROUP BY format"""
 SQL["text_decode"] = f"SELECT doc_id, name AS text FROM ({synth.BYTES})"
 SQL["json_roundtrip"] = with_ctes("contacts", select=f"""SELECT n.doc_id, c.name, c.email, y.total AS total_experience_years, {_J('o.skills')} AS skills, CAST(NULL AS VARCHAR) AS error
   FROM norm n JOIN contacts c ON c.doc_id = n.doc_id JOIN own o ON o.doc_id = n.doc_id LEFT JOIN years y ON y.doc_id = n.doc_id""")

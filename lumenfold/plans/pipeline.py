@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import REFERENCE_YEAR, SUFFIXES
@@ -39,6 +41,42 @@ def analyze(docs: DataFrame, jobs: DataFrame, external: DataFrame | None = None,
     return score(parse(docs, external, reference_year=reference_year), jobs)
 
 
+class Metrics:
+    """Rows, errors, scanned documents, characters and seconds of each layer, counted while the rows pass, by one action.
+
+    analyze() goes through watch() at each layer; report() has the figures once an action on the result is done. They are
+    of the attempts that gave the result; a lost executor's tasks that run again are not counted twice.
+    """
+
+    def __init__(self):
+        self.layers: list[tuple[str, Observation]] = []
+        self.began = time.time()
+
+    def watch(self, df: DataFrame, layer: str) -> DataFrame:
+        has = lambda name, value: value if name in df.columns else F.lit(0)
+        text = "clean_text" if "clean_text" in df.columns else "raw_text"
+        counts = {
+            "rows": F.count(F.lit(1)), "errors": F.sum(has("error", F.col("error").isNotNull().cast("long"))),
+            "scanned": F.sum(has("is_scanned", F.col("is_scanned").cast("long"))), "chars": F.sum(has(text, F.length(text).cast("long"))),
+        }
+        self.layers.append((layer, seen := Observation()))
+        return df.observe(seen, *[F.coalesce(v.cast("long"), F.lit(0)).alias(k) for k, v in counts.items()])
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """layer, n_rows, n_errors, n_scanned, n_chars, seconds (since the plan was begun)."""
+        seconds = time.time() - self.began
+        rows = [(i, layer, *[int(seen.get[k]) for k in ("rows", "errors", "scanned", "chars")], seconds) for i, (layer, seen) in enumerate(self.layers)]
+        return spark.createDataFrame(rows, "layer_no int, layer string, n_rows long, n_errors long, n_scanned long, n_chars long, seconds double")
+
+
+def watched(docs: DataFrame, jobs: DataFrame, metrics: Metrics, reference_year: int = REFERENCE_YEAR) -> DataFrame:
+    """analyze() with figures of each layer."""
+    docs = metrics.watch(docs, "ingestion")
+    clean = metrics.watch(sections.normalise(docs, "raw_text"), "normalisation")
+    profiles = metrics.watch(extract.with_profile(clean, reference_year), "extraction")
+    return metrics.watch(score(profiles, jobs), "scoring")
+
+
 def capabilities(spark: SparkSession) -> DataFrame:
     """One row: what this engine reads and how it works."""
     return spark.range(1).select(

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from ..functions import lexicon
 from ..functions.lexicon import MAX_CHARS
-from ..operators import extract, layout, reconcile, score as rubric, sections, segment
+from ..operators import dictionary, extract, layout, reconcile, score as rubric, sections, segment
 from ..sources import commits, documents
-from ..sources.files import decode_text, profiles_from_json, read_bytes, reject_reason
+from ..sources.files import decode_text, profiles_from_json, read_bytes, reject_reason, suffix
 from ..sources.shared import shared_folder
 from . import oracle, pipeline, synth
 
@@ -173,7 +174,47 @@ def summary(spark, d):
 
 
 def jd_skills(spark, d):
-    return rubric.with_requirements(jobs(spark)).select("job_id", bars(F.array_sort("asks.skills")).alias("skills"), F.col("asks.years").alias("required_years"))
+    """What the job posts composed from the parts ask for."""
+    posts = composed(spark, d, synth.POSTS, "part")
+    asks = F.col("asks")
+    return rubric.with_requirements(posts).select("job_id", bars(F.array_sort(asks["skills"])).alias("skills"), asks["years"].alias("required_years"), bars(asks["title"]).alias("title_words"), asks["phd"].alias("phd"), asks["master"].alias("master"))
+
+
+def skills_table(spark, d):
+    """skills_flat with the taxonomy as a table that is joined."""
+    rows = [(s, lexicon.display(s)) for names in lexicon.SKILLS.values() for s in names]
+    names = spark.createDataFrame(rows, "name string, shown string")
+    texts = resumes(spark, d).select("doc_id", T.clean(F.col("raw_text")).alias("clean_text"))
+    hits = dictionary.find(texts, "doc_id", F.col("clean_text"), names).groupBy("doc_id").agg(F.sort_array(F.collect_set("shown")).alias("s"))
+    return texts.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce(bars(F.col("s")), F.lit("")).alias("skills"))
+
+
+def dictionary_hits(spark, d):
+    """Which of the benchmark's pairs of neighbouring words stand in each document."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+ \p{L}+)"), F.lit(1))
+    names = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(words).alias("name")).distinct()
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+    return dictionary.find(docs, "doc_id", F.col("text"), names).groupBy("doc_id").agg(F.count("*").alias("n_names"), F.md5(F.array_join(F.sort_array(F.collect_list("name")), "|")).alias("names_md5"))
+
+
+def provider_priority(spark, d):
+    """Profiles with the replies of two of three providers, some of them malformed."""
+    merged = reconcile.merge_providers(profiles(spark, d), composed(spark, d, synth.REPLIES, "customer"), synth.PROVIDERS)
+    c = F.col("profile.contact")
+    return merged.select("doc_id", c["name"].alias("name"), c["phone"].alias("phone"), c["location"].alias("location"), "profile.total_experience_years", bars(F.col("providers")).alias("providers"), "profile.extraction_mode")
+
+
+def provider_errors(spark, d):
+    """Replies that are no profiles."""
+    return reconcile.parse_replies(composed(spark, d, synth.REPLIES, "customer")).filter("error is not null").groupBy("provider", "error").agg(F.count("*").alias("n_replies"), F.min("doc_id").alias("first_doc"))
+
+
+def layer_metrics(spark, d):
+    """Figures of the layers of one analysis, gathered while it is written."""
+    metrics = pipeline.Metrics()
+    found = pipeline.watched(resumes(spark, d), jobs(spark), metrics)
+    found.select("doc_id", "job_id", F.col("report.overall_score").alias("overall_score")).write.parquet(shared_folder(spark, "analysis"))
+    return metrics.report(spark).drop("seconds")
 
 
 def _with_jobs(spark, d):
@@ -401,7 +442,11 @@ def profile_json(spark, d):
 
 
 def capabilities(spark, d):
-    return pipeline.capabilities(spark).select("status", "mode", bars(F.col("formats")).alias("formats"), "reference_year", bars(F.col("layers")).alias("layers"))
+    """What the engine can do, with how many of the given files of each format it takes."""
+    files = composed(spark, d, synth.FILES, "part").select(suffix(F.col("filename")).alias("format"), reject_reason(F.col("filename"), F.col("size")).alias("reason"))
+    counts = files.groupBy("format").agg(F.count("*").alias("n_files"), F.count_if(F.col("reason").isNull()).alias("n_taken"))
+    able = pipeline.capabilities(spark).select("status", "mode", "formats", "reference_year", bars(F.col("layers")).alias("layers"))
+    return counts.join(F.broadcast(able), how="cross").withColumn("supported", F.array_contains("formats", F.col("format"))).drop("formats")  # one row of abilities
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,7 +465,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             norm_basic, norm_resumes, section_lines, section_assemble, email_documents, skills_flat, skills_by_category, skill_frequency, domain, exp_rows, exp_highlights,
             exp_total, edu_rows, projects_top5, certs_top6, summary, jd_skills, skill_match, skill_missing, candidate_job_rank, page_classify, packet_merge, packet_primary,
             segment_preview, block_layout, scanned_flag, ext_gate, reconcile_scalar, reconcile_skills, reconcile_categories, prompt_budget, page_preview, score_band, profile_json, capabilities,
-            reconcile_lists, packet_external, pdf_text, files_by_path, json_commits, text_decode, json_roundtrip, profile_core, category_texts,
+            reconcile_lists, packet_external, pdf_text, files_by_path, json_commits, skills_table, dictionary_hits, provider_priority, provider_errors, layer_metrics, text_decode, json_roundtrip, profile_core, category_texts,
         )
     }
     found |= {f: contact_query(f) for f in ("name", "email", "phone", "location")} | {"links": contact_query("linkedin", "github")}

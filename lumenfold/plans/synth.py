@@ -143,6 +143,28 @@ FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer) AS c WHERE k % 3 <> 1
 """
 
 
+#: Replies of three providers about candidates: whole profiles, parts of them, other JSON, and no JSON.
+REPLIES = """
+SELECT k AS doc_id, 'alpha' AS provider, CASE k % 5 WHEN 0 THEN '{\"contact\":{\"name\":\"Alpha ' || CAST(k AS STRING) || '\"},\"total_experience_years\":3}'
+  WHEN 1 THEN '{\"contact\":{\"phone\":\"+1-555-1' || CAST(k AS STRING) || '\"}}' WHEN 2 THEN 'Sorry, I can not help with that.' WHEN 3 THEN '[1, 2]' ELSE '{\"note\":\"nothing\"}' END AS reply
+FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer) AS c
+UNION ALL
+SELECT k, 'beta', CASE k % 3 WHEN 0 THEN '{\"contact\":{\"name\":\"Candidate\",\"phone\":\"+1-555-2' || CAST(k AS STRING) || '\",\"location\":\"Bonn\"},\"total_experience_years\":8}'
+  WHEN 1 THEN '{\"contact\":{\"name\":\"Beta ' || CAST(k AS STRING) || '\"}' ELSE '{\"contact\":{\"name\":\"Beta ' || CAST(k AS STRING) || '\"}}' END
+FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer) AS c WHERE k % 7 <> 0
+UNION ALL
+SELECT k, 'gamma', '{\"contact\":{\"name\":\"Gamma\",\"location\":\"Graz\"}}' FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer) AS c WHERE k % 4 = 0
+"""
+PROVIDERS = ["alpha", "beta"]
+
+#: Job posts composed from parts, a post for each.
+POST_SKILLS = ["Python, Django and PostgreSQL", "React.js, Next.js and TypeScript", "Kubernetes, Docker and Terraform", "PyTorch, Spark and SQL", "", "Go, gRPC or Rust", "Excel and R"]
+POST_YEARS = ["5+ years", "2 years of practice", "some years", "10+ yrs", ""]
+POST_DEGREES = ["Master degree or MBA.", "Ph.D. wanted.", "Any degree.", ""]
+POSTS = f"""SELECT k AS job_id, 'post' AS title, replace('Position: ' || p_type || {_quoted(NL)} || {pick('k', POST_SKILLS)} || '. ' || {pick('CAST((k - k % 7) / 7 AS BIGINT)', POST_YEARS)} || ' ' || {pick('CAST((k - k % 5) / 5 AS BIGINT)', POST_DEGREES)}, '~', chr(39)) AS jd_text
+FROM (SELECT CAST(p_partkey AS BIGINT) AS k, p_type FROM part) AS p"""
+
+
 def pdf_file(text: Column, columns: Column, packed: Column) -> Column:
     """Bytes of a PDF file of one page that shows a text in pieces of 60 characters, in one column or two, whose right one is drawn first.
 
