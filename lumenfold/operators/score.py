@@ -39,23 +39,75 @@ def _category(key: str, score: Column, reasoning: Column, matches: Column, missi
     )
 
 
+def skills_score(n_matched: Column, n_asked: Column, n_own: Column) -> Column:
+    raw = F.least(F.lit(100.0), n_matched / F.greatest(n_asked, F.lit(1)) * 100.0 + F.least(F.lit(10.0), n_own * 0.5))
+    return F.when(n_asked == 0, F.when(n_own > 0, 75.0).otherwise(40.0)).otherwise(T.rounded(raw))
+
+
+def experience_score(own: Column, need: Column) -> Column:
+    ratio = own / F.when(need > 0, need)
+    score = F.when(own >= need, 90.0 + F.least(F.lit(10.0), (own - need) * 2)).when(own > 0, ratio * 85.0).otherwise(50.0)
+    return T.rounded(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)))
+
+
+def degrees(p: Column) -> dict[str, Column]:
+    """What a profile's education holds: phd, master, bachelor, and whether there is any."""
+    held = F.lower(F.array_join(F.transform(p["education"], lambda e: F.concat_ws(" ", e["degree"], e["institution"])), " "))
+    found = {"phd": ("ph.d", "doctorate"), "master": ("master", "m.s", "m.tech", "mba"), "bachelor": ("bachelor", "b.s", "b.tech", "b.e", "degree")}
+    return {k: T.contains_any(held, parts) for k, parts in found.items()} | {"some": F.size(p["education"]) > 0}
+
+
+def education_cases(asks: Column, held: dict[str, Column]) -> list[tuple[Column, float, str]]:
+    """Condition, score and reason, of which the first that holds counts."""
+    phd, master, bachelor = held["phd"], held["master"], held["bachelor"]
+    return [
+        (asks["phd"] & phd, 100.0, "Candidate holds required doctoral degree."),
+        (asks["phd"] & master, 75.0, "Candidate holds Master's degree (Ph.D. preferred)."),
+        (asks["phd"], 60.0, "Candidate lacks required doctoral degree."),
+        (asks["master"] & (phd | master), 100.0, "Candidate holds required advanced degree."),
+        (asks["master"] & bachelor, 80.0, "Candidate holds Bachelor's degree (Master's preferred)."),
+        (asks["master"], 65.0, "Advanced degree not explicitly stated."),
+        (phd | master | bachelor, 95.0, "Candidate possesses relevant higher education credentials."),
+        (held["some"], 85.0, "Candidate possesses educational background."),
+        (F.lit(True), 70.0, "No formal degree detected in resume."),
+    ]
+
+
+def first_of(cases: list[tuple[Column, float, str]]) -> tuple[Column, Column]:
+    score, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for when, value, reason in reversed(cases):
+        score, text = F.when(when, value).otherwise(score), F.when(when, reason).otherwise(text)
+    return score, text
+
+
+def quality_points(p: Column) -> list[tuple[Column, str]]:
+    c = p["contact"]
+    has = lambda *names: [T.blank_to_null(c[n]).isNotNull() for n in names]
+    (email, phone), (github, linkedin) = has("email", "phone"), has("github", "linkedin")
+    points = F.exists(p["experience"], lambda e: F.size(e["highlights"]) > 0)
+    return [(email & phone, "Complete contact info"), (github | linkedin, "Professional profile links provided"), (points, "Structured accomplishment highlights present")]
+
+
+def overall(blank: Column, scores: dict[str, Column]) -> Column:
+    s, w = scores, X.WEIGHTS
+    total = s["technical_skills"] * w["technical_skills"] + s["experience"] * w["experience"] + s["education"] * w["education"] + s["quality"] * w["quality"]
+    return F.when(blank, 50.0).otherwise(T.rounded(F.least(F.lit(100.0), F.greatest(F.lit(0.0), total))))
+
+
 def skills_category(p: Column, asks: Column, matched: Column, missing: Column) -> Column:
     """matched, missing: display names, sorted."""
     n_jd, n_own = F.size(asks["skills"]), F.size(p["skills"])
     ratio = F.size(matched) / F.greatest(n_jd, F.lit(1))
-    raw = F.least(F.lit(100.0), ratio * 100.0 + F.least(F.lit(10.0), n_own * 0.5))
     text = F.concat(
         F.lit("Candidate matches "), F.size(matched).cast("string"), F.lit(" of "), n_jd.cast("string"), F.lit(" required technical skills ("), T.fixed(ratio * 100, 0), F.lit("%).")
     )
     few = F.lit("Few specific technical keywords identified in job description.")
-    score = F.when(n_jd == 0, F.when(n_own > 0, 75.0).otherwise(40.0)).otherwise(T.rounded(raw))
-    return _category("technical_skills", score, F.when(n_jd == 0, few).otherwise(text), matched, missing)
+    return _category("technical_skills", skills_score(F.size(matched), n_jd, n_own), F.when(n_jd == 0, few).otherwise(text), matched, missing)
 
 
 def experience_category(p: Column, asks: Column) -> Column:
     own, need = F.coalesce(p["total_experience_years"], F.lit(0.0)), asks["years"]
     ratio = own / F.when(need > 0, need)
-    score = F.when(own >= need, 90.0 + F.least(F.lit(10.0), (own - need) * 2)).when(own > 0, ratio * 85.0).otherwise(50.0)
     text = (
         F.when(own >= need, F.concat(F.lit("Candidate has "), T.fixed(own, 1), F.lit(" years of experience, exceeding the required "), T.fixed(need, 0), F.lit(" years.")))
         .when(own > 0, F.concat(F.lit("Candidate has "), T.fixed(own, 1), F.lit(" years vs. "), T.fixed(need, 0), F.lit(" required years ("), T.fixed(ratio * 100, 0), F.lit("% match).")))
@@ -64,43 +116,17 @@ def experience_category(p: Column, asks: Column) -> Column:
     roles = F.transform(p["experience"], lambda e: e["role"])
     titled = F.filter(roles, lambda r: F.exists(asks["title"], lambda w: F.contains(F.lower(r), F.lower(w))))
     short = F.when(own < need, F.array(F.concat(T.fixed(need - own, 1), F.lit(" more years required"))))
-    return _category("experience", T.rounded(F.least(F.lit(100.0), F.greatest(F.lit(0.0), score))), text, F.when(F.size(asks["title"]) > 0, titled).otherwise(F.slice(roles, 1, 2)), short)
+    return _category("experience", experience_score(own, need), text, F.when(F.size(asks["title"]) > 0, titled).otherwise(F.slice(roles, 1, 2)), short)
 
 
 def education_category(p: Column, asks: Column) -> Column:
-    held = F.lower(F.array_join(F.transform(p["education"], lambda e: F.concat_ws(" ", e["degree"], e["institution"])), " "))
-    phd, master = T.contains_any(held, ("ph.d", "doctorate")), T.contains_any(held, ("master", "m.s", "m.tech", "mba"))
-    bachelor = T.contains_any(held, ("bachelor", "b.s", "b.tech", "b.e", "degree"))
-    some = F.size(p["education"]) > 0
-    cases = [
-        (asks["phd"] & phd, 100.0, "Candidate holds required doctoral degree."),
-        (asks["phd"] & master, 75.0, "Candidate holds Master's degree (Ph.D. preferred)."),
-        (asks["phd"], 60.0, "Candidate lacks required doctoral degree."),
-        (asks["master"] & (phd | master), 100.0, "Candidate holds required advanced degree."),
-        (asks["master"] & bachelor, 80.0, "Candidate holds Bachelor's degree (Master's preferred)."),
-        (asks["master"], 65.0, "Advanced degree not explicitly stated."),
-        (phd | master | bachelor, 95.0, "Candidate possesses relevant higher education credentials."),
-        (some, 85.0, "Candidate possesses educational background."),
-        (F.lit(True), 70.0, "No formal degree detected in resume."),
-    ]
-    score, text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for when, value, reason in reversed(cases):
-        score, text = F.when(when, value).otherwise(score), F.when(when, reason).otherwise(text)
+    score, text = first_of(education_cases(asks, degrees(p)))
     listed = F.transform(p["education"], lambda e: F.concat(e["degree"], F.lit(" from "), e["institution"]))
     return _category("education", score, text, listed, F.when(score < 80, F.array(F.lit("Higher degree preferred"))))
 
 
 def quality_category(p: Column) -> Column:
-    c = p["contact"]
-    has = lambda *names: [T.blank_to_null(c[n]).isNotNull() for n in names]
-    (email, phone), (github, linkedin) = has("email", "phone"), has("github", "linkedin")
-    points = F.exists(p["experience"], lambda e: F.size(e["highlights"]) > 0)
-    reasons = F.array_compact(
-        F.array(
-            F.when(email & phone, "Complete contact info"), F.when(github | linkedin, "Professional profile links provided"),
-            F.when(points, "Structured accomplishment highlights present"),
-        )
-    )
+    reasons = F.array_compact(F.array(*[F.when(holds, text) for holds, text in quality_points(p)]))
     text = F.when(F.size(reasons) > 0, F.array_join(reasons, ", ")).otherwise("Standard resume structure.")
     return _category("quality", F.least(F.lit(100.0), 70.0 + 10.0 * F.size(reasons)), text, reasons, F.array())
 
@@ -165,8 +191,7 @@ def score(profiles: DataFrame, jobs: DataFrame) -> DataFrame:
     neutral = {k: _category(k, F.lit(50.0), F.lit("Job description not provided."), F.array(), F.array()) for k in cats}
     both = both.withColumn("_cats", F.struct(*[F.when(asks["blank"], neutral[k]).otherwise(c).alias(k) for k, c in cats.items()]))
     s = {k: F.col("_cats")[k]["score"] for k in cats}
-    total = s["technical_skills"] * X.WEIGHTS["technical_skills"] + s["experience"] * X.WEIGHTS["experience"] + s["education"] * X.WEIGHTS["education"] + s["quality"] * X.WEIGHTS["quality"]
-    both = both.withColumn("_total", F.when(asks["blank"], 50.0).otherwise(T.rounded(F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)))))
+    both = both.withColumn("_total", overall(asks["blank"], s))
     t = F.col("_total")
     none = F.array().cast("array<string>")
     unless = lambda blank, value: F.when(asks["blank"], blank).otherwise(value)

@@ -299,6 +299,7 @@ SELECT doc_id, CASE kind WHEN 'broken' THEN 'docx' ELSE kind END AS file_type, C
   length(regexp_replace(t, '[^\x21-\x7E\x{A1}-\x{FFFF}]', '', 'g'))::INT AS n_shown, md5(regexp_replace(t, '[^\x21-\x7E\x{A1}-\x{FFFF}]', '', 'g')) AS shown_md5,
   CASE kind WHEN 'broken' THEN '422' WHEN 'exe' THEN '415' END AS error FROM t"""
 SQL["json_commits"] = "SELECT doc_id, lang, CASE WHEN lang = 'en' THEN NULL ELSE source END AS source, md5(CASE WHEN lang = 'en' THEN upper(source) ELSE text END) AS text_md5 FROM documents"
+SQL["packet_rows"] = SQL["packet_external"]
 SQL["skills_table"] = SQL["skills_flat"]
 SQL["dictionary_hits"] = r"""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+ \p{L}+')) AS name FROM benchmark),
 d AS (SELECT doc_id, lower(text) AS low, regexp_extract_all(lower(text), '[\p{L}\p{N}_#+]+[^\p{L}\p{N}_#+]*') AS ps FROM documents),

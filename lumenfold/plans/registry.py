@@ -10,14 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions import lexicon
 from ..functions.lexicon import MAX_CHARS
-from ..operators import dictionary, extract, layout, reconcile, score as rubric, sections, segment
+from ..operators import dictionary, extract, layout, packets as paged, rank as ranking, reconcile, score as rubric, sections, segment
 from ..sources import commits, documents
 from ..sources.files import decode_text, profiles_from_json, read_bytes, reject_reason, suffix
 from ..sources.shared import shared_folder
@@ -246,9 +245,7 @@ def report_list(field: str):
 
 def candidate_job_rank(spark, d):
     """The ten best candidates of each job (an extension of the one-to-one rubric)."""
-    best = W.partitionBy("job_id").orderBy(F.desc("overall_score"), "doc_id")
-    rows = reports(spark, d).select("job_id", "doc_id", F.col("report.overall_score").alias("overall_score"))
-    return rows.withColumn("rank", F.row_number().over(best)).filter("rank <= 10")
+    return ranking.best_candidates(profiles(spark, d), jobs(spark)).select("job_id", "doc_id", "overall_score", "rank")
 
 
 def page_classify(spark, d):
@@ -404,6 +401,19 @@ def json_commits(spark, d):
     return back.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
 
 
+def packet_rows(spark, d):
+    """packet_external on pages as rows, whatever the number of pages of a packet."""
+    pages = spread(composed(spark, d, synth.PAGES, "conversations"))
+    flat = composed(spark, d, synth.CUTS, "conversations").filter("n_cuts > 0")
+    one = F.struct(F.lit("Resume").alias("category"), F.lit(1).alias("start_page"), F.col("first_end").alias("end_page"))
+    two = F.struct(F.lit(None).cast("string").alias("category"), (F.col("first_end") + 1).alias("start_page"), F.lit(None).cast("int").alias("end_page"))
+    cuts = flat.select("doc_id", F.posexplode(F.slice(F.array(one, two), F.lit(1), F.col("n_cuts"))).alias("cut_no", "c")).select("doc_id", "cut_no", "c.*")
+    found = paged.split(pages, cuts)
+    texts = paged.texts(paged.segment_pages(pages, cuts)).withColumn("text_md5", F.md5("text"))
+    out = found.join(texts.select("doc_id", "seg_no", "text_md5"), ["doc_id", "seg_no"], "left")
+    return out.select("doc_id", "engine", "is_packet", "seg_no", "category", "start_page", "end_page", "confidence", F.coalesce("text_md5", F.md5(F.lit(""))).alias("text_md5"))
+
+
 def text_decode(spark, d):
     """Bytes of text files, valid UTF-8 or not."""
     rows = composed(spark, d, synth.BYTES, "customer")
@@ -465,7 +475,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             norm_basic, norm_resumes, section_lines, section_assemble, email_documents, skills_flat, skills_by_category, skill_frequency, domain, exp_rows, exp_highlights,
             exp_total, edu_rows, projects_top5, certs_top6, summary, jd_skills, skill_match, skill_missing, candidate_job_rank, page_classify, packet_merge, packet_primary,
             segment_preview, block_layout, scanned_flag, ext_gate, reconcile_scalar, reconcile_skills, reconcile_categories, prompt_budget, page_preview, score_band, profile_json, capabilities,
-            reconcile_lists, packet_external, pdf_text, files_by_path, json_commits, skills_table, dictionary_hits, provider_priority, provider_errors, layer_metrics, text_decode, json_roundtrip, profile_core, category_texts,
+            reconcile_lists, packet_external, pdf_text, files_by_path, json_commits, skills_table, dictionary_hits, packet_rows, provider_priority, provider_errors, layer_metrics, text_decode, json_roundtrip, profile_core, category_texts,
         )
     }
     found |= {f: contact_query(f) for f in ("name", "email", "phone", "location")} | {"links": contact_query("linkedin", "github")}
