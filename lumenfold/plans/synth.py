@@ -166,12 +166,12 @@ FROM (SELECT CAST(p_partkey AS BIGINT) AS k, p_type FROM part) AS p"""
 
 
 def pdf_file(text: Column, columns: Column, packed: Column) -> Column:
-    """Bytes of a PDF file of one page that shows a text in pieces of 60 characters, in one column or two, whose right one is drawn first.
+    """Bytes of a PDF file of one page that shows a text in pieces of 60 characters, in one column or two (of eight pieces or more), whose right one is drawn first.
 
     The font's codes have their meaning from a ToUnicode map only. packed: the page and the fonts stand in an object stream.
     """
     pieces = F.regexp_extract_all(F.translate(text, "\n\t\r", "   "), F.lit("(?s).{1,60}"), F.lit(0))
-    half = lambda n: F.when(columns == 2, F.ceil(n / 2)).otherwise(n)
+    half = lambda n: F.when((columns == 2) & (n >= 8), F.ceil(n / 2)).otherwise(n)  # noqa: E731  two columns have two blocks each, as the reading order asks
     row = lambda i, n: i % F.greatest(half(n), F.lit(1))
     right = lambda i, n: i >= half(n)
     height = lambda n: (100 + 12 * half(n)).cast("int")
