@@ -40,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import common
 
@@ -282,7 +283,10 @@ def star_edges(nodes: DataFrame, prints: list[Column], radius: int = RADIUS, spl
     stars = found.filter(F.col("root").isNotNull())
     if again.limit(1).count():
         stars = stars.unionByName(_stars(dealt(again), radius, None))  # a bucket of these has at most about 2^15 fingerprints
-    return common.stored(stars.select("node", "root").distinct(), "simhash-edges", found)
+    # a node has a root for each of its buckets: it keeps the least, to which its others are joined instead; those are few
+    edges = stars.select("node", "root").distinct().withColumn("least", F.min("root").over(W.partitionBy("node")))
+    roots = edges.filter(F.col("root") != F.col("least")).select(F.col("root").alias("node"), F.col("least").alias("root"))
+    return common.stored(edges.select("node", F.col("least").alias("root")).unionByName(roots).distinct(), "simhash-edges", found)
 
 
 def classes(prints: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
