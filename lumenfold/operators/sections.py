@@ -11,7 +11,7 @@ from ..functions.lexicon import MAX_CHARS, SECTIONS
 HEADER = "struct<section:string,tail:string>"
 
 
-def _bare(line: Column) -> Column:
+def bare(line: Column) -> Column:
     """A possible header without its ornaments, in lower case."""
     for pattern, by in ((r"^[\s#*=-]*", ""), (r"[\s:*=-]*$", ""), (r"^(?:\d+[\s.)|/-]+|\/\/\s*)", ""), (r"[\[\]{}()]", " "), (r"\s+", " ")):
         line = F.regexp_replace(line, T.rx(pattern), by)
@@ -29,12 +29,13 @@ def header(line: Column) -> Column:
         pattern = rf"(?i)^[\s#*=-]*(?:{'|'.join(names)})[:\s|-]++(?![:*=-]+$)(..+)$"
         return T.let(T.found(line, pattern, 1), lambda t: F.when(t.isNotNull(), F.struct(F.lit(section).alias("section"), t.alias("tail"))))
 
-    def alone(bare: Column) -> Column:
-        named = [F.when(T.matches(bare, rf"(?i)(?:^|\b)(?:{'|'.join(names)})(?:\b|$)"), F.struct(F.lit(s).alias("section"), F.lit(None).cast("string").alias("tail"))) for s, names in SECTIONS.items()]
-        return F.when(F.length(bare) <= 50, F.coalesce(*named))
+    def alone(name: Column) -> Column:
+        named = [F.when(T.matches(name, rf"(?i)(?:^|\b)(?:{'|'.join(names)})(?:\b|$)"), F.struct(F.lit(s).alias("section"), F.lit(None).cast("string").alias("tail"))) for s, names in SECTIONS.items()]
+        return F.when(F.length(name) <= 50, F.coalesce(*named))
 
-    every = "|".join(n for names in SECTIONS.values() for n in names)
-    return F.when(T.matches(line, rf"(?i)(?:{every})"), F.coalesce(*[inline(s, names) for s, names in SECTIONS.items()], T.let(_bare(line), alone)))
+    # brackets between words become spaces of the bare line
+    every = "|".join(n for names in SECTIONS.values() for n in names).replace(r"\s", r"[\s\[\]{}()]")
+    return F.when(T.matches(line, rf"(?i)(?:{every})"), F.coalesce(*[inline(s, names) for s, names in SECTIONS.items()], T.let(bare(line), alone)))
 
 
 def section_map(clean: Column) -> Column:

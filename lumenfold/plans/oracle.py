@@ -71,7 +71,27 @@ def _alone() -> str:
 _BARE = strip(
     r"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^[\s#*=-]*', ''), '[\s:*=-]*$', ''), '^(?:\d+[\s.)|/-]+|//\s*)', ''), '[\[\]{}()]', ' ', 'g'), '\s+', ' ', 'g'))"
 )
-_ANY = "(" + "|".join(n for names in X.SECTIONS.values() for n in names) + ")"
+_ANY = "(" + "|".join(n for names in X.SECTIONS.values() for n in names).replace(r"\s", r"[\s\[\]{}()]") + ")"
+
+
+def _heading_documents() -> str:
+    """Runs of words of every line, at its start and anywhere in its bare form, joined with short first lines."""
+    word, other = r"[\p{L}\p{M}\p{N}\p{Pc}]", r"[^\p{L}\p{M}\p{N}\p{Pc}]"
+    spaced = lambda x: rf"regexp_replace({x}, '\s+', ' ', 'g')"
+    lines = f"(SELECT doc_id, unnest(string_split(text, {LF})) AS l, unnest(range(len(string_split(text, {LF})))) AS line_no FROM documents)"
+    return rf"""
+WITH first AS (SELECT {strip(f"string_split(text, {LF})[1]")} AS name, source AS section, doc_id AS rank FROM documents),
+names AS (SELECT core, min({{'rank': rank, 'section': section}}) AS h FROM (SELECT regexp_extract({spaced("lower(name)")}, '{word}(?:.*{word})?') AS core, section, rank FROM first WHERE length(name) <= 60)
+  WHERE core <> '' GROUP BY core),
+ls AS (SELECT doc_id, line_no, {strip("l")} AS line FROM {lines}),
+forms AS (SELECT doc_id, line_no, 0 AS kind, regexp_replace(line, '^[\s#*=-]*', '') AS form FROM ls UNION ALL SELECT doc_id, line_no, 1, {_BARE} FROM ls WHERE length({_BARE}) <= 50),
+cut AS (SELECT *, regexp_extract_all(lower(form), '{word}+{other}*') AS p FROM forms WHERE kind = 1 OR regexp_matches(form, '^{word}')),
+starts AS (SELECT *, unnest(range(1, CASE kind WHEN 0 THEN 1 ELSE len(p) END + 1)) AS a FROM cut WHERE len(p) > 0),
+grams AS (SELECT *, regexp_replace(array_to_string(p[a : a + n - 1], ''), '{other}+$', '') AS g FROM (SELECT *, unnest(range(1, least(30, len(p) - a + 1) + 1)) AS n FROM starts)),
+hits AS (SELECT doc_id, line_no, kind, h.rank, h.section, CASE WHEN kind = 0 THEN regexp_extract(substr(form, length(g) + 1), '^[:\s|-]+(.+)$', 1) END AS tail FROM grams JOIN names ON core = {spaced("g")}),
+best AS (SELECT doc_id, line_no, arg_min({{'section': section, 'tail': tail}}, {{'kind': kind, 'rank': rank}}) AS h FROM hits
+  WHERE kind = 1 OR (length(tail) > 1 AND NOT regexp_full_match(tail, '[:*=-]+')) GROUP BY doc_id, line_no)
+SELECT doc_id, line_no, h.section, h.tail FROM best"""
 
 
 def _lines(name: str, source: str, text: str) -> str:
@@ -207,6 +227,9 @@ SQL: dict[str, str] = {
     "norm_resumes": with_ctes("norm", select="SELECT doc_id, clean AS clean_text, len(list_filter(string_split_regex(clean, '\\s+'), lambda w: w <> ''))::INT AS word_count, length(clean)::INT AS char_count FROM norm"),
     "section_lines": with_ctes("heads", select="SELECT doc_id, section, count(*) AS n_headers, count(tail) AS n_inline FROM heads WHERE section IS NOT NULL GROUP BY doc_id, section"),
     "section_assemble": with_ctes("secs", select="SELECT doc_id, section, content FROM secs"),
+    "section_table": with_ctes("secs", select="SELECT doc_id, section, content FROM secs"),
+    "heading_rows": with_ctes("heads", select="SELECT doc_id, i - 1 AS line_no, section, tail FROM heads WHERE section IS NOT NULL"),
+    "heading_documents": _heading_documents(),
     "name": with_ctes("contacts", select="SELECT doc_id, name FROM contacts"),
     "email": with_ctes("contacts", select="SELECT doc_id, email FROM contacts"),
     "email_documents": f"SELECT doc_id, {got('text', X.EMAIL)} AS email FROM documents",

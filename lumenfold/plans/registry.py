@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from ..functions import text as T
 from ..functions import lexicon
 from ..functions.lexicon import MAX_CHARS
-from ..operators import dictionary, extract, layout, packets as paged, rank as ranking, reconcile, score as rubric, sections, segment
+from ..operators import dictionary, extract, headings, layout, packets as paged, rank as ranking, reconcile, score as rubric, sections, segment
 from ..sources import commits, documents
 from ..sources.files import decode_text, profiles_from_json, read_bytes, reject_reason, suffix
 from ..sources.shared import shared_folder
@@ -108,6 +108,28 @@ def section_assemble(spark, d):
     return normal(spark, d).select("doc_id", F.explode_outer("sections").alias("section", "content")).filter("section is not null")
 
 
+def _cleaned(spark, d):
+    return resumes(spark, d).select("doc_id", T.clean(F.col("raw_text")).alias("t"))
+
+
+def heading_rows(spark, d):
+    """The lines with a heading, by the fixed headings as a table."""
+    return headings.find(_cleaned(spark, d), "doc_id", F.col("t"), headings.fixed(spark))
+
+
+def section_table(spark, d):
+    """The sections of `section_assemble`, by the fixed headings as a table."""
+    return headings.contents(_cleaned(spark, d), "doc_id", F.col("t"), headings.fixed(spark))
+
+
+def heading_documents(spark, d):
+    """Short first lines of documents are headings of their source; where they stand in all documents, those of smaller ids first."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+    first = T.strip(F.substring_index("text", "\n", 1))
+    names = docs.select(first.alias("name"), F.col("source").alias("section"), F.col("doc_id").alias("rank")).filter(F.length("name") <= 60)
+    return headings.find(spread(docs.select("doc_id", "text")), "doc_id", F.col("text"), names)
+
+
 def contact_query(*fields: str):
     def run(spark, d):
         text = resumes(spark, d).select("doc_id", T.clean(F.col("raw_text")).alias("t"))
@@ -472,7 +494,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         f.__name__: f
         for f in (
-            norm_basic, norm_resumes, section_lines, section_assemble, email_documents, skills_flat, skills_by_category, skill_frequency, domain, exp_rows, exp_highlights,
+            norm_basic, norm_resumes, section_lines, section_assemble, heading_rows, section_table, heading_documents, email_documents, skills_flat, skills_by_category, skill_frequency, domain, exp_rows, exp_highlights,
             exp_total, edu_rows, projects_top5, certs_top6, summary, jd_skills, skill_match, skill_missing, candidate_job_rank, page_classify, packet_merge, packet_primary,
             segment_preview, block_layout, scanned_flag, ext_gate, reconcile_scalar, reconcile_skills, reconcile_categories, prompt_budget, page_preview, score_band, profile_json, capabilities,
             reconcile_lists, packet_external, pdf_text, files_by_path, json_commits, skills_table, dictionary_hits, packet_rows, provider_priority, provider_errors, layer_metrics, text_decode, json_roundtrip, profile_core, category_texts,
