@@ -35,10 +35,10 @@ def test_fixed_headings_as_rows_and_as_patterns(spark):
 def test_own_headings(spark):
     names = [("Über uns", "about", 2), ("uns", "other", 3), ("C++ / C#", "code", 1), ("über  UNS", "late", 9), ("--", "none", 0), ("", "none", 0), (None, "none", 0), ("straße 9", None, 4)]
     table = spark.createDataFrame(names, "name string, section string, rank int")
-    lines = ["ÜBER   UNS", "uns: a tail", "## c++ / C# ##", "c", "Über uns: x", "über uns - xy", "für uns alle", "runs", "straße 9", "*" * 60, "uns " * 13]
+    lines = ["ÜBER   UNS", "uns: a tail", "## c++ / C# ##", "c", "Über uns: x", "über uns - xy", "für uns alle", "runs", "straße 9", "*" * 60, "uns " * 13, "x " * 30 + "uns"]
     docs = spark.createDataFrame([("d", "\n".join(lines), "x"), ("e", None, "x"), ("f", "", "x")], "doc string, body string, section string")
     got = {r.line_no: (r.section, r.tail) for r in headings.find(docs, "doc", F.col("body"), table).collect()}
-    assert got == {0: ("about", None), 1: ("other", "a tail"), 2: ("code", None), 4: ("about", None), 5: ("about", "xy"), 6: ("other", None), 8: (None, None)}
+    assert got == {0: ("about", None), 1: ("other", "a tail"), 2: ("code", None), 4: ("about", None), 5: ("about", "xy"), 6: ("other", None), 8: (None, None), 10: ("other", " ".join(["uns"] * 12))}
     assert headings.find(docs, "doc", F.col("body"), table.limit(0)).count() == 0 == headings.find(docs.limit(0), "doc", F.col("body"), table).count()
 
 
