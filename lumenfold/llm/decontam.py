@@ -11,9 +11,10 @@ Test windows: WINDOW consecutive words of an item; an item of fewer, but not non
 document word inside any occurrence is hit, and a document is contaminated if it has hits and they
 are a twentieth of its words or more.
 
-The test windows are searched in blocks of `BLOCK_WORDS` words at most, about 30 bytes a word, one
-after the other: the driver and the tasks hold one block at a time, however many items there are.
-Nothing is shuffled for a single block.
+The test texts are cut into blocks of about `BLOCK_WORDS` words, of which the driver makes one at a time; a
+task holds `BLOCKS` of them at most (about 9 bytes a word) and searches all of them in an index before it
+builds the next one. So a benchmark of up to BLOCKS * BLOCK_WORDS words, 16 million, costs one reading of the
+documents and one indexing, without a shuffle; a larger one costs as many as it has groups of blocks.
 
 Defined cases: null and empty texts have no words and are clean; an item without words has no
 window, nor has one without an id; a document longer than a shard is indexed in pieces that overlap by WINDOW - 1 words;
@@ -24,12 +25,14 @@ give no hits or an empty result; further columns stay where they are.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,7 @@ WINDOW = 13
 SHARE = 20
 SHARD_WORDS = 400_000
 BLOCK_WORDS = 2_000_000
+BLOCKS = 8
 SAMPLE = 8
 
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -185,72 +189,92 @@ class FMIndex:
         return out
 
 
-class Windows:
-    """The windows of a block of items: places in the items' joined word hashes, and whose they are."""
+class Block:
+    """A block of items: their joined word hashes, where each item's begin, and the items' ids."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        hashes, starts, lengths, owners, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
-        for item, text in items:
-            h = word_hashes(text.encode("utf-8", "replace"))[0]
-            n = max(1, len(h) - WINDOW + 1) if len(h) else 0
-            hashes.append(h)
-            starts.append(np.arange(at, at + n))
-            lengths.append(np.full(n, min(WINDOW, len(h))))
-            owners += [item] * n
-            at += len(h)
+        hashes = [word_hashes(text.encode("utf-8", "replace"))[0] for _, text in items]
         self.hashes = np.concatenate([*hashes, np.zeros(WINDOW, np.uint64)])  # so that every window has WINDOW places
-        self.starts, self.lengths, self.owners = np.concatenate(starts), np.concatenate(lengths), np.array(owners, np.int64)
-
-    def occurrences(self, data: bytes, bounds: list[tuple[int, int]]) -> tuple[list[np.ndarray], list[list[tuple[int, int, int]]]]:
-        """For each document (byte bounds in data): its word bounds as bytes, and (first word, end word, window) of occurrences."""
-        hashes, starts, ends = word_hashes(data)
-        first = np.searchsorted(starts, [a for a, _ in bounds])
-        last = np.searchsorted(starts, [b for _, b in bounds])
-        spans = [np.stack([starts[a:b], ends[a:b]], axis=1) for a, b in zip(first, last)]
-        found: list[list[tuple[int, int, int]]] = [[] for _ in bounds]
-        if not len(hashes) or not len(self.lengths):
-            return spans, found
-        for lo in range(0, len(hashes), SHARD_WORDS):  # one run, but for a document longer than a shard
-            hi = min(len(hashes), lo + SHARD_WORDS + WINDOW - 1)
-            self._search(hashes[lo:hi], lo, first, last, found)
-        return spans, found
-
-    def _search(self, hashes: np.ndarray, lo: int, first: np.ndarray, last: np.ndarray, found: list) -> None:
-        vocabulary, numbers = np.unique(hashes, return_inverse=True)
-        docs = np.flatnonzero((last > lo) & (first < lo + len(hashes)) & (last > first))
-        offset = len(docs) + 1  # 0 ends the sequence, 1..len(docs) end documents
-        cuts = np.clip(last[docs] - lo, 0, len(hashes))
-        seq = np.insert(numbers.astype(np.int64) + offset, cuts, np.arange(1, offset))
-        seq = np.append(seq, 0)
-        at = np.minimum(np.searchsorted(vocabulary, self.hashes), len(vocabulary) - 1)
-        known = np.concatenate([[0], np.cumsum(vocabulary[at] == self.hashes)])
-        live = np.flatnonzero(known[self.starts + self.lengths] - known[self.starts] == self.lengths)
+        self.sizes, self.items = np.array([len(h) for h in hashes], np.int64), np.array([i for i, _ in items], np.int64)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window its place in the hashes, its length and its item."""
+        n = np.where(self.sizes > 0, np.maximum(self.sizes - WINDOW + 1, 1), 0)
+        shift = np.cumsum(self.sizes) - self.sizes - (np.cumsum(n) - n)
+        return np.arange(n.sum()) + np.repeat(shift, n), np.repeat(np.minimum(self.sizes, WINDOW), n), np.repeat(self.items, n)
+
+
+Occurrences = list[list[tuple[int, int, int]]]
+
+
+def occurrences(data: bytes, bounds: list[tuple[int, int]], blocks: Callable[[], Iterable[Block]]) -> tuple[list[np.ndarray], Occurrences]:
+    """For each document (byte bounds in data): its word bounds as bytes, and (first word, end word, item) of occurrences.
+
+    Each run of words is indexed once, if any block needs it, and all blocks are searched in it.
+    """
+    hashes, starts, ends = word_hashes(data)
+    first = np.searchsorted(starts, [a for a, _ in bounds])
+    last = np.searchsorted(starts, [b for _, b in bounds])
+    spans = [np.stack([starts[a:b], ends[a:b]], axis=1) for a, b in zip(first, last)]
+    found: Occurrences = [[] for _ in bounds]
+    for lo in range(0, len(hashes), SHARD_WORDS):  # one run, but for a document longer than a shard
+        run = _Run(hashes[lo : lo + SHARD_WORDS + WINDOW - 1], lo, first, last)
+        for block in blocks():
+            run.search(block, found)
+    return spans, found
+
+
+class _Run:
+    """Words of a shard: their numbers, the documents among them, and, once it is needed, their index."""
+
+    def __init__(self, hashes: np.ndarray, lo: int, first: np.ndarray, last: np.ndarray):
+        self.vocabulary, self.numbers = np.unique(hashes, return_inverse=True)
+        self.docs = np.flatnonzero((last > lo) & (first < lo + len(hashes)) & (last > first))
+        self.offset = len(self.docs) + 1  # 0 ends the sequence, 1..len(docs) end documents
+        self.cuts = np.clip(last[self.docs] - lo, 0, len(hashes))
+        self.first, self.lo = first[self.docs] - lo, lo
+
+    @cached_property
+    def index(self) -> FMIndex:
+        seq = np.insert(self.numbers.astype(np.int64) + self.offset, self.cuts, np.arange(1, self.offset))
+        return FMIndex(np.append(seq, 0))
+
+    def search(self, block: Block, found: Occurrences) -> None:
+        begin, length, owner = block.windows()
+        at = np.minimum(np.searchsorted(self.vocabulary, block.hashes), len(self.vocabulary) - 1)
+        known = np.concatenate([[0], np.cumsum(self.vocabulary[at] == block.hashes)])
+        live = np.flatnonzero(known[begin + length] - known[begin] == length)
         if not len(live):
             return  # some word of every window is in no document here
-        index = FMIndex(seq)
-        low, high = index.ranges(at[self.starts[live][:, None] + np.arange(WINDOW)] + offset, self.lengths[live])
+        low, high = self.index.ranges(at[begin[live][:, None] + np.arange(WINDOW)] + self.offset, length[live])
         size = high - low
         hit = np.flatnonzero(size > 0)
         if not len(hit):
             return
-        which = np.repeat(hit, size[hit])
-        rows = np.concatenate([np.arange(low[i], high[i]) for i in hit])
-        place = index.locate(rows)
-        marks = cuts + np.arange(len(docs))
-        doc = np.searchsorted(marks, place, side="left")
-        word = place - doc + lo
-        for d, w, i in zip(docs[doc].tolist(), (word - first[docs[doc]]).tolist(), live[which].tolist()):
-            found[d].append((w, w + int(self.lengths[i]), i))
+        which = live[np.repeat(hit, size[hit])]
+        place = self.index.locate(np.concatenate([np.arange(low[i], high[i]) for i in hit]))
+        doc = np.searchsorted(self.cuts + np.arange(len(self.docs)), place, side="left")
+        word = place - doc - self.first[doc]
+        for d, w, n, item in zip(self.docs[doc].tolist(), word.tolist(), length[which].tolist(), owner[which].tolist()):
+            found[d].append((w, w + n, item))
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Windows]:
+def _blocks(benchmark: DataFrame) -> Iterator[Block]:
     """The benchmark in blocks of about BLOCK_WORDS words at most, or one item; the driver holds one at a time."""
     items = benchmark.select("item_id", "text").filter("text is not null").distinct()
     words = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     n = int(-(-words // BLOCK_WORDS)) or 1
     for k in range(n):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield Windows(sorted((r["item_id"], r["text"]) for r in own.collect() if r["item_id"] is not None))
+        yield Block(sorted((r["item_id"], r["text"]) for r in own.collect() if r["item_id"] is not None))
+
+
+def _groups(benchmark: DataFrame) -> Iterator[list[Broadcast]]:
+    """Groups of at most BLOCKS broadcast blocks, which tasks hold together."""
+    spark = benchmark.sparkSession
+    blocks = _blocks(benchmark)
+    while group := [spark.sparkContext.broadcast(b) for b in islice(blocks, BLOCKS)]:
+        yield group
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -266,9 +290,9 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 FOUND = "row long, doc_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<long>, cut array<struct<start:long,end:long>>"
 
 
-def _find_block(docs: DataFrame, windows: Windows) -> DataFrame:
+def _find_group(docs: DataFrame, group: list[Broadcast]) -> DataFrame:
     """docs: row, doc_id, text."""
-    held, kind = docs.sparkSession.sparkContext.broadcast(windows), docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
     span, id_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), None
 
     def shard(rows: list[int], ids: list, texts: list[bytes]) -> pa.RecordBatch:
@@ -276,10 +300,9 @@ def _find_block(docs: DataFrame, windows: Windows) -> DataFrame:
         for t in texts:
             bounds.append((at, at + len(t)))
             at += len(t) + 1
-        windows = held.value
-        words, found = windows.occurrences(b"\n".join(texts), bounds)
+        words, found = occurrences(b"\n".join(texts), bounds, lambda: (b.value for b in group))
         spans = [_merged([(a, b) for a, b, _ in f]) for f in found]
-        items = [sorted({int(windows.owners[w]) for *_, w in f}) for f in found]
+        items = [sorted({item for *_, item in f}) for f in found]
         bytes_of = [[(int(w[a][0]) - z[0], int(w[b - 1][1]) - z[0]) for a, b in s] for w, s, z in zip(words, spans, bounds)]
         as_structs = lambda rows: pa.array([[{"start": a, "end": b} for a, b in r] for r in rows], span)
         return pa.RecordBatch.from_arrays(
@@ -310,21 +333,21 @@ def _find_block(docs: DataFrame, windows: Windows) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """row, doc_id, n_words, n_hit, spans (merged, in words), items (ids with occurrences), cut (spans in UTF-8 bytes), contaminated.
 
-    With one block of items this is one pass. With more, the rows are numbered in a stored copy, so that
-    they stay apart even if ids repeat, each block's findings are stored, and they meet by that number.
+    With one group of blocks this is one pass. With more, the rows are numbered in a stored copy, so that
+    they stay apart even if ids repeat, each group's findings are stored, and they meet by that number.
     """
-    blocks = _blocks(benchmark)
-    first, second = next(blocks), next(blocks, None)
+    groups = _groups(benchmark)
+    first, second = next(groups), next(groups, None)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     if second is not None:
         rows = common.stored(rows, "clean-rows")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    found = _find_block(rows, first)
+    found = _find_group(rows, first)
     if second is not None:
         found = common.stored(found, "clean-found")
-        for block in chain([second], blocks):
-            found = found.unionByName(common.stored(_find_block(rows, block).filter(F.size("spans") > 0), "clean-found"))
-        whole = lambda c: F.array_sort(F.flatten(F.collect_list(c)))  # noqa: E731  one entry for each block of items
+        for group in chain([second], groups):
+            found = found.unionByName(common.stored(_find_group(rows, group).filter(F.size("spans") > 0), "clean-found"))
+        whole = lambda c: F.array_sort(F.flatten(F.collect_list(c)))  # noqa: E731  one entry for each group of blocks
         union = lambda c: F.aggregate(
             whole(c), F.expr("cast(array() as array<struct<start:long,end:long>>)"),
             lambda out, s: F.when((F.size(out) > 0) & (F.element_at(out, F.greatest(F.size(out), F.lit(1))).getField("end") >= s["start"]),
@@ -336,8 +359,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
-def _keep_clean_block(docs: DataFrame, windows: Windows) -> DataFrame:
-    columns, held = docs.columns, docs.sparkSession.sparkContext.broadcast(windows)
+def _keep_clean_group(docs: DataFrame, group: list[Broadcast]) -> DataFrame:
+    columns = docs.columns
 
     def clean(own: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [(t.as_py() or "").encode("utf-8", "replace") for b in own for t in b.column(columns.index("text"))]
@@ -345,7 +368,7 @@ def _keep_clean_block(docs: DataFrame, windows: Windows) -> DataFrame:
         for t in texts:
             bounds.append((at, at + len(t)))
             at += len(t) + 1
-        words, found = held.value.occurrences(b"\n".join(texts), bounds)
+        words, found = occurrences(b"\n".join(texts), bounds, lambda: (b.value for b in group))
         hits = [sum(b - a for a, b in _merged([(a, b) for a, b, _ in f])) for f in found]
         keep = pa.array([not (h and SHARE * h >= len(w)) for h, w in zip(hits, words)], pa.bool_())
         at = 0
@@ -372,13 +395,13 @@ def _keep_clean_block(docs: DataFrame, windows: Windows) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; the others stay as they are.
 
-    With one block of items rows are judged and kept in one pass. With more, rows are numbered in a
+    With one group of blocks rows are judged and kept in one pass. With more, rows are numbered in a
     stored copy and the judgements meet them by that number.
     """
-    blocks = _blocks(benchmark)
-    first, second = next(blocks), next(blocks, None)
+    groups = _groups(benchmark)
+    first, second = next(groups), next(groups, None)
     if second is None:
-        return _keep_clean_block(docs, first)
+        return _keep_clean_group(docs, first)
     (row,) = common.fresh(docs, "row")
     numbered = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "clean-docs")
     bad = find(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias(row))

@@ -61,9 +61,12 @@ def test_documents_longer_than_a_shard(monkeypatch):
     for t in texts:
         bounds.append((at, at + len(t)))
         at += len(t) + 1
-    whole = decontam.Windows(items).occurrences(data, bounds)[1]
+    block = decontam.Block(items)
+    whole = decontam.occurrences(data, bounds, lambda: [block])[1]
     monkeypatch.setattr(decontam, "SHARD_WORDS", 40)
-    assert [set(x) for x in decontam.Windows(items).occurrences(data, bounds)[1]] == [set(x) for x in whole]
+    assert [set(x) for x in decontam.occurrences(data, bounds, lambda: [block])[1]] == [set(x) for x in whole]
+    apart = [decontam.Block([i]) for i in items]  # each item a block of its own
+    assert [set(x) for x in decontam.occurrences(data, bounds, lambda: apart)[1]] == [set(x) for x in whole]
     for (_, n, hit, *_), found in zip(brute(list(enumerate(texts)), items), whole):
         assert len({k for a, b, _ in found for k in range(a, b)}) == hit
 
@@ -91,8 +94,21 @@ def test_blocks_of_items_give_the_same(spark, tmp_path, monkeypatch):
     read = lambda: sorted((r.doc_id, r.n_words, r.n_hit, [tuple(s) for s in r.spans], sorted(r["items"]), [tuple(s) for s in r["cut"]], r.contaminated) for r in decontam.find(docs, items).collect())
     whole, kept = read(), sorted(r.doc_id for r in decontam.keep_clean(docs, items).collect())
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 30)
-    assert len(list(decontam._blocks(items))) > 2 and read() == whole
+    assert len(list(decontam._blocks(items))) > 2 and len(list(decontam._groups(items))) == 1 and read() == whole
     assert sorted(r.doc_id for r in decontam.keep_clean(docs, items).collect()) == kept == [99]
+    monkeypatch.setattr(decontam, "BLOCKS", 1)  # a pass for each block
+    assert len(list(decontam._groups(items))) > 2 and read() == whole
+    assert sorted(r.doc_id for r in decontam.keep_clean(docs, items).collect()) == kept
+
+
+def test_one_index_for_all_blocks(monkeypatch):
+    built = []
+    index = decontam.FMIndex
+    monkeypatch.setattr(decontam, "FMIndex", lambda seq: built.append(len(seq)) or index(seq))
+    text = " ".join(f"w{k}" for k in range(200))
+    blocks = [decontam.Block([(i, " ".join(f"w{k}" for k in range(i, i + 15)))]) for i in range(40)] + [decontam.Block([(99, "absent")]), decontam.Block([])]
+    found = decontam.occurrences(text.encode(), [(0, len(text))], lambda: blocks)[1][0]
+    assert len(built) == 1 and sorted(found) == sorted((k, k + 13, i) for i in range(40) for k in range(i, i + 3))
 
 
 def test_empty_tables(spark, tmp_path):
