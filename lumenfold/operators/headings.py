@@ -108,10 +108,11 @@ def find(docs: DataFrame, key: str, text: Column, headings: DataFrame) -> DataFr
 def contents(docs: DataFrame, key: str, text: Column, headings: DataFrame) -> DataFrame:
     """key, section, content: what stands under each section's headings, joined by a blank line; sections without text are left out.
 
-    A document's headings come to it in one join by key; its lines are sliced and joined once.
+    A document's headings come to it in one join by key; its lines are sliced and joined once. The join is by sorting: Spark
+    guesses the size of composed texts from that of the columns they come from, and would send whole documents to the driver.
     """
     found = find(docs, key, text, headings).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "section", "tail"))).alias("heads"))
-    rows = docs.select(key, F.transform(F.split(text, "\n"), T.strip).alias("lines")).join(found, key)
+    rows = docs.select(key, F.transform(F.split(text, "\n"), T.strip).alias("lines")).join(found.hint("merge"), key)
 
     def part(h: Column, i: Column) -> Column:
         end = F.coalesce(F.get("heads", i + 1)["line_no"], F.size("lines"))

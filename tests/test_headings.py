@@ -61,3 +61,12 @@ def test_names_of_patterns():
     for section, patterns in sections.SECTIONS.items():
         for p in patterns:
             assert all(re.fullmatch(p, name) for name in headings._plain(p))
+
+
+def test_documents_are_never_sent_to_the_driver(spark):
+    """Composed texts look small to Spark: by its guess from the ids whole documents would be broadcast."""
+    docs = spark.range(50).select("id", F.concat(F.lit("Skills\n"), F.col("id")).alias("t"))
+    found = headings.contents(docs, "id", F.col("t"), headings.fixed(spark))
+    last = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    joins = [line for line in last if "Join " in line]
+    assert "SortMergeJoin [id" in joins[0] and not any("Join [id" in j for j in joins[1:]) and found.count() == 50
