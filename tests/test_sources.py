@@ -5,6 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfold.plans import registry
 from lumenfold.sources import commits, documents
 from lumenfold.sources.shared import Store
 
@@ -100,3 +101,19 @@ def test_concurrent_runs_both_stand(spark, tmp_path):
     assert sorted(r.k for r in commits.read(spark, path, SCHEMA).collect()) == [0, 1, 2, 3] and commits.versions(spark, path) == [1, 2, 3, 4]
     with pytest.raises(Exception):
         Store(spark, path).create(f"{path}/manifest/000000001.json", "{}")
+
+
+def test_tables_of_one_row_group_are_dealt_out(spark, tmp_path):
+    """Such a file is cut into as many partitions as there are cores, of which one has all rows."""
+    spark.range(2000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        table = spark.read.parquet(str(tmp_path / "t"))
+        per_task = lambda df: [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert table.rdd.getNumPartitions() > 4 and per_task(table) == [2000]
+        assert max(per_task(registry.spread(table))) < 500
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
