@@ -15,30 +15,18 @@ are never found. Null and empty texts have no headings; an empty table of names
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import SECTIONS
-from .sections import bare
+from .sections import _plain, bare
 
 BROADCAST = 200_000
 LONGEST = 50
 _CORE = r"(\w+(?:.*\w)?)"
 
 
-def _plain(pattern: str) -> list[str]:
-    """The names that a pattern of the fixed headings stands for."""
-    pattern = pattern.replace(r"\s+", " ")
-    choice = re.search(r"\(\?:([^)]*)\)|\[([^\]]*)\]", pattern)
-    if not choice:
-        return [pattern]
-    options = choice[1].split("|") if choice[1] else list(choice[2])
-    return [name for o in options for name in _plain(pattern[: choice.start()] + o + pattern[choice.end() :])]
-
-
 def fixed(spark: SparkSession) -> DataFrame:
     """The fixed headings as a table: name, section, rank."""
     patterns = [(s, p) for s, names in SECTIONS.items() for p in names]

@@ -144,3 +144,31 @@ def test_reconcile(spark):
     assert p.total_experience_years == 4.0 and p.extraction_mode == "hybrid" and len(p.experience) == 2
     assert "AsyncIO" in p.skills and "java" in p.skills and "Java" not in p.skills
     assert p.categorized_skills["Languages"] == ["java", "Go"] and p.categorized_skills["Other"] == ["AsyncIO"]
+
+
+def test_skills_in_one_pass(spark):
+    """As one pattern for each skill finds them: names within longer names, at ends of tokens, in all order."""
+    import random
+    import re
+
+    from lumenfold.functions import lexicon as X
+    from lumenfold.operators import score
+
+    names = [s for group in X.SKILLS.values() for s in group]
+    r = random.Random(5)
+    texts = ["", "ASP.NET and .net", *["".join(r.choice(names) + r.choice([" ", ", ", ".", ".js", "+", "x", "", "/", "é"]) for _ in range(r.randint(1, 12))) for _ in range(300)]]
+    rows = docs(spark, *texts).select("raw_text", extract.all_skills(extract.categorised(F.col("raw_text"))).alias("s")).collect()
+    stands = lambda t, s, before: re.search(rf"(?<![\w#+{before}]){re.escape(s)}(?![\w#+])", t.lower())
+    assert all(row.s == sorted(X.display(s) for s in names if stands(row.raw_text, s, ".")) for row in rows)
+    asked = score.with_requirements(docs(spark, *texts), "raw_text").select("raw_text", "asks.skills").collect()
+    assert all(row.skills == [s for s in names if stands(row.raw_text.strip(), s, "")] for row in asked)
+
+
+def test_patterns_that_are_cheap_to_evaluate(spark):
+    """What is done again for each value stays small: patterns are ASCII, and unread texts of categories are left out of the plan."""
+    assert T.rx("é–[ſ]").isascii() and spark.range(1).select(T.matches(F.lit("aſ"), "[ſ]$")).first()[0]
+    assert T.trie({"skills", "skill", "skim"}, any_case=False) == "ski(?:ll(?:s)?|m)"
+    jobs = spark.createDataFrame([(1, JOBS["backend"])], "job_id long, jd_text string")
+    total = pipeline.analyze(docs(spark, RESUME), jobs).select("doc_id", "report.overall_score")
+    plan = total._jdf.queryExecution().optimizedPlan().toString()
+    assert "Candidate has" not in plan and "Candidate holds" not in plan
