@@ -26,6 +26,8 @@ _BLOCK = [("block_no", pa.int32()), *[(f, pa.float64()) for f in ("page_width",
 PAGE_BLOCKS = pa.list_(pa.list_(pa.struct(_BLOCK)))
 _RUN = [*[(f, pa.float64()) for f in ("x0", "y0", "x1", "y1", "size")], ("text", pa.string())]
 PAGE_RUNS = pa.list_(pa.struct([("width", pa.float64()), ("runs", pa.list_(pa.struct(_RUN)))]))
+#: Files whose runs are held as Python values at once.
+FILES_AT_ONCE = 256
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -108,7 +110,7 @@ def read_bytes(files: DataFrame) -> DataFrame:
     ready = ready.withColumns({"raw_text": text, "content": binary})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, FILES_AT_ONCE) for whole in batches for i in range(0, max(whole.num_rows, 1), FILES_AT_ONCE)):
             n, column = b.num_rows, {c: b.column(c) for c in b.schema.names}
             text, blocks, runs, errors = column["raw_text"], [None] * n, [None] * n, column["error"]
             binary = np.flatnonzero(column["content"].is_valid().to_numpy(zero_copy_only=False)).tolist()
