@@ -172,3 +172,10 @@ def test_patterns_that_are_cheap_to_evaluate(spark):
     total = pipeline.analyze(docs(spark, RESUME), jobs).select("doc_id", "report.overall_score")
     plan = total._jdf.queryExecution().optimizedPlan().toString()
     assert "Candidate has" not in plan and "Candidate holds" not in plan
+
+
+def test_a_name_is_made_bare_once(spark):
+    """What a line holds without its honorific is computed once a line, however many tests read it."""
+    found = docs(spark, "Dr. José Müller").select(extract.name(F.array("raw_text")).alias("name"))
+    assert found.first().name == "José Müller"
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Prof") == 1
