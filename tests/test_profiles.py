@@ -179,3 +179,37 @@ def test_a_name_is_made_bare_once(spark):
     found = docs(spark, "Dr. José Müller").select(extract.name(F.array("raw_text")).alias("name"))
     assert found.first().name == "José Müller"
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Prof") == 1
+
+
+def test_patterns_search_once(spark):
+    """A pattern is in the plan once, wherever it stands; lines of a clean text are not stripped again by patterns."""
+    found = docs(spark, "call me: +49 30 12345678").select(extract.contact(F.col("raw_text")).alias("c"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.first().c.phone == "+49 30 12345678" and plan.count("WhatsApp") == 1 and plan.count("linkedin\\.com") == 1 and "^\\s+|" not in plan
+
+
+def test_strip_as_by_pattern(spark):
+    import re
+
+    texts = [a + b + c for a in ["", *T.SPACES, " \t\u2003\n"] for b in ("", "x", "é y\u3000z", "\u200b") for c in ("", "\r\n", "\u2028", *T.SPACES)]
+    rows = docs(spark, *texts).select("raw_text", T.strip(F.col("raw_text")).alias("s"), F.regexp_replace("raw_text", T.rx(r"^\s+|\s+$"), "").alias("p"), T.words(F.col("raw_text")).alias("w")).collect()
+    assert all(r.s == r.p and r.w == [w for w in re.split(f"[{T.SPACES}]+", r.raw_text) if w] for r in rows)
+
+
+def test_quick_looks_pass_all_names(spark):
+    """What is looked at before a search lets every name pass, in any case and with any space."""
+    import re
+
+    plain = {n for names in sections.SECTIONS.values() for p in names for n in sections._plain(p)}
+    quick = T.ahead(plain, 4)
+    assert all(re.match(quick, form.replace(" ", " \t")) for n in plain for form in (n, n.upper(), n.title(), n.replace("s", "ſ"), n.replace("k", "\u212a")))
+    assert not re.match(quick, "zebra") and all(re.match(extract._SCHOOLS, s) for s in extract.X.SCHOOLS)
+    whole = [n for names in sections._exact()[1].values() for n in names]
+    rows = docs(spark, *plain).select("raw_text", sections.header(F.col("raw_text")).alias("h")).collect()
+    assert "skills" in whole and "experience & achievements" not in whole and all(r.h is not None for r in rows)
+
+
+def test_dates_by_every_month(spark):
+    months = ["Jan", "February", "Mar", "april", "MAY", "Jun", "July", "Aug", "ſep", "September", "Oct", "Nov", "December", "Q3", "7", "03"]
+    rows = docs(spark, *[f"Clerk | {m} 2001 - {m} 2003" for m in months]).select(extract.jobs(F.col("raw_text")).alias("j")).collect()
+    assert [(len(r.j), r.j[0].job.role, r.j[0].job.start, r.j[0].job.end) for r in rows] == [(1, "Clerk", 2001, 2003)] * len(months)
