@@ -148,6 +148,8 @@ class PieceMachine:
     def __init__(self, v: Vocabulary):
         chars = sorted({ch for p, k in zip(v.pieces, v.kinds) if k in (NORMAL, USER_DEFINED) for ch in p})
         self.code = {ch: i + 1 for i, ch in enumerate(chars)}
+        self.codes = np.zeros(max(map(ord, chars), default=0) + 2, np.int64)  # by code point; the last stands for all above
+        self.codes[[ord(ch) for ch in chars]] = range(1, len(chars) + 1)
         self.base = len(chars) + 1
         edges, final, todo = {}, [-1], [(v.trie(), 0)]
         while todo:
@@ -171,8 +173,7 @@ class PieceMachine:
         n = len(words)
         points = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "replace"), "<u4").reshape(n, width).astype(np.int64)
         lengths = np.array([len(w) for w in words])
-        known, where = np.unique(points, return_inverse=True)
-        codes = np.array([self.code.get(chr(c), 0) for c in known.tolist()])[where].reshape(n, width)
+        codes = self.codes[np.minimum(points, len(self.codes) - 1)]
         w, s = np.nonzero(np.arange(width)[None] < lengths[:, None])
         state, end = np.zeros(len(w), np.int64), s.copy()
         found, single = [], np.zeros(len(w), bool)

@@ -6,9 +6,10 @@ minus its score, and for a character that is no piece an arc that emits its UTF-
 of an unknown one), and for files of the BPE kind the pair machine. Each input is composed with them
 and its encoding is the path of least cost in the tropical semiring (min, +); of equal paths the one
 with the longer last piece wins. The composition is never built as a whole: the lattices of many
-words are stepped and relaxed at once, in blocks of bounded size. Where no piece goes on after an
-inner space, it falls apart at the spaces, so words are encoded once per task and remembered in a
-bounded table.
+words are stepped and relaxed at once, in blocks of bounded size. A text falls apart between two
+characters that no piece holds in a row: where no piece goes on after an inner space, before spaces,
+and if the vocabulary allows it also before line breaks and after letters that another sign follows.
+These parts are encoded once per task and remembered in a bounded table.
 
 In files of the BPE kind the scores are merge ranks, and not every path is one that merging could
 leave. A path is what merging gives exactly if each piece, and each two neighbouring pieces, are
@@ -109,6 +110,7 @@ class PairMachine:
         self._clear()
 
     def _clear(self) -> None:
+        self.tracks: dict[int, tuple | None] = {}
         self.keys, self.stand = np.full(self.SLOTS, -1, np.int64), np.zeros(self.SLOTS, bool)
 
     def __getstate__(self) -> dict:
@@ -137,6 +139,38 @@ class PairMachine:
             if at:
                 scores[at - 1] = rank(parts[at - 1] + parts[at])
 
+    def track(self, piece: int) -> tuple[list[float], list[str], list[str]] | None:
+        """How merging makes a piece of its characters: the score of each step (then minus infinity), and the first and last part before it; null if it doesn't."""
+        if piece not in self.tracks:
+            parts, rank, steps = list(self.pieces[piece]), self.rank.get, []
+            while (best := max(((r, -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank(a + b)) is not None), default=None)) is not None:
+                steps.append((best[0], parts[0], parts[-1]))
+                parts[-best[1] : 2 - best[1]] = [parts[-best[1]] + parts[1 - best[1]]]
+            steps.append((-np.inf, parts[0], parts[-1]))
+            self.tracks[piece] = tuple(map(list, zip(*steps))) if len(parts) == 1 else None
+        return self.tracks[piece]
+
+    def stands(self, left: int, right: int) -> bool:
+        """Whether merging leaves the pieces apart: their own steps, the best scored first and the left one of equals, never let a merge over their border win."""
+        after = self.track(right)
+        if after is None or left < 0:
+            return after is not None
+        if (before := self.track(left)) is None:
+            return False
+        rank, i, j = self.rank.get, 0, 0
+        (a, _, last), (b, first, _) = before, after
+        over = rank(last[0] + first[0])
+        while True:
+            if over is not None and over > a[i] and over >= b[j]:
+                return False
+            if a[i] >= b[j]:
+                if a[i] == -np.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+            over = rank(last[i] + first[j])
+
     def arcs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether there is an arc from each left to each right piece; left is -1 at the start and after bytes."""
         key = (left + 1).astype(np.int64) * len(self.pieces) + right
@@ -145,9 +179,8 @@ class PairMachine:
         missing = np.flatnonzero(self.keys[slot] != key)
         if len(missing):
             fresh, first, back = np.unique(key[missing], return_index=True, return_inverse=True)
-            at, pieces = missing[first], self.pieces
-            pairs = [([pieces[a]] if a >= 0 else []) + [pieces[b]] for a, b in zip(left[at].tolist(), right[at].tolist())]
-            found = np.array([self.merged("".join(p)) == p for p in pairs])
+            at = missing[first]
+            found = np.array(list(map(self.stands, left[at].tolist(), right[at].tolist())))
             self.keys[slot[at]], self.stand[slot[at]] = fresh, found
             out[missing] = found[back]
         return out
@@ -156,7 +189,7 @@ class PairMachine:
 class Codec:
     """Normaliser, token machine and, for vocabularies of merges, pair machine; and their shortest paths."""
 
-    CACHE = 200_000
+    CACHE = 300_000
     LONG = 64
     CELLS = 200_000
 
@@ -171,13 +204,26 @@ class Codec:
         self.split = v.words_split() and v.dummy_prefix
         self.surface = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode() for p, k in zip(v.pieces, v.kinds)]
         self.prefix = v.dummy_prefix
-        self.breaks = not any("\n" in p for p in v.pieces)
+        self.parts = re.compile(self._cuts(v))
         self.seen: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"seen": {}, "old": {}}
 
+    @staticmethod
+    def _cuts(v: Vocabulary) -> str:
+        """A pattern of the parts that no piece crosses, of normalised lines whose words can be taken apart."""
+        pieces = [p for p, k in zip(v.pieces, v.kinds) if k in (NORMAL, USER_DEFINED)]
+        breaks, figures = not any("\n" in p for p in pieces), "".join(sorted({c for p in pieces for c in p if c.isnumeric() and not c.isalpha() and not c.isdecimal()}))
+        letter, other = rf"[^\W\d_{figures}]", rf"[\W\d_{figures}]"  # raised figures and fractions are no letters
+        marks = SPACE + "\n" * breaks
+        begin = rf"(?:{SPACE}+|\n)" if breaks else SPACE + "+"
+        if any(re.search(letter + other, p) for p in pieces):
+            return f"{begin}[^{marks}]*|[^{marks}]+"
+        other = f"(?:(?![{marks}]){other})"
+        return f"{begin}{other}*{letter}*|{other}+{letter}*|{letter}+"
+
     def shortest(self, words: list[str]) -> list[bytes]:
         """The ids (little-endian, 32 bits) on the cheapest path of each normalised word."""
         out = [b""] * len(words)
@@ -193,7 +239,7 @@ class Codec:
         sequence of pieces for each beginning of a word, so each place has one live state.
         """
         (w, s, e, piece), points, lengths = self.tokens.compose(words, width)
-        order = np.argsort(s, kind="stable")
+        order = np.argsort(s.astype(np.int16) if width < 1 << 15 else s, kind="stable")  # short numbers are sorted by digits
         w, s, e, piece = w[order], s[order], e[order], piece[order]
         best = np.full((len(words), width + 1), np.inf)
         best[:, 0] = 0
@@ -235,22 +281,15 @@ class Codec:
     def _spelled(self, point: int) -> list[int]:
         return [self.bytes_of[b] for b in chr(point).encode("utf-8", "replace")] if self.bytes_of else [self.unknown_id]
 
-    def _learn(self, words: list[str]) -> None:
-        """Put words (each without the space before it) into the table of this task."""
+    def _learn(self, parts: set[str]) -> None:
+        """Put parts into the table of this task."""
         fresh = []
-        for w in words:
-            if (known := self.old.get(w)) is not None:
-                self.seen[w] = known
+        for p in parts:
+            if (known := self.old.get(p)) is not None:
+                self.seen[p] = known
             else:
-                fresh.append(w)
-        if not fresh:
-            return
-        # no piece holds a line break, so paths can be cut there
-        units = [[SPACE + p if k == 0 else "\n" + p for k, p in enumerate(w.split("\n"))] if self.breaks and "\n" in w else [SPACE + w] for w in fresh]
-        distinct = list(dict.fromkeys(u for own in units for u in own))
-        ids = dict(zip(distinct, self.shortest(distinct)))
-        for w, own in zip(fresh, units):
-            self.seen[w] = ids[own[0]] if len(own) == 1 else b"".join([ids[u] for u in own])
+                fresh.append(p)
+        self.seen.update(zip(fresh, self.shortest(fresh)))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
@@ -258,14 +297,17 @@ class Codec:
         if not self.split:
             return self.shortest(lines)
         rows = [[] if not x else x[1:].split(SPACE) if SPACE * 2 not in x else [w[1:] for w in re.findall(f"{SPACE}+[^{SPACE}]*", x)] for x in lines]
-        used = {w for words in rows for w in words}
-        self._learn(sorted(used - self.seen.keys()))
+        words = list(set().union(*rows))
+        parts = [self.parts.findall(SPACE + w) for w in words]
+        used = set().union(*parts)
+        self._learn(used - self.seen.keys())
         seen = self.seen
-        out = [b"".join([seen[w] for w in words]) for words in rows]
-        for w in used:
-            if len(w) > self.LONG:
-                del seen[w]
-        if len(seen) >= self.CACHE:  # two generations: words in use survive
+        known = {w: seen[own[0]] if len(own) == 1 else b"".join([seen[p] for p in own]) for w, own in zip(words, parts)}
+        out = [b"".join([known[w] for w in own]) for own in rows]
+        for p in used:
+            if len(p) > self.LONG:
+                del seen[p]
+        if len(seen) >= self.CACHE:  # two generations: parts in use survive
             self.old, self.seen = seen, {}
         return out
 

@@ -54,6 +54,29 @@ def test_shortest_of_all_paths(word):
     assert len(paths) == 1  # merging leaves one sequence
 
 
+def test_a_word_is_learned_once_whatever_signs_follow_it():
+    codec, text = wfst.Codec(VOCABULARY), "foo$$$ foo, foo.\nfoo (foo) it's foo"
+    assert codec.encode(text) == LIBRARY.encode(text)
+    assert {p for p in codec.seen if "foo" in p} == {"▁foo", "\nfoo", "▁(foo"}
+
+
+def test_texts_are_not_cut_where_pieces_go_on():
+    v = unigram()
+    v.pieces += ["b.", "\n"]
+    v.scores += [-1.0, -1.0]
+    v.kinds += [1, 1]
+    assert wfst.Codec(v).parts.findall("▁ab.\na▁▁b") == ["▁ab.\na", "▁▁b"]
+    assert wfst.Codec(unigram()).parts.findall("▁ab.\na▁▁b,a") == ["▁ab", ".", "\na", "▁▁b", ",a"]
+
+
+def test_pairs_stand_as_merging_leaves_them():
+    machine, ids = CODEC.pairs, {p: i for i, p in enumerate(VOCABULARY.pieces) if VOCABULARY.kinds[i] == pieces.NORMAL}
+    cuts = [(p[:k], p[k:]) for p in list(ids)[::7] for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+    pairs = [*cuts, *zip(list(ids)[::5], list(ids)[3::5])]
+    assert all(machine.stands(ids[a], ids[b]) == (machine.merged(a + b) == [a, b]) for a, b in pairs)
+    assert all(machine.stands(-1, ids[p]) == (machine.merged(p) == [p]) for p in ids)
+
+
 def test_rewriter():
     r = wfst.Rewriter({"a": "1", "ab": "2", "abcd": "3", "x": "yy", "é": "é"})
     assert [r(t) for t in ("", "aab", "abc", "abcd", "xa", "zz", "é")] == ["", "12", "2c", "3", "yy1", "zz", "é"]
