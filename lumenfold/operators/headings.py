@@ -24,6 +24,7 @@ from .sections import _plain, bare
 
 BROADCAST = 200_000
 LONGEST = 50
+BEGINNING = 100
 _CORE = r"(\w+(?:.*\w)?)"
 
 
@@ -35,7 +36,9 @@ def fixed(spark: SparkSession) -> DataFrame:
 
 def _folded(c: Column) -> Column:
     """Lower case of the same length; letters that differ only in case, by whatever form, become one."""
-    return F.translate(F.lower(F.translate(c, "İıſ", "iis")), "ς", "σ")
+    for a, b in ("İi", "ıi", "ſs"):
+        c = F.replace(c, F.lit(a), F.lit(b))  # translate would look up each character of the text
+    return F.replace(F.lower(c), F.lit("ς"), F.lit("σ"))
 
 
 def _spaced(c: Column) -> Column:
@@ -47,6 +50,17 @@ def _pieces(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(T.rx(r"(\w+\W*)")), F.lit(1))
 
 
+def _begin(c: Column, n: int) -> Column:
+    """The first n words with what follows them, if a text begins with a word, else an empty text; all of it if n is over `BEGINNING`."""
+    return F.regexp_extract(c, T.rx(rf"^(?:\w++\W*+){{1,{n}}}+"), 0) if n <= BEGINNING else c
+
+
+def _short(line: Column) -> Column:
+    """The bare line if it can be short enough for a heading, else null: all letters of a line are in the bare one."""
+    long = F.length(line) > LONGEST
+    return F.when(~(long & T.matches(line, rf"(?:\p{{L}}\P{{L}}*+){{{LONGEST + 1}}}")), bare(line))
+
+
 def _word(piece: Column) -> Column:
     return F.regexp_extract(piece, T.rx(r"^(\w+)"), 1)
 
@@ -70,8 +84,8 @@ def find(docs: DataFrame, key: str, text: Column, headings: DataFrame) -> DataFr
     table = names_table(headings)
     n_names, longest = table.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(1))).first()
     hint = F.broadcast if n_names <= BROADCAST else (lambda t: t)
-    rest = F.regexp_replace("line", T.rx(r"^[\s#*=-]*"), "")
-    rows = lines(docs, key, text).select(key, "line_no", rest.alias("rest"), bare(F.col("line")).alias("bare"))
+    rest = F.ltrim(F.col("line"), F.lit(T.SPACES + "#*=-"))
+    rows = lines(docs, key, text).select(key, "line_no", rest.alias("rest"), _short(F.col("line")).alias("bare"))
 
     def places(c: Column, kind: int) -> Column:
         part = lambda ps, i: F.struct(F.lit(kind).alias("kind"), _word(ps[i]).alias("first"), F.slice(ps, i + 1, F.lit(longest)).alias("next"))
@@ -80,7 +94,7 @@ def find(docs: DataFrame, key: str, text: Column, headings: DataFrame) -> DataFr
         return T.let(_pieces(c), lambda ps: F.transform(ps, lambda _, i: part(ps, i)))
 
     none = F.expr("cast(array() as array<struct<kind:int,first:string,next:array<string>>>)")
-    at = F.concat(F.coalesce(places(_folded(F.col("rest")), 0), none), F.when(F.length("bare") <= LONGEST, places(_folded(F.col("bare")), 1)).otherwise(none))
+    at = F.concat(F.coalesce(places(_folded(_begin(F.col("rest"), longest)), 0), none), F.when(F.length("bare") <= LONGEST, places(_folded(F.col("bare")), 1)).otherwise(none))
     rows = rows.select(key, "line_no", "rest", F.explode(at).alias("p")).select(key, "line_no", "rest", "p.*")
     rows = rows.join(hint(table.select("first", "n").distinct()), "first").filter(F.col("n") <= F.size("next"))
     whole = F.concat(F.array_join(F.slice("next", F.lit(1), F.col("n") - 1), ""), _word(F.get("next", F.col("n") - 1)))

@@ -42,6 +42,24 @@ def test_own_headings(spark):
     assert headings.find(docs, "doc", F.col("body"), table.limit(0)).count() == 0 == headings.find(docs.limit(0), "doc", F.col("body"), table).count()
 
 
+def test_long_lines_are_read_by_their_beginning(spark):
+    table = spark.createDataFrame([("ſtreet of İstanbul", "a", 1), ("uns", "b", 2), ("ς", "c", 3)], "name string, section string, rank int")
+    words = "wort " * 40
+    cases = {
+        "Street OF  istanbul: " + words: ("a", words.strip()), "Street of " + words: None, "## uns | " + words: ("b", words.strip()), words + "uns": None, "(uns) " + words: None,
+        "Ж" * 50 + " uns": None, "*" * 80 + "1. uns" + ":" * 80: ("b", None), "(" * 60 + "uns" + ")" * 60: ("b", None), "x" * 46 + " uns": ("b", None), "x" * 47 + " uns": None, "Σ - " + words: ("c", words.strip()),
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "k int, t string")
+    found = headings.find(docs, "k", F.col("t"), table)
+    assert {r.k: (r.section, r.tail) for r in found.collect()} == {k: v for k, v in enumerate(cases.values()) if v}
+    try:
+        headings.BEGINNING = 2  # names with more words: the whole line is read
+        assert sorted(headings.find(docs, "k", F.col("t"), table).collect()) == sorted(found.collect())
+    finally:
+        headings.BEGINNING = 100
+    assert "translate(" not in found._jdf.queryExecution().optimizedPlan().toString()  # which looks up each character
+
+
 def test_large_tables_of_headings(spark):
     table = spark.range(100_000).select(F.concat(F.lit("chapter "), F.col("id"), F.lit(" of the book")).alias("name"), F.concat(F.lit("s"), F.col("id") % 7).alias("section"), F.col("id").alias("rank"))
     docs = spark.range(400).select("id", F.concat(F.lit("# Chapter "), F.col("id") * 200, F.lit(" OF THE book: ab\ntext\nchapter x of the book")).alias("t"))
