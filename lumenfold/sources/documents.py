@@ -4,18 +4,24 @@ Reading. A row for each file below path (path, filename, file_type, size, conten
 made once in planning; filters on path, filename, file_type and size are applied to it (with
 spark.sql.python.filterPushdown.enabled) and partitions are cut from it by bytes and number of files. A schema without
 content (`.schema("path string, size long")`) opens no file. A file that can't be opened, or is over the option
-maxBytes, is a row with `error` and without content. Names that begin with _ or . are hidden.
+maxBytes, is a row with `error` and without content. Names that begin with _ or . are hidden. The driver lists folder by
+folder and holds the files of the partitions packed, a few bytes each.
 
 Writing. A row (filename, content) is a file. Each task writes into a hidden folder of its own, which gets its name when the
 job commits, so failed or repeated tasks leave nothing to be read. Overwriting removes what was there before at that moment.
 
+Spark plans and commits a Python data source in processes beside the driver, whose memory counts as the driver's (nine of 38 to
+62 MB without any file). `read` and `write` here run the same reader and writer in tasks and need none of them.
+
 Paths are those that pyarrow opens on driver and executors (file, hdfs, s3, gs, abfs). For other stores
 `files.read_files` reads by Spark's own binary reader.
 """
 
 from __future__ import annotations
 
+import pickle
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,9 +48,36 @@ _TESTS = {
 
 @dataclass
 class Files(ds.InputPartition):
-    """Listed files: path, filename, file_type, size."""
+    """Listed files; packed, as the driver holds those of all partitions."""
+
+    packed: bytes
+
+    @classmethod
+    def of(cls, found: list[tuple[str, int]]) -> Files:
+        paths, sizes = zip(*found) if found else ((), ())
+        return cls(zlib.compress(pickle.dumps((paths, sizes))))
+
+    @property
+    def listed(self) -> list[tuple[str, str, str, int]]:
+        """path, filename, file_type, size."""
+        return [tuple(_described(path, size).values()) for path, size in zip(*pickle.loads(zlib.decompress(self.packed)))]
+
+
+def _described(path: str, size: int) -> dict[str, str | int]:
+    name = path.rpartition("/")[2]
+    return {"path": path, "filename": name, "file_type": name.rpartition(".")[2].lower() if "." in name else "", "size": size}
 
-    listed: list[tuple[str, str, str, int]]
+
+def _below(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, int]]:
+    """path and size of the files below a folder, by path. Of each level one folder's listing is held."""
+    ordered = lambda i: i.path + "/" * (i.type == fs.FileType.Directory)
+    for info in sorted(store.get_file_info(fs.FileSelector(folder, allow_not_found=False)), key=ordered):
+        if info.base_name[:1] in "._":
+            continue
+        if info.type == fs.FileType.Directory:
+            yield from _below(store, info.path)
+        elif info.type == fs.FileType.File:
+            yield info.path, info.size
 
 
 class DocumentReader(ds.DataSourceReader):
@@ -60,21 +93,18 @@ class DocumentReader(ds.DataSourceReader):
 
     def partitions(self) -> list[Files]:
         store, root = fs.FileSystem.from_uri(self.path)
-        found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=False))
         out, own, size = [], [], 0
-        for info in sorted(found, key=lambda i: i.path):
-            below = info.path[len(root) :].strip("/").split("/")
-            if info.type != fs.FileType.File or any(p[:1] in "._" for p in below):
-                continue
-            name = below[-1]
-            row = {"path": info.path, "filename": name, "file_type": name.rpartition(".")[2].lower() if "." in name else "", "size": info.size}
-            if all(_TESTS[kind](row[column], value) for kind, column, value in self.tests):
-                own.append(tuple(row.values()))
-                size += info.size
+        for path, n in _below(store, root):
+            if self.tests:
+                row = _described(path, n)
+                if not all(_TESTS[kind](row[column], value) for kind, column, value in self.tests):
+                    continue
+            own.append((path, n))
+            size += n
             if size >= PARTITION_BYTES or len(own) >= PARTITION_FILES:
-                out.append(Files(own))
+                out.append(Files.of(own))
                 own, size = [], 0
-        return [*out, Files(own)] if own or not out else out
+        return [*out, Files.of(own)] if own or not out else out
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.path)
@@ -109,15 +139,15 @@ class Written(ds.WriterCommitMessage):
 
 class DocumentWriter(ds.DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+        self.path, self.overwrite, self.job = path, overwrite, f"_job-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = fs.FileSystem.from_uri(self.path)
-        folder = f"_task-{uuid.uuid4().hex}"  # of this attempt only
-        store.create_dir(f"{root}/{folder}", recursive=True)
+        folder = f"task-{uuid.uuid4().hex}"  # of this attempt only
+        store.create_dir(f"{root}/{self.job}/{folder}", recursive=True)
         for b in iterator:
             for name, content in zip(b.column("filename"), b.column("content")):
-                with store.open_output_stream(f"{root}/{folder}/{name.as_py()}") as f:
+                with store.open_output_stream(f"{root}/{self.job}/{folder}/{name.as_py()}") as f:
                     f.write(content.as_py() or b"")
         return Written(folder)
 
@@ -128,12 +158,16 @@ class DocumentWriter(ds.DataSourceArrowWriter):
                 if info.base_name[:1] not in "._":
                     (store.delete_dir if info.type == fs.FileType.Directory else store.delete_file)(info.path)
         for m in filter(None, messages):
-            store.move(f"{root}/{m.folder}", f"{root}/{m.folder[1:]}")
+            store.move(f"{root}/{self.job}/{m.folder}", f"{root}/{m.folder}")
+        self._clear()  # what failed or repeated tasks left
 
     def abort(self, messages: list[Written | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
-        for m in filter(None, messages):
-            store.delete_dir(f"{root}/{m.folder}")
+        if store.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/{self.job}")
 
 
 class DocumentSource(ds.DataSource):
@@ -164,14 +198,33 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of all files below path, empty ones too; those that can't be read or aren't taken have `error`."""
-    register(spark)
-    found = spark.read.format("documents").load(path)
+    """The documents of all files below path, empty ones too, listed now; those that can't be read or aren't taken have `error`."""
+    reader = DocumentReader(path, [*_TYPES], MAX_BYTES)
+    parts = [(p.packed,) for p in reader.partitions()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packed in (p for b in batches for p in b.column("packed")):
+            yield from reader.read(Files(packed.as_py()))
+
+    found = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)), "packed binary").mapInArrow(run, SCHEMA)
     docs = files.read_bytes(found.select(F.xxhash64("path").alias("doc_id"), "path", "size", "filename", "content", F.col("error").alias("read_error")))
     return docs.withColumn("error", F.coalesce("read_error", "error")).drop("read_error")
 
 
 def write(df: DataFrame, path: str, mode: str = "append") -> None:
-    """A file for each row (filename, content)."""
-    register(df.sparkSession)
-    df.select("filename", "content").write.format("documents").mode(mode).save(path)
+    """A file for each row (filename, content). mode: append or overwrite."""
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"mode {mode} is neither append nor overwrite")
+    writer = DocumentWriter(path, mode == "overwrite")
+    store, root = fs.FileSystem.from_uri(path)
+    store.create_dir(root, recursive=True)  # a table without partitions has no task that would
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"folder": [writer.write(batches).folder]})
+
+    try:
+        messages = [Written(r.folder) for r in df.select("filename", "content").mapInArrow(run, "folder string").collect()]
+    except Exception:
+        writer.abort([])
+        raise
+    writer.commit(messages)

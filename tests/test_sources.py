@@ -1,6 +1,8 @@
 """The data source of whole files and the JSON sink with commits."""
 
+import pickle
 import threading
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +73,70 @@ def test_written_files(spark, tmp_path):
     assert documents.listed(spark, path).count() == 3
 
 
+def test_listing_is_small_on_the_driver(tmp_path):
+    """Few bytes a file in the partitions, and while listing no more than the files of one folder."""
+    for d in range(6):
+        (tmp_path / f"task-{d}").mkdir()
+        for i in range(1000):
+            (tmp_path / f"task-{d}" / f"{d}{i}.txt").touch()
+
+    def listed(path):
+        tracemalloc.start()
+        parts = documents.DocumentReader(f"file://{path}", ["path"], 100).partitions()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return parts, peak
+
+    listed(tmp_path / "task-0")
+    one, all_six = listed(tmp_path / "task-0")[1], listed(tmp_path)
+    assert sum(len(p.listed) for p in all_six[0]) == 6000 and sum(len(pickle.dumps(p)) for p in all_six[0]) < 20 * 6000
+    assert all_six[1] < 3 * one
+
+
+def test_listing_by_path(tmp_path):
+    names = ["a.txt", "a-b.txt", "a/x.txt", "a/b/y.PDF", "a/b.txt", "ab", "_h/x.txt", "a/.h/x.txt", ".x"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("abc")
+    parts = documents.DocumentReader(f"file://{tmp_path}", ["path"], 100).partitions()
+    seen = [f"{tmp_path}/{n}" for n in sorted(names) if "/." not in f"/{n}" and "_" not in n]
+    assert [x[0] for p in parts for x in p.listed] == seen and len(seen) == 6
+    assert (f"{tmp_path}/a/b/y.PDF", "y.PDF", "pdf", 3) in parts[0].listed
+
+
+def test_files_pass_in_tasks_only(spark, tmp_path, monkeypatch):
+    """No process beside the driver plans or commits, as it would for the format `documents`."""
+    monkeypatch.setattr(documents, "register", lambda spark: pytest.fail("the format was used"))
+    path = f"file://{tmp_path}/out"
+    rows = spark.range(20).select(F.concat("id", F.lit(".txt")).alias("filename"), F.concat(F.lit("text "), "id").cast("binary").alias("content"))
+    documents.write(rows, path)
+    documents.write(rows.limit(3), path)  # appends
+    found = documents.read(spark, path)
+    assert "BatchScan" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.raw_text for r in found.collect()) == sorted(f"text {i}" for i in [*range(20), 0, 1, 2])
+    with pytest.raises(Exception):
+        documents.write(rows.withColumn("filename", F.when(F.col("filename") == "7.txt", F.lit("no/such/folder.txt")).otherwise(F.col("filename"))), path)
+    assert not [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_")] and documents.read(spark, path).count() == 23
+    documents.write(spark.createDataFrame([], "filename string, content binary"), path, "overwrite")
+    assert documents.read(spark, path).count() == 0
+    with pytest.raises(ValueError):
+        documents.write(rows, path, "ignore")
+
+
+def test_format_writes(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    documents.register(spark)
+    rows = spark.range(20).select(F.concat("id", F.lit(".txt")).alias("filename"), F.col("id").cast("string").cast("binary").alias("content"))
+    rows.write.format("documents").mode("append").save(path)
+    got = lambda: sorted(bytes(r.content).decode() for r in spark.read.format("documents").load(path).collect())
+    assert got() == sorted(map(str, range(20)))
+    rows.limit(3).write.format("documents").mode("overwrite").save(path)
+    assert got() == ["0", "1", "2"]
+    with pytest.raises(Exception):
+        rows.withColumn("filename", F.concat(F.lit("no/such/"), "filename")).write.format("documents").mode("overwrite").save(path)
+    assert got() == ["0", "1", "2"] and not [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+
+
 SCHEMA = "k long, v string, part string"
 
 
